@@ -33,3 +33,124 @@ SELECT tag_id, time_bucket(INTERVAL '1 hour', timestamp) AS bucket,
        round(max({NUM}), 6) AS max_value, count(*) AS sample_count
 FROM series GROUP BY 1, 2""",
 }
+
+SERIES_BY_USER = f"""series AS (
+  SELECT CAST(user_id AS INTEGER) AS tag_id, ts AS timestamp, {READING} AS value FROM events)"""
+
+SERIES_BY_SUPPLIER = """series AS (
+  SELECT CAST(l_suppkey AS INTEGER) AS tag_id, l_shipdate AS timestamp,
+         CAST(l_quantity AS VARCHAR) AS value FROM lineitem)"""
+
+RANGE = "timestamp BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def _metrics(series_cte: str, bucket: str, where: str = "", num: str = NUM) -> str:
+    return f"""
+WITH {series_cte}
+SELECT tag_id, {bucket} AS bucket,
+       round(avg({num}), 6) AS avg_value, round(min({num}), 6) AS min_value,
+       round(max({num}), 6) AS max_value, count(*) AS sample_count
+FROM series {('WHERE ' + where) if where else ''} GROUP BY 1, 2"""
+
+
+SIGNED = r"CASE WHEN regexp_full_match(value, '-?[0-9]+(\.[0-9]+)?') THEN CAST(value AS DOUBLE) END"
+
+
+def _gapfill(series_cte: str, width: str, where: str = "", lo: str | None = None, hi: str | None = None) -> str:
+    bounds = (f"SELECT DISTINCT tag_id, time_bucket(INTERVAL '{width}', TIMESTAMP '{lo}') AS b0, "
+              f"time_bucket(INTERVAL '{width}', TIMESTAMP '{hi}') AS b1 FROM agg") if lo else \
+        "SELECT tag_id, min(bucket) AS b0, max(bucket) AS b1 FROM agg GROUP BY tag_id"
+    return f"""
+WITH {series_cte},
+agg AS (
+  SELECT tag_id, time_bucket(INTERVAL '{width}', timestamp) AS bucket,
+         avg({NUM}) AS avg_value, min({NUM}) AS min_value, max({NUM}) AS max_value,
+         arg_min({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS first_value,
+         arg_max({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS last_value,
+         count(*) AS sample_count
+  FROM series {('WHERE ' + where) if where else ''} GROUP BY 1, 2),
+bounds AS ({bounds}),
+spine AS (SELECT tag_id, unnest(generate_series(b0, b1, INTERVAL '{width}')) AS bucket FROM bounds),
+filled AS (
+  SELECT s.tag_id, s.bucket, a.avg_value, a.min_value, a.max_value, a.first_value, a.last_value,
+         coalesce(a.sample_count, 0) AS sample_count
+  FROM spine s LEFT JOIN agg a ON s.tag_id = a.tag_id AND s.bucket = a.bucket)
+SELECT tag_id, bucket, round(avg_value, 6) AS avg_value, round(min_value, 6) AS min_value,
+       round(max_value, 6) AS max_value, round(first_value, 6) AS first_value,
+       round(last_value, 6) AS last_value, sample_count,
+       round(last_value(avg_value IGNORE NULLS) OVER (PARTITION BY tag_id ORDER BY bucket
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS interpolated_value
+FROM filled"""
+
+
+GAP = "(epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY {key} ORDER BY timestamp))) / 1e6"
+
+LADDER = """CASE WHEN m IS NULL THEN NULL WHEN m < 1 THEN 'sub_second' WHEN m < 60 THEN 'second'
+  WHEN m < 3600 THEN 'minute' WHEN m < 86400 THEN 'hour' WHEN m < 604800 THEN 'day' ELSE 'week' END"""
+
+
+def _frequency(series_cte: str) -> str:
+    return f"""
+WITH {series_cte},
+g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series WHERE timestamp IS NOT NULL),
+m AS (SELECT tag_id, count(gap) AS gap_count, median(gap) AS m FROM g GROUP BY tag_id)
+SELECT tag_id, gap_count, {LADDER} AS frequency FROM m"""
+
+
+USER_FREQ = f"""{SERIES_BY_USER},
+g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series),
+freq AS (SELECT tag_id, (SELECT {LADDER} FROM (SELECT median(gap) AS m)) AS frequency FROM g GROUP BY tag_id)"""
+
+ORACLE.update({
+    "metrics_range": _metrics(SERIES_BY_TYPE, "time_bucket(INTERVAL '15 minutes', timestamp)", RANGE),
+    "metrics_weekly": _metrics(SERIES_BY_USER, "time_bucket(INTERVAL '7 days', timestamp)"),
+    "metrics_trunc_day": _metrics(SERIES_BY_TYPE, "date_trunc('day', timestamp)"),
+    "metrics_quarterly": _metrics(SERIES_BY_SUPPLIER, "time_bucket(INTERVAL '3 months', timestamp)"),
+    "metrics_signed": _metrics(SERIES_BY_TYPE, "time_bucket(INTERVAL '1 day', timestamp)", num=SIGNED),
+    "gapfill_hourly": _gapfill(SERIES_BY_TYPE, "1 hour"),
+    "gapfill_users_range": _gapfill(SERIES_BY_USER, "6 hours", RANGE,
+                                    "2024-01-10 00:00:00", "2024-01-20 12:00:00"),
+    "first_last_daily": f"""
+WITH {SERIES_BY_TYPE}
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket,
+       round(arg_min({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL), 6) AS first_value,
+       round(arg_max({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL), 6) AS last_value,
+       min(timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS first_time,
+       max(timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS last_time
+FROM series GROUP BY 1, 2""",
+    "daily_rollup": f"""
+WITH {SERIES_BY_USER}
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket,
+       round(avg({NUM}), 6) AS avg_value, count(*) AS sample_count
+FROM series GROUP BY 1, 2""",
+    "upload_history": f"""
+WITH {USER_FREQ}
+SELECT 'user_' || CAST(s.tag_id AS VARCHAR) AS tag_name, f.frequency, count(*) AS records_count,
+       min(s.timestamp) AS first_record, max(s.timestamp) AS last_record
+FROM series s JOIN freq f ON s.tag_id = f.tag_id
+GROUP BY 1, 2 ORDER BY last_record DESC, tag_name, f.frequency LIMIT 20""",
+    "tag_statistics": f"""
+WITH {SERIES_BY_TYPE}
+SELECT t.id AS tag_id, t.name, CAST(NULL AS VARCHAR) AS unit_of_measure,
+       time_bucket(INTERVAL '1 day', s.timestamp) AS day, count(s.value) AS data_points,
+       min(s.timestamp) AS first_timestamp, max(s.timestamp) AS last_timestamp,
+       count(s.value) AS daily_count
+FROM type_tags t LEFT JOIN series s ON t.id = s.tag_id
+WHERE t.id IN (1, 2, 4) AND s.{RANGE}
+GROUP BY 1, 2, 3, 4""",
+    "latest_readings": f"""
+WITH {SERIES_BY_USER}
+SELECT tag_id, timestamp, value, 'GOOD' AS quality FROM series WHERE {RANGE}
+ORDER BY timestamp DESC, tag_id LIMIT 100""",
+    "frequency_by_user": _frequency(SERIES_BY_USER),
+    "frequency_by_type": _frequency(SERIES_BY_TYPE),
+    "frequency_of_file": f"""
+WITH g AS (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts))) / 1e6 AS gap
+           FROM events WHERE ts IS NOT NULL),
+m AS (SELECT count(gap) AS gap_count, median(gap) AS m FROM g)
+SELECT gap_count, {LADDER} AS frequency FROM m""",
+    "median_gap_by_type": f"""
+WITH {SERIES_BY_TYPE},
+g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series)
+SELECT tag_id, round(median(gap), 6) AS median_gap FROM g WHERE gap IS NOT NULL GROUP BY tag_id""",
+})

@@ -2,6 +2,8 @@
 
 Doubles are rounded to 6 places at the very end only so the oracle comparison
 is insensitive to summation order; the operators themselves keep full precision.
+The rounding is ``round(x * 1e6) / 1e6`` (half away from zero on the scaled
+binary value), which is what the SQL side's ``round(x, 6)`` computes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ def rounded(df: DataFrame, places: int = ROUND) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            scale = float(10 ** places)
+            cols.append((F.round(F.col(f.name) * scale) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -33,3 +36,122 @@ def q_metrics_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "metrics_hourly": q_metrics_hourly,
 }
+
+
+# --- time-bucket analytics ---------------------------------------------------
+
+RANGE_START = "2024-01-10 00:00:00"
+RANGE_END = "2024-01-20 12:00:00"
+
+
+def q_metrics_range(spark, sf_dir):
+    """Inclusive time-range predicate (pushed to the scan), 15-minute buckets."""
+    return rounded(M.bucket_metrics(A.series_by_type(spark, sf_dir), "15 minutes", RANGE_START, RANGE_END))
+
+
+def q_metrics_weekly(spark, sf_dir):
+    """7-day buckets aligned to Monday 2000-01-03, per user tag."""
+    return rounded(M.bucket_metrics(A.series_by_user(spark, sf_dir), "7 days"))
+
+
+def q_metrics_trunc_day(spark, sf_dir):
+    """A2: date_trunc variant, calendar days."""
+    return rounded(M.trunc_metrics(A.series_by_type(spark, sf_dir), "day"))
+
+
+def q_metrics_quarterly(spark, sf_dir):
+    """T1 month-based: 3-month buckets from 2000-01 per supplier tag (lineitem series)."""
+    return rounded(M.bucket_metrics(A.series_by_supplier(spark, sf_dir), "3 months"))
+
+
+def q_metrics_signed(spark, sf_dir):
+    """P8 option: signed numeric mode keeps negative readings."""
+    return rounded(M.bucket_metrics(A.series_by_type(spark, sf_dir), "1 day", numeric_mode="signed"))
+
+
+def q_gapfill_hourly(spark, sf_dir):
+    """Gap-filled hourly metrics with first/last and locf(avg)."""
+    return rounded(M.gapfilled_metrics(A.series_by_type(spark, sf_dir), "1 hour"))
+
+
+def q_gapfill_users_range(spark, sf_dir):
+    """A4 with explicit bounds: spine from bucket(start) to bucket(end) for every user tag."""
+    return rounded(M.gapfilled_metrics(A.series_by_user(spark, sf_dir), "6 hours", RANGE_START, RANGE_END))
+
+
+def q_first_last_daily(spark, sf_dir):
+    """A5: first/last numeric reading by time per day."""
+    return rounded(M.first_last(A.series_by_type(spark, sf_dir), "1 day"))
+
+
+def q_daily_rollup(spark, sf_dir):
+    """Per tag x day avg numeric + sample count."""
+    return rounded(M.daily_rollup(A.series_by_user(spark, sf_dir)))
+
+
+def q_upload_history(spark, sf_dir):
+    """Per (tag name, frequency) count/first/last, newest first, top 20."""
+    series = A.with_frequency(A.series_by_user(spark, sf_dir))
+    return M.upload_history(series, A.user_tags(spark, sf_dir), plant_id=1, limit=20)
+
+
+def q_tag_statistics(spark, sf_dir):
+    """Per tag and day data points, first/last timestamp."""
+    tags = A.type_tags(spark, sf_dir)
+    return M.tag_statistics(A.series_by_type(spark, sf_dir, tags), tags, [1, 2, 4], RANGE_START, RANGE_END)
+
+
+def q_latest_readings(spark, sf_dir):
+    """time-range read, newest first, top 100."""
+    return M.latest_readings(A.series_by_user(spark, sf_dir).drop("event_id"), RANGE_START, RANGE_END, 100)
+
+
+# --- frequency -------------------------------------------------------------------
+
+def q_frequency_by_user(spark, sf_dir):
+    """A9/W2 per tag (user series)."""
+    from ferrule.operators.frequency import frequency_by_key
+
+    return frequency_by_key(A.series_by_user(spark, sf_dir), ["tag_id"])
+
+
+def q_frequency_by_type(spark, sf_dir):
+    """A9/W2 per tag (event-type series)."""
+    from ferrule.operators.frequency import frequency_by_key
+
+    return frequency_by_key(A.series_by_type(spark, sf_dir), ["tag_id"])
+
+
+def q_frequency_of_file(spark, sf_dir):
+    """A9 whole-file form: one ordering of every timestamp, two-level lag."""
+    from ferrule.operators.frequency import frequency_of_frame
+    from ferrule.sources.tables import read_table
+
+    return frequency_of_frame(read_table(spark, sf_dir, "events", ["ts"]), "ts")
+
+
+def q_median_gap_by_type(spark, sf_dir):
+    """W2 + exact interpolated median gap per tag (reporting form)."""
+    from ferrule.operators.frequency import median_gap_by_key
+
+    return rounded(median_gap_by_key(A.series_by_type(spark, sf_dir), ["tag_id"]))
+
+
+QUERIES.update({
+    "metrics_range": q_metrics_range,
+    "metrics_weekly": q_metrics_weekly,
+    "metrics_trunc_day": q_metrics_trunc_day,
+    "metrics_quarterly": q_metrics_quarterly,
+    "metrics_signed": q_metrics_signed,
+    "gapfill_hourly": q_gapfill_hourly,
+    "gapfill_users_range": q_gapfill_users_range,
+    "first_last_daily": q_first_last_daily,
+    "daily_rollup": q_daily_rollup,
+    "upload_history": q_upload_history,
+    "tag_statistics": q_tag_statistics,
+    "latest_readings": q_latest_readings,
+    "frequency_by_user": q_frequency_by_user,
+    "frequency_by_type": q_frequency_by_type,
+    "frequency_of_file": q_frequency_of_file,
+    "median_gap_by_type": q_median_gap_by_type,
+})
