@@ -149,23 +149,31 @@ def rollup_table(frequency: Column) -> Column:
     return F.coalesce(mapping[frequency], F.lit(DEFAULT_ROLLUP_TABLE))
 
 
-def frequency_conflicts(upload: DataFrame, upload_frequency: str, series: DataFrame,
-                        tags: DataFrame, tag_col: str = "tag_name", ts: str = "timestamp") -> DataFrame:
-    """Tags of an upload whose stored rows in the upload's time span carry other frequencies.
+def upload_span(upload: DataFrame, ts: str = "timestamp"):
+    """``(min, max)`` of an upload's timestamps -- a one-row summary."""
+    row = upload.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    return (row["lo"], row["hi"]) if row is not None else (None, None)
 
-    ``upload``: rows ``(tag_name, timestamp)``; ``series``: stored ``time_series`` with
-    ``frequency``; ``tags``: ``(id, name)``.  Output: ``tag_name, existing_frequency,
-    existing_frequencies, new_frequency`` -- one job for all tags.
+
+def frequency_conflicts(upload_names: DataFrame, span, upload_frequency: str, series: DataFrame,
+                        tags: DataFrame) -> DataFrame:
+    """Tags of an upload whose stored rows in the upload's time span carry other frequencies (A10).
+
+    ``upload_names``: ``(name)`` of the uploaded tags; ``span``: ``(lo, hi)`` of the upload;
+    ``series``: stored ``time_series`` with ``frequency``; ``tags``: ``(id, name)``.
+    Output: ``tag_name, existing_frequency, existing_frequencies, new_frequency`` -- one
+    job for all tags; the literal span bounds reach the scan as pushed filters.
     """
-    span = upload.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if span is None or span["lo"] is None:
-        return series.sparkSession.createDataFrame(
-            [], "tag_name string, existing_frequency string, existing_frequencies string, new_frequency string")
-    names = upload.select(F.col(tag_col).alias("name")).distinct()
-    stored = (series.filter(F.col("timestamp").between(F.lit(span["lo"]), F.lit(span["hi"])))
+    lo, hi = span
+    empty = "tag_name string, existing_frequency string, existing_frequencies string, new_frequency string"
+    if lo is None:
+        return series.sparkSession.createDataFrame([], empty)
+    names = upload_names.select("name").distinct()
+    stored = (series.filter(F.col("timestamp").between(F.lit(lo), F.lit(hi)))
               .select("tag_id", "frequency")
               .join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
               .join(names, "name", "left_semi"))
+    # collect_set is bounded by the number of distinct frequency labels (7)
     per_tag = stored.groupBy("name").agg(F.array_sort(F.collect_set("frequency")).alias("freqs"))
     conflicts = per_tag.filter((F.size("freqs") > 0) & ~F.array_contains("freqs", F.lit(upload_frequency)))
     return conflicts.select(

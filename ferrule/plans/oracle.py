@@ -154,3 +154,94 @@ WITH {SERIES_BY_TYPE},
 g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series)
 SELECT tag_id, round(median(gap), 6) AS median_gap FROM g WHERE gap IS NOT NULL GROUP BY tag_id""",
 })
+
+# --- wide-sheet ingest ------------------------------------------------------------
+
+SHEET = f"""{TYPE_TAGS},
+hours AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, value FROM events),
+cells AS (
+  SELECT event_type AS tag_name, hour AS timestamp, CAST(max(value) AS VARCHAR) AS value FROM hours GROUP BY 1, 2
+  UNION ALL
+  SELECT 'total', hour, CAST(count(*) AS VARCHAR) FROM hours GROUP BY 2),
+sheet_names AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'spare' UNION SELECT 'total'),
+file_freq AS (
+  SELECT {LADDER} AS frequency FROM (
+    SELECT median(gap) AS m FROM (
+      SELECT (epoch_us(hour) - epoch_us(lag(hour) OVER (ORDER BY hour))) / 1e6 AS gap
+      FROM (SELECT DISTINCT hour FROM hours)))),
+new_tags AS (
+  SELECT CAST((SELECT max(id) FROM type_tags) + row_number() OVER (ORDER BY name) AS INTEGER) AS id, name
+  FROM sheet_names WHERE name NOT IN (SELECT name FROM type_tags)),
+tags_after AS (SELECT id, name, false AS is_new FROM type_tags UNION ALL SELECT id, name, true FROM new_tags),
+stored AS (
+  SELECT t.id AS tag_id, e.ts AS timestamp FROM events e JOIN type_tags t ON e.event_type = t.name)"""
+
+TYPE_FREQ = f"""{SERIES_BY_TYPE},
+g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series),
+freq AS (SELECT tag_id, (SELECT {LADDER} FROM (SELECT median(gap) AS m)) AS frequency FROM g GROUP BY tag_id)"""
+
+HOURLY_USER_ROWS = f"""rows AS (
+  SELECT CAST(user_id AS INTEGER) AS tag_id, date_trunc('hour', ts) AS timestamp, {READING} AS value,
+         event_id AS src_row FROM events)"""
+
+MERGE_INPUTS = f"""{HOURLY_USER_ROWS},
+target AS (SELECT tag_id, timestamp, arg_min(value, src_row) AS value, min(src_row) AS src_row
+           FROM rows WHERE timestamp < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2),
+batch AS (SELECT * FROM rows WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00')"""
+
+ORACLE.update({
+    "sheet_melt": f"WITH {SHEET} SELECT tag_name, timestamp, value FROM cells",
+    "sheet_inserted": f"""
+WITH {SHEET}
+SELECT t.id AS tag_id, c.timestamp, c.value, (SELECT frequency FROM file_freq) AS frequency, 'GOOD' AS quality
+FROM cells c JOIN tags_after t ON c.tag_name = t.name
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.tag_id = t.id AND s.timestamp = c.timestamp)""",
+    "sheet_tags": f"""
+WITH {SHEET}
+SELECT t.name, t.id, t.is_new,
+       CASE WHEN t.is_new AND t.name IN (SELECT DISTINCT event_type FROM events) THEN 'Event type ' || t.name
+            WHEN t.is_new THEN 'Sensor data collected at ' || (SELECT frequency FROM file_freq) || ' intervals'
+       END AS description,
+       CASE WHEN t.is_new AND t.name = 'total' THEN 'count' END AS unit_of_measure
+FROM tags_after t WHERE t.name IN (SELECT name FROM sheet_names)""",
+    "sheet_counters": f"""
+WITH {SHEET},
+n AS (SELECT count(DISTINCT hour) AS row_count FROM hours),
+k AS (SELECT count(*) AS names FROM sheet_names),
+c AS (SELECT count(*) AS filled, count(*) FILTER (WHERE TRY_CAST(value AS DOUBLE) = 0) AS zeros FROM cells)
+SELECT n.row_count, n.row_count * k.names AS total_values, c.zeros AS zero_values,
+       n.row_count * k.names - c.filled AS nan_values, CAST(0 AS BIGINT) AS none_values,
+       CAST(0 AS BIGINT) AS missing_tag_values, c.filled AS prepared_records,
+       n.row_count * k.names AS expected_records
+FROM n, k, c""",
+    "sheet_conflicts": f"""
+WITH {TYPE_FREQ},
+span AS (SELECT min(time_bucket(INTERVAL '1 hour', ts)) AS lo, max(time_bucket(INTERVAL '1 hour', ts)) AS hi FROM events),
+per_tag AS (
+  SELECT t.name, list_sort(list(DISTINCT f.frequency)) AS freqs
+  FROM series s JOIN freq f ON s.tag_id = f.tag_id JOIN type_tags t ON t.id = s.tag_id, span
+  WHERE s.timestamp BETWEEN span.lo AND span.hi GROUP BY t.name)
+SELECT name AS tag_name, list_min(freqs) AS existing_frequency, array_to_string(freqs, ',') AS existing_frequencies,
+       'hour' AS new_frequency
+FROM per_tag WHERE NOT list_contains(freqs, 'hour')""",
+    "missing_tags": """
+SELECT name FROM (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'spare' UNION SELECT 'total')
+EXCEPT SELECT DISTINCT event_type FROM events""",
+    "keep_first": f"""
+WITH {HOURLY_USER_ROWS}
+SELECT tag_id, timestamp, arg_min(value, src_row) AS value, min(src_row) AS src_row FROM rows GROUP BY 1, 2""",
+    "merge_append": f"""
+WITH {MERGE_INPUTS},
+first AS (SELECT tag_id, timestamp, arg_min(value, src_row) AS value, min(src_row) AS src_row FROM batch GROUP BY 1, 2)
+SELECT tag_id, timestamp, value, src_row FROM target
+UNION ALL
+SELECT f.tag_id, f.timestamp, f.value, f.src_row FROM first f
+WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.tag_id = f.tag_id AND t.timestamp = f.timestamp)""",
+    "duplicate_flags": f"""
+WITH {MERGE_INPUTS}
+SELECT b.tag_id, b.timestamp, b.src_row,
+       EXISTS (SELECT 1 FROM target t WHERE t.tag_id = b.tag_id AND t.timestamp = b.timestamp) AS is_duplicate,
+       CASE WHEN EXISTS (SELECT 1 FROM target t WHERE t.tag_id = b.tag_id AND t.timestamp = b.timestamp)
+            THEN 'Duplicate entry detected.' END AS reason
+FROM batch b""",
+})

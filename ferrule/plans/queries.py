@@ -155,3 +155,111 @@ QUERIES.update({
     "frequency_of_file": q_frequency_of_file,
     "median_gap_by_type": q_median_gap_by_type,
 })
+
+
+# --- wide-sheet ingest -------------------------------------------------------------
+
+def _ingest(spark, sf_dir):
+    from ferrule.plans.ingest import events_sheet, ingest_sheet
+
+    tags = A.type_tags(spark, sf_dir)
+    stored = A.with_frequency(A.series_by_type(spark, sf_dir, tags))
+    return ingest_sheet(spark, events_sheet(spark, sf_dir), tags, stored)
+
+
+def q_sheet_melt(spark, sf_dir):
+    """Sheet CSV -> metadata -> lenient timestamps -> melt (non-missing cells)."""
+    r = _ingest(spark, sf_dir)
+    return r.melted.select("tag_name", "timestamp", "value")
+
+
+def q_sheet_inserted(spark, sf_dir):
+    """Mapped readings appended ignoring (tag_id, timestamp) conflicts."""
+    r = _ingest(spark, sf_dir)
+    return r.inserted.select("tag_id", "timestamp", "value", "frequency", "quality")
+
+
+def q_sheet_tags(spark, sf_dir):
+    """Tag get-or-create with metadata and default descriptions."""
+    r = _ingest(spark, sf_dir)
+    return (r.mapping.join(r.tags.select("name", "description", "unit_of_measure"), "name")
+            .select("name", "id", "is_new", "description", "unit_of_measure"))
+
+
+def q_sheet_counters(spark, sf_dir):
+    """Upload quality counters."""
+    return _ingest(spark, sf_dir).counters
+
+
+def q_sheet_conflicts(spark, sf_dir):
+    """A9 (file) + A10: tags whose stored frequency differs from the upload's."""
+    return _ingest(spark, sf_dir).conflicts
+
+
+def q_missing_tags(spark, sf_dir):
+    """Uploaded tag names that have no stored tag."""
+    from ferrule.operators.ingest import missing_tags
+    from ferrule.plans.ingest import events_sheet
+    from ferrule.sources.sheet import read_sheet
+
+    sheet = read_sheet(spark, events_sheet(spark, sf_dir))
+    names = spark.createDataFrame([(n,) for n in sheet.tag_columns], "name string")
+    return missing_tags(names, A.type_tags(spark, sf_dir))
+
+
+# --- keep-first merge -------------------------------------------------------------
+
+MERGE_SPLIT = "2024-01-20 00:00:00"
+MERGE_BATCH_FROM = "2024-01-15 00:00:00"
+
+
+def _hourly_user_rows(spark, sf_dir):
+    s = A.series_by_user(spark, sf_dir)
+    return s.select("tag_id", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"),
+                    "value", F.col("event_id").alias("src_row"))
+
+
+def q_keep_first(spark, sf_dir):
+    """One row per (user tag, hour), the smallest event id wins."""
+    from ferrule.operators.merge import keep_first
+
+    return keep_first(_hourly_user_rows(spark, sf_dir)).select("tag_id", "timestamp", "value", "src_row")
+
+
+def _merge_inputs(spark, sf_dir):
+    from ferrule.operators.merge import keep_first
+
+    rows = _hourly_user_rows(spark, sf_dir)
+    target = keep_first(rows.filter(F.col("timestamp") < F.lit(MERGE_SPLIT).cast("timestamp_ntz")))
+    batch = rows.filter(F.col("timestamp") >= F.lit(MERGE_BATCH_FROM).cast("timestamp_ntz"))
+    return target, batch
+
+
+def q_merge_append(spark, sf_dir):
+    """M2: stored rows win, then the first batch row per key; snapshot after the merge."""
+    from ferrule.operators.merge import merge_append
+
+    target, batch = _merge_inputs(spark, sf_dir)
+    _, snapshot = merge_append(target, batch)
+    return snapshot.select("tag_id", "timestamp", "value", "src_row")
+
+
+def q_duplicate_flags(spark, sf_dir):
+    """Batch rows flagged when their key is already stored."""
+    from ferrule.operators.merge import duplicate_flags
+
+    target, batch = _merge_inputs(spark, sf_dir)
+    return duplicate_flags(batch, target).select("tag_id", "timestamp", "src_row", "is_duplicate", "reason")
+
+
+QUERIES.update({
+    "sheet_melt": q_sheet_melt,
+    "sheet_inserted": q_sheet_inserted,
+    "sheet_tags": q_sheet_tags,
+    "sheet_counters": q_sheet_counters,
+    "sheet_conflicts": q_sheet_conflicts,
+    "missing_tags": q_missing_tags,
+    "keep_first": q_keep_first,
+    "merge_append": q_merge_append,
+    "duplicate_flags": q_duplicate_flags,
+})
