@@ -245,3 +245,118 @@ SELECT b.tag_id, b.timestamp, b.src_row,
             THEN 'Duplicate entry detected.' END AS reason
 FROM batch b""",
 })
+
+# --- hierarchy ---------------------------------------------------------------------------
+
+from ferrule.functions.text import ABBREVIATIONS, ICON_KEYWORDS  # noqa: E402
+
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
+def _display_name_sql(x: str) -> str:
+    t = f"translate({x}, '_-', '  ')"
+    out = (f"array_to_string(list_transform(regexp_extract_all({t}, '([{CASED}]+|[^{CASED}]+)'), "
+           f"lambda s: CASE WHEN regexp_matches(s, '^[{CASED}]') THEN upper(s[1]) || lower(s[2:]) ELSE s END), '')")
+    for src, dst in ABBREVIATIONS:
+        out = f"replace({out}, '{src}', '{dst}')"
+    return out
+
+
+def _icon_sql(x: str) -> str:
+    whens = " ".join(f"WHEN contains(lower({x}), '{kw}') THEN '{icon}'" for kw, icon in ICON_KEYWORDS)
+    return f"CASE {whens} ELSE 'file' END"
+
+
+CUSTOMER_NODES = f"""paths AS (
+  SELECT c_custkey AS src_row, concat_ws(':', r_name, n_name, c_mktsegment) AS path
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+parts AS (
+  SELECT src_row, list_filter(list_transform(string_split(coalesce(path, ''), ':'),
+                                             lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p
+  FROM paths),
+subs AS (SELECT src_row, p, generate_subscripts(p, 1) AS i FROM parts),
+raw_nodes AS (
+  SELECT src_row, i - 1 AS lvl, p[i] AS label, array_to_string(p[1:i], ':') AS path,
+         CASE WHEN i > 1 THEN p[i - 1] END AS parent_label FROM subs),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY src_row, lvl) AS rn FROM raw_nodes)
+  WHERE rn = 1),
+nodes AS (
+  SELECT label, path, parent_label, CAST(row_number() OVER (ORDER BY src_row, lvl) - 1 AS INTEGER) AS display_order,
+         {_display_name_sql('label')} AS display_name, {_icon_sql('label')} AS icon
+  FROM firsts)"""
+
+SUPPLIER_CFG = """cfg AS (
+  SELECT s_name AS label, n_name || ':' || CAST(s_suppkey % 40 AS VARCHAR) AS path,
+         printf('Supplier#%09d', ((s_suppkey * 37 + 11) % 113) + 1) AS parent_label,
+         CAST(s_suppkey AS INTEGER) AS display_order, s_acctbal >= 0 AS is_active
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+INTEGRITY = f"""RECURSIVE {SUPPLIER_CFG},
+act AS (SELECT * FROM cfg WHERE is_active),
+nxt AS (SELECT label, parent_label AS nxt FROM (
+          SELECT label, parent_label, row_number() OVER (PARTITION BY label ORDER BY path) AS rn FROM act)
+        WHERE rn = 1),
+bound AS (SELECT count(*) + 1 AS b FROM nxt),
+walk(label, path, parent_label, cur, steps) AS (
+  SELECT label, path, parent_label, parent_label, 0 FROM act WHERE parent_label IS NOT NULL
+  UNION ALL
+  SELECT w.label, w.path, w.parent_label, n.nxt, w.steps + 1
+  FROM walk w JOIN nxt n ON n.label = w.cur
+  WHERE w.cur <> w.label AND n.nxt IS NOT NULL AND w.steps < (SELECT b FROM bound)),
+issues AS (
+  SELECT 'orphaned_records' AS issue_type, h1.label, h1.parent_label, h1.path, CAST(NULL AS BIGINT) AS count
+  FROM cfg h1 WHERE h1.parent_label IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM cfg h2 WHERE h2.label = h1.parent_label)
+  UNION ALL
+  SELECT DISTINCT 'circular_reference', label, parent_label, path, CAST(NULL AS BIGINT)
+  FROM walk WHERE cur = label OR steps >= (SELECT b FROM bound)
+  UNION ALL
+  SELECT 'duplicate_paths', NULL, NULL, path, count(*) FROM cfg GROUP BY path HAVING count(*) > 1)"""
+
+ORACLE.update({
+    "hierarchy_nodes": f"WITH {CUSTOMER_NODES} SELECT * FROM nodes",
+    "hierarchy_summary": f"""
+WITH {CUSTOMER_NODES}
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE len(p) > 0) AS valid_paths,
+       count(*) FILTER (WHERE len(p) = 0) AS invalid_paths FROM parts""",
+    "hierarchy_children": f"""
+WITH {CUSTOMER_NODES}
+SELECT parent_label, label AS child_label, path AS child_path, display_order AS child_order
+FROM nodes WHERE parent_label IS NOT NULL""",
+    "hierarchy_tree": f"""
+WITH {CUSTOMER_NODES},
+kids AS (SELECT regexp_replace(path, ':[^:]*$', '') AS node_path, label AS child_label, path AS child_path,
+                display_order AS child_order FROM nodes WHERE contains(path, ':'))
+SELECT n.path AS node_path, n.label AS node_label, n.parent_label IS NULL AS is_root,
+       k.child_label, k.child_path, k.child_order
+FROM nodes n LEFT JOIN kids k ON k.node_path = n.path
+WHERE n.parent_label IS NULL OR k.child_path IS NOT NULL""",
+    "hierarchy_descendants": f"""
+WITH RECURSIVE {CUSTOMER_NODES},
+d(root_label, label, path, depth) AS (
+  SELECT r.label, c.label, c.path, 1 FROM (SELECT DISTINCT label FROM nodes) r
+  JOIN nodes c ON c.parent_label = r.label
+  UNION
+  SELECT d.root_label, c.label, c.path, d.depth + 1 FROM d JOIN nodes c ON c.parent_label = d.label
+  WHERE d.depth < 100)
+SELECT root_label, label, path, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY 1, 2, 3""",
+    "hierarchy_active": f"""
+WITH {SUPPLIER_CFG}
+SELECT label, path, parent_label, display_order FROM cfg WHERE is_active
+ORDER BY display_order, path""",
+    "hierarchy_integrity": f"WITH {INTEGRITY} SELECT * FROM issues",
+    "hierarchy_integrity_summary": f"""
+WITH {INTEGRITY}
+SELECT (SELECT count(*) FROM act) AS total_records,
+       count(*) FILTER (WHERE issue_type = 'orphaned_records') AS orphaned,
+       count(*) FILTER (WHERE issue_type = 'circular_reference') AS circular,
+       count(*) FILTER (WHERE issue_type = 'duplicate_paths') AS duplicate_paths,
+       count(*) = 0 AS is_valid
+FROM issues""",
+    "display_names": f"""
+WITH texts AS (SELECT url AS text FROM pages UNION ALL SELECT p_name FROM part)
+SELECT text, {_display_name_sql('text')} AS display_name, {_icon_sql('text')} AS icon,
+       regexp_replace(text, '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS icon_name
+FROM texts""",
+})

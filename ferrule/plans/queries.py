@@ -263,3 +263,91 @@ QUERIES.update({
     "merge_append": q_merge_append,
     "duplicate_flags": q_duplicate_flags,
 })
+
+
+# --- hierarchy -------------------------------------------------------------------------
+
+def _customer_nodes(spark, sf_dir):
+    from ferrule.operators.hierarchy import parse_paths
+
+    return parse_paths(A.customer_paths(spark, sf_dir), with_icon=True)
+
+
+def q_hierarchy_nodes(spark, sf_dir):
+    """Path list -> unique nodes in first-seen order with display names."""
+    return _customer_nodes(spark, sf_dir).drop("is_active")
+
+
+def q_hierarchy_summary(spark, sf_dir):
+    """Path upload summary."""
+    from ferrule.operators.hierarchy import path_summary
+
+    return path_summary(A.customer_paths(spark, sf_dir))
+
+
+def q_hierarchy_children(spark, sf_dir):
+    """H8 bulk: (parent, child) rows of active nodes."""
+    from ferrule.operators.hierarchy import children_all
+
+    return children_all(_customer_nodes(spark, sf_dir))
+
+
+def q_hierarchy_tree(spark, sf_dir):
+    """Roots and parents with their direct children (flat)."""
+    from ferrule.operators.hierarchy import tree
+
+    return tree(_customer_nodes(spark, sf_dir))
+
+
+def q_hierarchy_descendants(spark, sf_dir):
+    """H9: every record reachable below each label, with depth."""
+    from ferrule.operators.hierarchy import descendants
+
+    return descendants(_customer_nodes(spark, sf_dir))
+
+
+def q_hierarchy_active(spark, sf_dir):
+    """Active rows of a config table."""
+    from ferrule.operators.hierarchy import active_nodes
+
+    return active_nodes(A.supplier_config(spark, sf_dir)).select("label", "path", "parent_label", "display_order")
+
+
+def q_hierarchy_integrity(spark, sf_dir):
+    """H11 (J3 orphans + H12 cycles + A12 duplicate paths) on a config with defects."""
+    from ferrule.operators.hierarchy import integrity_report
+
+    issues, _ = integrity_report(A.supplier_config(spark, sf_dir))
+    return issues
+
+
+def q_hierarchy_integrity_summary(spark, sf_dir):
+    """H11 summary row."""
+    from ferrule.operators.hierarchy import integrity_report
+
+    _, summary = integrity_report(A.supplier_config(spark, sf_dir))
+    return summary.select("total_records", "orphaned", "circular", "duplicate_paths", "is_valid")
+
+
+def q_display_names(spark, sf_dir):
+    """H2/H3/H15 over every page URL and part name."""
+    from ferrule.functions.text import clean_icon_name, default_icon, display_name
+    from ferrule.sources.tables import read_table
+
+    texts = (read_table(spark, sf_dir, "pages", ["url"]).select(F.col("url").alias("text"))
+             .unionByName(read_table(spark, sf_dir, "part", ["p_name"]).select(F.col("p_name").alias("text"))))
+    return texts.select("text", display_name("text").alias("display_name"),
+                        default_icon("text").alias("icon"), clean_icon_name("text").alias("icon_name"))
+
+
+QUERIES.update({
+    "hierarchy_nodes": q_hierarchy_nodes,
+    "hierarchy_summary": q_hierarchy_summary,
+    "hierarchy_children": q_hierarchy_children,
+    "hierarchy_tree": q_hierarchy_tree,
+    "hierarchy_descendants": q_hierarchy_descendants,
+    "hierarchy_active": q_hierarchy_active,
+    "hierarchy_integrity": q_hierarchy_integrity,
+    "hierarchy_integrity_summary": q_hierarchy_integrity_summary,
+    "display_names": q_display_names,
+})

@@ -109,3 +109,47 @@ def with_frequency(series: DataFrame) -> DataFrame:
 
     freq = frequency_by_key(series, ["tag_id"], "timestamp").select("tag_id", "frequency")
     return series.join(freq, "tag_id", "left")
+
+
+# ---------------------------------------------------------------------------
+# Hierarchy inputs
+# ---------------------------------------------------------------------------
+
+def customer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path list ``region:nation:segment`` per customer (source row = customer key).
+    The same segment label sits under every nation: one label, many paths."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    j = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+    return j.select(F.col("c_custkey").alias("src_row"),
+                    F.concat_ws(":", "r_name", "n_name", "c_mktsegment").alias("path"))
+
+
+# Parent mapping of the supplier hierarchy (a functional graph, so it has
+# cycles, chains into cycles, self-parents and parents that do not exist).
+SUPPLIER_PARENT_MULT = 37
+SUPPLIER_PARENT_ADD = 11
+SUPPLIER_PARENT_MOD = 113
+SUPPLIER_PATH_MOD = 40
+
+
+def supplier_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ``hierarchy_config`` with defects: label = supplier name, parent = the supplier
+    ``pmod(key*37+11, 113)+1`` (missing keys make orphans), inactive when the account
+    balance is negative, path = ``nation:pmod(key, 40)`` (repeats make duplicate paths)."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    parent_key = F.pmod(F.col("s_suppkey") * SUPPLIER_PARENT_MULT + SUPPLIER_PARENT_ADD,
+                        F.lit(SUPPLIER_PARENT_MOD)) + 1
+    j = s.join(n, s.s_nationkey == n.n_nationkey)
+    return j.select(
+        F.col("s_name").alias("label"),
+        F.concat(F.col("n_name"), F.lit(":"), F.pmod(F.col("s_suppkey"), F.lit(SUPPLIER_PATH_MOD)).cast("string"))
+        .alias("path"),
+        F.format_string("Supplier#%09d", parent_key).alias("parent_label"),
+        F.col("s_suppkey").cast("int").alias("display_order"),
+        F.col("s_name").alias("display_name"),
+        (F.col("s_acctbal") >= 0).alias("is_active"),
+        F.lit(None).cast("string").alias("icon"),
+    )
