@@ -360,3 +360,94 @@ SELECT text, {_display_name_sql('text')} AS display_name, {_icon_sql('text')} AS
        regexp_replace(text, '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS icon_name
 FROM texts""",
 })
+
+# --- access ------------------------------------------------------------------------------
+
+from ferrule.operators.access import PERMISSION_NAMES  # noqa: E402
+from ferrule.sources.adapters import ROLE_GRANTS  # noqa: E402
+
+_PERM_ROWS = ", ".join(f"({i + 1}, '{n}')" for i, n in enumerate(PERMISSION_NAMES))
+_GRANT_ROWS = ", ".join(f"('{r}', '{p}')" for r, ps in ROLE_GRANTS.items() for p in ps)
+
+ACCESS = f"""users AS (SELECT c_custkey AS id, c_acctbal >= 0 AS is_active FROM customer),
+plants AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey <> 4 AS is_active FROM nation),
+roles AS (SELECT CAST(dense_rank() OVER (ORDER BY name) AS INTEGER) AS id, name
+          FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)),
+permissions AS (SELECT * FROM (VALUES {_PERM_ROWS}) v(id, name)),
+grants AS (SELECT * FROM (VALUES {_GRANT_ROWS}) v(role, perm)),
+role_permissions AS (
+  SELECT r.id AS role_id, p.id AS permission_id FROM grants g JOIN roles r ON r.name = g.role
+  JOIN permissions p ON p.name = g.perm),
+cust_role AS (SELECT c_custkey, c_nationkey, r.id AS global_role_id FROM customer JOIN roles r ON r.name = c_mktsegment),
+upa AS (
+  SELECT o_custkey AS user_id, s_nationkey AS plant_id, bool_or(o_orderstatus = 'O') AS is_active,
+         any_value(cr.global_role_id) AS global_role_id
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN cust_role cr ON cr.c_custkey = o_custkey GROUP BY 1, 2),
+oc AS (SELECT o.*, cr.c_nationkey FROM orders o JOIN cust_role cr ON o.o_custkey = cr.c_custkey),
+workspaces AS (
+  SELECT CAST(c_nationkey * 10 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) AS id,
+         n_name || ' / ' || o_orderpriority AS name, min(o_custkey) AS owner_id, c_nationkey AS plant_id,
+         o_orderpriority <> '5-LOW' AS is_active
+  FROM oc JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey, o_orderpriority, n_name),
+members AS (
+  SELECT DISTINCT CAST(c_nationkey * 10 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) AS workspace_id,
+         o_custkey AS user_id FROM oc),
+cards AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id,
+         CAST(c_nationkey * 10 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) AS workspace_id,
+         o_custkey AS user_id, is_active
+  FROM (SELECT l_orderkey, l_linenumber, bool_and(l_returnflag <> 'R') AS is_active FROM lineitem GROUP BY 1, 2) l
+  JOIN oc ON l_orderkey = o_orderkey),
+perms AS (
+  SELECT DISTINCT upa.user_id, upa.plant_id, p.name AS permission FROM upa
+  JOIN role_permissions rp ON rp.role_id = upa.global_role_id JOIN permissions p ON p.id = rp.permission_id
+  WHERE upa.is_active),
+pa AS (SELECT DISTINCT upa.user_id, upa.plant_id FROM upa JOIN plants p ON p.id = upa.plant_id
+       WHERE upa.is_active AND p.is_active),
+roles_ws AS (
+  SELECT user_id, workspace_id, bool_or(o) AS is_owner, bool_or(m) AS is_member FROM (
+    SELECT owner_id AS user_id, id AS workspace_id, true AS o, false AS m FROM workspaces WHERE is_active
+    UNION ALL
+    SELECT m.user_id, m.workspace_id, false, true FROM members m JOIN workspaces w ON w.id = m.workspace_id
+    WHERE w.is_active) GROUP BY 1, 2),
+accessible AS (
+  SELECT r.user_id, w.plant_id, r.workspace_id, w.name, w.owner_id,
+         CASE WHEN r.is_owner THEN 'owner' ELSE 'member' END AS user_role
+  FROM roles_ws r JOIN workspaces w ON w.id = r.workspace_id AND w.is_active
+  WHERE EXISTS (SELECT 1 FROM pa WHERE pa.user_id = r.user_id AND pa.plant_id = w.plant_id)
+    AND EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id AND u.is_active))"""
+
+ORACLE.update({
+    "access_permissions": f"WITH {ACCESS} SELECT user_id, plant_id, permission FROM perms",
+    "access_any_plant": f"WITH {ACCESS} SELECT DISTINCT user_id, permission FROM perms",
+    "plant_access": f"WITH {ACCESS} SELECT user_id, plant_id FROM pa",
+    "active_plants": f"WITH {ACCESS} SELECT id, name FROM plants WHERE is_active ORDER BY name, id",
+    "accessible_workspaces": f"WITH {ACCESS} SELECT * FROM accessible",
+    "workspace_fallback": f"""
+WITH {ACCESS},
+req AS (SELECT DISTINCT o_custkey AS user_id, CAST(c_nationkey * 10 + 1 AS INTEGER) AS workspace_id,
+               c_nationkey AS plant_id FROM oc),
+judged AS (
+  SELECT req.*, EXISTS (SELECT 1 FROM accessible a WHERE a.user_id = req.user_id AND a.plant_id = req.plant_id
+                        AND a.workspace_id = req.workspace_id) AS has_access FROM req),
+lists AS (
+  SELECT user_id, plant_id, array_to_string(list_sort(list(CAST(workspace_id AS VARCHAR))), ',') AS lst
+  FROM accessible GROUP BY 1, 2)
+SELECT j.user_id, j.plant_id, j.workspace_id, j.has_access,
+       CASE WHEN j.has_access THEN NULL ELSE coalesce(l.lst, '') END AS available_workspaces
+FROM judged j LEFT JOIN lists l ON l.user_id = j.user_id AND l.plant_id = j.plant_id""",
+    "card_access": f"""
+WITH {ACCESS},
+req AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS card_id, l_suppkey AS user_id FROM lineitem),
+j AS (
+  SELECT req.card_id, req.user_id, c.user_id AS card_owner, c.is_active AS card_active,
+         r.workspace_id IS NOT NULL AS ws,
+         EXISTS (SELECT 1 FROM perms p WHERE p.user_id = req.user_id AND p.permission = 'view_any_user_cards') AS perm
+  FROM req LEFT JOIN cards c ON c.id = req.card_id
+  LEFT JOIN roles_ws r ON r.user_id = req.user_id AND r.workspace_id = c.workspace_id),
+v AS (
+  SELECT card_id, user_id, CASE WHEN card_owner = user_id THEN 'owner' WHEN ws AND card_active THEN 'workspace'
+                                WHEN perm THEN 'permission' END AS reason FROM j)
+SELECT card_id, user_id, reason IS NOT NULL AS allowed, reason FROM v""",
+})

@@ -351,3 +351,73 @@ QUERIES.update({
     "hierarchy_integrity_summary": q_hierarchy_integrity_summary,
     "display_names": q_display_names,
 })
+
+
+# --- access --------------------------------------------------------------------------
+
+def q_access_permissions(spark, sf_dir):
+    """Distinct (user, plant, permission) over active access rows."""
+    from ferrule.operators.access import effective_permissions
+
+    t = A.access_tables(spark, sf_dir)
+    return effective_permissions(t["upa"], t["role_permissions"], t["permissions"])
+
+
+def q_access_any_plant(spark, sf_dir):
+    """X1 any-plant form."""
+    from ferrule.operators.access import effective_permissions
+
+    t = A.access_tables(spark, sf_dir)
+    return effective_permissions(t["upa"], t["role_permissions"], t["permissions"], per_plant=False)
+
+
+def q_plant_access(spark, sf_dir):
+    """(user, plant) pairs with both sides active."""
+    from ferrule.operators.access import plant_access
+
+    t = A.access_tables(spark, sf_dir)
+    return plant_access(t["upa"], t["plants"])
+
+
+def q_active_plants(spark, sf_dir):
+    """Active plants by name."""
+    from ferrule.operators.access import active_plants
+
+    return active_plants(A.access_tables(spark, sf_dir)["plants"])
+
+
+def q_accessible_workspaces(spark, sf_dir):
+    """Workspaces each user may open, with owner/member role."""
+    from ferrule.operators.access import accessible_workspaces
+
+    t = A.access_tables(spark, sf_dir)
+    return accessible_workspaces(t["users"], t["upa"], t["plants"], t["workspaces"], t["members"])
+
+
+def q_workspace_fallback(spark, sf_dir):
+    """Request verdicts with the fallback list of accessible workspaces."""
+    from ferrule.operators.access import accessible_workspaces, workspace_access_with_fallback
+
+    t = A.access_tables(spark, sf_dir)
+    acc = accessible_workspaces(t["users"], t["upa"], t["plants"], t["workspaces"], t["members"])
+    return workspace_access_with_fallback(t["ws_requests"], acc)
+
+
+def q_card_access(spark, sf_dir):
+    """Card access verdict per request with the granting rule."""
+    from ferrule.operators.access import card_access, effective_permissions
+
+    t = A.access_tables(spark, sf_dir)
+    perms = effective_permissions(t["upa"], t["role_permissions"], t["permissions"], per_plant=False)
+    return card_access(t["card_requests"], t["cards"], t["workspaces"], t["members"], perms)
+
+
+QUERIES.update({
+    "access_permissions": q_access_permissions,
+    "access_any_plant": q_access_any_plant,
+    "plant_access": q_plant_access,
+    "active_plants": q_active_plants,
+    "accessible_workspaces": q_accessible_workspaces,
+    "workspace_fallback": q_workspace_fallback,
+    "card_access": q_card_access,
+})

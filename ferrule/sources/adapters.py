@@ -153,3 +153,80 @@ def supplier_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_acctbal") >= 0).alias("is_active"),
         F.lit(None).cast("string").alias("icon"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Access inputs: customers are users, nations are plants, orders give access,
+# workspaces are (nation, order priority) groups with the ordering customers as members,
+# line items are cards.
+# ---------------------------------------------------------------------------
+
+# Permissions granted to each role (roles are market segments).
+ROLE_GRANTS = {
+    "AUTOMOBILE": ("view_plant_data",),
+    "BUILDING": ("view_plant_data", "edit_plant_data"),
+    "FURNITURE": ("view_plant_data", "view_any_user_cards"),
+    "HOUSEHOLD": ("view_plant_data", "manage_workspaces"),
+    "MACHINERY": ("admin_access", "view_plant_data", "edit_plant_data", "view_any_user_cards", "manage_users"),
+}
+INACTIVE_REGION = 4
+INACTIVE_PRIORITY = "5-LOW"
+URGENT_PRIORITY = "1-URGENT"
+
+
+def _ws_id(nation: Column, priority: Column) -> Column:
+    return (nation * 10 + F.substring(priority, 1, 1).cast("int")).cast("int")
+
+
+def access_tables(spark: SparkSession, sf_dir: str) -> dict:
+    from ferrule.operators.access import PERMISSION_NAMES
+    from ferrule.operators.ordinal import with_global_ordinal
+
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"])
+    supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+
+    users = cust.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") >= 0).alias("is_active"))
+    plants = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"),
+                           (F.col("n_regionkey") != INACTIVE_REGION).alias("is_active"))
+    roles = with_global_ordinal(cust.select(F.col("c_mktsegment").alias("name")).distinct(), ["name"],
+                                name="id", start=1).select(F.col("id").cast("int").alias("id"), "name")
+    permissions = spark.createDataFrame([(i + 1, n) for i, n in enumerate(PERMISSION_NAMES)], "id int, name string")
+    grants = spark.createDataFrame([(r, p) for r, ps in ROLE_GRANTS.items() for p in ps], "role string, perm string")
+    role_permissions = (grants.join(roles.select(F.col("name").alias("role"), F.col("id").alias("role_id")), "role")
+                        .join(permissions.select(F.col("name").alias("perm"), F.col("id").alias("permission_id")),
+                              "perm")
+                        .select("role_id", "permission_id"))
+    cust_role = cust.join(roles.select(F.col("name").alias("c_mktsegment"), F.col("id").alias("global_role_id")),
+                          "c_mktsegment").select("c_custkey", "c_nationkey", "global_role_id")
+    upa = (orders.join(li, orders.o_orderkey == li.l_orderkey).join(supp, li.l_suppkey == supp.s_suppkey)
+           .groupBy(F.col("o_custkey").alias("user_id"), F.col("s_nationkey").alias("plant_id"))
+           .agg(F.bool_or(F.col("o_orderstatus") == "O").alias("is_active"))
+           .join(cust_role.select(F.col("c_custkey").alias("user_id"), "global_role_id"), "user_id"))
+    oc = orders.join(cust_role, orders.o_custkey == cust_role.c_custkey)
+    workspaces = (oc.groupBy("c_nationkey", "o_orderpriority").agg(F.min("o_custkey").alias("owner_id"))
+                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+                  .select(_ws_id(F.col("c_nationkey"), F.col("o_orderpriority")).alias("id"),
+                          F.concat_ws(" / ", "n_name", "o_orderpriority").alias("name"),
+                          "owner_id", F.col("c_nationkey").alias("plant_id"),
+                          (F.col("o_orderpriority") != INACTIVE_PRIORITY).alias("is_active")))
+    members = oc.select(_ws_id(F.col("c_nationkey"), F.col("o_orderpriority")).alias("workspace_id"),
+                        F.col("o_custkey").alias("user_id")).distinct().withColumn("is_active", F.lit(True))
+    # (order, line number) is not unique in the line items: a card is one such pair,
+    # active unless any of its lines was returned
+    lines = (li.groupBy("l_orderkey", "l_linenumber")
+             .agg(F.bool_and(F.col("l_returnflag") != "R").alias("is_active")))
+    cards = (lines.join(oc, lines.l_orderkey == oc.o_orderkey)
+             .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                     _ws_id(F.col("c_nationkey"), F.col("o_orderpriority")).alias("workspace_id"),
+                     F.col("o_custkey").alias("user_id"), "is_active"))
+    card_requests = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("card_id"),
+                              F.col("l_suppkey").alias("user_id"))
+    ws_requests = (oc.select(F.col("o_custkey").alias("user_id"),
+                             _ws_id(F.col("c_nationkey"), F.lit(URGENT_PRIORITY)).alias("workspace_id"),
+                             F.col("c_nationkey").alias("plant_id")).distinct())
+    return dict(users=users, plants=plants, roles=roles, permissions=permissions,
+                role_permissions=role_permissions, upa=upa, workspaces=workspaces, members=members,
+                cards=cards, card_requests=card_requests, ws_requests=ws_requests)
