@@ -168,3 +168,16 @@ def iso_bound(text: str) -> str:
 def iso_format(ts: Column | str) -> Column:
     """Result rendering of timestamps (ISO-8601 with ``T``)."""
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def minus_interval(ts, interval: str | Interval):
+    """Python-side ``ts - interval`` for literal bounds (months clamp to month end)."""
+    import calendar
+    import datetime as _dt
+
+    iv = parse_interval(interval)
+    ts = ts if isinstance(ts, _dt.datetime) else _dt.datetime.fromisoformat(str(ts))
+    if not iv.is_monthly:
+        return ts - _dt.timedelta(microseconds=iv.micros)
+    y, m = divmod(ts.year * 12 + ts.month - 1 - iv.months, 12)
+    return ts.replace(year=y, month=m + 1, day=min(ts.day, calendar.monthrange(y, m + 1)[1]))

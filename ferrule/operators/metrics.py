@@ -192,20 +192,9 @@ def daily_rollup(series: DataFrame, numeric_mode: str = "strict", start=None, en
 
 def refresh_window(as_of, start_offset: str = "1 month", end_offset: str = "1 hour"):
     """Bounds of the rolling rollup refresh: ``[as_of - start_offset, as_of - end_offset]``."""
-    import datetime as _dt
+    from ferrule.functions.timebucket import minus_interval
 
-    so, eo = parse_interval(start_offset), parse_interval(end_offset)
-    as_of = _dt.datetime.fromisoformat(str(as_of))
-
-    def minus(iv):
-        if iv.is_monthly:
-            y, m = divmod(as_of.year * 12 + as_of.month - 1 - iv.months, 12)
-            import calendar
-            d = min(as_of.day, calendar.monthrange(y, m + 1)[1])
-            return as_of.replace(year=y, month=m + 1, day=d)
-        return as_of - _dt.timedelta(microseconds=iv.micros)
-
-    return minus(so), minus(eo)
+    return minus_interval(as_of, start_offset), minus_interval(as_of, end_offset)
 
 
 def upload_history(series: DataFrame, tags: DataFrame, plant_id=None, limit: int = 20) -> DataFrame:

@@ -451,3 +451,38 @@ v AS (
                                 WHEN perm THEN 'permission' END AS reason FROM j)
 SELECT card_id, user_id, reason IS NOT NULL AS allowed, reason FROM v""",
 })
+
+# --- storage, retention, streaming --------------------------------------------------------
+
+from ferrule.operators.frequency import CHUNK_INTERVALS, ROLLUP_TABLES  # noqa: E402
+from ferrule.sources.tables import DRIVER_TABLES  # noqa: E402
+
+_CHUNK_CASE = "CASE frequency " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHUNK_INTERVALS.items()) + \
+    " ELSE '30 days' END"
+_ROLLUP_CASE = "CASE frequency " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLLUP_TABLES.items()) + \
+    " ELSE 'time_bucket_day' END"
+
+RETAINED = """time_bucket(INTERVAL '30 days', timestamp) + INTERVAL '30 days'
+  > TIMESTAMP '1998-12-01 00:00:00' - INTERVAL '3 months'"""
+
+ORACLE.update({
+    "layout_range_read": f"WITH {SERIES_BY_TYPE} SELECT tag_id, timestamp, value FROM series WHERE {RANGE}",
+    "retention_kept": f"""
+WITH {SERIES_BY_SUPPLIER}
+SELECT tag_id, count(*) AS kept_rows, min(timestamp) AS first_kept FROM series WHERE {RETAINED} GROUP BY tag_id""",
+    "retention_dropped": f"""
+WITH {SERIES_BY_SUPPLIER}
+SELECT DISTINCT time_bucket(INTERVAL '30 days', timestamp) AS chunk_start FROM series WHERE NOT ({RETAINED})""",
+    "chunk_policy": f"""
+WITH f AS ({_frequency(SERIES_BY_USER)})
+SELECT tag_id, frequency, {_CHUNK_CASE} AS chunk_interval, {_ROLLUP_CASE} AS rollup_table FROM f""",
+    "table_row_counts": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in DRIVER_TABLES),
+    "daily_rollup_stream": f"""
+WITH {SERIES_BY_TYPE},
+wm AS (SELECT max(timestamp) - INTERVAL '1 hour' AS w FROM series)
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round(avg({NUM}), 6) AS avg_value,
+       count(*) AS sample_count
+FROM series GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 day', timestamp) + INTERVAL '1 day' <= (SELECT w FROM wm)""",
+    "keep_first_stream": ORACLE["keep_first"],
+})

@@ -421,3 +421,114 @@ QUERIES.update({
     "workspace_fallback": q_workspace_fallback,
     "card_access": q_card_access,
 })
+
+
+# --- storage layout, retention, table sources -----------------------------------------------
+
+def _scratch_dir(spark, kind):
+    import os
+    import uuid
+
+    from ferrule.session import ensure_checkpoint_dir
+
+    return os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex[:12])
+
+
+def q_layout_range_read(spark, sf_dir):
+    """Chunked layout write, then a range read with partition pruning."""
+    from ferrule.sources.storage import read_series, write_series
+
+    path = _scratch_dir(spark, "layout")
+    interval = write_series(A.series_by_type(spark, sf_dir), path, frequency="minute")
+    return read_series(spark, path, interval, RANGE_START, RANGE_END).select("tag_id", "timestamp", "value")
+
+
+RETENTION_AS_OF = "1998-12-01 00:00:00"
+
+
+def q_retention_kept(spark, sf_dir):
+    """Whole 30-day chunks older than as_of - 3 months are dropped; kept rows per tag."""
+    from ferrule.operators.merge import retention
+
+    kept, _ = retention(A.series_by_supplier(spark, sf_dir), RETENTION_AS_OF, "3 months", "30 days")
+    return kept.groupBy("tag_id").agg(F.count(F.lit(1)).alias("kept_rows"), F.min("timestamp").alias("first_kept"))
+
+
+def q_retention_dropped(spark, sf_dir):
+    """The chunk starts that retention drops."""
+    from ferrule.operators.merge import retention
+
+    _, dropped = retention(A.series_by_supplier(spark, sf_dir), RETENTION_AS_OF, "3 months", "30 days")
+    return dropped
+
+
+def q_chunk_policy(spark, sf_dir):
+    """Per tag frequency -> storage chunk width and rollup table name."""
+    from ferrule.operators.frequency import chunk_interval, frequency_by_key, rollup_table
+
+    f = frequency_by_key(A.series_by_user(spark, sf_dir), ["tag_id"])
+    return f.select("tag_id", "frequency", chunk_interval(F.col("frequency")).alias("chunk_interval"),
+                    rollup_table(F.col("frequency")).alias("rollup_table"))
+
+
+def q_table_row_counts(spark, sf_dir):
+    """Row count of every driver table."""
+    from functools import reduce
+
+    from ferrule.sources.tables import DRIVER_TABLES, read_table, row_count
+
+    parts = [row_count(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count")
+             for t in DRIVER_TABLES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+def _stream_glob(sf_dir, name):
+    import os
+
+    return os.path.join(sf_dir, name + ".parquet*")
+
+
+def q_daily_rollup_stream(spark, sf_dir):
+    """ST1: streaming daily rollup, 1-hour watermark, availableNow; closed windows only."""
+    from ferrule.sources.tables import read_table
+    from ferrule.streaming import run_daily_rollup
+
+    tags = A.type_tags(spark, sf_dir).select(F.col("id").alias("tag_id"), F.col("name").alias("event_type"))
+    schema = read_table(spark, sf_dir, "events").schema
+
+    def to_series(raw):
+        return raw.join(tags, "event_type").select(
+            "tag_id", F.col("ts").alias("timestamp"), A.reading_text(F.col("value"), F.col("props")).alias("value"))
+
+    out = run_daily_rollup(spark, _stream_glob(sf_dir, "events"), schema, to_series)
+    return rounded(out)
+
+
+def q_keep_first_stream(spark, sf_dir):
+    """ST2: micro-batch ingest with exact keep-first on (tag_id, timestamp)."""
+    from ferrule.sources.tables import read_table
+    from ferrule.streaming import run_keep_first_ingest
+
+    schema = read_table(spark, sf_dir, "events").schema
+
+    def to_rows(raw):
+        return raw.select(F.col("user_id").cast("int").alias("tag_id"),
+                          F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp"),
+                          A.reading_text(F.col("value"), F.col("props")).alias("value"),
+                          F.col("event_id").alias("src_row"))
+
+    return run_keep_first_ingest(spark, _stream_glob(sf_dir, "events"), schema, to_rows).select(
+        "tag_id", "timestamp", "value", "src_row")
+
+
+QUERIES.update({
+    "layout_range_read": q_layout_range_read,
+    "retention_kept": q_retention_kept,
+    "retention_dropped": q_retention_dropped,
+    "chunk_policy": q_chunk_policy,
+    "table_row_counts": q_table_row_counts,
+    "daily_rollup_stream": q_daily_rollup_stream,
+    "keep_first_stream": q_keep_first_stream,
+})
