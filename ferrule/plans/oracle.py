@@ -486,3 +486,11 @@ SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round(avg({NU
 FROM series GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 day', timestamp) + INTERVAL '1 day' <= (SELECT w FROM wm)""",
     "keep_first_stream": ORACLE["keep_first"],
 })
+
+ORACLE.update({
+    "icon_inventory": """
+SELECT regexp_replace(replace('page_' || CAST(page_id AS VARCHAR) || '.svg', '.svg', ''), '_[^_]*$', '') AS icon_name,
+       'page_' || CAST(page_id AS VARCHAR) || '.svg' AS file_name, CAST(strlen(html) AS BIGINT) AS file_size,
+       to_base64(encode(html)) AS svg_base64
+FROM pages""",
+})

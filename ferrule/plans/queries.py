@@ -532,3 +532,34 @@ QUERIES.update({
     "daily_rollup_stream": q_daily_rollup_stream,
     "keep_first_stream": q_keep_first_stream,
 })
+
+
+# --- icons -------------------------------------------------------------------------------
+
+def _page_files(spark, sf_dir):
+    """Every page body as an icon candidate file ``page_<id>.svg``."""
+    from ferrule.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    return pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".svg")).alias("file_name"),
+                        F.encode(F.col("html"), "UTF-8").alias("content"), "page_id")
+
+
+def q_icon_audit(spark, sf_dir):
+    """V1: SVG audit over every page body (XML parse in an Arrow-batched pandas UDF)."""
+    from ferrule.operators.icons import audit_svg
+
+    return audit_svg(_page_files(spark, sf_dir)).select("file_name", "is_valid", "error", "file_size")
+
+
+def q_icon_inventory(spark, sf_dir):
+    """Icon name (suffix rule), size and base64 content per file."""
+    from ferrule.operators.icons import icon_inventory
+
+    return icon_inventory(_page_files(spark, sf_dir))
+
+
+QUERIES.update({
+    "icon_audit": q_icon_audit,
+    "icon_inventory": q_icon_inventory,
+})
