@@ -218,8 +218,13 @@ def circular_records(cfg: DataFrame, max_depth: int = 10_000) -> DataFrame:
     starts = act.filter(F.col("parent_label").isNotNull()).select("label", "path", "parent_label")
     starts = starts.join(endless.withColumnRenamed("label", "parent_label"), "parent_label", "left")
     flagged = starts.filter(F.col("_endless") | (F.col("parent_label") == F.col("label")))
-    # finite walks: step up until the chain ends, flag when it meets the start label
+    # finite walks can only come back to the start label when the record is not the
+    # first active record of its label (for the first one, next(label) is its own parent
+    # and a return would be a cycle, i.e. an endless walk already flagged above)
+    firsts = act.groupBy("label").agg(F.min("path").alias("_first_path"))
     walking = (starts.filter(F.col("_endless").isNull() & (F.col("parent_label") != F.col("label")))
+               .join(firsts, "label")
+               .filter(F.col("path") != F.col("_first_path"))
                .select("label", "path", "parent_label", F.col("parent_label").alias("cur")))
     hits = None
     depth = 0

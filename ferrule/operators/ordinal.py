@@ -3,9 +3,12 @@
 The frame is range-partitioned and sorted on the ordering columns, every row
 gets its position inside its partition, and a per-partition offset table
 (one row per partition -- its size is bounded by the partition count, not by
-the data) turns that into a global position.  The tagged frame is written to
-the shared checkpoint folder first so both passes see identical ids even
-when an executor is lost and a task re-runs.
+the data) turns that into a global position.
+
+Contract: the ordering columns are a key (unique per row).  Range bounds come
+from deterministic sampling and the in-partition order is then total, so a
+re-run task (lost executor) reproduces exactly the same ids and both uses of
+the tagged frame agree; Spark reuses the one range exchange for both.
 """
 
 from __future__ import annotations
@@ -13,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.session import cut_lineage
-
 
 def with_global_ordinal(df: DataFrame, order_cols, name: str = "ordinal", start: int = 0,
                         num_partitions: int | None = None) -> DataFrame:
@@ -24,7 +25,6 @@ def with_global_ordinal(df: DataFrame, order_cols, name: str = "ordinal", start:
     tagged = (ranged.sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
     offsets = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -495,7 +495,11 @@ def q_daily_rollup_stream(spark, sf_dir):
     from ferrule.sources.tables import read_table
     from ferrule.streaming import run_daily_rollup
 
-    tags = A.type_tags(spark, sf_dir).select(F.col("id").alias("tag_id"), F.col("name").alias("event_type"))
+    from ferrule.session import cut_lineage
+
+    # the static side of a stream-static join is materialised once (stable ids per batch)
+    tags = cut_lineage(A.type_tags(spark, sf_dir).select(F.col("id").alias("tag_id"),
+                                                         F.col("name").alias("event_type")))
     schema = read_table(spark, sf_dir, "events").schema
 
     def to_series(raw):
