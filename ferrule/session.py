@@ -61,15 +61,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never local).
+    """Cut lineage by writing the frame as a Parquet table under the shared checkpoint
+    folder and reading it back.
 
-    The frame is persisted first: an eager checkpoint runs one job to materialise
-    the rows and a second to write them, and without the cache the second job
-    would recompute the whole plan."""
-    from pyspark import StorageLevel
+    Preferred over ``Dataset.checkpoint``: an eager checkpoint computes its plan twice
+    (count, then write), and the checkpointed relation keeps the partitioning claim of
+    the pre-AQE plan even when AQE coalesced the partitions -- a later join can then
+    zip mismatched partitions.  A read-back table claims nothing, carries real size
+    statistics for AQE's broadcast decision, and survives executor loss."""
+    import os
+    import uuid
 
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist(blocking=False)
-    return out
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
