@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Size cap, element and attribute deny lists, added namespace and header.
 MAX_SVG_BYTES = 1024 * 1024
@@ -29,7 +30,7 @@ def read_icon_folder(spark: SparkSession, folder: str) -> DataFrame:
                       "content", F.col("length").alias("file_size"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _xml_error(content: pd.Series) -> pd.Series:
     """NULL when the bytes are UTF-8 text that parses as XML, else the reason."""
     import xml.etree.ElementTree as ET
@@ -72,7 +73,7 @@ def audit_svg(files: DataFrame, name_col: str = "file_name", content_col: str =
             .drop("_xml_err"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _clean_svg(content: pd.Series) -> pd.Series:
     import xml.etree.ElementTree as ET
 
