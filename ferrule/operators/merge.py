@@ -127,3 +127,30 @@ def rekey(df: DataFrame, drop_cols, keys=SERIES_KEY, order: str = "src_row") ->
     base = df.drop(*drop_cols)
     collisions = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
     return keep_first(base, keys, order), collisions
+
+
+# ---------------------------------------------------------------------------
+# Range (limit) check
+# ---------------------------------------------------------------------------
+
+def _num_text(c):
+    """Number rendered without a trailing ``.0`` (``500.0`` -> ``500``)."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+def range_check(series: DataFrame, tags: DataFrame, limits: DataFrame, numeric_mode: str = "strict") -> DataFrame:
+    """Flag readings outside their tag's ``[min, max]``: ``is_abnormal`` and ``reason``.
+
+    ``limits(tag_name, min, max)`` is joined by tag *name*; readings that are not
+    numeric, or whose tag has no limits, are never abnormal."""
+    from ferrule.functions.numeric import numeric_value
+
+    t = tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
+    lim = limits.select("tag_name", F.col("min").alias("_min"), F.col("max").alias("_max"))
+    out = series.join(t, "tag_id", "left").join(lim, "tag_name", "left")
+    num = numeric_value(F.col("value"), numeric_mode)
+    bad = F.coalesce((num < F.col("_min")) | (num > F.col("_max")), F.lit(False))
+    reason = F.format_string("Value %s is outside the allowed range (%s - %s)", F.col("value"),
+                             _num_text(F.col("_min")), _num_text(F.col("_max")))
+    return (out.withColumn("is_abnormal", bad).withColumn("reason", F.when(bad, reason))
+            .drop("_min", "_max"))

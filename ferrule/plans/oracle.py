@@ -494,3 +494,70 @@ SELECT regexp_replace(replace('page_' || CAST(page_id AS VARCHAR) || '.svg', '.s
        to_base64(encode(html)) AS svg_base64
 FROM pages""",
 })
+
+# --- remaining maintenance / validation operators ------------------------------------------
+
+from ferrule.sources.adapters import TYPE_LIMITS  # noqa: E402
+
+_LIMIT_ROWS = ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in TYPE_LIMITS)
+_K4 = "floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 25)"
+_FORMATS_SQL = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y")
+
+ORACLE.update({
+    "range_check": f"""
+WITH {SERIES_BY_TYPE},
+limits AS (SELECT * FROM (VALUES {_LIMIT_ROWS}) v(tag_name, lo, hi))
+SELECT t.name AS tag_name, s.timestamp, s.value,
+       'Value ' || s.value || ' is outside the allowed range (' ||
+       regexp_replace(CAST(l.lo AS VARCHAR), '\\.0$', '') || ' - ' ||
+       regexp_replace(CAST(l.hi AS VARCHAR), '\\.0$', '') || ')' AS reason
+FROM series s JOIN type_tags t ON t.id = s.tag_id JOIN limits l ON l.tag_name = t.name
+WHERE {NUM.replace('value', 's.value')} < l.lo OR {NUM.replace('value', 's.value')} > l.hi""",
+    "timestamp_normalize": f"""
+WITH t AS (
+  SELECT event_id, CASE WHEN {_K4} = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+                        WHEN {_K4} = 1 THEN strftime(ts, '%-d/%-m/%Y %H:%M:%S')
+                        WHEN {_K4} = 2 THEN strftime(ts, '%-m/%-d/%Y')
+                        ELSE strftime(ts, '%Y-%m-%d') END AS text
+  FROM events)
+SELECT event_id, text,
+       strftime(coalesce({', '.join(f"try_strptime(text, '{f}')" for f in _FORMATS_SQL)}), '%Y-%m-%d %H:%M:%S')
+         AS normalized
+FROM t""",
+    "default_sources": """
+WITH src AS (
+  SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(s_nationkey AS INTEGER) AS plant_id, s_acctbal >= 0 AS is_active,
+         TIMESTAMP '2020-01-01 00:00:00' + to_minutes(CAST((s_suppkey * 7919) % 1000 AS BIGINT)) AS created_at
+  FROM supplier),
+have AS (
+  SELECT plant_id, id AS data_source_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY created_at, id) AS rn FROM src WHERE is_active)
+  WHERE rn = 1),
+need AS (SELECT n_nationkey AS plant_id FROM nation WHERE n_nationkey NOT IN (SELECT plant_id FROM have))
+SELECT plant_id, data_source_id, false AS created FROM have
+UNION ALL
+SELECT plant_id, CAST((SELECT max(id) FROM src) + row_number() OVER (ORDER BY plant_id) AS INTEGER), true FROM need""",
+    "hierarchy_update": f"""
+WITH {CUSTOMER_NODES}
+SELECT n.label, n.path, n.parent_label, n.display_order,
+       coalesce('Nation ' || CAST(x.n_nationkey AS VARCHAR), n.display_name) AS display_name,
+       CASE WHEN x.n_name IS NOT NULL THEN 'flag' ELSE n.icon END AS icon
+FROM nodes n LEFT JOIN nation x ON x.n_name = n.label""",
+    "hierarchy_delete_cascade": f"""
+WITH RECURSIVE {CUSTOMER_NODES},
+gone(label, path) AS (
+  SELECT label, path FROM nodes WHERE label IN (SELECT r_name FROM region WHERE r_regionkey = 2)
+  UNION
+  SELECT c.label, c.path FROM gone g JOIN nodes c ON c.parent_label = g.label)
+SELECT label, path, parent_label FROM nodes WHERE (label, path) NOT IN (SELECT (label, path) FROM gone)""",
+    "hierarchy_replace": f"""
+WITH {CUSTOMER_NODES}, {SUPPLIER_CFG}
+SELECT (SELECT count(*) FROM cfg) AS deleted, (SELECT count(*) FROM nodes) AS created""",
+    "rekey_collisions": f"""
+WITH {SERIES_BY_SUPPLIER}
+SELECT tag_id, timestamp, count(*) AS rows FROM series GROUP BY 1, 2 HAVING count(*) > 1""",
+    "unknown_tags": f"""
+WITH {SHEET}
+SELECT tag_name, count(*) AS rows FROM cells WHERE tag_name NOT IN (SELECT name FROM type_tags) GROUP BY 1""",
+    "workspace_roles": f"WITH {ACCESS} SELECT * FROM roles_ws",
+})

@@ -567,3 +567,107 @@ QUERIES.update({
     "icon_audit": q_icon_audit,
     "icon_inventory": q_icon_inventory,
 })
+
+
+# --- remaining maintenance / validation operators -------------------------------------------
+
+def q_range_check(spark, sf_dir):
+    """readings outside their tag's limits (limits joined by tag name)."""
+    from ferrule.operators.merge import range_check
+
+    tags = A.type_tags(spark, sf_dir)
+    out = range_check(A.series_by_type(spark, sf_dir, tags), tags, A.type_limits(spark))
+    return out.filter("is_abnormal").select("tag_name", "timestamp", "value", "reason")
+
+
+def q_timestamp_normalize(spark, sf_dir):
+    """P5/T5: text timestamps in several layouts -> first matching format -> canonical text."""
+    from ferrule.functions.timebucket import normalize_timestamp_text
+
+    t = A.timestamp_texts(spark, sf_dir)
+    return t.select("event_id", "text", normalize_timestamp_text("text").alias("normalized"))
+
+
+def q_default_sources(spark, sf_dir):
+    """Oldest active source per plant, or a new default source id."""
+    from ferrule.operators.ingest import default_sources
+
+    plants = A.access_tables(spark, sf_dir)["plants"]
+    return default_sources(plants, A.supplier_sources(spark, sf_dir), None)
+
+
+def q_hierarchy_update(spark, sf_dir):
+    """M4: bulk allow-listed update by label (nation nodes get a display name and icon)."""
+    from ferrule.operators.merge import apply_updates
+    from ferrule.sources.tables import read_table
+
+    nodes = _customer_nodes(spark, sf_dir)
+    changes = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).select(
+        F.col("n_name").alias("label"),
+        F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("display_name"),
+        F.lit("flag").alias("icon"), F.lit(-1).alias("display_order"))
+    return apply_updates(nodes, changes, ["label"], ["display_name", "icon", "path", "parent_label", "is_active"]) \
+        .select("label", "path", "parent_label", "display_order", "display_name", "icon")
+
+
+def q_hierarchy_delete_cascade(spark, sf_dir):
+    """M6 with cascade: removing every region node removes the whole tree except orphans."""
+    from ferrule.operators.hierarchy import delete_by_label
+    from ferrule.sources.tables import read_table
+
+    nodes = _customer_nodes(spark, sf_dir)
+    asia = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]).filter(F.col("r_regionkey") == 2) \
+        .select(F.col("r_name").alias("label"))
+    remaining, _ = delete_by_label(nodes, asia, cascade=True)
+    return remaining.select("label", "path", "parent_label")
+
+
+def q_hierarchy_replace(spark, sf_dir):
+    """Validate-then-replace a plant's hierarchy; deleted / created counts."""
+    from ferrule.operators.hierarchy import replace_hierarchy
+
+    existing = A.supplier_config(spark, sf_dir).withColumn("plant_id", F.lit(1))
+    _, summary = replace_hierarchy(existing, _customer_nodes(spark, sf_dir), plant_id=1)
+    return summary
+
+
+def q_rekey_collisions(spark, sf_dir):
+    """Enforce (tag_id, timestamp) after dropping a column; colliding keys reported."""
+    from ferrule.operators.merge import rekey
+
+    s = A.series_by_supplier(spark, sf_dir).withColumn("src_row", F.monotonically_increasing_id())
+    _, collisions = rekey(s, ["quality"])
+    return collisions
+
+
+def q_unknown_tags(spark, sf_dir):
+    """Melted sheet cells whose tag name has no stored tag, counted per name."""
+    from ferrule.operators.ingest import map_tags, melt, sheet_rows
+    from ferrule.plans.ingest import events_sheet
+    from ferrule.sources.sheet import read_sheet
+
+    sheet = read_sheet(spark, events_sheet(spark, sf_dir))
+    long = melt(sheet_rows(sheet), list(sheet.tag_columns))
+    _, unknown = map_tags(long, A.type_tags(spark, sf_dir))
+    return unknown
+
+
+def q_workspace_roles(spark, sf_dir):
+    """Owner / member flags per (user, active workspace)."""
+    from ferrule.operators.access import workspace_roles
+
+    t = A.access_tables(spark, sf_dir)
+    return workspace_roles(t["workspaces"], t["members"])
+
+
+QUERIES.update({
+    "range_check": q_range_check,
+    "timestamp_normalize": q_timestamp_normalize,
+    "default_sources": q_default_sources,
+    "hierarchy_update": q_hierarchy_update,
+    "hierarchy_delete_cascade": q_hierarchy_delete_cascade,
+    "hierarchy_replace": q_hierarchy_replace,
+    "rekey_collisions": q_rekey_collisions,
+    "unknown_tags": q_unknown_tags,
+    "workspace_roles": q_workspace_roles,
+})

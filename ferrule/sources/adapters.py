@@ -230,3 +230,42 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict:
     return dict(users=users, plants=plants, roles=roles, permissions=permissions,
                 role_permissions=role_permissions, upa=upa, workspaces=workspaces, members=members,
                 cards=cards, card_requests=card_requests, ws_requests=ws_requests)
+
+
+# Allowed reading range per event-type tag (range-check fixture).
+TYPE_LIMITS = (
+    ("click", 0.0, 400.0),
+    ("error", 10.0, 450.0),
+    ("purchase", 0.0, 500.0),
+    ("signup", 5.0, 480.0),
+    ("view", 0.0, 300.0),
+)
+
+
+def type_limits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(TYPE_LIMITS), "tag_name string, min double, max double")
+
+
+# Timestamp text layouts per props.k quarter (normalisation fixture).
+TEXT_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "d/M/yyyy HH:mm:ss", "M/d/yyyy", "yyyy-MM-dd")
+
+
+def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event time rendered as text in one of four layouts chosen by ``props.k``."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "props"])
+    q = F.floor(F.get_json_object("props", "$.k").try_cast("int") / 25)
+    text = (F.when(q == 0, F.date_format("ts", TEXT_LAYOUTS[0]))
+            .when(q == 1, F.date_format("ts", TEXT_LAYOUTS[1]))
+            .when(q == 2, F.date_format("ts", TEXT_LAYOUTS[2]))
+            .otherwise(F.date_format("ts", TEXT_LAYOUTS[3])))
+    return ev.select("event_id", text.alias("text"))
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``data_sources``: one per supplier in its nation (plant); inactive when the balance
+    is negative; created at 2020-01-01 plus a per-supplier number of minutes."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    return s.select(F.col("s_suppkey").cast("int").alias("id"), F.col("s_nationkey").cast("int").alias("plant_id"),
+                    (F.col("s_acctbal") >= 0).alias("is_active"),
+                    F.timestamp_add("MINUTE", F.pmod(F.col("s_suppkey") * 7919, F.lit(1000)),
+                                    F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("created_at"))
