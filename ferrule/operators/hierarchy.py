@@ -200,12 +200,20 @@ def endless_labels(cfg: DataFrame) -> DataFrame:
     jump = (nxt.join(nxt.select(F.col("label").alias("nxt"), F.lit(True).alias("_known")), "nxt", "left")
             .select("label", F.when(F.col("_known"), F.col("nxt")).alias("j")))
     jump = cut_lineage(jump)
+    alive = jump.filter(F.col("j").isNotNull()).count()
     reach = 1
-    while reach < n_labels + 1:
+    while reach < n_labels + 1 and alive:
         jump = cut_lineage(
             jump.join(jump.select(F.col("label").alias("j"), F.col("j").alias("jj")), "j", "left")
             .select("label", F.col("jj").alias("j")))
         reach *= 2
+        now = jump.filter(F.col("j").isNotNull()).count()
+        # Finite walk lengths are contiguous (a label at depth d has a parent at d-1), so
+        # if no walk ended between 2^(k-1) and 2^k steps, none is longer: the labels
+        # still walking are exactly the endless ones.
+        if now == alive:
+            break
+        alive = now
     return jump.filter(F.col("j").isNotNull()).select("label")
 
 

@@ -31,9 +31,11 @@ def _span(batch: DataFrame, ts: str):
     return (row["lo"], row["hi"]) if row is not None else (None, None)
 
 
-def existing_keys(target: DataFrame, batch: DataFrame, keys=SERIES_KEY, ts: str = "timestamp") -> DataFrame:
-    """Keys of ``target`` restricted to the batch's time span (literal bounds prune the scan)."""
-    lo, hi = _span(batch, ts)
+def existing_keys(target: DataFrame, batch: DataFrame, keys=SERIES_KEY, ts: str = "timestamp",
+                  span=None) -> DataFrame:
+    """Keys of ``target`` restricted to the batch's time span (literal bounds prune the scan).
+    ``span`` (any ``(lo, hi)`` covering the batch) saves the job that measures it."""
+    lo, hi = span if span is not None else _span(batch, ts)
     t = target.select(*keys)
     if lo is not None:
         t = t.filter(F.col(ts).between(F.lit(lo), F.lit(hi)))
@@ -41,21 +43,22 @@ def existing_keys(target: DataFrame, batch: DataFrame, keys=SERIES_KEY, ts: str
 
 
 def merge_append(target: DataFrame, batch: DataFrame, keys=SERIES_KEY, order: str = "src_row",
-                 ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
+                 ts: str = "timestamp", span=None) -> tuple[DataFrame, DataFrame]:
     """Append ignoring conflicts (M2): stored row wins, then the first row of the batch.
 
     Returns ``(inserted, new_snapshot)``; applying the same batch again inserts nothing."""
     first = keep_first(batch, keys, order)
-    inserted = first.join(existing_keys(target, batch, keys, ts), list(keys), "left_anti")
+    inserted = first.join(existing_keys(target, batch, keys, ts, span), list(keys), "left_anti")
     cols = [c for c in target.columns]
     snapshot = target.unionByName(inserted.select(*[c for c in cols if c in inserted.columns]),
                                   allowMissingColumns=True)
     return inserted, snapshot
 
 
-def duplicate_flags(batch: DataFrame, target: DataFrame, keys=SERIES_KEY, ts: str = "timestamp") -> DataFrame:
+def duplicate_flags(batch: DataFrame, target: DataFrame, keys=SERIES_KEY, ts: str = "timestamp",
+                    span=None) -> DataFrame:
     """Every batch row plus ``is_duplicate`` / ``reason`` when its key is already stored."""
-    known = existing_keys(target, batch, keys, ts).distinct().withColumn("_hit", F.lit(True))
+    known = existing_keys(target, batch, keys, ts, span).distinct().withColumn("_hit", F.lit(True))
     out = batch.join(known, list(keys), "left")
     dup = F.coalesce(F.col("_hit"), F.lit(False))
     return (out.withColumn("is_duplicate", dup)

@@ -17,7 +17,7 @@ from ferrule.functions.timebucket import time_bucket
 from ferrule.operators import frequency as FQ
 from ferrule.operators import ingest as I
 from ferrule.operators import merge as MG
-from ferrule.session import checkpoint_dir, ensure_checkpoint_dir
+from ferrule.session import checkpoint_dir, cut_lineage, ensure_checkpoint_dir
 from ferrule.sources.sheet import read_sheet
 from ferrule.sources.tables import read_table
 
@@ -39,7 +39,8 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
                  plant_id: int = 1) -> IngestResult:
     sheet = read_sheet(spark, path)
     names = list(sheet.tag_columns)
-    rows = I.sheet_rows(sheet)
+    # parse the text once; every summary and the melt then read the typed rows
+    rows = cut_lineage(I.sheet_rows(sheet))
     freq_row = FQ.frequency_of_frame(rows, "timestamp").first()
     frequency = freq_row["frequency"] if freq_row else None
     span = FQ.upload_span(rows, "timestamp")
@@ -49,7 +50,7 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
     long = I.melt(rows, names)
     mapped, unknown = I.map_tags(long, mapping)
     batch = I.series_rows(mapped, frequency)
-    inserted, snapshot = MG.merge_append(stored, batch)
+    inserted, snapshot = MG.merge_append(stored, batch, span=span)
     counters = I.ingest_counters(rows, names, names)
     return IngestResult(frequency, conflicts, mapping, tags_after, long, inserted, snapshot, counters, unknown)
 

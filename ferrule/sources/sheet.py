@@ -8,7 +8,8 @@ The source line number is ``monotonically_increasing_id()`` taken right at
 the scan: it grows with the file offset (splits of one file are planned in
 offset order), is stable when a task is retried, and needs no extra job.
 Only the three metadata lines reach the driver -- their size is bounded by
-the number of columns, never by the number of readings.
+the number of columns, never by the number of readings.  One sheet is one
+file (a folder of sheets is ingested file by file).
 """
 
 from __future__ import annotations
@@ -62,7 +63,9 @@ def read_sheet(spark: SparkSession, path: str, sep: str = ",") -> Sheet:
     raw = (spark.read.option("header", False).option("inferSchema", False).option("sep", sep)
            .option("mode", "PERMISSIVE").csv(path))
     raw = raw.withColumn("_line", F.monotonically_increasing_id())
-    head = raw.orderBy("_line").limit(3).collect()
+    # splits of one file are planned in offset order and a limit scans partition 0
+    # first, so this reads only the first split, not the whole file
+    head = sorted(raw.limit(3).collect(), key=lambda r: r["_line"])
     if not head:
         raise SheetError("empty sheet")
     while len(head) < 3:
