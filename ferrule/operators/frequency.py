@@ -61,6 +61,10 @@ def consecutive_gaps(df: DataFrame, keys, ts: str = "timestamp", block: str = "1
 
     NULL timestamps are dropped first.  Duplicate timestamps give 0-second gaps.
     """
+    return _gaps_and_edges(df, keys, ts, block)[0]
+
+
+def _gaps_and_edges(df: DataFrame, keys, ts: str, block: str):
     keys = list(keys)
     base = df.select(*keys, F.col(ts).alias("_ts")).filter(F.col("_ts").isNotNull())
     base = base.withColumn("_blk", time_bucket(block, "_ts"))
@@ -73,7 +77,7 @@ def consecutive_gaps(df: DataFrame, keys, ts: str = "timestamp", block: str = "1
     boundary = (edges.withColumn("_prev_last", F.lag("_last").over(edge_w))
                 .filter(F.col("_prev_last").isNotNull())
                 .select(*keys, _seconds_between(F.col("_prev_last"), F.col("_first")).alias("gap")))
-    return inner.unionByName(boundary)
+    return inner.unionByName(boundary), edges
 
 
 def _median_below(n: Column, below: Column, lo: Column, hi: Column, t: float) -> Column:
@@ -114,12 +118,13 @@ def _helper_cols():
 def frequency_by_key(df: DataFrame, keys, ts: str = "timestamp", block: str = "1 hour") -> DataFrame:
     """Detected frequency per key: ``keys..., gap_count, frequency`` (NULL when < 2 rows)."""
     keys = list(keys)
-    gaps = consecutive_gaps(df, keys, ts, block)
+    gaps, edges = _gaps_and_edges(df, keys, ts, block)
     agg = gaps.groupBy(*keys).agg(*frequency_label_aggs())
     out = agg.withColumn("frequency", frequency_label_from_aggs()).withColumn("gap_count", F.col("_n"))
-    # keys with a single row have no gaps: keep them with NULL frequency
-    singles = df.select(*keys).filter(F.col(ts).isNotNull() if ts in df.columns else F.lit(True)).distinct()
-    out = singles.join(out.drop(*_helper_cols()), keys, "left")
+    # keys with a single row have no gaps: keep them with NULL frequency (the key list
+    # comes from the per-block summary, not from another pass over the rows)
+    every_key = edges.select(*keys).distinct()
+    out = every_key.join(out.drop(*_helper_cols()), keys, "left")
     return out.select(*keys, F.coalesce("gap_count", F.lit(0)).cast("bigint").alias("gap_count"), "frequency")
 
 

@@ -136,22 +136,26 @@ def descendants(cfg: DataFrame, roots: DataFrame | None = None, max_depth: int =
     if roots is None:
         roots = act.select("label").distinct()
     frontier = roots.select(F.col("label").alias("root_label"), F.col("label").alias("cur")).distinct()
-    found = None
+    levels = []  # one written table per depth; nothing already found is rewritten
+    key = ["root_label", "label", "path"]
     depth = 0
     while depth < max_depth:
         depth += 1
         step = (frontier.join(edges.withColumnRenamed("parent_label", "cur"), "cur")
                 .select("root_label", "label", "path", F.lit(depth).alias("depth")))
-        if found is not None:
-            step = step.join(found.select("root_label", "label", "path"), ["root_label", "label", "path"], "left_anti")
-        step = cut_lineage(step.dropDuplicates(["root_label", "label", "path"]))
+        for seen in levels:  # cycle guard: a record is reported once, at its minimum depth
+            step = step.join(seen.select(*key), key, "left_anti")
+        step = cut_lineage(step.dropDuplicates(key))
         if step.isEmpty():
             break
-        found = step if found is None else cut_lineage(found.unionByName(step))
+        levels.append(step)
         frontier = step.select("root_label", F.col("label").alias("cur")).distinct()
-    if found is None:
+    if not levels:
         return cfg.sparkSession.createDataFrame([], "root_label string, label string, path string, depth int")
-    return found
+    out = levels[0]
+    for lvl in levels[1:]:
+        out = out.unionByName(lvl)
+    return out
 
 
 def delete_by_label(cfg: DataFrame, labels: DataFrame, cascade: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -24,8 +24,16 @@ SPINE_BLOCK = 4096  # buckets per spine block / locf window partition
 # Filters (F1, F2, F3)
 # ---------------------------------------------------------------------------
 
+def _bound(v):
+    """ISO-8601 text bounds lose a ``Z`` / ``+hh:mm`` suffix (wall clock kept)."""
+    from ferrule.functions.timebucket import iso_bound
+
+    return iso_bound(v) if isinstance(v, str) else v
+
+
 def time_range(df: DataFrame, start=None, end=None, ts: str = "timestamp") -> DataFrame:
     """Inclusive ``[start, end]``; bounds are literals so Parquet min/max pruning applies."""
+    start, end = _bound(start), _bound(end)
     if start is not None:
         df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:

@@ -30,15 +30,17 @@ def _scratch(spark: SparkSession, kind: str) -> str:
 def daily_rollup_stream(stream: DataFrame, watermark: str = "1 hour", numeric_mode: str = "strict") -> DataFrame:
     """Streaming ``tag_id, bucket, avg_value, sample_count`` per 1-day window.
 
-    A watermark needs a TIMESTAMP (not NTZ) column: the NTZ timestamp is cast in under
-    the session zone (UTC) and the window start is cast back to NTZ on the way out."""
-    ts = F.col("timestamp").cast("timestamp")
-    agg = (stream.withColumn("_ets", ts).withWatermark("_ets", watermark)
+    A watermark needs a TIMESTAMP (not NTZ) column.  The NTZ wall clock is mapped to the
+    instant with the same UTC reading (exact micros, independent of the session time
+    zone), windows are aligned on UTC days, and the window start is mapped back."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ets = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))
+    agg = (stream.withColumn("_ets", ets).withWatermark("_ets", watermark)
            .groupBy(F.window("_ets", "1 day").alias("w"), "tag_id")
            .agg(F.avg(numeric_value(F.col("value"), numeric_mode)).alias("avg_value"),
                 F.count(F.lit(1)).alias("sample_count")))
-    return agg.select("tag_id", F.col("w.start").cast("timestamp_ntz").alias("bucket"), "avg_value",
-                      "sample_count")
+    bucket = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")), epoch)
+    return agg.select("tag_id", bucket.alias("bucket"), "avg_value", "sample_count")
 
 
 def run_daily_rollup(spark: SparkSession, source_dir: str, schema, to_series, sink: str | None = None,

@@ -92,3 +92,11 @@ def test_icons_and_names(spark):
     df = spark.createDataFrame([("my icon!*.svg",), ("pump_1234abcd.svg",), ("valve.svg",)], "c string")
     assert [r[0] for r in df.select(clean_icon_name("c")).collect()] == ["myiconsvg", "pump_1234abcdsvg", "valvesvg"]
     assert [r[0] for r in df.select(icon_short_name("c")).collect()] == ["my icon!*", "pump", "valve"]
+
+
+def test_iso_bounds_in_range_filter(spark):
+    from ferrule.operators.metrics import time_range
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10),), (dt.datetime(2024, 1, 1, 12),)], "timestamp timestamp_ntz")
+    got = time_range(df, "2024-01-01T09:00:00Z", "2024-01-01T11:00:00+02:00").collect()
+    assert [r[0] for r in got] == [dt.datetime(2024, 1, 1, 10)]
