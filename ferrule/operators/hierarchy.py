@@ -257,10 +257,11 @@ def circular_records(cfg: DataFrame, max_depth: int = 10_000) -> DataFrame:
 def integrity_report(cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Issue rows ``(issue_type, label, parent_label, path, count)`` and a one-row
     summary ``(is_valid, total_records, orphaned, circular, duplicate_paths)``."""
+    # per-record issues concern one row each; duplicate paths carry their row count
     o = orphans(cfg).select(F.lit("orphaned_records").alias("issue_type"), "label", "parent_label", "path",
-                            F.lit(None).cast("bigint").alias("count"))
+                            F.lit(1).cast("bigint").alias("count"))
     c = circular_records(cfg).select(F.lit("circular_reference").alias("issue_type"), "label",
-                                     "parent_label", "path", F.lit(None).cast("bigint").alias("count"))
+                                     "parent_label", "path", F.lit(1).cast("bigint").alias("count"))
     d = duplicate_paths(cfg).select(F.lit("duplicate_paths").alias("issue_type"),
                                     F.lit(None).cast("string").alias("label"),
                                     F.lit(None).cast("string").alias("parent_label"), "path",

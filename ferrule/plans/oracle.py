@@ -136,7 +136,7 @@ SELECT t.id AS tag_id, t.name, CAST(NULL AS VARCHAR) AS unit_of_measure,
        min(s.timestamp) AS first_timestamp, max(s.timestamp) AS last_timestamp,
        count(s.value) AS daily_count
 FROM type_tags t LEFT JOIN series s ON t.id = s.tag_id
-WHERE t.id IN (1, 2, 4) AND s.{RANGE}
+WHERE s.{RANGE}
 GROUP BY 1, 2, 3, 4""",
     "latest_readings": f"""
 WITH {SERIES_BY_USER}
@@ -305,11 +305,11 @@ walk(label, path, parent_label, cur, steps) AS (
   FROM walk w JOIN nxt n ON n.label = w.cur
   WHERE w.cur <> w.label AND n.nxt IS NOT NULL AND w.steps < (SELECT b FROM bound)),
 issues AS (
-  SELECT 'orphaned_records' AS issue_type, h1.label, h1.parent_label, h1.path, CAST(NULL AS BIGINT) AS count
+  SELECT 'orphaned_records' AS issue_type, h1.label, h1.parent_label, h1.path, CAST(1 AS BIGINT) AS count
   FROM cfg h1 WHERE h1.parent_label IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM cfg h2 WHERE h2.label = h1.parent_label)
   UNION ALL
-  SELECT DISTINCT 'circular_reference', label, parent_label, path, CAST(NULL AS BIGINT)
+  SELECT DISTINCT 'circular_reference', label, parent_label, path, CAST(1 AS BIGINT)
   FROM walk WHERE cur = label OR steps >= (SELECT b FROM bound)
   UNION ALL
   SELECT 'duplicate_paths', NULL, NULL, path, count(*) FROM cfg GROUP BY path HAVING count(*) > 1)"""
@@ -546,7 +546,7 @@ FROM nodes n LEFT JOIN nation x ON x.n_name = n.label""",
     "hierarchy_delete_cascade": f"""
 WITH RECURSIVE {CUSTOMER_NODES},
 gone(label, path) AS (
-  SELECT label, path FROM nodes WHERE label IN (SELECT r_name FROM region WHERE r_regionkey = 2)
+  SELECT label, path FROM nodes WHERE label IN (SELECT n_name FROM nation)
   UNION
   SELECT c.label, c.path FROM gone g JOIN nodes c ON c.parent_label = g.label)
 SELECT label, path, parent_label FROM nodes WHERE (label, path) NOT IN (SELECT (label, path) FROM gone)""",

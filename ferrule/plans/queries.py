@@ -96,9 +96,11 @@ def q_upload_history(spark, sf_dir):
 
 
 def q_tag_statistics(spark, sf_dir):
-    """Per tag and day data points, first/last timestamp."""
+    """Per tag and day data points, first/last timestamp; the tag set is a
+    DataFrame (every active tag), applied as a left-semi join."""
     tags = A.type_tags(spark, sf_dir)
-    return M.tag_statistics(A.series_by_type(spark, sf_dir, tags), tags, [1, 2, 4], RANGE_START, RANGE_END)
+    wanted = tags.filter("is_active").select("id")
+    return M.tag_statistics(A.series_by_type(spark, sf_dir, tags), tags, wanted, RANGE_START, RANGE_END)
 
 
 def q_latest_readings(spark, sf_dir):
@@ -611,14 +613,14 @@ def q_hierarchy_update(spark, sf_dir):
 
 
 def q_hierarchy_delete_cascade(spark, sf_dir):
-    """M6 with cascade: removing every region node removes the whole tree except orphans."""
+    """M6 with cascade: deleting every nation label removes the nations and, through the
+    label links, every segment below them; the regions remain."""
     from ferrule.operators.hierarchy import delete_by_label
     from ferrule.sources.tables import read_table
 
     nodes = _customer_nodes(spark, sf_dir)
-    asia = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]).filter(F.col("r_regionkey") == 2) \
-        .select(F.col("r_name").alias("label"))
-    remaining, _ = delete_by_label(nodes, asia, cascade=True)
+    nations = read_table(spark, sf_dir, "nation", ["n_name"]).select(F.col("n_name").alias("label"))
+    remaining, _ = delete_by_label(nodes, nations, cascade=True)
     return remaining.select("label", "path", "parent_label")
 
 
