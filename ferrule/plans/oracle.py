@@ -561,3 +561,12 @@ WITH {SHEET}
 SELECT tag_name, count(*) AS rows FROM cells WHERE tag_name NOT IN (SELECT name FROM type_tags) GROUP BY 1""",
     "workspace_roles": f"WITH {ACCESS} SELECT * FROM roles_ws",
 })
+
+ORACLE["daily_rollup_refresh"] = f"""
+WITH {SERIES_BY_USER}
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round(avg({NUM}), 6) AS avg_value,
+       count(*) AS sample_count
+FROM series
+WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 month')
+  AND timestamp <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 hour'
+GROUP BY 1, 2"""

@@ -673,3 +673,19 @@ QUERIES.update({
     "unknown_tags": q_unknown_tags,
     "workspace_roles": q_workspace_roles,
 })
+
+
+REFRESH_AS_OF = "2024-01-20 00:00:00"
+
+
+def q_daily_rollup_refresh(spark, sf_dir):
+    """A6 materialised: refresh the days in [as_of - 1 month, as_of - 1 hour] with dynamic
+    partition overwrite, then read the rollup table back."""
+    from ferrule.operators.metrics import refresh_daily_rollup
+
+    path = _scratch_dir(spark, "rollup")
+    refresh_daily_rollup(A.series_by_user(spark, sf_dir), path, REFRESH_AS_OF)
+    return rounded(spark.read.parquet(path).select("tag_id", "bucket", "avg_value", "sample_count"))
+
+
+QUERIES["daily_rollup_refresh"] = q_daily_rollup_refresh

@@ -84,6 +84,17 @@ def keep_first_batch_writer(target: str, keys=("tag_id", "timestamp"), order: st
     return write
 
 
+def bounded_dedup_stream(stream: DataFrame, watermark: str = "1 hour", keys=("tag_id", "timestamp")) -> DataFrame:
+    """Bounded-state alternative to the exact ST2 writer: ``dropDuplicatesWithinWatermark``
+    keeps state only within the watermark delay.  The survivor of a duplicate pair is
+    whichever arrives first in the stream (not the smallest source row), and duplicates
+    further apart than the delay are not detected -- documented trade-off."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ets = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))
+    return (stream.withColumn("_ets", ets).withWatermark("_ets", watermark)
+            .dropDuplicatesWithinWatermark(list(keys)).drop("_ets"))
+
+
 def run_keep_first_ingest(spark: SparkSession, source_dir: str, schema, to_rows, target: str | None = None,
                           checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Run ST2 with ``availableNow``; returns the stored table (all batches)."""

@@ -130,3 +130,17 @@ def test_daily_rollup_stream_closed_windows(spark, scratch):
     out = run_daily_rollup(spark, src, schema, lambda d: d, sink=os.path.join(scratch, "out"),
                            checkpoint=os.path.join(scratch, "ck")).collect()
     assert [(r.bucket, r.avg_value, r.sample_count) for r in out] == [(dt.datetime(2024, 1, 1), 3.0, 2)]
+
+
+def test_bounded_dedup_stream(spark, scratch):
+    from ferrule.streaming import bounded_dedup_stream
+
+    src = os.path.join(scratch, "src")
+    schema = "tag_id int, timestamp timestamp_ntz, value string"
+    ts = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, ts, "a"), (1, ts, "b"), (2, ts, "c")], schema).coalesce(1).write.parquet(src)
+    q = (bounded_dedup_stream(spark.readStream.schema(schema).parquet(src)).writeStream
+         .format("memory").queryName("ferrule_dedup").option("checkpointLocation", os.path.join(scratch, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.tag_id for r in spark.sql("SELECT * FROM ferrule_dedup").collect()) == [1, 2]

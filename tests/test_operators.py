@@ -184,3 +184,30 @@ def test_retention_drops_whole_chunks(spark):
         assert start + dt.timedelta(days=7) > cutoff
     assert kept.count() + s.join(kept, ["tag_id", "timestamp"], "left_anti").count() == s.count()
     assert dropped.count() > 0
+
+
+def test_lookups_tree_and_delete_all(spark):
+    cfg = _cfg(spark, [("r", "r", None, True), ("a", "r:a", "r", True), ("b", "r:b", "r", False),
+                       ("c", "r:a:c", "a", True), ("x", "x:r", "x", True)])
+    assert [r.path for r in H.nodes_by_label(cfg, "r").collect()] == ["r"]
+    assert H.nodes_by_label(cfg, "a", "r:a").count() == 1
+    assert [r.label for r in H.children_of(cfg, "r").collect()] == ["a"]
+    assert [r.path for r in H.active_nodes(cfg).collect()] == ["r", "r:a", "r:a:c", "x:r"]
+    t = {(r.node_path, r.child_path) for r in H.tree(cfg).collect()}
+    assert t == {("r", "r:a"), ("r:a", "r:a:c")}
+    assert MG.delete_all(cfg).count() == 0
+    assert {r.parent_label: r.child_count for r in H.child_counts(cfg).collect()} == {"r": 1, "a": 1, "x": 1}
+
+
+def test_refresh_daily_rollup_overwrites_only_window(spark, scratch):
+    path = os.path.join(scratch, "rollup")
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    s1 = spark.createDataFrame([(1, day(1), "1"), (1, day(20), "2"), (1, day(30, 5), "3")],
+                               "tag_id int, timestamp timestamp_ntz, value string")
+    M.refresh_daily_rollup(s1, path, "2024-02-15 00:00:00", "2 months")
+    s2 = spark.createDataFrame([(1, day(1), "100"), (1, day(20), "200"), (1, day(30, 5), "300")],
+                               "tag_id int, timestamp timestamp_ntz, value string")
+    lo, hi = M.refresh_daily_rollup(s2, path, "2024-02-15 00:00:00")
+    assert lo == dt.datetime(2024, 1, 15) and hi == dt.datetime(2024, 2, 14, 23)
+    got = {str(r.day): r.avg_value for r in spark.read.parquet(path).collect()}
+    assert got == {"2024-01-01": 1.0, "2024-01-20": 200.0, "2024-01-30": 300.0}
