@@ -41,23 +41,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_SCRATCH: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``)."""
-    value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if value:
-        return value
-    return spark.sparkContext.getCheckpointDir()
+    try:
+        value = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 -- some deployments hide core confs from the session
+        value = None
+    if not value:
+        try:
+            value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
+                or spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 -- no SparkContext (remote session)
+            value = None
+    return value or _LOCAL_SCRATCH.get(id(spark))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's checkpoint folder; only when none is set (local tests)
-    create a private scratch folder under /tmp."""
+    create a private scratch folder under /tmp for this session."""
     existing = checkpoint_dir(spark)
     if existing:
-        spark.sparkContext.setCheckpointDir(existing)
         return existing
     local = tempfile.mkdtemp(prefix="ferrule-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(local)
+    _LOCAL_SCRATCH[id(spark)] = local
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+    except Exception:  # noqa: BLE001
+        pass
     return local
 
 
