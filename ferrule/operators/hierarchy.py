@@ -272,13 +272,13 @@ def integrity_report(cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(F.col("issue_type") == "circular_reference").alias("circular"),
         F.count_if(F.col("issue_type") == "duplicate_paths").alias("duplicate_paths"))
     total = cfg.filter("is_active").agg(F.count(F.lit(1)).alias("total_records"))
-    summary = _one_row_join(total, counts)
+    summary = one_row_join(total, counts)
     summary = summary.withColumn(
         "is_valid", (F.col("orphaned") + F.col("circular") + F.col("duplicate_paths")) == 0)
     return issues, summary
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
+def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Side-by-side of two one-row aggregates (joined on a constant key)."""
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
@@ -301,7 +301,7 @@ def replace_hierarchy(existing: DataFrame, new_nodes: DataFrame, plant_id=None,
     else:
         keep, gone = existing.limit(0), existing
     after = keep.unionByName(new_nodes, allowMissingColumns=True)
-    summary = _one_row_join(gone.agg(F.count(F.lit(1)).alias("deleted")),
+    summary = one_row_join(gone.agg(F.count(F.lit(1)).alias("deleted")),
                             new_nodes.agg(F.count(F.lit(1)).alias("created")))
     return after, summary
 

@@ -570,3 +570,10 @@ FROM series
 WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 month')
   AND timestamp <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 hour'
 GROUP BY 1, 2"""
+
+ORACLE["hierarchy_upload"] = f"""
+WITH {CUSTOMER_NODES}, {SUPPLIER_CFG}
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE len(p) > 0) AS valid_paths,
+       count(*) FILTER (WHERE len(p) = 0) AS invalid_paths,
+       (SELECT count(*) FROM cfg) AS deleted, (SELECT count(*) FROM nodes) AS created
+FROM parts"""

@@ -689,3 +689,15 @@ def q_daily_rollup_refresh(spark, sf_dir):
 
 
 QUERIES["daily_rollup_refresh"] = q_daily_rollup_refresh
+
+
+def q_hierarchy_upload(spark, sf_dir):
+    """E3 flow (A15 + H1 + H13): upload summary of a path list replacing a plant hierarchy."""
+    from ferrule.plans.hierarchy import upload_hierarchy
+
+    existing = A.supplier_config(spark, sf_dir).withColumn("plant_id", F.lit(1))
+    _, _, summary = upload_hierarchy(A.customer_paths(spark, sf_dir), existing, plant_id=1)
+    return summary
+
+
+QUERIES["hierarchy_upload"] = q_hierarchy_upload
