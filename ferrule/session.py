@@ -89,4 +89,4 @@ def cut_lineage(df):
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference

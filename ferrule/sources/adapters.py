@@ -42,8 +42,12 @@ def type_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag dimension for event-type series: id dense by name starting at 1."""
     from ferrule.operators.ordinal import with_global_ordinal
 
+    from ferrule.session import cut_lineage
+
     names = read_table(spark, sf_dir, "events", ["event_type"]).distinct()
-    tags = with_global_ordinal(names, ["event_type"], name="id", start=1)
+    # written once: the ids come from a non-deterministic expression, so every plan
+    # branch would otherwise recompute the ordinal instead of reusing it
+    tags = cut_lineage(with_global_ordinal(names, ["event_type"], name="id", start=1))
     return tags.select(
         F.col("id").cast("int").alias("id"),
         F.col("event_type").alias("name"),
@@ -191,8 +195,10 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict:
     users = cust.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") >= 0).alias("is_active"))
     plants = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"),
                            (F.col("n_regionkey") != INACTIVE_REGION).alias("is_active"))
-    roles = with_global_ordinal(cust.select(F.col("c_mktsegment").alias("name")).distinct(), ["name"],
-                                name="id", start=1).select(F.col("id").cast("int").alias("id"), "name")
+    from ferrule.session import cut_lineage
+
+    roles = cut_lineage(with_global_ordinal(cust.select(F.col("c_mktsegment").alias("name")).distinct(), ["name"],
+                                            name="id", start=1).select(F.col("id").cast("int").alias("id"), "name"))
     permissions = spark.createDataFrame([(i + 1, n) for i, n in enumerate(PERMISSION_NAMES)], "id int, name string")
     grants = spark.createDataFrame([(r, p) for r, ps in ROLE_GRANTS.items() for p in ps], "role string, perm string")
     role_permissions = (grants.join(roles.select(F.col("name").alias("role"), F.col("id").alias("role_id")), "role")
