@@ -58,28 +58,40 @@ def run_daily_rollup(spark: SparkSession, source_dir: str, schema, to_series, si
     return spark.read.schema(ROLLUP_SCHEMA).parquet(sink)
 
 
-def keep_first_batch_writer(target: str, keys=("tag_id", "timestamp"), order: str = "src_row"):
+def keep_first_batch_writer(target: str, keys=("tag_id", "timestamp"), order: str = "src_row",
+                            chunk_interval: str = "7 days"):
     """``foreachBatch`` function: keep-first inside the batch, drop keys already stored,
-    write the survivors as the batch's own folder (``batch=<id>``, overwritten on replay,
-    so a re-run micro-batch is idempotent)."""
+    append the survivors.
+
+    The target is laid out as ``chunk=<start>/batch=<id>``: the lookup of stored keys
+    reads only the chunks the batch touches (partition pruning), and a replayed
+    micro-batch rewrites exactly its own ``batch=<id>`` partitions (dynamic overwrite),
+    so replays are idempotent."""
     from ferrule.operators.merge import keep_first
+    from ferrule.sources.storage import chunk_of, with_chunk
 
     keys = list(keys)
+    ts = keys[1]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = keep_first(batch, keys, order)
-        out_dir = os.path.join(target, f"batch={batch_id}")
+        span = first.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        if span is None or span["lo"] is None:
+            return
         try:
-            stored = spark.read.parquet(target).filter(F.col("batch") != batch_id)
-            lo_hi = first.agg(F.min(keys[1]).alias("lo"), F.max(keys[1]).alias("hi")).first()
-            if lo_hi["lo"] is not None:
-                stored = stored.filter(F.col(keys[1]).between(F.lit(lo_hi["lo"]), F.lit(lo_hi["hi"])))
+            stored = (spark.read.parquet(target)
+                      .filter(F.col("chunk").between(chunk_of(span["lo"], chunk_interval),
+                                                     chunk_of(span["hi"], chunk_interval)))
+                      .filter(F.col("batch") != batch_id)
+                      .filter(F.col(ts).between(F.lit(span["lo"]), F.lit(span["hi"]))))
             first = first.join(stored.select(*keys), keys, "left_anti")
         except Exception as exc:  # noqa: BLE001 -- empty target folder on the first batch
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
                 raise
-        first.write.mode("overwrite").parquet(out_dir)
+        out = with_chunk(first, chunk_interval, ts).withColumn("batch", F.lit(batch_id))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("chunk", "batch").parquet(target))
 
     return write
 
@@ -107,4 +119,4 @@ def run_keep_first_ingest(spark: SparkSession, source_dir: str, schema, to_rows,
     q = (rows.writeStream.foreachBatch(keep_first_batch_writer(target))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(target).drop("batch")
+    return spark.read.parquet(target).drop("batch", "chunk")

@@ -144,3 +144,19 @@ def test_bounded_dedup_stream(spark, scratch):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(r.tag_id for r in spark.sql("SELECT * FROM ferrule_dedup").collect()) == [1, 2]
+
+
+def test_batch_writer_replay_is_idempotent(spark, scratch):
+    from ferrule.streaming import keep_first_batch_writer
+
+    target = os.path.join(scratch, "tgt")
+    write = keep_first_batch_writer(target)
+    schema = "tag_id int, timestamp timestamp_ntz, value string, src_row long"
+    ts = dt.datetime(2024, 1, 1)
+    b0 = spark.createDataFrame([(1, ts, "a", 1)], schema)
+    b1 = spark.createDataFrame([(1, ts, "dup", 2), (2, ts, "b", 3)], schema)
+    write(b0, 0)
+    write(b1, 1)
+    write(b1, 1)  # replay after a failure
+    got = sorted((r.tag_id, r.value) for r in spark.read.parquet(target).collect())
+    assert got == [(1, "a"), (2, "b")]
