@@ -577,3 +577,11 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE len(p) > 0) AS valid_paths
        count(*) FILTER (WHERE len(p) = 0) AS invalid_paths,
        (SELECT count(*) FROM cfg) AS deleted, (SELECT count(*) FROM nodes) AS created
 FROM parts"""
+
+ORACLE["layout_merge"] = f"""
+WITH {MERGE_INPUTS},
+first AS (SELECT tag_id, timestamp, arg_min(value, src_row) AS value FROM batch GROUP BY 1, 2)
+SELECT tag_id, timestamp, value FROM target
+UNION ALL
+SELECT f.tag_id, f.timestamp, f.value FROM first f
+WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.tag_id = f.tag_id AND t.timestamp = f.timestamp)"""

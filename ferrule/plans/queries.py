@@ -701,3 +701,18 @@ def q_hierarchy_upload(spark, sf_dir):
 
 
 QUERIES["hierarchy_upload"] = q_hierarchy_upload
+
+
+def q_layout_merge(spark, sf_dir):
+    """M2 + S12: keep-first append into the chunked layout, the lookup of stored keys
+    pruned to the chunks the batch spans; the stored table afterwards."""
+    from ferrule.sources.storage import merge_into_layout, write_series
+
+    target, batch = _merge_inputs(spark, sf_dir)
+    path = _scratch_dir(spark, "merge-layout")
+    write_series(target.select("tag_id", "timestamp", "value"), path, interval="7 days", mode="overwrite")
+    merge_into_layout(spark, path, batch.select("tag_id", "timestamp", "value", "src_row"), "7 days")
+    return spark.read.parquet(path).select("tag_id", "timestamp", "value")
+
+
+QUERIES["layout_merge"] = q_layout_merge

@@ -171,3 +171,25 @@ def import_tables(sources: dict, targets: dict, tables=None) -> dict:
         inserted = first.join(tgt.select(*keys), keys, "left_anti")
         out[name] = (inserted, tgt.unionByName(inserted, allowMissingColumns=True))
     return out
+
+
+def merge_into_layout(spark: SparkSession, path: str, batch: DataFrame, interval: str,
+                      order: str = "src_row") -> DataFrame:
+    """M2 against the stored layout: keep-first inside the batch, drop keys already stored
+    -- reading only the chunks the batch spans -- and append the new rows.
+    Returns the inserted rows (read back from what was written)."""
+    from ferrule.operators.merge import keep_first
+
+    first = keep_first(batch, ["tag_id", "timestamp"], order)
+    span = first.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    if span is None or span["lo"] is None:
+        return first.limit(0)
+    fs, root, _ = _fs(spark, path)
+    if fs.exists(root):
+        stored = read_series(spark, path, interval, span["lo"], span["hi"]).select("tag_id", "timestamp")
+        first = first.join(stored, ["tag_id", "timestamp"], "left_anti")
+    from ferrule.session import cut_lineage
+
+    inserted = cut_lineage(first.drop(order) if order in first.columns else first)
+    write_series(inserted, path, interval=interval, mode="append")
+    return inserted

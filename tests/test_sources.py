@@ -83,3 +83,16 @@ def test_icon_resolution_and_replace(spark):
         raise AssertionError("duplicate paths must be refused")
     except ValueError:
         pass
+
+
+def test_merge_into_layout(spark, scratch):
+    path = os.path.join(scratch, "ts")
+    schema = "tag_id int, timestamp timestamp_ntz, value string, src_row long"
+    ts = dt.datetime(2024, 1, 1)
+    b1 = spark.createDataFrame([(1, ts, "a", 1), (1, ts, "a2", 2), (2, ts, "b", 3)], schema)
+    assert ST.merge_into_layout(spark, path, b1, "7 days").count() == 2
+    b2 = spark.createDataFrame([(1, ts, "late", 1), (3, ts + dt.timedelta(days=30), "c", 2)], schema)
+    assert [r.tag_id for r in ST.merge_into_layout(spark, path, b2, "7 days").collect()] == [3]
+    assert ST.merge_into_layout(spark, path, b2, "7 days").count() == 0  # idempotent
+    got = sorted((r.tag_id, r.value) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "c")]
