@@ -79,25 +79,25 @@ def accessible_workspaces(users: DataFrame, upa: DataFrame, plants: DataFrame, w
                     F.when(F.col("is_owner"), F.lit("owner")).otherwise(F.lit("member")).alias("user_role")))
 
 
-def workspace_access_with_fallback(requests: DataFrame, accessible: DataFrame) -> DataFrame:
-    """Per request ``(user_id, workspace_id, plant_id)``: ``has_access`` and, when denied,
-    the ids of the workspaces the user may open in that plant (sorted, comma separated).
+def workspace_access_with_fallback(requests: DataFrame, accessible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per request ``(user_id, workspace_id, plant_id)`` the verdict and, when denied,
+    the workspaces the user may open in that plant instead.
 
-    The fallback list is aggregated only for (user, plant) pairs that appear in denied
-    requests; its length is bounded by that user's workspaces in the plant."""
+    Returns two relations, with no per-user list ever collected:
+    ``verdicts`` -- one row per request with ``has_access`` and ``alternatives`` (count);
+    ``alternatives`` -- one row per (denied request, available workspace)."""
     acc = accessible.select("user_id", "plant_id", "workspace_id").withColumn("_ok", F.lit(True))
     req = requests.select("user_id", "workspace_id", "plant_id").distinct()
     judged = req.join(acc, ["user_id", "plant_id", "workspace_id"], "left").withColumn(
         "has_access", F.coalesce("_ok", F.lit(False))).drop("_ok")
-    denied_keys = judged.filter(~F.col("has_access")).select("user_id", "plant_id").distinct()
-    lists = (accessible.join(denied_keys, ["user_id", "plant_id"], "left_semi")
-             .groupBy("user_id", "plant_id")
-             .agg(F.array_join(F.array_sort(F.collect_list(F.col("workspace_id").cast("string"))), ",")
-                  .alias("available_workspaces")))
-    out = judged.join(lists, ["user_id", "plant_id"], "left")
-    return out.withColumn("available_workspaces",
-                          F.when(F.col("has_access"), F.lit(None).cast("string"))
-                          .otherwise(F.coalesce("available_workspaces", F.lit(""))))
+    options = accessible.select("user_id", "plant_id", F.col("workspace_id").alias("available_workspace_id"))
+    alternatives = judged.filter(~F.col("has_access")).drop("has_access").join(options, ["user_id", "plant_id"])
+    counts = options.groupBy("user_id", "plant_id").agg(F.count(F.lit(1)).alias("_n"))
+    verdicts = (judged.join(counts, ["user_id", "plant_id"], "left")
+                .withColumn("alternatives", F.when(F.col("has_access"), F.lit(0))
+                            .otherwise(F.coalesce("_n", F.lit(0))).cast("bigint"))
+                .drop("_n"))
+    return verdicts, alternatives
 
 
 def card_access(requests: DataFrame, cards: DataFrame, workspaces: DataFrame, members: DataFrame,

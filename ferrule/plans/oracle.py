@@ -418,6 +418,12 @@ accessible AS (
   WHERE EXISTS (SELECT 1 FROM pa WHERE pa.user_id = r.user_id AND pa.plant_id = w.plant_id)
     AND EXISTS (SELECT 1 FROM users u WHERE u.id = r.user_id AND u.is_active))"""
 
+FALLBACK = """req AS (SELECT DISTINCT o_custkey AS user_id, CAST(c_nationkey * 10 + 1 AS INTEGER) AS workspace_id,
+               c_nationkey AS plant_id FROM oc),
+judged AS (
+  SELECT req.*, EXISTS (SELECT 1 FROM accessible a WHERE a.user_id = req.user_id AND a.plant_id = req.plant_id
+                        AND a.workspace_id = req.workspace_id) AS has_access FROM req)"""
+
 ORACLE.update({
     "access_permissions": f"WITH {ACCESS} SELECT user_id, plant_id, permission FROM perms",
     "access_any_plant": f"WITH {ACCESS} SELECT DISTINCT user_id, permission FROM perms",
@@ -425,18 +431,16 @@ ORACLE.update({
     "active_plants": f"WITH {ACCESS} SELECT id, name FROM plants WHERE is_active ORDER BY name, id",
     "accessible_workspaces": f"WITH {ACCESS} SELECT * FROM accessible",
     "workspace_fallback": f"""
-WITH {ACCESS},
-req AS (SELECT DISTINCT o_custkey AS user_id, CAST(c_nationkey * 10 + 1 AS INTEGER) AS workspace_id,
-               c_nationkey AS plant_id FROM oc),
-judged AS (
-  SELECT req.*, EXISTS (SELECT 1 FROM accessible a WHERE a.user_id = req.user_id AND a.plant_id = req.plant_id
-                        AND a.workspace_id = req.workspace_id) AS has_access FROM req),
-lists AS (
-  SELECT user_id, plant_id, array_to_string(list_sort(list(CAST(workspace_id AS VARCHAR))), ',') AS lst
-  FROM accessible GROUP BY 1, 2)
+WITH {ACCESS}, {FALLBACK}
 SELECT j.user_id, j.plant_id, j.workspace_id, j.has_access,
-       CASE WHEN j.has_access THEN NULL ELSE coalesce(l.lst, '') END AS available_workspaces
-FROM judged j LEFT JOIN lists l ON l.user_id = j.user_id AND l.plant_id = j.plant_id""",
+       CASE WHEN j.has_access THEN 0 ELSE coalesce(n.cnt, 0) END AS alternatives
+FROM judged j LEFT JOIN (SELECT user_id, plant_id, count(*) AS cnt FROM accessible GROUP BY 1, 2) n
+  ON n.user_id = j.user_id AND n.plant_id = j.plant_id""",
+    "workspace_alternatives": f"""
+WITH {ACCESS}, {FALLBACK}
+SELECT j.user_id, j.plant_id, j.workspace_id, a.workspace_id AS available_workspace_id
+FROM judged j JOIN accessible a ON a.user_id = j.user_id AND a.plant_id = j.plant_id
+WHERE NOT j.has_access""",
     "card_access": f"""
 WITH {ACCESS},
 req AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS card_id, l_suppkey AS user_id FROM lineitem),

@@ -396,8 +396,7 @@ def q_accessible_workspaces(spark, sf_dir):
     return accessible_workspaces(t["users"], t["upa"], t["plants"], t["workspaces"], t["members"])
 
 
-def q_workspace_fallback(spark, sf_dir):
-    """Request verdicts with the fallback list of accessible workspaces."""
+def _fallback(spark, sf_dir):
     from ferrule.operators.access import accessible_workspaces, workspace_access_with_fallback
 
     t = A.access_tables(spark, sf_dir)
@@ -405,6 +404,16 @@ def q_workspace_fallback(spark, sf_dir):
     return workspace_access_with_fallback(t["ws_requests"], acc)
 
 
+def q_workspace_fallback(spark, sf_dir):
+    """Request verdicts with the number of alternative workspaces."""
+    return _fallback(spark, sf_dir)[0]
+
+
+def q_workspace_alternatives(spark, sf_dir):
+    """For denied requests, each workspace the user may open in that plant."""
+    return _fallback(spark, sf_dir)[1]
+
+
 def q_card_access(spark, sf_dir):
     """Card access verdict per request with the granting rule."""
     from ferrule.operators.access import card_access, effective_permissions
@@ -421,6 +430,7 @@ QUERIES.update({
     "active_plants": q_active_plants,
     "accessible_workspaces": q_accessible_workspaces,
     "workspace_fallback": q_workspace_fallback,
+    "workspace_alternatives": q_workspace_alternatives,
     "card_access": q_card_access,
 })
 
