@@ -589,3 +589,5 @@ SELECT tag_id, timestamp, value FROM target
 UNION ALL
 SELECT f.tag_id, f.timestamp, f.value FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.tag_id = f.tag_id AND t.timestamp = f.timestamp)"""
+
+ORACLE.update({name: "SELECT * FROM customer" for name in ("records_csv", "records_json", "records_xml")})

@@ -726,3 +726,39 @@ def q_layout_merge(spark, sf_dir):
 
 
 QUERIES["layout_merge"] = q_layout_merge
+
+
+# --- record readers (S4-S6): a driver table written as CSV / JSON / XML and read back -----
+
+def _records(spark, sf_dir, fmt):
+    from ferrule.sources import sheet as S
+    from ferrule.sources.tables import read_table
+
+    cust = read_table(spark, sf_dir, "customer")
+    path = _scratch_dir(spark, f"records-{fmt}")
+    if fmt == "csv":
+        cust.write.option("header", True).csv(path)
+        return S.read_csv_records(spark, path, schema=cust.schema)
+    if fmt == "json":
+        cust.write.json(path)
+        return S.read_json_records(spark, path, schema=cust.schema, multi_line=False)
+    cust.write.format("xml").option("rootTag", "root").option("rowTag", "record").save(path)
+    return S.read_xml_records(spark, path, schema=cust.schema)
+
+
+def q_records_csv(spark, sf_dir):
+    """CSV records with a header line."""
+    return _records(spark, sf_dir, "csv")
+
+
+def q_records_json(spark, sf_dir):
+    """JSON records."""
+    return _records(spark, sf_dir, "json")
+
+
+def q_records_xml(spark, sf_dir):
+    """XML records under root/record."""
+    return _records(spark, sf_dir, "xml")
+
+
+QUERIES.update({"records_csv": q_records_csv, "records_json": q_records_json, "records_xml": q_records_xml})

@@ -109,7 +109,8 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str = "record", sc
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def read_json_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A JSON array (or object per line) of records."""
-    reader = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """JSON records (S6): a JSON array of objects per file (``multi_line=True``, the
+    upload format) or one object per line (``multi_line=False``, splittable)."""
+    reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).json(path)
