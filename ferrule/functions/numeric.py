@@ -29,3 +29,27 @@ def numeric_value(value: Column | str, mode: str = "strict") -> Column:
 def is_numeric(value: Column | str, mode: str = "strict") -> Column:
     col = F.col(value) if isinstance(value, str) else value
     return F.coalesce(col.rlike(_PATTERNS[mode]), F.lit(False))
+
+
+# Exact-sum type for averages (28 integer digits, 10 decimals).
+EXACT_DECIMAL = "decimal(38,10)"
+
+
+def numeric_decimal(value: Column | str, mode: str = "strict") -> Column:
+    """Numeric text as an exact decimal (NULL when not numeric or out of range)."""
+    col = F.col(value) if isinstance(value, str) else value
+    return F.when(col.rlike(_PATTERNS[mode]), col.try_cast(EXACT_DECIMAL))
+
+
+def exact_avg(value: Column | str, mode: str = "strict") -> Column:
+    """Average of the numeric readings from an exact decimal sum (aggregate expression).
+
+    The sum is order-independent, so the result is identical whatever the partitioning
+    or task retries (a double sum is not) and equals the exact mean up to the final
+    division.  Readings outside ``decimal(38,10)`` or a sum overflow fall back to the
+    plain double average."""
+    num = numeric_value(value, mode)
+    dec = numeric_decimal(value, mode)
+    total = F.try_sum(dec)
+    exact = total.cast("double") / F.count(dec)
+    return F.when((F.count(dec) == F.count(num)) & total.isNotNull(), exact).otherwise(F.avg(num))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.numeric import numeric_value
+from ferrule.functions.numeric import exact_avg, numeric_value
 from ferrule.functions.timebucket import (
     bucket_end, date_trunc, parse_interval, time_bucket,
 )
@@ -71,7 +71,7 @@ def _num(mode: str) -> Column:
 def _stats(mode: str, with_first_last: bool = False):
     num = _num(mode)
     aggs = [
-        F.avg(num).alias("avg_value"),
+        exact_avg(F.col("value"), mode).alias("avg_value"),
         F.min(num).alias("min_value"),
         F.max(num).alias("max_value"),
     ]
@@ -199,7 +199,8 @@ def daily_rollup(series: DataFrame, numeric_mode: str = "strict", start=None, en
     """Per tag and 1-day bucket: avg numeric reading and sample count."""
     df = time_range(series, start, end)
     return (df.groupBy("tag_id", time_bucket("1 day", "timestamp").alias("bucket"))
-            .agg(F.avg(_num(numeric_mode)).alias("avg_value"), F.count(F.lit(1)).alias("sample_count")))
+            .agg(exact_avg(F.col("value"), numeric_mode).alias("avg_value"),
+                 F.count(F.lit(1)).alias("sample_count")))
 
 
 def refresh_window(as_of, start_offset: str = "1 month", end_offset: str = "1 hour"):

@@ -7,6 +7,11 @@ from __future__ import annotations
 
 NUM = r"CASE WHEN regexp_full_match(value, '[0-9]+(\.[0-9]+)?') THEN CAST(value AS DOUBLE) END"
 
+DEC = r"CASE WHEN regexp_full_match(value, '[0-9]+(\.[0-9]+)?') THEN CAST(value AS DECIMAL(38,10)) END"
+AVG = f"(CAST(sum({DEC}) AS DOUBLE) / count({DEC}))"
+SIGNED_DEC = r"CASE WHEN regexp_full_match(value, '-?[0-9]+(\.[0-9]+)?') THEN CAST(value AS DECIMAL(38,10)) END"
+SIGNED_AVG = f"(CAST(sum({SIGNED_DEC}) AS DOUBLE) / count({SIGNED_DEC}))"
+
 TYPE_TAGS = """type_tags AS (
   SELECT CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS id, event_type AS name
   FROM (SELECT DISTINCT event_type FROM events))"""
@@ -29,7 +34,7 @@ ORACLE = {
     "metrics_hourly": f"""
 WITH {SERIES_BY_TYPE}
 SELECT tag_id, time_bucket(INTERVAL '1 hour', timestamp) AS bucket,
-       round(avg({NUM}), 6) AS avg_value, round(min({NUM}), 6) AS min_value,
+       round({AVG}, 6) AS avg_value, round(min({NUM}), 6) AS min_value,
        round(max({NUM}), 6) AS max_value, count(*) AS sample_count
 FROM series GROUP BY 1, 2""",
 }
@@ -44,11 +49,11 @@ SERIES_BY_SUPPLIER = """series AS (
 RANGE = "timestamp BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"
 
 
-def _metrics(series_cte: str, bucket: str, where: str = "", num: str = NUM) -> str:
+def _metrics(series_cte: str, bucket: str, where: str = "", num: str = NUM, avg: str = AVG) -> str:
     return f"""
 WITH {series_cte}
 SELECT tag_id, {bucket} AS bucket,
-       round(avg({num}), 6) AS avg_value, round(min({num}), 6) AS min_value,
+       round({avg}, 6) AS avg_value, round(min({num}), 6) AS min_value,
        round(max({num}), 6) AS max_value, count(*) AS sample_count
 FROM series {('WHERE ' + where) if where else ''} GROUP BY 1, 2"""
 
@@ -64,7 +69,7 @@ def _gapfill(series_cte: str, width: str, where: str = "", lo: str | None = None
 WITH {series_cte},
 agg AS (
   SELECT tag_id, time_bucket(INTERVAL '{width}', timestamp) AS bucket,
-         avg({NUM}) AS avg_value, min({NUM}) AS min_value, max({NUM}) AS max_value,
+         {AVG} AS avg_value, min({NUM}) AS min_value, max({NUM}) AS max_value,
          arg_min({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS first_value,
          arg_max({NUM}, timestamp) FILTER (WHERE {NUM} IS NOT NULL) AS last_value,
          count(*) AS sample_count
@@ -106,7 +111,8 @@ ORACLE.update({
     "metrics_weekly": _metrics(SERIES_BY_USER, "time_bucket(INTERVAL '7 days', timestamp)"),
     "metrics_trunc_day": _metrics(SERIES_BY_TYPE, "date_trunc('day', timestamp)"),
     "metrics_quarterly": _metrics(SERIES_BY_SUPPLIER, "time_bucket(INTERVAL '3 months', timestamp)"),
-    "metrics_signed": _metrics(SERIES_BY_TYPE, "time_bucket(INTERVAL '1 day', timestamp)", num=SIGNED),
+    "metrics_signed": _metrics(SERIES_BY_TYPE, "time_bucket(INTERVAL '1 day', timestamp)", num=SIGNED,
+                               avg=SIGNED_AVG),
     "gapfill_hourly": _gapfill(SERIES_BY_TYPE, "1 hour"),
     "gapfill_users_range": _gapfill(SERIES_BY_USER, "6 hours", RANGE,
                                     "2024-01-10 00:00:00", "2024-01-20 12:00:00"),
@@ -121,7 +127,7 @@ FROM series GROUP BY 1, 2""",
     "daily_rollup": f"""
 WITH {SERIES_BY_USER}
 SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket,
-       round(avg({NUM}), 6) AS avg_value, count(*) AS sample_count
+       round({AVG}, 6) AS avg_value, count(*) AS sample_count
 FROM series GROUP BY 1, 2""",
     "upload_history": f"""
 WITH {USER_FREQ}
@@ -485,7 +491,7 @@ SELECT tag_id, frequency, {_CHUNK_CASE} AS chunk_interval, {_ROLLUP_CASE} AS rol
     "daily_rollup_stream": f"""
 WITH {SERIES_BY_TYPE},
 wm AS (SELECT max(timestamp) - INTERVAL '1 hour' AS w FROM series)
-SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round(avg({NUM}), 6) AS avg_value,
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value,
        count(*) AS sample_count
 FROM series GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 day', timestamp) + INTERVAL '1 day' <= (SELECT w FROM wm)""",
     "keep_first_stream": ORACLE["keep_first"],
@@ -568,7 +574,7 @@ SELECT tag_name, count(*) AS rows FROM cells WHERE tag_name NOT IN (SELECT name
 
 ORACLE["daily_rollup_refresh"] = f"""
 WITH {SERIES_BY_USER}
-SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round(avg({NUM}), 6) AS avg_value,
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value,
        count(*) AS sample_count
 FROM series
 WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 month')

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.functions.numeric import numeric_value
+from ferrule.functions.numeric import exact_avg
 from ferrule.session import ensure_checkpoint_dir
 
 ROLLUP_SCHEMA = "tag_id int, bucket timestamp_ntz, avg_value double, sample_count bigint"
@@ -37,7 +37,7 @@ def daily_rollup_stream(stream: DataFrame, watermark: str = "1 hour", numeric_mo
     ets = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))
     agg = (stream.withColumn("_ets", ets).withWatermark("_ets", watermark)
            .groupBy(F.window("_ets", "1 day").alias("w"), "tag_id")
-           .agg(F.avg(numeric_value(F.col("value"), numeric_mode)).alias("avg_value"),
+           .agg(exact_avg(F.col("value"), numeric_mode).alias("avg_value"),
                 F.count(F.lit(1)).alias("sample_count")))
     bucket = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")), epoch)
     return agg.select("tag_id", bucket.alias("bucket"), "avg_value", "sample_count")

@@ -100,3 +100,13 @@ def test_iso_bounds_in_range_filter(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10),), (dt.datetime(2024, 1, 1, 12),)], "timestamp timestamp_ntz")
     got = time_range(df, "2024-01-01T09:00:00Z", "2024-01-01T11:00:00+02:00").collect()
     assert [r[0] for r in got] == [dt.datetime(2024, 1, 1, 10)]
+
+
+def test_exact_avg_and_fallback(spark):
+    from ferrule.functions.numeric import exact_avg
+
+    df = spark.createDataFrame([("g", v) for v in ["0.1", "0.2", "0.3", "BAD", "-5"]] +
+                               [("h", "1" + "0" * 30), ("h", "1")], "k string, v string")
+    got = {r.k: r.a for r in df.groupBy("k").agg(exact_avg("v").alias("a")).collect()}
+    assert got["g"] == 0.6 / 3  # exact decimal sum 0.6, then one double division
+    assert got["h"] == (1e30 + 1) / 2  # beyond decimal(38,10): double fallback
