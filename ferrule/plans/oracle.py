@@ -597,3 +597,11 @@ SELECT f.tag_id, f.timestamp, f.value FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.tag_id = f.tag_id AND t.timestamp = f.timestamp)"""
 
 ORACLE.update({name: "SELECT * FROM customer" for name in ("records_csv", "records_json", "records_xml")})
+
+ORACLE.update({
+    "split_files": "SELECT count(*) AS total_rows, true AS within_limit FROM lineitem",
+    "compaction": f"""
+WITH {SERIES_BY_SUPPLIER}
+SELECT tag_id, timestamp, value FROM series
+WHERE time_bucket(INTERVAL '30 days', timestamp) < time_bucket(INTERVAL '30 days', TIMESTAMP '1996-01-01 00:00:00')""",
+})

@@ -762,3 +762,34 @@ def q_records_xml(spark, sf_dir):
 
 
 QUERIES.update({"records_csv": q_records_csv, "records_json": q_records_json, "records_xml": q_records_xml})
+
+
+def q_split_files(spark, sf_dir):
+    """A whole table written as CSV files of at most 500,000 rows, read back."""
+    from ferrule.sources.storage import SPLIT_ROWS, split_csv
+    from ferrule.sources.tables import read_table
+
+    li = read_table(spark, sf_dir, "lineitem")
+    path = _scratch_dir(spark, "split")
+    split_csv(li, path)
+    back = spark.read.option("header", True).schema(li.schema).csv(path).withColumn("_f", F.input_file_name())
+    per_file = back.groupBy("_f").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.sum("n").cast("bigint").alias("total_rows"),
+                        (F.max("n") <= SPLIT_ROWS).alias("within_limit"))
+
+
+COMPACT_BEFORE = "1996-01-01 00:00:00"
+
+
+def q_compaction(spark, sf_dir):
+    """R2: chunks starting before a date rewritten into a sorted layout."""
+    from ferrule.sources.storage import compact_chunks, write_series
+
+    src = _scratch_dir(spark, "compact-src")
+    dst = _scratch_dir(spark, "compact-dst")
+    write_series(A.series_by_supplier(spark, sf_dir), src, interval="30 days", mode="overwrite")
+    compact_chunks(spark, src, dst, COMPACT_BEFORE, "30 days")
+    return spark.read.parquet(dst).select("tag_id", "timestamp", "value")
+
+
+QUERIES.update({"split_files": q_split_files, "compaction": q_compaction})
