@@ -118,3 +118,20 @@ def card_access(requests: DataFrame, cards: DataFrame, workspaces: DataFrame, me
               .when(F.col("_ws") & F.col("card_active"), F.lit("workspace"))
               .when(F.col("_perm"), F.lit("permission")))
     return r.select("card_id", "user_id", reason.isNotNull().alias("allowed"), reason.alias("reason"))
+
+
+def legacy_permissions(users: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
+    """Single-role schema -- ``(user_id, permission)`` through the user's ``role_id``
+    (no DISTINCT: a permission granted twice to the role is listed twice)."""
+    return (users.select(F.col("id").alias("user_id"), "role_id")
+            .join(role_permissions.select("role_id", "permission_id"), "role_id")
+            .join(permissions.select(F.col("id").alias("permission_id"), F.col("name").alias("permission")),
+                  "permission_id")
+            .select("user_id", "permission"))
+
+
+def user_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """The role of each user in the single-role schema."""
+    return (users.select(F.col("id").alias("user_id"), "role_id")
+            .join(roles.select(F.col("id").alias("role_id"), F.col("name").alias("role_name")), "role_id")
+            .select("user_id", "role_id", "role_name"))

@@ -605,3 +605,14 @@ WITH {SERIES_BY_SUPPLIER}
 SELECT tag_id, timestamp, value FROM series
 WHERE time_bucket(INTERVAL '30 days', timestamp) < time_bucket(INTERVAL '30 days', TIMESTAMP '1996-01-01 00:00:00')""",
 })
+
+ORACLE.update({
+    "legacy_permissions": f"""
+WITH {ACCESS}
+SELECT cr.c_custkey AS user_id, p.name AS permission FROM cust_role cr
+JOIN role_permissions rp ON rp.role_id = cr.global_role_id JOIN permissions p ON p.id = rp.permission_id""",
+    "user_roles": f"""
+WITH {ACCESS}
+SELECT cr.c_custkey AS user_id, cr.global_role_id AS role_id, r.name AS role_name
+FROM cust_role cr JOIN roles r ON r.id = cr.global_role_id""",
+})

@@ -793,3 +793,22 @@ def q_compaction(spark, sf_dir):
 
 
 QUERIES.update({"split_files": q_split_files, "compaction": q_compaction})
+
+
+def q_legacy_permissions(spark, sf_dir):
+    """Permissions through the single role of each user."""
+    from ferrule.operators.access import legacy_permissions
+
+    t = A.access_tables(spark, sf_dir)
+    return legacy_permissions(t["legacy_users"], t["role_permissions"], t["permissions"])
+
+
+def q_user_roles(spark, sf_dir):
+    """Role of each user."""
+    from ferrule.operators.access import user_roles
+
+    t = A.access_tables(spark, sf_dir)
+    return user_roles(t["legacy_users"], t["roles"])
+
+
+QUERIES.update({"legacy_permissions": q_legacy_permissions, "user_roles": q_user_roles})

@@ -233,7 +233,8 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict:
     ws_requests = (oc.select(F.col("o_custkey").alias("user_id"),
                              _ws_id(F.col("c_nationkey"), F.lit(URGENT_PRIORITY)).alias("workspace_id"),
                              F.col("c_nationkey").alias("plant_id")).distinct())
-    return dict(users=users, plants=plants, roles=roles, permissions=permissions,
+    legacy_users = cust_role.select(F.col("c_custkey").alias("id"), F.col("global_role_id").alias("role_id"))
+    return dict(users=users, plants=plants, roles=roles, permissions=permissions, legacy_users=legacy_users,
                 role_permissions=role_permissions, upa=upa, workspaces=workspaces, members=members,
                 cards=cards, card_requests=card_requests, ws_requests=ws_requests)
 
