@@ -37,6 +37,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif not master:
+        # cluster: AQE can merge small shuffle partitions but never split an oversized
+        # one, so start from many and let the 128 MB advisory size coalesce them
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                                 os.environ.get("FERRULE_INITIAL_PARTITIONS", "8192"))
     builder = builder.config("spark.driver.memory", os.environ.get("FERRULE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

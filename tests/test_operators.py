@@ -211,3 +211,14 @@ def test_refresh_daily_rollup_overwrites_only_window(spark, scratch):
     assert lo == dt.datetime(2024, 1, 15) and hi == dt.datetime(2024, 2, 14, 23)
     got = {str(r.day): r.avg_value for r in spark.read.parquet(path).collect()}
     assert got == {"2024-01-01": 1.0, "2024-01-20": 200.0, "2024-01-30": 300.0}
+
+
+def test_gapfill_monthly_spine(spark):
+    rows = [(1, dt.datetime(2023, 11, 15), "1"), (1, dt.datetime(2024, 3, 2), "5")]
+    s = spark.createDataFrame(rows, "tag_id int, timestamp timestamp_ntz, value string")
+    out = M.gapfilled_metrics(s, "1 month").orderBy("bucket").collect()
+    assert [r.bucket for r in out] == [dt.datetime(2023, 11, 1), dt.datetime(2023, 12, 1), dt.datetime(2024, 1, 1),
+                                       dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1)]
+    assert [r.interpolated_value for r in out] == [1.0, 1.0, 1.0, 1.0, 5.0]
+    ranged = M.gapfilled_metrics(s, "2 months", "2023-10-01 00:00:00", "2024-04-30 00:00:00").orderBy("bucket")
+    assert [r.bucket.month for r in ranged.collect()] == [9, 11, 1, 3]
