@@ -222,3 +222,11 @@ def test_gapfill_monthly_spine(spark):
     assert [r.interpolated_value for r in out] == [1.0, 1.0, 1.0, 1.0, 5.0]
     ranged = M.gapfilled_metrics(s, "2 months", "2023-10-01 00:00:00", "2024-04-30 00:00:00").orderBy("bucket")
     assert [r.bucket.month for r in ranged.collect()] == [9, 11, 1, 3]
+
+
+def test_global_ordinal_large_input_partial_sampling(spark):
+    # enough rows that range bounds come from a partial sample
+    df = spark.range(0, 300_000).select(((F.col("id") * 7919) % 300_000).alias("k"))
+    out = with_global_ordinal(df, ["k"], name="o", num_partitions=16)
+    bad = out.filter(F.col("o") != F.col("k")).count()
+    assert bad == 0 and out.count() == 300_000
