@@ -184,10 +184,12 @@ def merge_into_layout(spark: SparkSession, path: str, batch: DataFrame, interval
     span = first.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
     if span is None or span["lo"] is None:
         return first.limit(0)
-    fs, root, _ = _fs(spark, path)
-    if fs.exists(root):
+    try:
         stored = read_series(spark, path, interval, span["lo"], span["hi"]).select("tag_id", "timestamp")
         first = first.join(stored, ["tag_id", "timestamp"], "left_anti")
+    except Exception as exc:  # noqa: BLE001 -- first write: nothing stored yet
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
     from ferrule.session import cut_lineage
 
     inserted = cut_lineage(first.drop(order) if order in first.columns else first)
