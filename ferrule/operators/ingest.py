@@ -27,12 +27,11 @@ def sheet_rows(sheet: Sheet, check_all_bad: bool = True) -> DataFrame:
     for i, (name, positional) in enumerate(sheet.tag_columns.items()):
         cells = [na_to_null(F.col(c)) for c in positional]
         cols.append((F.coalesce(*cells) if len(cells) > 1 else cells[0]).alias(f"t{i}"))
-    rows = sheet.data.select(*cols)
-    if check_all_bad:
-        probe = rows.agg(F.count("timestamp").alias("ok")).first()
-        if probe is None or probe["ok"] == 0:
-            raise SheetError(f"All values in {sheet.time_column} could not be converted to datetime.")
-    return rows.filter(F.col("timestamp").isNotNull())
+    rows = sheet.data.select(*cols).filter(F.col("timestamp").isNotNull())
+    # stops at the first parseable line; only an all-bad sheet is read to the end
+    if check_all_bad and rows.isEmpty():
+        raise SheetError(f"All values in {sheet.time_column} could not be converted to datetime.")
+    return rows
 
 
 def melt(rows: DataFrame, tag_names) -> DataFrame:
