@@ -230,3 +230,14 @@ def test_global_ordinal_large_input_partial_sampling(spark):
     out = with_global_ordinal(df, ["k"], name="o", num_partitions=16)
     bad = out.filter(F.col("o") != F.col("k")).count()
     assert bad == 0 and out.count() == 300_000
+
+
+def test_cycle_walk_for_repeated_label(spark):
+    cfg = _cfg(spark, [
+        ("L", "a:L", "M", True),   # first active record of L (by path): walk M -> end
+        ("L", "z:L", "N", True),   # walk N -> next(N) = L: returns to its own label
+        ("M", "M", None, True),
+        ("N", "N", "L", True),     # walk L -> M -> end
+    ])
+    got = {(r.label, r.path) for r in H.circular_records(cfg).collect()}
+    assert got == {("L", "z:L")}
