@@ -241,3 +241,21 @@ def test_cycle_walk_for_repeated_label(spark):
     ])
     got = {(r.label, r.path) for r in H.circular_records(cfg).collect()}
     assert got == {("L", "z:L")}
+
+
+def test_tag_statistics_gapfill(spark):
+    tags = spark.createDataFrame([(1, "flow", "m3/h")], "id int, name string, unit_of_measure string")
+    s = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 5), "1"), (1, dt.datetime(2024, 1, 3, 7), "2")],
+                              "tag_id int, timestamp timestamp_ntz, value string")
+    out = M.tag_statistics(s, tags, gapfill=True).orderBy("day").collect()
+    assert [(r.day.day, r.data_points) for r in out] == [(1, 1), (2, 0), (3, 1)]
+    assert all(r.name == "flow" for r in out)
+
+
+def test_range_filter_reaches_parquet_scan(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        F.col("user_id").cast("int").alias("tag_id"), F.col("ts").alias("timestamp"), F.lit("1").alias("value"))
+    q = M.bucket_metrics(ev, "1 hour", "2024-01-10 00:00:00", "2024-01-11 00:00:00")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-10T00:00)" in plan and "LessThanOrEqual(ts,2024-01-11T00:00)" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
