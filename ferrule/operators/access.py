@@ -135,3 +135,19 @@ def user_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
     return (users.select(F.col("id").alias("user_id"), "role_id")
             .join(roles.select(F.col("id").alias("role_id"), F.col("name").alias("role_name")), "role_id")
             .select("user_id", "role_id", "role_name"))
+
+
+def permission_checks(requests: DataFrame, permissions_by_plant: DataFrame, users: DataFrame) -> DataFrame:
+    """X1 membership test per request ``(user_id, plant_id, permission)``: allowed when the
+    user holds it in that plant (a NULL plant means any plant); while the system has no
+    users at all, every request is allowed (first-time setup)."""
+    first_time = users.isEmpty()  # one-row probe, not a scan of the table
+    req = requests.select("user_id", "plant_id", "permission")
+    held = permissions_by_plant.select("user_id", "plant_id", "permission").withColumn("_hit", F.lit(True))
+    any_plant = held.select("user_id", "permission", F.col("_hit").alias("_any")).distinct()
+    out = (req.join(held, ["user_id", "plant_id", "permission"], "left")
+           .join(any_plant, ["user_id", "permission"], "left"))
+    granted = F.when(F.col("plant_id").isNull(), F.coalesce("_any", F.lit(False))) \
+        .otherwise(F.coalesce("_hit", F.lit(False)))
+    allowed = F.lit(True) if first_time else granted
+    return out.select("user_id", "plant_id", "permission", allowed.alias("allowed"))

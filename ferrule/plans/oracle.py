@@ -616,3 +616,13 @@ WITH {ACCESS}
 SELECT cr.c_custkey AS user_id, cr.global_role_id AS role_id, r.name AS role_name
 FROM cust_role cr JOIN roles r ON r.id = cr.global_role_id""",
 })
+
+ORACLE["permission_checks"] = f"""
+WITH {ACCESS},
+req AS (SELECT DISTINCT user_id, plant_id, 'view_any_user_cards' AS permission FROM upa)
+SELECT r.user_id, r.plant_id, r.permission,
+       CASE WHEN r.plant_id IS NULL
+            THEN EXISTS (SELECT 1 FROM perms p WHERE p.user_id = r.user_id AND p.permission = r.permission)
+            ELSE EXISTS (SELECT 1 FROM perms p WHERE p.user_id = r.user_id AND p.plant_id = r.plant_id
+                         AND p.permission = r.permission) END AS allowed
+FROM req r"""

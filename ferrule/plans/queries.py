@@ -812,3 +812,17 @@ def q_user_roles(spark, sf_dir):
 
 
 QUERIES.update({"legacy_permissions": q_legacy_permissions, "user_roles": q_user_roles})
+
+
+def q_permission_checks(spark, sf_dir):
+    """X1 membership test: may each ordering customer view any user's cards in each
+    plant it buys from?"""
+    from ferrule.operators.access import effective_permissions, permission_checks
+
+    t = A.access_tables(spark, sf_dir)
+    perms = effective_permissions(t["upa"], t["role_permissions"], t["permissions"])
+    req = t["upa"].select("user_id", "plant_id").distinct().withColumn("permission", F.lit("view_any_user_cards"))
+    return permission_checks(req, perms, t["users"])
+
+
+QUERIES["permission_checks"] = q_permission_checks

@@ -259,3 +259,16 @@ def test_range_filter_reaches_parquet_scan(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-10T00:00)" in plan and "LessThanOrEqual(ts,2024-01-11T00:00)" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
+
+
+def test_permission_checks_any_plant_and_first_time(spark):
+    from ferrule.operators.access import permission_checks
+
+    perms = spark.createDataFrame([(1, 10, "edit"), (2, 20, "view")], "user_id long, plant_id int, permission string")
+    req = spark.createDataFrame([(1, 10, "edit"), (1, 20, "edit"), (1, None, "edit"), (2, None, "edit")],
+                                "user_id long, plant_id int, permission string")
+    users = spark.createDataFrame([(1, True)], "id long, is_active boolean")
+    got = {(r.user_id, r.plant_id): r.allowed for r in permission_checks(req, perms, users).collect()}
+    assert got == {(1, 10): True, (1, 20): False, (1, None): True, (2, None): False}
+    nobody = users.limit(0)
+    assert all(r.allowed for r in permission_checks(req, perms, nobody).collect())
