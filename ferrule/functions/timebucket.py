@@ -110,16 +110,6 @@ def bucket_end(interval: str | Interval, start: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", F.lit(iv.micros), start)
 
 
-def bucket_sequence(interval: str | Interval, first: Column | str, last: Column | str) -> Column:
-    """Array of every bucket start from ``first`` to ``last`` inclusive (gap-fill spine)."""
-    iv = parse_interval(interval)
-    step = (F.expr(f"INTERVAL {iv.months} MONTH") if iv.is_monthly
-            else F.expr(f"INTERVAL {iv.micros} MICROSECOND"))
-    if iv.unit == "week" or (not iv.is_monthly and iv.micros % MICROS["day"] == 0):
-        step = F.expr(f"INTERVAL {iv.micros // MICROS['day']} DAY")
-    return F.sequence(_col(first), _col(last), step)
-
-
 def date_trunc(unit: str, ts: Column | str) -> Column:
     """Truncation variant (unit names only, as NTZ)."""
     unit = unit.lower().rstrip("s") if unit.lower() not in ("hours",) else "hour"

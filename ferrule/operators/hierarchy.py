@@ -14,16 +14,13 @@ is_active, icon)``; paths are ``:``-separated.  Everything is set-based:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import default_icon, display_name, strip_ws
 from ferrule.operators.ordinal import with_global_ordinal
 from ferrule.session import cut_lineage
 
-NODE_COLUMNS = ("label", "path", "parent_label", "display_order", "display_name", "icon")
-
-
 def path_parts(path) -> Column:
     """Cleaned components: split on ``:``, trim each, drop blanks."""
     col = F.col(path) if isinstance(path, str) else path

@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.numeric import exact_avg, numeric_value
-from ferrule.functions.timebucket import (
-    bucket_end, date_trunc, parse_interval, time_bucket,
-)
+from ferrule.functions.timebucket import date_trunc, parse_interval, time_bucket
 
 SPINE_BLOCK = 4096  # buckets per spine block / locf window partition
 
@@ -248,10 +246,6 @@ def tag_statistics(series: DataFrame, tags: DataFrame, tag_ids=None, start=None,
             .withColumn("daily_count", F.coalesce("daily_count", F.lit(0))))
 
 
-def bucket_bounds(interval: str, bucket: str = "bucket") -> Column:
-    return bucket_end(interval, bucket)
-
-
 def refresh_daily_rollup(series: DataFrame, path: str, as_of, start_offset: str = "1 month",
                          end_offset: str = "1 hour", numeric_mode: str = "strict") -> tuple:
     """Materialised daily rollup (A6): recompute the days touching

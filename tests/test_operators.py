@@ -272,3 +272,15 @@ def test_permission_checks_any_plant_and_first_time(spark):
     assert got == {(1, 10): True, (1, 20): False, (1, None): True, (2, None): False}
     nobody = users.limit(0)
     assert all(r.allowed for r in permission_checks(req, perms, nobody).collect())
+
+
+def test_key_membership_delete_and_iso_output(spark):
+    from ferrule.functions.timebucket import iso_format
+
+    ts = dt.datetime(2024, 1, 1, 8, 5, 3)
+    stored = spark.createDataFrame([(1, ts, "a"), (2, ts, "b")], "tag_id int, timestamp timestamp_ntz, value string")
+    keys = spark.createDataFrame([(2, ts), (3, ts)], "tag_id int, timestamp timestamp_ntz")
+    assert [r.tag_id for r in MG.stored_keys_in(keys, stored).collect()] == [2]
+    remaining, deleted = MG.delete_keys(stored, keys, ["tag_id", "timestamp"])
+    assert [r.tag_id for r in remaining.collect()] == [1] and [r.tag_id for r in deleted.collect()] == [2]
+    assert stored.select(iso_format("timestamp")).first()[0] == "2024-01-01T08:05:03"
