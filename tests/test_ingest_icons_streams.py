@@ -160,3 +160,40 @@ def test_batch_writer_replay_is_idempotent(spark, scratch):
     write(b1, 1)  # replay after a failure
     got = sorted((r.tag_id, r.value) for r in spark.read.parquet(target).collect())
     assert got == [(1, "a"), (2, "b")]
+
+
+def _brute_force_audit(name, data: bytes):
+    import xml.etree.ElementTree as ET
+
+    if not name.lower().endswith(".svg"):
+        return "File must be an SVG file (.svg)"
+    if len(data) > 1024 * 1024:
+        return "SVG file too large (max 1MB)"
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return "File encoding not supported (use UTF-8)"
+    try:
+        ET.fromstring(text)
+    except ET.ParseError as e:
+        return f"Invalid XML/SVG format: {e}"
+    low = text.lower()
+    if "<svg" not in low:
+        return "File does not contain valid SVG content"
+    for el in ("script", "object", "embed", "iframe", "link"):
+        if f"<{el}" in low:
+            return f"SVG contains potentially dangerous element: {el}"
+    return None
+
+
+def test_icon_audit_query_matches_brute_force(spark):
+    import pandas as pd
+
+    from ferrule.plans.queries import q_icon_audit
+
+    sf = "/root/testdata/sf0.001"
+    pages = pd.read_parquet(f"{sf}/pages.parquet")
+    want = {f"page_{r.page_id}.svg": _brute_force_audit(f"page_{r.page_id}.svg", r.html.encode("utf-8"))
+            for r in pages.itertuples()}
+    got = {r.file_name: r.error for r in q_icon_audit(spark, sf).collect()}
+    assert got == want and len(got) == len(pages)
