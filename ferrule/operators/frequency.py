@@ -128,12 +128,18 @@ def frequency_by_key(df: DataFrame, keys, ts: str = "timestamp", block: str = "1
     return out.select(*keys, F.coalesce("gap_count", F.lit(0)).cast("bigint").alias("gap_count"), "frequency")
 
 
-def frequency_of_frame(df: DataFrame, ts: str = "timestamp", block: str = "1 hour") -> DataFrame:
-    """Frequency of a whole file (one ordering of all rows): one row ``gap_count, frequency``."""
-    gaps = consecutive_gaps(df, [], ts, block)
+def frequency_of_frame(df: DataFrame, ts: str = "timestamp", block: str = "1 hour",
+                       with_span: bool = False) -> DataFrame:
+    """Frequency of a whole file (one ordering of all rows): one row ``gap_count, frequency``
+    (plus ``lo, hi`` -- the time span, read off the same per-block summary -- when asked)."""
+    gaps, edges = _gaps_and_edges(df, [], ts, block)
     agg = gaps.agg(*frequency_label_aggs())
-    return agg.select(F.col("_n").cast("bigint").alias("gap_count"),
-                      frequency_label_from_aggs().alias("frequency"))
+    out = agg.select(F.col("_n").cast("bigint").alias("gap_count"),
+                     frequency_label_from_aggs().alias("frequency"))
+    if not with_span:
+        return out
+    span = edges.agg(F.min("_first").alias("lo"), F.max("_last").alias("hi"))
+    return out.withColumn("_k", F.lit(1)).join(span.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def median_gap_by_key(df: DataFrame, keys, ts: str = "timestamp", block: str = "1 hour") -> DataFrame:

@@ -41,9 +41,9 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
     names = list(sheet.tag_columns)
     # parse the text once; every summary and the melt then read the typed rows
     rows = cut_lineage(I.sheet_rows(sheet))
-    freq_row = FQ.frequency_of_frame(rows, "timestamp").first()
-    frequency = freq_row["frequency"] if freq_row else None
-    span = FQ.upload_span(rows, "timestamp")
+    summary = FQ.frequency_of_frame(rows, "timestamp", with_span=True).first()  # one job
+    frequency = summary["frequency"] if summary else None
+    span = (summary["lo"], summary["hi"]) if summary else (None, None)
     upload_names = spark.createDataFrame([(n,) for n in names], "name string")
     conflicts = FQ.frequency_conflicts(upload_names, span, frequency, stored, existing_tags)
     mapping, tags_after = I.upsert_tags(existing_tags, sheet.metadata(spark), frequency, plant_id)
