@@ -65,7 +65,12 @@ def write_series(df: DataFrame, path: str, frequency: str | None = None, interva
 def read_series(spark: SparkSession, path: str, interval: str, start=None, end=None,
                 tag_ids=None, plant_id=None) -> DataFrame:
     """Read the layout with the implied chunk predicate (partition pruning) plus the
-    inclusive timestamp range and tag predicates (row-group pruning)."""
+    inclusive timestamp range and tag predicates (row-group pruning).  Text bounds may be
+    ISO-8601 with a ``Z`` / offset suffix (dropped, wall clock kept)."""
+    from ferrule.functions.timebucket import iso_bound
+
+    start = iso_bound(start) if isinstance(start, str) else start
+    end = iso_bound(end) if isinstance(end, str) else end
     df = spark.read.parquet(path)
     if plant_id is not None:
         df = df.filter(F.col("plant_id") == plant_id)

@@ -96,3 +96,10 @@ def test_merge_into_layout(spark, scratch):
     assert ST.merge_into_layout(spark, path, b2, "7 days").count() == 0  # idempotent
     got = sorted((r.tag_id, r.value) for r in spark.read.parquet(path).collect())
     assert got == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_read_series_iso_bounds(spark, scratch):
+    path = os.path.join(scratch, "ts")
+    interval = ST.write_series(_series(spark), path, frequency="minute")
+    got = ST.read_series(spark, path, interval, "2024-01-10T00:00:00Z", "2024-01-12T23:59:59+00:00")
+    assert got.count() == 6
