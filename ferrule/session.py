@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,20 +69,34 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; only when none is set (local tests)
-    create a private scratch folder under /tmp for this session."""
+    """The shared folder for intermediate tables.
+
+    A cluster names it in ``spark.checkpoint.dir``; without that setting a session whose executors
+    are other processes is refused, since a driver-made local folder would be a different
+    folder on every executor.  Only a plain local session gets a private folder under /tmp.
+    """
     existing = checkpoint_dir(spark)
     if existing:
         return existing
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(
+            "spark.checkpoint.dir must name a folder that the driver and all executors share "
+            f"(master is {master!r})")
     local = tempfile.mkdtemp(prefix="ferrule-ckpt-", dir="/tmp")
     _LOCAL_SCRATCH[id(spark)] = local
-    try:
-        spark.sparkContext.setCheckpointDir(local)
-    except Exception:  # noqa: BLE001
-        pass
+    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder; what is written there goes when the application ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut_lineage(df):
     """Cut lineage by writing the frame as a Parquet table under the shared checkpoint
     folder and reading it back.
@@ -91,10 +106,7 @@ def cut_lineage(df):
     the pre-AQE plan even when AQE coalesced the partitions -- a later join can then
     zip mismatched partitions.  A read-back table claims nothing, carries real size
     statistics for AQE's broadcast decision, and survives executor loss."""
-    import os
-    import uuid
-
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    path = scratch_path(spark, "tables")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
