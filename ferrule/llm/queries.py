@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, simple8b
+from ferrule.llm import bpe, repeats, simple8b
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -17,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under windows of 13 that also start in a smaller document, removed."""
+    out = repeats.remove_repeats(documents(spark, sf_dir), window=13, carry=F.struct("doc_id"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b files of the byte-level BPE ids of all documents, read back."""
     target = scratch_path(spark, "token-ids")
@@ -33,6 +39,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
 }
