@@ -31,6 +31,11 @@ BASE_CONF = {
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ferrule") -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
+    # Python workers import this package too: they inherit the path of the process that starts the JVM
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
