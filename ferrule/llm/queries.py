@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, repeats, simple8b
+from ferrule.llm import bpe, decontaminate, jaccard_join, repeats, simple8b
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -38,10 +38,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents under shingle Jaccard links of 0.75."""
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking (document, benchmark item) pairs."""
+    return decontaminate.leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}

@@ -40,6 +40,9 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD6
 _BYTE_VALUE[_SEPARATOR] = 0
 _BYTE_VALUE_LOWER = _BYTE_VALUE[_LOWER]
 
+_BYTE_VALUE_FOLDED = _BYTE_VALUE_LOWER.copy()  # ASCII punctuation counts for nothing
+_BYTE_VALUE_FOLDED[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -93,7 +96,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, fold: bool = False) -> Words:
+    """Words and hashes of a string column.  ``lower`` takes A-Z as a-z; ``fold`` also ignores
+    ASCII punctuation at the end of a word."""
     data, offsets = text_bytes(column)
     n = len(data)
     sep = _SEPARATOR[data]
@@ -113,11 +118,12 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     first = np.searchsorted(start, offsets)
     if len(start):
         up, down = powers(_BASE, n)
-        value = (_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data]
+        value = (_BYTE_VALUE_FOLDED if fold else _BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data]
         value *= up
         h = np.add.reduceat(value, start)
         h *= down[start]
-        h += (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+        if not fold:
+            h += (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         h = mix(h)
     else:
         h = np.zeros(0, np.uint64)
