@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, jaccard_join, repeats, simple8b
+from ferrule.llm import bpe, decontaminate, jaccard_join, language_id, repeats, simple8b
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -43,6 +43,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs, vocabulary = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    held_out = language_id.remainder("doc_id", 5) == 0
+    model = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"), vocabulary)
+    out = language_id.identify(docs, model, vocabulary, carry=F.struct("doc_id", held_out.alias("held_out")))
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaking (document, benchmark item) pairs."""
     return decontaminate.leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
@@ -53,6 +62,7 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
