@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, jaccard_join, language_id, repeats, simple8b
+from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -17,6 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HMM and unigram log10 probabilities of all documents."""
+    held_out = language_id.remainder("doc_id", 7) == 2
+    out = hmm.score_texts(documents(spark, sf_dir), ~held_out, carry=F.struct("doc_id", held_out.alias("held_out")))
+    return out.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under windows of 13 that also start in a smaller document, removed."""
     out = repeats.remove_repeats(documents(spark, sf_dir), window=13, carry=F.struct("doc_id"))
@@ -58,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
