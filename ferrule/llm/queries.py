@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b
+from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b, syncmers
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -50,6 +50,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprints of all documents, compared with their edited texts and the next document."""
+    out = syncmers.compare_with_next(documents(spark, sf_dir), carry=F.struct("doc_id"))
+    return out.select("row.doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                      "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those outside the held-out fold."""
     docs, vocabulary = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,6 +77,7 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_fingerprints": op7_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
