@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b, syncmers
+from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b, syncmers, url_rules
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -57,6 +57,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the default rules on the url of every page."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    return url_rules.judge(pages, url_rules.default_rules(), carry=F.struct("page_id")).select(
+        "row.page_id", "host", "path", "rule", "verdict")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those outside the held-out fold."""
     docs, vocabulary = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,8 +85,32 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
+    "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+OP8_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(rest, '^[^?#]*((.|\n)*)$', 1) AS more
+  FROM parts
+), rules(rhost, rpath, rverdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), best AS (
+  SELECT split.*, (SELECT arg_max(struct_pack(name := rhost || rpath, verdict := rverdict), length(rhost || rpath)) FROM rules
+                   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS r
+  FROM split
+)
+SELECT page_id, host, path, r.name AS rule,
+       coalesce(r.verdict, CASE WHEN contains(host || path || more, '/ads/') OR contains(host || path || more, '/popup/')
+                                  OR regexp_matches(host || path || more, '[?].*sessionid=') THEN 'block' ELSE 'allow' END) AS verdict
+FROM best
+"""
+
+ORACLE: dict[str, str] = {"op8_url_filter": OP8_SQL}
