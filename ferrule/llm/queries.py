@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b, syncmers, url_rules
+from ferrule.llm import bpe, decontaminate, hmm, jaccard_join, language_id, repeats, simple8b, syncmers, toxicity, url_rules
 from ferrule.session import scratch_path
 from ferrule.sources.tables import read_table
 
@@ -45,6 +45,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    held_out = language_id.remainder("doc_id", 5) == 0
+    out = toxicity.score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), ~held_out,
+                                  carry=F.struct("doc_id", held_out.alias("held_out")))
+    return out.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents under shingle Jaccard links of 0.75."""
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
@@ -83,6 +91,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filter": op8_url_filter,
