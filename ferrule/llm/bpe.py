@@ -19,8 +19,7 @@ table gives an empty result; extra columns are carried in ``row``.
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,19 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.words import slices
+from ferrule.llm.piece_split import distinct, piece_hashes, piece_starts, plain_texts
+from ferrule.llm.rows import whole_row, with_fields
+from ferrule.llm.words import binary_array, slices, text_bytes
 
 WIDE = 64            # longer matches get a tree of their own
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 _NONE = np.int64(1) << 62
 
-# Texts of these characters only are split alike by the standard library's classes
-# (letters, decimal digits, white space) and by Unicode's L, N and White_Space.
-_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
-_PLAIN_PATTERN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-
-
 @lru_cache(maxsize=2)
 def _unicode_pattern(pattern: str):
     import regex
@@ -48,14 +42,6 @@ def _unicode_pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def pieces(text: str, pattern: str, plain_ok: bool = True) -> list[str]:
-    """The matches of ``pattern``; with the standard pattern a faster equal form is used for
-    texts of plain characters."""
-    if plain_ok and _PLAIN.search(text) is None:
-        return _PLAIN_PATTERN.findall(text)
-    return _unicode_pattern(pattern).findall(text)
-
-
 class Ranks:
     """A rank file: token bytes by id, and the rank of the concatenation of two tokens."""
 
@@ -220,33 +206,91 @@ def merge_many(texts: list[bytes], ranks: Ranks) -> list[bytes]:
     return out
 
 
-class Codec:
-    """Encoder and decoder of one rank file, with a bounded cache of matches."""
+class PieceCache:
+    """Encodes texts match by match, keeping the ids of the matches met lately.
+
+    The cache is a sorted array of match hashes with their ids end to end; it holds at most
+    ``entries`` matches besides those of the slice at hand."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[bytes]], list[bytes]], entries: int = CACHE_ENTRIES):
         import public_tokenizers
 
+        self.pattern, self.encode_pieces, self.entries = pattern, encode_pieces, entries
+        self.standard = pattern == public_tokenizers.PATTERN
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        coded = self.encode_pieces(pieces)
+        size = np.array([len(x) // 4 for x in coded], dtype=np.int64)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(coded), "<u4")))
+        h, begin, size = (np.concatenate(x) for x in ((self.hash, h), (self.begin, begin), (self.size, size)))
+        order = np.argsort(h, kind="stable")
+        self.hash, self.begin, self.size = h[order], begin[order], size[order]
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
+        return at, self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the first id of each text (and the end)."""
+        if column.null_count:
+            column = column.fill_null("")
+        data, offsets = text_bytes(column)
+        plain = plain_texts(data, offsets) if self.standard else np.zeros(len(column), bool)
+        if plain.all():
+            start, first = piece_starts(data, offsets), None
+        else:  # the matches of the other texts come from the regular expression, as byte lengths
+            find = _unicode_pattern(self.pattern).findall
+            starts = []
+            for k, text in enumerate(column.to_pylist()):
+                a, b = int(offsets[k]), int(offsets[k + 1])
+                if plain[k]:
+                    starts.append(a + piece_starts(data[a:b], np.array([0, b - a])))
+                else:
+                    lengths = np.array([len(p.encode()) for p in find(text)], dtype=np.int64)
+                    starts.append(a + np.cumsum(lengths) - lengths)
+            start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        first = np.searchsorted(start, offsets)
+        end = np.append(start[1:], len(data))
+        h, first_at, index = distinct(piece_hashes(data, start))
+        if len(self.hash) > self.entries:
+            at, known = self._find(h)  # only what this slice needs is kept
+            at = np.sort(at[known])
+            spans = [self.ids[b:b + n] for b, n in zip(self.begin[at].tolist(), self.size[at].tolist(), strict=True)]
+            self.hash, self.size = self.hash[at], self.size[at]
+            self.begin = np.cumsum(self.size) - self.size
+            self.ids = np.concatenate(spans) if spans else np.zeros(0, "<u4")
+        _, known = self._find(h)
+        if not known.all():
+            new = first_at[~known]
+            raw = data.tobytes()
+            self._learn(h[~known], [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        at, _ = self._find(h)
+        size = self.size[at][index]
+        total = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(self.begin[at][index] - total[:-1], size) + np.arange(total[-1])
+        return self.ids[source], total[first]
+
+
+class Codec:
+    """Encoder and decoder of one rank file."""
+
+    def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.pattern = pattern
-        self.plain_ok = pattern == public_tokenizers.PATTERN
-        self.cache: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [pieces(t, self.pattern, self.plain_ok) if t else [] for t in texts]
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        missing = list({p for s in split for p in s}.difference(self.cache))
-        if missing:
-            merged = merge_many([p.encode() for p in missing], self.ranks)
-            self.cache.update(zip(missing, merged, strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        get = self.ranks.tokens.__getitem__
-        return b"".join(map(get, np.frombuffer(ids, "<u4").tolist()))
+        self.encode = PieceCache(pattern, lambda some: merge_many(some, self.ranks)).encode
+        tokens = [self.ranks.tokens.get(i, b"") for i in range(max(self.ranks.tokens) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_size = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.token_begin = np.cumsum(self.token_size) - self.token_size
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids end to end, and where each id's bytes begin (and the end)."""
+        size = self.token_size[ids]
+        total = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(self.token_begin[ids] - total[:-1], size) + np.arange(total[-1])
+        return self.token_bytes[source], total
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -271,17 +315,15 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str | None = None, text:
     import public_tokenizers
 
     pattern = pattern or public_tokenizers.PATTERN
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     source = docs.select(carry.alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path, pattern)
         for part in slices(batches, size=2 << 20):
-            ids = both.encode([t or "" for t in part.column("text").to_pylist()])
-            decoded = [both.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                ["row", "ids", "decoded"])
-
-    kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(run, f"row {kind}, ids binary, decoded binary")
+            ids, first = both.encode(part.column("text"))
+            decoded, begin = both.decode(ids)
+            yield pa.RecordBatch.from_arrays([part.column("row"), binary_array(ids.astype("<u4"), 4 * first),
+                                              binary_array(decoded, begin[first])], ["row", "ids", "decoded"])
+
+    return source.mapInArrow(run, with_fields([source.schema["row"]], "ids binary, decoded binary"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.exchange import pack_batch, runs, unpack_batch
+from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import mix, slices, words_of
 from ferrule.session import cut_lineage
 
@@ -187,7 +188,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
 
     Returns ``row`` (``carry``, by default a struct of all columns), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` (log10 of the unigram base and of the model)."""
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), learn.alias("learn"),
                          carry.alias("row"))
     model = train(source.where("learn").select("doc_id", "text"), rounds)
@@ -245,7 +246,6 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
         sums[:, row["kind"]] = row["c"], row["v"]
     n_train, n_distinct = (int(x) for x in sums.sum(axis=1))
     shared = docs.sparkSession.sparkContext.broadcast((model, np.log10(sums.sum(axis=0) + 1.0)))
-    kind = source.schema["row"].dataType.simpleString()
     row_type = to_arrow_type(source.schema["row"].dataType)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -271,4 +271,4 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
                          "train_tokens": np.full(len(n), n_train, np.int64), "base_score": base, "score": full})
 
     return chunks.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(
-        score, f"row {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        score, with_fields([source.schema["row"]], "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))

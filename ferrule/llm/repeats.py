@@ -38,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.exchange import (bucket_of, expand, from_gaps, gaps, packed_by_bucket, runs, squeeze, totals,
                                   unpack_batch)
+from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import ids_of, mix, slices, window_hashes, words_of
 
 WORD_BITS = 6
@@ -81,7 +82,7 @@ def repeated_windows(docs: DataFrame, window: int, group_size: int, buckets_of:
     buckets = int(max(1, -(-counts.sum() // buckets_of)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in enumerate(slices(batches, size=16 << 20)):
+        for number, part in enumerate(slices(batches, size=8 << 20)):
             ids = ids_of(part.column("doc_id"))
             names, slot_of = np.unique(ids, return_inverse=True)
             doc, path, cell = [], [], []
@@ -184,11 +185,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     Returns ``row`` (``carry``, by default a struct of all columns), ``n_words``, ``n_removed``, ``kept_text`` (the kept
     words joined by one space) and ``spans`` (word ranges ``[begin, end)`` of the maximal repeats removed).
     """
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          carry.alias("row"))
     found, buckets = repeated_windows(source.select("doc_id", "text"), window, group_size, bucket_words)
-    kind = source.schema["row"].dataType.simpleString()
     row_type = to_arrow_type(source.schema["row"].dataType)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -236,5 +236,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 
     left = packed_by_bucket(source, buckets).groupBy("bucket")
     return left.cogroup(found.groupBy("bucket")).applyInArrow(
-        cut, f"row {kind}, n_words bigint, n_removed bigint, kept_text string, "
-             "spans array<struct<begin: bigint, end: bigint>>")
+        cut, with_fields([source.schema["row"]], "n_words bigint, n_removed bigint, kept_text string, "
+                                                 "spans array<struct<begin: bigint, end: bigint>>"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.bpe import pieces
+from ferrule.llm.bpe import PieceCache
 from ferrule.llm.words import slices
 
 BLOCK = 1024
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 ESCAPE = (1 << 60) - 1
-CACHE_ENTRIES = 250_000
 FILE_SCHEMA = ("part int, chunk int, doc_id array<bigint>, n_tokens array<bigint>, words binary, "
                "block_words array<int>, escapes array<bigint>")
 
@@ -150,10 +150,11 @@ def unpack(words: np.ndarray, block_words: np.ndarray, escapes: np.ndarray, n: i
 
 
 class LibraryEncoder:
-    """Ids of the tokenizers library, one call per distinct match of the split pattern.
+    """Ids of the tokenizers library, for distinct matches of the split pattern only.
 
     The library's byte-level model encodes every match on its own, so the ids of a text are the ids
-    of its matches in order; only matches not met before are sent to the library.
+    of its matches in order; only matches not met lately are sent to the library.  Words with a
+    space before them go many to a call: each starts at its space, which its first id shows.
     """
 
     def __init__(self, path: str):
@@ -161,22 +162,27 @@ class LibraryEncoder:
 
         import public_tokenizers
 
-        self.pattern = public_tokenizers.PATTERN
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t, self.pattern) if t else [] for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        missing = list({p for s in split for p in s}.difference(self.cache))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        vocabulary = self.library.get_vocab()
+        self.opens_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens_word[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.encode = PieceCache(public_tokenizers.PATTERN, self._encode_pieces).encode
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        missing = [p.decode() for p in pieces]
+        out: dict[str, bytes] = {}
+        words = [p for p in missing if p[0] == " " and p[1:].isalpha()]
+        joined = ["".join(words[k:k + 200]) for k in range(0, len(words), 200)]
+        ids = [x.ids for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.array(list(chain.from_iterable(ids)), dtype="<u4")
+        bounds = np.append(np.flatnonzero(self.opens_word[flat]), len(flat)) * 4 if len(flat) else np.zeros(1, np.int64)
+        raw, bounds = flat.tobytes(), bounds.tolist()
+        out.update((w, raw[a:b]) for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True))
+        others = [p for p in missing if p not in out]
+        found = self.library.encode_batch_fast(others, add_special_tokens=False)
+        out.update((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(others, found, strict=True))
+        return [out[p] for p in missing]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -201,14 +207,13 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         for chunk, piece in enumerate(slices(batches)):
-            coded = [x + end for x in encoder.encode(piece.column("text").to_pylist())]
-            words, block_words, escapes = pack(np.frombuffer(b"".join(coded), "<u4"))
+            ids, first = encoder.encode(piece.column("text"))
+            words, block_words, escapes = pack(np.insert(ids, first[1:], end_id))
             yield pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([chunk], pa.int32()),
                 pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([[len(x) // 4 for x in coded]], pa.list_(pa.int64())),
+                pa.array([np.diff(first) + 1], pa.list_(pa.int64())),
                 pa.array([words.astype("<u8").tobytes()], pa.binary()),
                 pa.array([block_words], pa.list_(pa.int32())),
                 pa.array([escapes.astype(np.int64)], pa.list_(pa.int64()))],

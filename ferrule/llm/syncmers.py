@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.exchange import pack_batch, runs, unpack_batch
+from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import ids_of, mix, slices, text_bytes
 
 K, S, ANCHORS = 20, 8, 64
@@ -106,7 +107,7 @@ def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: Column | None = None) -> DataFrame:
     """``row`` (``carry``, by default a struct of all columns) and ``fingerprint``; one narrow pass."""
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     source = docs.select(carry.alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, text: str = "text", carry: Column | None = Non
             found = [as_text(s) for s in sketches(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.string())], ["row", "fingerprint"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, fingerprint string")
+    return source.mapInArrow(run, with_fields([source.schema["row"]], "fingerprint string"))
 
 
 def edited(text: str, following: str) -> str:
@@ -130,7 +131,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     becomes its bound.  Texts are sent once, packed, to their range; those with a bound's id also go to the range before
     it in the order.  Returns ``row``, ``n_chars``, ``edited`` (text), ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and
     ``near_next``."""
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     top = np.iinfo(np.int64).max
     source = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(top)).alias("doc_id"),
                          F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), carry.alias("row"))
@@ -158,7 +159,6 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]),
                                                   pa.array(columns[2], pa.binary())], ["range", "guest", "payload"])
 
-    kind = source.schema["row"].dataType.simpleString()
     row_type = to_arrow_type(source.schema["row"].dataType)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -193,5 +193,5 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                         ["row", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return source.mapInArrow(deal, "range int, guest boolean, payload binary").groupBy("range").applyInArrow(
-        compare, f"row {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, "
-                 "near_edited double, near_next double")
+        compare, with_fields([source.schema["row"]], "n_chars bigint, edited string, fingerprint string, "
+                                                     "edited_fingerprint string, near_edited double, near_next double"))

@@ -24,6 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import slices, words_of
 from ferrule.session import cut_lineage
 
@@ -140,8 +141,7 @@ def with_features(source: DataFrame, learned: np.ndarray, weights: np.ndarray) -
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [flat], [f.name for f in kept] + ["features"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return source.mapInArrow(run, f"{kinds}, features array<double>")
+    return source.mapInArrow(run, with_fields(kept, "features array<double>"))
 
 
 def learned_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: st
                    trees: int = 20, depth: int = 4) -> DataFrame:
     """``row`` (``carry``, by default a struct of all columns) and ``score`` of every text, learned from the labelled rows
     where ``learn`` (a condition on the documents) holds."""
-    carry = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry is None else carry
+    carry = whole_row(docs) if carry is None else carry
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          learn.alias("learn"), carry.alias("row"))
     marks = (labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))

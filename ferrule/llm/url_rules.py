@@ -26,6 +26,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.rows import whole_row
+
 INLINE_RULES = 1000
 ALLOW, BLOCK = "allow", "block"
 _TOKEN = "[a-z0-9]+"
@@ -48,11 +50,7 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
 
 def pattern_rule(pattern: str, verdict: str) -> Rule:
     """A pattern with ``*`` for any text, found anywhere in host, path and rest."""
-    whole = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern.lower())
-    if pattern[:1].isalnum():
-        whole = whole[1:]
-    if pattern[-1:].isalnum():
-        whole = whole[:-1]
+    whole = re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", pattern.lower())
     return Rule(pattern, verdict, ".*".join(_quote(p) for p in pattern.strip("*").split("*")), tuple(sorted(set(whole))), False)
 
 
@@ -143,7 +141,7 @@ def _fitting_joined(urls: DataFrame, rules: list[Rule], token_of: dict[str, str
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", carry: Column | None = None,
           inline_rules: int = INLINE_RULES) -> DataFrame:
     """``row`` (``carry``, by default a struct of all columns), ``host``, ``path``, ``rule`` and ``verdict`` of every url."""
-    carry = F.struct(*[F.col(f"`{c}`") for c in pages.columns]) if carry is None else carry
+    carry = whole_row(pages) if carry is None else carry
     rules = list({r.name: r for r in rules}.values())
     host, path, rest = host_and_path(F.col(url).cast("string"))
     urls = pages.select(carry.alias("row"), host.alias("host"), path.alias("path"), F.concat(host, path, rest).alias("target"))

@@ -170,6 +170,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             at = to
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary column of ``data``'s bytes cut at byte ``offsets``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                 [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Document ids as int64; a null id becomes the largest int64 and so follows all others."""
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
