@@ -13,14 +13,14 @@ before frequent, then by hash":
   floor(n/2)`` broken pairs.)  The prefix that ends first in the order decides, so both sets index the common signature.
 
 The frequent class is found by the first pass itself: all shingles count as rare, and a signature whose group
-holds more than ``frequent`` different sets sets its cell in a fixed-size table (``FREQUENT_CELLS``, so its size is
-bounded; a rare shingle in a marked cell is merely treated as frequent).  Groups up to that size are complete
-after the first pass; sets whose prefix met a frequent shingle are indexed again with both classes.
+holds more than ``frequent`` different sets sets its cell in a bitmap of ``2**CELL_BITS`` bits (so its size is
+bounded; a rare shingle in a marked cell is merely treated as frequent).  Groups up to that size give their few
+pairs at once; sets whose prefix met a frequent shingle are indexed again with both classes.
 
 Equal sets are one class, known by the set's 64-bit digest, and never compared.  Candidates are verified
-on the texts, exactly on the shingle hashes: first each set against the smallest member of its signature groups
-(a star, not all pairs), then, among sets still in different components, the remaining pairs of a group that
-the size filter allows.  No link between components is lost, and no group emits all its pairs.
+on the texts, exactly on the shingle hashes.  In a group of more than ``frequent`` sets each is first compared with the smallest
+member only (a star, not all pairs); then, among sets still in different components, the remaining pairs of a group
+that the size filter allows.  No link between components is lost, and no large group emits all its pairs.
 
 Cases: null or empty texts have an empty set and link with nothing; texts shorter than a shingle are one shingle;
 a null doc_id takes part, but names no component unless all ids of the component are null; rows with the same doc_id
@@ -42,7 +42,7 @@ from ferrule.llm.exchange import from_gaps, gaps, runs
 from ferrule.llm.words import mix, sequence_hash, slices, window_hashes, words_of
 from ferrule.session import cut_lineage
 
-FREQUENT_CELLS = 1 << 20
+CELL_BITS = 24
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -83,7 +83,7 @@ def prefix_signatures(s: np.ndarray, percent: int, frequent: np.ndarray | None)
     singles = s[:need]
     if frequent is None:
         return singles, False
-    marked = frequent[s >> np.uint64(44)]
+    marked = frequent[s >> np.uint64(64 - CELL_BITS)]
     if not marked[:need].any():
         return singles, False
     rare, often = s[~marked], s[marked]
@@ -101,7 +101,7 @@ def _index(source: DataFrame, width: int, percent: int, groups: int, cells: byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = None if cells is None else np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
-        for part in slices(batches, size=16 << 20):
+        for part in slices(batches, size=8 << 20):
             found: dict[int, tuple] = {}  # equal sets of a slice are indexed once
             for piece in slices(iter([part])):
                 for s in shingle_sets(piece.column("text"), width):
@@ -132,40 +132,73 @@ def _index(source: DataFrame, width: int, percent: int, groups: int, cells: byte
         run, "grp int, digests binary, sizes binary, slots binary, wide tinyint, sigs binary")
 
 
-def _members(index: DataFrame, frequent: int) -> DataFrame:
-    """Members of the signature groups that hold two different sets or more: the signature, the group's
-    smallest member with its size, the member with its size, and whether the group is frequent."""
+def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The signature groups of two different sets or more: (signatures, first member of each and the end,
+    members ordered by group and digest, their sizes)."""
+    digest, size, sig = [], [], []
+    for batch in table.to_batches():
+        for row in batch.to_pylist():
+            slot = from_gaps(row["slots"], row["wide"])
+            digest.append(np.frombuffer(row["digests"], np.int64)[slot])
+            size.append(np.frombuffer(row["sizes"], np.int32)[slot])
+            sig.append(np.frombuffer(row["sigs"], np.uint64))
+    sig = np.concatenate(sig)
+    ordered = np.sort(sig)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return twice, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    node = np.minimum(np.searchsorted(twice, sig), len(twice) - 1)
+    several = np.flatnonzero(twice[node] == sig)
+    node = node[several]
+    digest, size = np.concatenate(digest)[several], np.concatenate(size)[several].astype(np.int64)
+    order = np.lexsort((digest, node))
+    node, digest, size = node[order], digest[order], size[order]
+    keep = np.append(True, (node[1:] != node[:-1]) | (digest[1:] != digest[:-1]))
+    node, digest, size = node[keep], digest[keep], size[keep]
+    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    count = np.diff(np.append(begin, len(node)))
+    pick = np.repeat(count > 1, count)
+    begin = np.cumsum(count[count > 1]) - count[count > 1]
+    return twice[node[np.cumsum(count) - 1]][count > 1], np.append(begin, pick.sum()), digest[pick], size[pick]
+
+
+_CANDIDATES = "kind tinyint, a bigint, b bigint, n bigint, lo bigint, lo_n bigint"
+_PAIR, _CELL, _MEMBER = 0, 1, 2
+
+
+def _candidates(index: DataFrame, frequent: int, percent: int, first_pass: bool) -> DataFrame:
+    """From the packed signatures: the pairs of groups of at most ``frequent`` members; and of the larger groups, in the
+    first pass their cells of the frequent class, in the second their members.
+
+    Groups of equal members are taken once in a task, and known by a hash of the members."""
 
     def group(table: pa.Table) -> pa.Table:
-        digest, size, sig = [], [], []
-        for batch in table.to_batches():
-            for row in batch.to_pylist():
-                slot = from_gaps(row["slots"], row["wide"])
-                digest.append(np.frombuffer(row["digests"], np.int64)[slot])
-                size.append(np.frombuffer(row["sizes"], np.int32)[slot])
-                sig.append(np.frombuffer(row["sigs"], np.uint64))
-        sig = np.concatenate(sig)
-        ordered = np.sort(sig)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        out = [np.zeros(0, np.int64)] * 6
-        if len(twice):
-            node = np.minimum(np.searchsorted(twice, sig), len(twice) - 1)
-            several = np.flatnonzero(twice[node] == sig)
-            node = node[several]
-            digest, size = np.concatenate(digest)[several], np.concatenate(size)[several].astype(np.int64)
-            order = np.lexsort((digest, node))
-            node, digest, size = node[order], digest[order], size[order]
-            keep = np.append(True, (node[1:] != node[:-1]) | (digest[1:] != digest[:-1]))
-            node, digest, size = node[keep], digest[keep], size[keep]
-            begin = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-            count = np.diff(np.append(begin, len(node)))
-            head, many = np.repeat(begin, count), np.repeat(count, count)
-            pick = many > 1
-            out = [x[pick] for x in (twice[node].view(np.int64), digest[head], size[head], digest, size, many)]
-        return pa.table({"sig": out[0], "lo": out[1], "lo_n": out[2], "id": out[3], "n": out[4],
-                         "often": pa.array(out[5] > frequent)})
-
-    return index.groupBy("grp").applyInArrow(group, "sig bigint, lo bigint, lo_n bigint, id bigint, n bigint, often boolean")
+        sig, first, digest, size = _groups(table)
+        count = np.diff(first)
+        out = [np.zeros((6, 0), np.int64)]
+        named = np.add.reduceat(mix(digest.view(np.uint64)), first[:-1]) if len(count) else np.zeros(0, np.uint64)
+        if first_pass:
+            cells = np.unique(sig[count > frequent] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            out.append(np.stack([np.full(len(cells), _CELL), cells, *[np.zeros(len(cells), np.int64)] * 4]))
+        _, once = np.unique(named, return_index=True)
+        for k in np.unique(count[once][count[once] <= frequent]).tolist():
+            rows = first[:-1][once[count[once] == k]]
+            i, j = np.triu_indices(k, 1)
+            a, b = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
+            fits = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+            pairs = np.unique(np.stack((digest[a[fits]], digest[b[fits]])), axis=1)
+            out.append(np.concatenate((np.full((1, pairs.shape[1]), _PAIR), pairs, np.zeros((3, pairs.shape[1]), np.int64))))
+        if not first_pass:
+            for g in once[count[once] > frequent].tolist():
+                x, y = first[g], first[g + 1]
+                n = int(y - x)
+                out.append(np.stack((np.full(n, _MEMBER), np.full(n, named[g].view(np.int64)), digest[x:y], size[x:y],
+                                     np.full(n, digest[x]), np.full(n, size[x]))))
+        found = np.concatenate(out, axis=1)
+        return pa.table([pa.array(found[0].astype(np.int8)), *[pa.array(found[k]) for k in range(1, 6)]],
+                        ["kind", "a", "b", "n", "lo", "lo_n"])
+
+    return index.groupBy("grp").applyInArrow(group, _CANDIDATES)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -197,62 +230,77 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _described(source: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """Size and digest of every set, with the columns of ``source`` (``text`` only if asked)."""
-    kept = [f for f in source.schema.fields if with_text or f.name != "text"]
+def bitmap(df: DataFrame, column: str) -> bytes:
+    """Bits of the cells (top bits) of a bigint column; at most ``2**CELL_BITS`` rows are collected."""
+    cells = df.select(F.shiftrightunsigned(column, 64 - CELL_BITS).alias("cell")).distinct().toArrow().column("cell")
+    bits = np.zeros(1 << CELL_BITS, dtype=bool)
+    bits[cells.to_numpy()] = True
+    return np.packbits(bits).tobytes()
+
+
+def _texts_of(texts_in: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """One text of every wanted set ``ids(id)``: the scan lets only texts through whose digest may be wanted."""
+    wanted = texts_in.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for part in slices(batches):
-            sets = shingle_sets(part.column("text"), width)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(f.name) for f in kept] + [pa.array([len(s) for s in sets], pa.int64()),
-                                                       pa.array([set_digest(s) for s in sets], pa.int64())],
-                [f.name for f in kept] + ["n", "digest"])
+            digest = np.array([set_digest(s) for s in shingle_sets(part.column("text"), width)], np.int64)
+            _, once = np.unique(digest, return_index=True)
+            once = once[bits[digest[once].view(np.uint64) >> np.uint64(64 - CELL_BITS)]]
+            yield pa.RecordBatch.from_arrays([pa.array(digest[once]), part.column("text").take(pa.array(once))], ["id", "text"])
+
+    return (texts_in.select("text").mapInArrow(run, "id bigint, text string").join(ids, "id", "left_semi")
+            .groupBy("id").agg(F.min("text").alias("text")))
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return source.mapInArrow(run, f"{kinds}, n bigint, digest bigint")
+def _linked_pairs(texts_in: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, from their texts."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return cut_lineage(_verify(pairs, cut_lineage(_texts_of(texts_in, ids, width)), width, percent))
 
 
 def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent: int, frequent: int,
                   group_sigs: int) -> DataFrame:
     """Links ``(a, b)`` between digests of different sets that keep every component whole, from
     ``texts_in(text)``."""
-    groups = max(1, -(-total_shingles * (100 - percent) // 100 // group_sigs))
-    members = cut_lineage(_members(_index(texts_in, width, percent, groups, None), frequent))
-    complete = members
-    marked = members.where("often").select(F.shiftrightunsigned("sig", 44).alias("cell")).distinct().collect()
-    if marked:  # at most FREQUENT_CELLS rows
-        often = np.zeros(FREQUENT_CELLS, dtype=bool)
-        often[[r["cell"] for r in marked]] = True
-        second = cut_lineage(_members(_index(texts_in, width, percent, groups, np.packbits(often).tobytes()), frequent))
-        complete = members.where("NOT often").unionByName(second)
-        members = members.unionByName(second)
-
-    star = cut_lineage(members.where((F.col("lo") != F.col("id")) & _fits("lo_n", "n", percent)).select(
-        F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = members.select(F.col("id").alias("digest")).distinct()
-    texts = cut_lineage(_described(texts_in, width, True).join(wanted, "digest", "left_semi")
-                        .groupBy(F.col("digest").alias("id")).agg(F.min("text").alias("text")))
-    links = cut_lineage(_verify(star, texts, width, percent))
-    placed = complete.join(components(links), "id", "left").select(
-        "sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_sigs = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    left = cut_lineage(placed.join(open_sigs.select("sig"), "sig", "left_semi"))
-    other = left.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = (left.join(other, "sig").where((F.col("component") != F.col("component_b")) & (F.col("id") < F.col("b"))
+    groups = int(max(1, -(-total_shingles * (100 - percent) // 100 // group_sigs)))
+    first = cut_lineage(_candidates(_index(texts_in, width, percent, groups, None), frequent, percent, True))
+    pairs = first.where(F.col("kind") == _PAIR).select("a", "b")
+    cells = first.where(F.col("kind") == _CELL).select(F.shiftleft("a", 64 - CELL_BITS).alias("sig"))
+    second = cut_lineage(_candidates(_index(texts_in, width, percent, groups, bitmap(cells, "sig")), frequent, percent, False))
+    members = second.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "lo", "lo_n")
+    star = members.where((F.col("lo") != F.col("id")) & _fits("lo_n", "n", percent)).select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    pairs = cut_lineage(pairs.unionByName(second.where(F.col("kind") == _PAIR).select("a", "b")).unionByName(star).distinct())
+    links = _linked_pairs(texts_in, pairs, width, percent)
+
+    placed = members.select("key", "id", "n").distinct().join(components(links), "id", "left").select(
+        "key", "id", "n", F.coalesce("component", "id").alias("component"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    left = cut_lineage(placed.join(open_keys.select("key"), "key", "left_semi"))
+    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    rest = (left.join(other, "key").where((F.col("component") != F.col("component_b")) & (F.col("id") < F.col("b"))
                                           & _fits("n", "n_b", percent))
-            .select(F.col("id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"))
-    return links.unionByName(cut_lineage(_verify(rest, texts, width, percent)))
+            .select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    rest = cut_lineage(rest)
+    return links.unionByName(_linked_pairs(texts_in, rest, width, percent))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text",
-                       frequent: int = 64, group_sigs: int = 1_000_000) -> DataFrame:
+                       frequent: int = 8, group_sigs: int = 1_000_000) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id of its component)
     and ``digest`` (of its set).  ``percent`` is at least 50."""
     if percent < 50:
         raise ValueError("the extended prefixes hold for thresholds of a half or more")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = cut_lineage(_described(source, width, False))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = shingle_sets(part.column("text"), width)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([set_digest(s) for s in sets], pa.int64())], ["doc_id", "n", "digest"])
+
+    rows = cut_lineage(source.mapInArrow(describe, "doc_id bigint, n bigint, digest bigint"))
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     labels = components(jaccard_links(source.select("text"), total, width, percent, frequent, group_sigs))
     classes = (rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
