@@ -13,8 +13,8 @@ Fixed values of the selectors (ids per word, bits per id)::
     8: 8 x 7     9: 7 x 8    10: 6 x 10  11: 5 x 12  12: 4 x 15  13: 3 x 20  14: 2 x 30  15: 1 x 60
 
 A file row (Parquet is the container) holds a run of whole documents in ascending id order:
-``part`` and ``chunk`` (their order gives the order of documents), ``doc_id`` and ``n_tokens``
-arrays, ``words``, ``block_words`` and ``escapes``.
+``part`` and ``chunk`` (their order gives the order of documents), ``begin`` (ids of the part before the row), ``doc_id`` and
+``n_tokens`` arrays, ``words``, ``block_words`` and ``escapes``.
 
 Cases: a null or empty text has the end id alone; a null doc_id sorts before all others; equal
 doc_ids are ordered by text (null first), so repeated rows give a defined order; an empty table gives an
@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.bpe import PieceCache
@@ -41,7 +41,7 @@ BLOCK = 1024
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 ESCAPE = (1 << 60) - 1
-FILE_SCHEMA = ("part int, chunk int, doc_id array<bigint>, n_tokens array<bigint>, words binary, "
+FILE_SCHEMA = ("part int, chunk int, begin bigint, doc_id array<bigint>, n_tokens array<bigint>, words binary, "
                "block_words array<int>, escapes array<bigint>")
 
 
@@ -207,17 +207,19 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        begin = 0
         for chunk, piece in enumerate(slices(batches)):
             ids, first = encoder.encode(piece.column("text"))
             words, block_words, escapes = pack(np.insert(ids, first[1:], end_id))
             yield pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([chunk], pa.int32()),
+                pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([begin], pa.int64()),
                 pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([np.diff(first) + 1], pa.list_(pa.int64())),
                 pa.array([words.astype("<u8").tobytes()], pa.binary()),
                 pa.array([block_words], pa.list_(pa.int32())),
                 pa.array([escapes.astype(np.int64)], pa.list_(pa.int64()))],
-                ["part", "chunk", "doc_id", "n_tokens", "words", "block_words", "escapes"])
+                ["part", "chunk", "begin", "doc_id", "n_tokens", "words", "block_words", "escapes"])
+            begin += len(ids) + piece.num_rows
 
     source.mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").parquet(target)
 
@@ -226,20 +228,17 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
     """Read the files back: per document ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids``
     (little-endian unsigned 32-bit).
 
-    The starts come from two prefix sums: within a part by a window over its chunks, across
-    parts by one total per part (as many as there were write tasks)."""
+    The ids before a part are a prefix sum of one total per part (as many as there were write tasks); the rest
+    of a start is in the file row."""
     files = spark.read.schema(FILE_SCHEMA).parquet(target)
-    sizes = files.select("part", "chunk", F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    sizes = files.select("part", F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     totals = {r["part"]: r["n"] for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, at = {}, 0
     for part in sorted(totals):
         before[part] = at
         at += totals[part]
-    within = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = sizes.select("part", "chunk", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("chunk_start"))
     parts = spark.createDataFrame(sorted(before.items()), "part int, part_start bigint")
-    placed = files.join(chunks, ["part", "chunk"]).join(parts, "part").withColumn(
-        "start", F.col("part_start") + F.col("chunk_start"))
+    placed = files.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("begin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
