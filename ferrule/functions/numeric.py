@@ -42,14 +42,16 @@ def numeric_decimal(value: Column | str, mode: str = "strict") -> Column:
 
 
 def exact_avg(value: Column | str, mode: str = "strict") -> Column:
-    """Average of the numeric readings from an exact decimal sum (aggregate expression).
+    """Average of the numeric readings (aggregate expression).
 
-    The sum is order-independent, so the result is identical whatever the partitioning
-    or task retries (a double sum is not) and equals the exact mean up to the final
-    division.  Readings outside ``decimal(38,10)`` or a sum overflow fall back to the
-    plain double average."""
+    The digits up to ten decimals are summed as an exact decimal, so the sum of ordinary readings
+    does not depend on partitioning or retries; what a reading has beyond that type (more decimals,
+    larger magnitudes) is summed as a double remainder and added, so no digit is dropped.  For
+    readings that fit the type the remainder is exactly zero.  A decimal sum beyond 28 integer
+    digits is the plain double average."""
     num = numeric_value(value, mode)
     dec = numeric_decimal(value, mode)
-    total = F.try_sum(dec)
-    exact = total.cast("double") / F.count(dec)
-    return F.when((F.count(dec) == F.count(num)) & total.isNotNull(), exact).otherwise(F.avg(num))
+    total = F.try_sum(dec).cast("double")
+    rest = F.sum(num - F.coalesce(dec.cast("double"), F.lit(0.0)))
+    exact = (F.coalesce(total, F.lit(0.0)) + rest) / F.count(num)
+    return F.when(total.isNotNull() | (F.count(dec) == 0), exact).otherwise(F.avg(num))

@@ -160,6 +160,23 @@ def iso_format(ts: Column | str) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def ntz(ts) -> Column:
+    """A wall-clock literal.  A naive datetime in ``F.lit`` would be an instant of the session zone;
+    the text form is the same wall clock in every zone."""
+    text = ts.isoformat(sep=" ") if hasattr(ts, "isoformat") else iso_bound(str(ts))
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def bucket_start(interval: str | Interval, ts):
+    """Python twin of ``time_bucket`` for literal bounds of fixed-length buckets."""
+    import datetime as _dt
+
+    ts = ts if isinstance(ts, _dt.datetime) else _dt.datetime.fromisoformat(str(ts))
+    origin = _dt.datetime.fromisoformat(FIXED_ORIGIN)
+    width = _dt.timedelta(microseconds=parse_interval(interval).micros)
+    return ts - (ts - origin) % width
+
+
 def minus_interval(ts, interval: str | Interval):
     """Python-side ``ts - interval`` for literal bounds (months clamp to month end)."""
     import calendar

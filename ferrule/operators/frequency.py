@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.timebucket import time_bucket
+from ferrule.functions.timebucket import time_bucket, ntz
 
 # The frequency ladder, median gap in seconds below each bound.
 FREQUENCY_LADDER = (
@@ -180,7 +180,7 @@ def frequency_conflicts(upload_names: DataFrame, span, upload_frequency: str, se
     if lo is None:
         return series.sparkSession.createDataFrame([], empty)
     names = upload_names.select("name").distinct()
-    stored = (series.filter(F.col("timestamp").between(F.lit(lo), F.lit(hi)))
+    stored = (series.filter(F.col("timestamp").between(ntz(lo), ntz(hi)))
               .select("tag_id", "frequency")
               .join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
               .join(names, "name", "left_semi"))

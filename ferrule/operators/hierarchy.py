@@ -5,8 +5,8 @@ is_active, icon)``; paths are ``:``-separated.  Everything is set-based:
 
 * parsing is a per-row ``posexplode`` of the cleaned path parts, first-seen
   order is a global ordinal (no single-partition window);
-* descendants are a level-by-level frontier expansion (one join per level,
-  lineage cut each level, bounded by the hierarchy depth);
+* descendants come from path doubling towards the roots (two joins per round, as many
+  rounds as the depth has binary digits);
 * cycle detection uses pointer doubling on the ``label -> parent`` map:
   ``log2(#labels)`` joins decide for every label at once whether walking up
   ever ends -- no per-node walk, no recursion depth limit.
@@ -123,36 +123,30 @@ def tree(cfg: DataFrame) -> DataFrame:
 # Descendants (H9) and cascade delete (M6)
 # ---------------------------------------------------------------------------
 
-def descendants(cfg: DataFrame, roots: DataFrame | None = None, max_depth: int = 10_000) -> DataFrame:
+def descendants(cfg: DataFrame, roots: DataFrame) -> DataFrame:
     """All records reachable from each root label through ``parent_label = label`` links
     among active rows: ``root_label, label, path, depth`` (minimum depth per record).
 
-    ``roots``: DataFrame with a ``label`` column; default every active label."""
+    Path doubling upwards: ``up`` links a label to the labels exactly ``2**k`` steps above it and ``found`` holds
+    the roots fewer than ``2**k`` steps above.  A round is two joins, and rounds grow with the logarithm of
+    the depth.  The rounds end when no walk goes on, or, with cycles, when ``2**k`` passes the number of
+    labels: no shortest walk is longer.  ``roots`` is a DataFrame with a ``label`` column."""
     act = cfg.filter("is_active").select("label", "path", "parent_label")
     edges = act.filter(F.col("parent_label").isNotNull())
-    if roots is None:
-        roots = act.select("label").distinct()
-    frontier = roots.select(F.col("label").alias("root_label"), F.col("label").alias("cur")).distinct()
-    levels = []  # one written table per depth; nothing already found is rewritten
-    key = ["root_label", "label", "path"]
-    depth = 0
-    while depth < max_depth:
-        depth += 1
-        step = (frontier.join(edges.withColumnRenamed("parent_label", "cur"), "cur")
-                .select("root_label", "label", "path", F.lit(depth).alias("depth")))
-        for seen in levels:  # cycle guard: a record is reported once, at its minimum depth
-            step = step.join(seen.select(*key), key, "left_anti")
-        step = cut_lineage(step.dropDuplicates(key))
-        if step.isEmpty():
-            break
-        levels.append(step)
-        frontier = step.select("root_label", F.col("label").alias("cur")).distinct()
-    if not levels:
-        return cfg.sparkSession.createDataFrame([], "root_label string, label string, path string, depth int")
-    out = levels[0]
-    for lvl in levels[1:]:
-        out = out.unionByName(lvl)
-    return out
+    root = roots.select("label").distinct()
+    up = cut_lineage(edges.select("label", F.col("parent_label").alias("above")).distinct())
+    found = cut_lineage(root.select("label", F.col("label").alias("root_label"), F.lit(0).alias("depth")))
+    labels = up.select("label").distinct().count() + 1
+    step = 1
+    while step <= labels and not up.isEmpty():
+        further = up.join(found.withColumnRenamed("label", "above"), "above").select(
+            "label", "root_label", (F.col("depth") + step).alias("depth"))
+        found = cut_lineage(found.unionByName(further).groupBy("label", "root_label").agg(F.min("depth").alias("depth")))
+        up = cut_lineage(up.join(up.select(F.col("label").alias("above"), F.col("above").alias("top")), "above")
+                         .select("label", F.col("top").alias("above")).distinct())
+        step *= 2
+    return (edges.join(found.withColumnRenamed("label", "parent_label"), "parent_label")
+            .groupBy("root_label", "label", "path").agg((F.min("depth") + 1).cast("int").alias("depth")))
 
 
 def delete_by_label(cfg: DataFrame, labels: DataFrame, cascade: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -188,67 +182,64 @@ def _next_map(cfg: DataFrame) -> DataFrame:
     return (act.groupBy("label").agg(F.min_by("parent_label", "path").alias("nxt")))
 
 
-def endless_labels(cfg: DataFrame) -> DataFrame:
-    """Labels whose upward walk never ends (they sit on, or lead into, a cycle).
+def _jumps(cfg: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointer doubling on the ``label -> parent`` map of first active records.
 
-    Pointer doubling: ``jump`` starts as the parent map; each round replaces it with
-    ``jump(jump(x))``.  After ``k`` rounds ``jump = next^(2^k)``; a walk that ends
-    reaches NULL within #labels steps, so once ``2^k >= #labels`` the labels whose
-    jump is still non-NULL are exactly the endless ones."""
+    Returns the written tables ``(label, j)`` of jumps of 1, 2, 4, ... steps, and the last one with the number of steps
+    walked, ``(label, j, steps)``: where ``j`` is NULL the walk ended after ``steps`` steps, elsewhere it never ends.
+    A walk that ends does so within #labels steps; and finite walk lengths are contiguous (a label at
+    depth d has a parent at d - 1), so a round in which no walk ends is the last."""
     nxt = _next_map(cfg)
-    n_labels = nxt.count()
     # a parent label with no active record ends the walk
-    jump = (nxt.join(nxt.select(F.col("label").alias("nxt"), F.lit(True).alias("_known")), "nxt", "left")
-            .select("label", F.when(F.col("_known"), F.col("nxt")).alias("j")))
-    jump = cut_lineage(jump)
-    alive = jump.filter(F.col("j").isNotNull()).count()
-    reach = 1
-    while reach < n_labels + 1 and alive:
-        jump = cut_lineage(
-            jump.join(jump.select(F.col("label").alias("j"), F.col("j").alias("jj")), "j", "left")
-            .select("label", F.col("jj").alias("j")))
-        reach *= 2
-        now = jump.filter(F.col("j").isNotNull()).count()
-        # Finite walk lengths are contiguous (a label at depth d has a parent at d-1), so
-        # if no walk ended between 2^(k-1) and 2^k steps, none is longer: the labels
-        # still walking are exactly the endless ones.
+    jump = cut_lineage(nxt.join(nxt.select(F.col("label").alias("nxt"), F.lit(True).alias("_known")), "nxt", "left")
+                       .select("label", F.when(F.col("_known"), F.col("nxt")).alias("j"))
+                       .withColumn("steps", F.when(F.col("j").isNotNull(), 1).otherwise(0).cast("bigint")))
+    tables = [jump]
+    alive = jump.filter("j IS NOT NULL").count()
+    while alive:
+        ahead = jump.select(F.col("label").alias("j"), F.col("j").alias("jj"), F.col("steps").alias("more"))
+        jump = cut_lineage(jump.join(ahead, "j", "left").select(
+            "label", F.col("jj").alias("j"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        tables.append(jump)
+        now = jump.filter("j IS NOT NULL").count()
         if now == alive:
             break
         alive = now
-    return jump.filter(F.col("j").isNotNull()).select("label")
+    return tables, jump
 
 
-def circular_records(cfg: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def endless_labels(cfg: DataFrame) -> DataFrame:
+    """Labels whose upward walk never ends (they sit on, or lead into, a cycle)."""
+    return _jumps(cfg)[1].filter("j IS NOT NULL").select("label")
+
+
+def circular_records(cfg: DataFrame) -> DataFrame:
     """Active records whose walk up the parents returns to their own label or
     revisits a label (so records leading into a cycle are flagged too)."""
     act = cfg.filter("is_active")
-    nxt = _next_map(cfg)
-    endless = endless_labels(cfg).withColumn("_endless", F.lit(True))
+    tables, last = _jumps(cfg)
+    ends = last.select("label", F.col("j").isNotNull().alias("_endless"), "steps")
     starts = act.filter(F.col("parent_label").isNotNull()).select("label", "path", "parent_label")
-    starts = starts.join(endless.withColumnRenamed("label", "parent_label"), "parent_label", "left")
-    flagged = starts.filter(F.col("_endless") | (F.col("parent_label") == F.col("label")))
-    # finite walks can only come back to the start label when the record is not the
-    # first active record of its label (for the first one, next(label) is its own parent
-    # and a return would be a cycle, i.e. an endless walk already flagged above)
+    starts = starts.join(ends.select(F.col("label").alias("parent_label"), "_endless", F.col("steps").alias("_from")),
+                         "parent_label", "left")
+    flagged = starts.filter(F.col("_endless") | (F.col("parent_label") == F.col("label"))).select(
+        "label", "path", "parent_label")
+    # A finite walk can only come back to the start label when the record is not the first active record
+    # of its label.  The label, if met, lies ``steps(parent) - steps(label)`` above the parent: go there bit by bit.
     firsts = act.groupBy("label").agg(F.min("path").alias("_first_path"))
-    walking = (starts.filter(F.col("_endless").isNull() & (F.col("parent_label") != F.col("label")))
-               .join(firsts, "label")
-               .filter(F.col("path") != F.col("_first_path"))
-               .select("label", "path", "parent_label", F.col("parent_label").alias("cur")))
-    hits = None
-    depth = 0
-    while depth < max_depth:
-        depth += 1
-        walking = cut_lineage(walking.join(nxt.withColumnRenamed("label", "cur"), "cur")
-                              .select("label", "path", "parent_label", F.col("nxt").alias("cur"))
-                              .filter(F.col("cur").isNotNull()))
-        if walking.isEmpty():
-            break
-        hit = walking.filter(F.col("cur") == F.col("label")).select("label", "path", "parent_label")
-        hits = hit if hits is None else hits.unionByName(hit)
-        walking = walking.filter(F.col("cur") != F.col("label"))
-    out = flagged.select("label", "path", "parent_label")
-    return out if hits is None else out.unionByName(hits).distinct()
+    own = ends.filter(~F.col("_endless")).select("label", F.col("steps").alias("_to"))
+    walking = cut_lineage(starts.filter(~F.coalesce("_endless", F.lit(True)) & (F.col("parent_label") != F.col("label")))
+                          .join(firsts, "label").filter(F.col("path") != F.col("_first_path")).join(own, "label")
+                          .withColumn("_far", F.col("_from") - F.col("_to")).filter("_far > 0")
+                          .select("label", "path", "parent_label", "_far", F.col("parent_label").alias("cur")))
+    if walking.isEmpty():
+        return flagged
+    for k, table in enumerate(tables):
+        hop = table.select(F.col("label").alias("cur"), F.col("j").alias("_hop"))
+        walking = walking.join(hop, "cur", "left").withColumn(
+            "cur", F.when(F.shiftright("_far", k) % 2 == 1, F.col("_hop")).otherwise(F.col("cur"))).drop("_hop")
+    back = walking.filter(F.col("cur") == F.col("label")).select("label", "path", "parent_label")
+    return flagged.unionByName(back).distinct()
 
 
 def integrity_report(cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,13 +278,19 @@ def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
 def replace_hierarchy(existing: DataFrame, new_nodes: DataFrame, plant_id=None,
                       plant_col: str = "plant_id") -> tuple[DataFrame, DataFrame]:
     """Validate-then-replace: the plant's rows are swapped for ``new_nodes`` only when the
-    new set has no duplicate paths.  Returns ``(table_after, summary(deleted, created))``."""
-    dups = duplicate_paths(new_nodes).limit(1).count()
-    if dups:
+    new set has no duplicate path, no orphan and no circular reference (the last two where it has parent
+    labels).  Rows of other plants and of none stay.  Returns ``(table_after, summary(deleted, created))``."""
+    if not duplicate_paths(new_nodes).isEmpty():
         raise ValueError("new hierarchy has duplicate paths")
+    if "parent_label" in new_nodes.columns:
+        if not orphans(new_nodes).isEmpty():
+            raise ValueError("new hierarchy has rows whose parent does not exist")
+        active = new_nodes if "is_active" in new_nodes.columns else new_nodes.withColumn("is_active", F.lit(True))
+        if not circular_records(active).isEmpty():
+            raise ValueError("new hierarchy has circular references")
     if plant_id is not None and plant_col in existing.columns:
-        keep = existing.filter(F.col(plant_col) != F.lit(plant_id))
-        gone = existing.filter(F.col(plant_col) == F.lit(plant_id))
+        mine = F.col(plant_col).eqNullSafe(F.lit(plant_id))
+        keep, gone = existing.filter(~mine), existing.filter(mine)
         new_nodes = new_nodes.withColumn(plant_col, F.lit(plant_id))
     else:
         keep, gone = existing.limit(0), existing

@@ -59,7 +59,10 @@ def audit_svg(files: DataFrame, name_col: str = "file_name", content_col: str =
     size = F.octet_length(F.col(content_col))
     # a binary -> string cast never fails on malformed UTF-8 (decode would raise under ANSI)
     text = F.lower(F.col(content_col).cast("string"))
-    gated = F.when(F.lower(F.col(name_col)).endswith(".svg") & (size <= MAX_SVG_BYTES), _xml_error(F.col(content_col)))
+    # only files that pass the cheap rules are shipped to the parser: the others' input is NULL
+    gate = F.lower(F.col(name_col)).endswith(".svg") & (size <= MAX_SVG_BYTES)
+    gated = F.when(gate, _xml_error(F.when(gate, F.col(content_col))))
+    # The messages.
     err = (F.when(~F.lower(F.col(name_col)).endswith(".svg"), F.lit("File must be an SVG file (.svg)"))
            .when(size > MAX_SVG_BYTES, F.lit("SVG file too large (max 1MB)"))
            .when(F.col("_xml_err").isNotNull(), F.col("_xml_err"))
@@ -73,44 +76,73 @@ def audit_svg(files: DataFrame, name_col: str = "file_name", content_col: str =
             .drop("_xml_err"))
 
 
-@pandas_udf(StringType())
-def _clean_svg(content: pd.Series) -> pd.Series:
-    import xml.etree.ElementTree as ET
+class _SafeSvg:
+    """Parser target that writes a document out again while it is read, without what a deny list names: a denied
+    element is written empty (whatever stands inside it is skipped, what follows it is kept), and so are
+    attributes whose name holds a denied one."""
+
+    def __init__(self):
+        from io import StringIO
+        from xml.sax.saxutils import XMLGenerator
+
+        self.text = StringIO()
+        self.out = XMLGenerator(self.text, short_empty_elements=True)
+        self.skipping = 0
+        self.top = True
+        self.prefixes: list = []
+
+    @staticmethod
+    def denied(name: str) -> bool:
+        return name.rpartition(":")[2].lower() in DANGEROUS_ELEMENTS
+
+    def start(self, name, attributes):
+        if not self.skipping:
+            safe = {k: v for k, v in attributes.items()
+                    if not any(x in k.lower() for x in DANGEROUS_ATTRIBUTES)} if not self.denied(name) else {}
+            if self.top and ":" not in name:
+                safe.setdefault("xmlns", SVG_NAMESPACE)
+            self.top = False
+            self.out.startElement(name, safe)
+        if self.skipping or self.denied(name):
+            self.skipping += 1
+
+    def end(self, name):
+        self.skipping = max(0, self.skipping - 1)
+        if not self.skipping:
+            self.out.endElement(name)
+
+    def data(self, text):
+        if not self.skipping:
+            self.out.characters(text)
+
+
+def safe_svg(text: str) -> str:
+    """``text`` without denied elements' content and attributes, with namespace and XML header; text that does not
+    parse stays as it is."""
+    from xml.parsers import expat
+
+    target = _SafeSvg()
+    reader = expat.ParserCreate()
+    reader.StartElementHandler, reader.EndElementHandler = target.start, target.end
+    reader.CharacterDataHandler, reader.buffer_text = target.data, True
+    try:
+        reader.Parse(text, True)
+    except expat.ExpatError:
+        return text
+    target.out.endDocument()  # flushes
+    return XML_HEADER + target.text.getvalue()
 
-    def local(tag: str) -> str:
-        return tag.rsplit("}", 1)[-1].lower() if isinstance(tag, str) else ""
 
-    out = []
-    for b in content:
-        text = bytes(b).decode("utf-8", errors="replace") if b is not None else None
-        if text is None:
-            out.append(None)
-            continue
-        try:
-            root = ET.fromstring(text)
-            for el in root.iter():
-                if local(el.tag) in DANGEROUS_ELEMENTS:
-                    el.clear()
-                    continue
-                for attr in list(el.attrib):
-                    if any(d in attr.lower() for d in DANGEROUS_ATTRIBUTES):
-                        del el.attrib[attr]
-            if "xmlns" not in root.attrib:
-                root.set("xmlns", SVG_NAMESPACE)
-            cleaned = ET.tostring(root, encoding="unicode")
-            if not cleaned.startswith("<?xml"):
-                cleaned = XML_HEADER + cleaned
-            out.append(cleaned)
-        except Exception:  # noqa: BLE001 -- keep the original on any failure
-            out.append(text)
-    return pd.Series(out, dtype=object)
+@pandas_udf(StringType())
+def _safe_svg(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else safe_svg(bytes(b).decode("utf-8", errors="replace")))
 
 
 def clean_svg(audited: DataFrame, content_col: str = "content") -> DataFrame:
-    """V2: cleaned text for valid files (dangerous elements emptied, event attributes
-    dropped, namespace and XML header added; the original is kept if cleaning fails).
-    Tags are compared by local name, so namespaced scripts are caught too."""
-    return audited.withColumn("clean_svg", F.when(F.col("is_valid"), _clean_svg(F.col(content_col))))
+    """V2: cleaned text for valid files (denied elements emptied, event attributes dropped, namespace and XML header
+    added; the original is kept if it does not parse).  Names are compared without their prefix, so
+    namespaced scripts are caught too.  Only valid files' bytes go to the parser."""
+    return audited.withColumn("clean_svg", _safe_svg(F.when(F.col("is_valid"), F.col(content_col))))
 
 
 def icon_inventory(files: DataFrame, name_col: str = "file_name", content_col: str = "content") -> DataFrame:

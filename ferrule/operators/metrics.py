@@ -248,14 +248,16 @@ def tag_statistics(series: DataFrame, tags: DataFrame, tag_ids=None, start=None,
 
 def refresh_daily_rollup(series: DataFrame, path: str, as_of, start_offset: str = "1 month",
                          end_offset: str = "1 hour", numeric_mode: str = "strict") -> tuple:
-    """Materialised daily rollup (A6): recompute the days touching
-    ``[as_of - start_offset, as_of - end_offset]`` and replace exactly those day
-    partitions (dynamic partition overwrite); older days stay as written.
-    Returns the refreshed window bounds."""
+    """Materialised daily rollup (A6): recompute the whole days in
+    ``[as_of - start_offset, as_of - end_offset]`` and replace exactly those day partitions
+    (dynamic partition overwrite); older days stay as written, and a day that is not over at the
+    end offset is left to a later refresh.  Returns the refreshed window bounds."""
+    from ferrule.functions.timebucket import bucket_start, ntz
+
     lo, hi = refresh_window(as_of, start_offset, end_offset)
-    first_day = time_bucket("1 day", F.lit(lo).cast("timestamp_ntz"))
-    window = series.filter((F.col("timestamp") >= first_day) & (F.col("timestamp") <= F.lit(hi)))
+    first_day, end_day = bucket_start("1 day", lo), bucket_start("1 day", hi)
+    window = series.filter((F.col("timestamp") >= ntz(first_day)) & (F.col("timestamp") < ntz(end_day)))
     out = daily_rollup(window, numeric_mode).withColumn("day", F.date_format("bucket", "yyyy-MM-dd"))
-    (out.repartition("day").write.mode("overwrite")
+    (out.repartitionByRange("day", "tag_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
     return lo, hi

@@ -345,7 +345,7 @@ d(root_label, label, path, depth) AS (
   JOIN nodes c ON c.parent_label = r.label
   UNION
   SELECT d.root_label, c.label, c.path, d.depth + 1 FROM d JOIN nodes c ON c.parent_label = d.label
-  WHERE d.depth < 100)
+  WHERE d.depth < (SELECT count(*) FROM nodes))
 SELECT root_label, label, path, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY 1, 2, 3""",
     "hierarchy_active": f"""
 WITH {SUPPLIER_CFG}
@@ -551,7 +551,7 @@ SELECT plant_id, CAST((SELECT max(id) FROM src) + row_number() OVER (ORDER BY pl
 WITH {CUSTOMER_NODES}
 SELECT n.label, n.path, n.parent_label, n.display_order,
        coalesce('Nation ' || CAST(x.n_nationkey AS VARCHAR), n.display_name) AS display_name,
-       CASE WHEN x.n_name IS NOT NULL THEN 'flag' ELSE n.icon END AS icon
+       CASE WHEN x.n_nationkey = 0 THEN NULL WHEN x.n_name IS NOT NULL THEN 'flag' ELSE n.icon END AS icon
 FROM nodes n LEFT JOIN nation x ON x.n_name = n.label""",
     "hierarchy_delete_cascade": f"""
 WITH RECURSIVE {CUSTOMER_NODES},
@@ -562,7 +562,9 @@ gone(label, path) AS (
 SELECT label, path, parent_label FROM nodes WHERE (label, path) NOT IN (SELECT (label, path) FROM gone)""",
     "hierarchy_replace": f"""
 WITH {CUSTOMER_NODES}, {SUPPLIER_CFG}
-SELECT (SELECT count(*) FROM cfg) AS deleted, (SELECT count(*) FROM nodes) AS created""",
+SELECT CASE WHEN length(path) % 3 > 0 THEN length(path) % 3 END AS plant_id, label, path FROM cfg
+WHERE length(path) % 3 <> 1
+UNION ALL SELECT 1, label, path FROM nodes""",
     "rekey_collisions": f"""
 WITH {SERIES_BY_SUPPLIER}
 SELECT tag_id, timestamp, count(*) AS rows FROM series GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -577,8 +579,8 @@ WITH {SERIES_BY_USER}
 SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value,
        count(*) AS sample_count
 FROM series
-WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 month')
-  AND timestamp <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL '1 hour'
+WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1 month')
+  AND timestamp < time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1 hour')
 GROUP BY 1, 2"""
 
 ORACLE["hierarchy_upload"] = f"""
@@ -602,8 +604,7 @@ ORACLE.update({
     "split_files": "SELECT count(*) AS total_rows, true AS within_limit FROM lineitem",
     "compaction": f"""
 WITH {SERIES_BY_SUPPLIER}
-SELECT tag_id, timestamp, value FROM series
-WHERE time_bucket(INTERVAL '30 days', timestamp) < time_bucket(INTERVAL '30 days', TIMESTAMP '1996-01-01 00:00:00')""",
+SELECT tag_id, timestamp, value FROM series""",
 })
 
 ORACLE.update({
@@ -626,3 +627,50 @@ SELECT r.user_id, r.plant_id, r.permission,
             ELSE EXISTS (SELECT 1 FROM perms p WHERE p.user_id = r.user_id AND p.plant_id = r.plant_id
                          AND p.permission = r.permission) END AS allowed
 FROM req r"""
+
+
+ICON_FILES = """kinds AS (
+  SELECT page_id, page_id % 9 AS kind, CAST(page_id AS VARCHAR) AS page FROM pages
+), files AS (
+  SELECT kind, page, page_id,
+         'icon_' || page || CASE kind WHEN 1 THEN '.png' WHEN 8 THEN '.SVG' ELSE '.svg' END AS file_name,
+         replace(CASE kind
+           WHEN 1 THEN '<svg><text>page #</text></svg>'
+           WHEN 2 THEN '<svg><!--' || repeat(' ', 64) || '--><text>page #</text></svg>'
+           WHEN 3 THEN '<svg><text>page #</svg>'
+           WHEN 4 THEN '<div>page #</div>'
+           WHEN 5 THEN '<svg><SCRIPT>page #</SCRIPT></svg>'
+           WHEN 6 THEN '<svg onload="go()"><rect id="r#" onClick="stop()"/>page #</svg>'
+           WHEN 7 THEN '<svg xmlns:x="urn:x"><x:script>bad <b>#</b></x:script>page #</svg>'
+           WHEN 8 THEN '<svg><a href="#">1 &lt; 2</a><iframe2/></svg>'
+           ELSE '<svg xmlns="http://www.w3.org/2000/svg"><text>page #</text></svg>' END, '#', page) AS body
+  FROM kinds
+), audited AS (
+  SELECT *, length(body) + CASE WHEN page_id % 90 = 2 THEN 1025 * 1024 ELSE 0 END AS file_size,
+         CASE WHEN kind = 1 THEN 'File must be an SVG file (.svg)'
+              WHEN page_id % 90 = 2 THEN 'SVG file too large (max 1MB)'
+              WHEN kind = 3 THEN 'Invalid XML/SVG format: mismatched tag: line 1, column ' || CAST(length('<svg><text>page </') + length(page) AS VARCHAR)
+              WHEN kind = 4 THEN 'File does not contain valid SVG content'
+              WHEN kind = 5 THEN 'SVG contains potentially dangerous element: script'
+              WHEN kind = 8 THEN 'SVG contains potentially dangerous element: iframe' END AS error
+  FROM files
+)"""
+
+ORACLE.update({
+    "layout_mixed_widths": ORACLE["layout_range_read"],
+    "merge_append_zone": ORACLE["merge_append"],
+    "metrics_small_values": """
+SELECT event_type, round(avg(v) * 1e9, 6) AS avg_value, round(max(v) * 1e9, 6) AS max_value
+FROM (SELECT event_type, CAST('0.0000000000' || lpad(CAST(event_id % 9973 AS VARCHAR), 4, '0') AS DOUBLE) AS v FROM events)
+GROUP BY 1""",
+    "icon_audit_files": f"""
+WITH {ICON_FILES}
+SELECT file_name, error IS NULL AS is_valid, error, CAST(file_size AS BIGINT) AS file_size FROM audited""",
+    "icon_clean": f"""
+WITH {ICON_FILES}
+SELECT file_name, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || replace(CASE kind
+         WHEN 6 THEN '<svg xmlns="http://www.w3.org/2000/svg"><rect id="r#"/>page #</svg>'
+         WHEN 7 THEN '<svg xmlns:x="urn:x" xmlns="http://www.w3.org/2000/svg"><x:script/>page #</svg>'
+         ELSE '<svg xmlns="http://www.w3.org/2000/svg"><text>page #</text></svg>' END, '#', page) AS clean_svg
+FROM audited WHERE error IS NULL""",
+})

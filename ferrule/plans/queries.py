@@ -305,7 +305,8 @@ def q_hierarchy_descendants(spark, sf_dir):
     """H9: every record reachable below each label, with depth."""
     from ferrule.operators.hierarchy import descendants
 
-    return descendants(_customer_nodes(spark, sf_dir))
+    nodes = _customer_nodes(spark, sf_dir)
+    return descendants(nodes, nodes.filter("is_active").select("label").distinct())
 
 
 def q_hierarchy_active(spark, sf_dir):
@@ -451,8 +452,23 @@ def q_layout_range_read(spark, sf_dir):
     from ferrule.sources.storage import read_series, write_series
 
     path = _scratch_dir(spark, "layout")
-    interval = write_series(A.series_by_type(spark, sf_dir), path, frequency="minute")
-    return read_series(spark, path, interval, RANGE_START, RANGE_END).select("tag_id", "timestamp", "value")
+    write_series(A.series_by_type(spark, sf_dir), path, frequency="minute")
+    return read_series(spark, path, RANGE_START, RANGE_END).select("tag_id", "timestamp", "value")
+
+
+def q_layout_mixed_widths(spark, sf_dir):
+    """One table from uploads of two chunk widths; a repeated upload in the other width
+    inserts nothing, and a range read finds the rows of both."""
+    from ferrule.sources.storage import merge_into_layout, read_series, write_series
+
+    path = _scratch_dir(spark, "mixed-layout")
+    series = A.series_by_type(spark, sf_dir).select("tag_id", "timestamp", "value")
+    odd = F.col("tag_id") % 2 == 1
+    write_series(series.filter(odd), path, interval="1 day", mode="overwrite")
+    write_series(series.filter(~odd), path, interval="7 days")
+    again = series.filter(F.col("timestamp") >= F.lit(RANGE_START).cast("timestamp_ntz"))
+    merge_into_layout(spark, path, again.withColumn("src_row", F.monotonically_increasing_id()), "30 days")
+    return read_series(spark, path, RANGE_START, RANGE_END).select("tag_id", "timestamp", "value")
 
 
 RETENTION_AS_OF = "1998-12-01 00:00:00"
@@ -541,6 +557,7 @@ def q_keep_first_stream(spark, sf_dir):
 
 QUERIES.update({
     "layout_range_read": q_layout_range_read,
+    "layout_mixed_widths": q_layout_mixed_widths,
     "retention_kept": q_retention_kept,
     "retention_dropped": q_retention_dropped,
     "chunk_policy": q_chunk_policy,
@@ -568,6 +585,45 @@ def q_icon_audit(spark, sf_dir):
     return audit_svg(_page_files(spark, sf_dir)).select("file_name", "is_valid", "error", "file_size")
 
 
+def _icon_files(spark, sf_dir):
+    """One icon file per page; its kind, and so its defect, follows from the page id."""
+    from ferrule.sources.tables import read_table
+
+    page = F.col("page_id").cast("string")
+    kinds = {
+        1: "<svg><text>page #</text></svg>",
+        2: "<svg><!--" + " " * 64 + "--><text>page #</text></svg>",
+        3: "<svg><text>page #</svg>",
+        4: "<div>page #</div>",
+        5: "<svg><SCRIPT>page #</SCRIPT></svg>",
+        6: '<svg onload="go()"><rect id="r#" onClick="stop()"/>page #</svg>',
+        7: '<svg xmlns:x="urn:x"><x:script>bad <b>#</b></x:script>page #</svg>',
+        8: "<svg><a href=\"#\">1 &lt; 2</a><iframe2/></svg>",
+    }
+    kind = F.col("page_id") % 9
+    text = F.lit('<svg xmlns="http://www.w3.org/2000/svg"><text>page #</text></svg>')
+    for k, body in kinds.items():
+        text = F.when(kind == k, F.lit(body)).otherwise(text)
+    text = F.replace(text, F.lit("#"), page)
+    text = F.when(F.col("page_id") % 90 == 2, F.concat(text, F.lit(" " * 1024), F.repeat(F.lit(" " * 1024), 1024))).otherwise(text)
+    name = F.concat(F.lit("icon_"), page, F.when(kind == 1, ".png").when(kind == 8, ".SVG").otherwise(".svg"))
+    return read_table(spark, sf_dir, "pages", ["page_id"]).select(name.alias("file_name"), F.encode(text, "UTF-8").alias("content"))
+
+
+def q_icon_audit_files(spark, sf_dir):
+    """V1 over icon files of every kind of defect."""
+    from ferrule.operators.icons import audit_svg
+
+    return audit_svg(_icon_files(spark, sf_dir)).select("file_name", "is_valid", "error", "file_size")
+
+
+def q_icon_clean(spark, sf_dir):
+    """V2: cleaned text of the valid icon files."""
+    from ferrule.operators.icons import audit_svg, clean_svg
+
+    return clean_svg(audit_svg(_icon_files(spark, sf_dir))).filter("is_valid").select("file_name", "clean_svg")
+
+
 def q_icon_inventory(spark, sf_dir):
     """Icon name (suffix rule), size and base64 content per file."""
     from ferrule.operators.icons import icon_inventory
@@ -577,6 +633,8 @@ def q_icon_inventory(spark, sf_dir):
 
 QUERIES.update({
     "icon_audit": q_icon_audit,
+    "icon_audit_files": q_icon_audit_files,
+    "icon_clean": q_icon_clean,
     "icon_inventory": q_icon_inventory,
 })
 
@@ -609,16 +667,24 @@ def q_default_sources(spark, sf_dir):
 
 
 def q_hierarchy_update(spark, sf_dir):
-    """M4: bulk allow-listed update by label (nation nodes get a display name and icon)."""
+    """M4: bulk allow-listed update by label: two change rows per nation (the later one gives the
+    display name only), and a third that sets one nation's icon to NULL."""
     from ferrule.operators.merge import apply_updates
     from ferrule.sources.tables import read_table
 
     nodes = _customer_nodes(spark, sf_dir)
-    changes = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).select(
-        F.col("n_name").alias("label"),
-        F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("display_name"),
-        F.lit("flag").alias("icon"), F.lit(-1).alias("display_order"))
-    return apply_updates(nodes, changes, ["label"], ["display_name", "icon", "path", "parent_label", "is_active"]) \
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    change = F.explode(F.array(
+        F.struct(F.lit(1).alias("nr"), F.lit("old name").alias("display_name"), F.lit("flag").alias("icon"),
+                 F.array(F.lit("display_name"), F.lit("icon"), F.lit("display_order")).alias("fields")),
+        F.struct(F.lit(2).alias("nr"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("display_name"),
+                 F.lit("unused").alias("icon"), F.array(F.lit("display_name")).alias("fields")),
+        F.struct(F.lit(3).alias("nr"), F.lit("unused").alias("display_name"), F.lit(None).cast("string").alias("icon"),
+                 F.when(F.col("n_nationkey") == 0, F.array(F.lit("icon"))).otherwise(F.array().cast("array<string>")).alias("fields"))))
+    changes = nation.select(F.col("n_name").alias("label"), change.alias("c")).select(
+        "label", "c.*", F.lit(-1).alias("display_order"))
+    return apply_updates(nodes, changes, ["label"], ["display_name", "icon", "path", "parent_label", "is_active"],
+                         order="nr", given="fields") \
         .select("label", "path", "parent_label", "display_order", "display_name", "icon")
 
 
@@ -635,12 +701,13 @@ def q_hierarchy_delete_cascade(spark, sf_dir):
 
 
 def q_hierarchy_replace(spark, sf_dir):
-    """Validate-then-replace a plant's hierarchy; deleted / created counts."""
+    """Validate-then-replace one plant's hierarchy in a table of several plants and rows of none."""
     from ferrule.operators.hierarchy import replace_hierarchy
 
-    existing = A.supplier_config(spark, sf_dir).withColumn("plant_id", F.lit(1))
-    _, summary = replace_hierarchy(existing, _customer_nodes(spark, sf_dir), plant_id=1)
-    return summary
+    third = F.length("path") % 3
+    existing = A.supplier_config(spark, sf_dir).withColumn("plant_id", F.when(third > 0, third))
+    after, _ = replace_hierarchy(existing, _customer_nodes(spark, sf_dir), plant_id=1)
+    return after.select("plant_id", "label", "path")
 
 
 def q_rekey_collisions(spark, sf_dir):
@@ -685,11 +752,11 @@ QUERIES.update({
 })
 
 
-REFRESH_AS_OF = "2024-01-20 00:00:00"
+REFRESH_AS_OF = "2024-01-20 12:00:00"
 
 
 def q_daily_rollup_refresh(spark, sf_dir):
-    """A6 materialised: refresh the days in [as_of - 1 month, as_of - 1 hour] with dynamic
+    """A6 materialised: refresh the whole days in [as_of - 1 month, as_of - 1 hour] with dynamic
     partition overwrite, then read the rollup table back."""
     from ferrule.operators.metrics import refresh_daily_rollup
 
@@ -701,6 +768,36 @@ def q_daily_rollup_refresh(spark, sf_dir):
 QUERIES["daily_rollup_refresh"] = q_daily_rollup_refresh
 
 
+def q_merge_append_zone(spark, sf_dir):
+    """M2 in a session whose zone is not UTC: the same wall-clock keys collide."""
+    from ferrule.session import cut_lineage
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    target, batch = (cut_lineage(x) for x in _merge_inputs(spark, sf_dir))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        from ferrule.operators.merge import merge_append
+
+        return cut_lineage(merge_append(target, batch)[1].select("tag_id", "timestamp", "value", "src_row"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def q_metrics_small_values(spark, sf_dir):
+    """A1 on readings of 14 decimals: averages keep the digits (scaled by 1e9 in the result)."""
+    from ferrule.functions.numeric import exact_avg, numeric_value
+    from ferrule.sources.tables import read_table
+
+    text = F.concat(F.lit("0.0000000000"), F.lpad((F.col("event_id") % 9973).cast("string"), 4, "0"))
+    rows = read_table(spark, sf_dir, "events", ["event_id", "event_type"]).withColumn("value", text)
+    return rows.groupBy("event_type").agg(
+        F.round(exact_avg("value") * 1e9, 6).alias("avg_value"),
+        F.round(F.max(numeric_value("value")) * 1e9, 6).alias("max_value"))
+
+
+QUERIES.update({"merge_append_zone": q_merge_append_zone, "metrics_small_values": q_metrics_small_values})
+
+
 def q_hierarchy_upload(spark, sf_dir):
     """E3 flow (A15 + H1 + H13): upload summary of a path list replacing a plant hierarchy."""
     from ferrule.plans.hierarchy import upload_hierarchy
@@ -782,14 +879,14 @@ COMPACT_BEFORE = "1996-01-01 00:00:00"
 
 
 def q_compaction(spark, sf_dir):
-    """R2: chunks starting before a date rewritten into a sorted layout."""
+    """R2: chunks that end before a date rewritten in the sorted layout and swapped in; the
+    whole table afterwards."""
     from ferrule.sources.storage import compact_chunks, write_series
 
-    src = _scratch_dir(spark, "compact-src")
-    dst = _scratch_dir(spark, "compact-dst")
-    write_series(A.series_by_supplier(spark, sf_dir), src, interval="30 days", mode="overwrite")
-    compact_chunks(spark, src, dst, COMPACT_BEFORE, "30 days")
-    return spark.read.parquet(dst).select("tag_id", "timestamp", "value")
+    path = _scratch_dir(spark, "compact")
+    write_series(A.series_by_supplier(spark, sf_dir), path, interval="30 days", mode="overwrite")
+    compact_chunks(spark, path, COMPACT_BEFORE)
+    return spark.read.parquet(path).select("tag_id", "timestamp", "value")
 
 
 QUERIES.update({"split_files": q_split_files, "compaction": q_compaction})

@@ -1,14 +1,17 @@
 """Stored ``time_series`` layout and table-level sources / sinks.
 
-Layout (S12): Parquet + zstd, partitioned by ``plant_id`` and ``chunk`` (chunk
-start in epoch seconds; chunk width from the data frequency, S13), rows sorted
+Layout (S12): Parquet + zstd, partitioned by ``plant_id``, ``width`` (chunk width in seconds,
+from the data frequency, S13) and ``chunk`` (chunk start in epoch seconds), rows sorted
 by ``(tag_id, timestamp)`` inside each file -- the column-store analogue of
 "segment by tag, order by time".  The writer range-partitions on
 ``(plant_id, chunk, tag_id, timestamp)`` so one huge chunk or tag is split over
 many tasks and files instead of landing in one.
 
-Reads (F1/F2/M2) add the chunk predicate implied by a timestamp range, so the
-scan shows ``PartitionFilters`` as well as pushed ``timestamp`` filters.
+The width is part of every row's partition, so uploads of different frequencies share one table, and
+reads, merges, retention and compaction never have to be told it.  Reads (F1/F2/M2) add the chunk
+predicate implied by a timestamp range (a chunk overlaps it when it starts before the range ends and
+ends after the range starts), so the scan shows ``PartitionFilters`` as well as pushed
+``timestamp`` filters.
 """
 
 from __future__ import annotations
@@ -48,26 +51,39 @@ def with_chunk(df: DataFrame, interval: str, ts: str = "timestamp") -> DataFrame
                                                    start))
 
 
+def _write_layout(df: DataFrame, path: str, mode: str, max_records_per_file: int) -> None:
+    """Write rows that carry ``plant_id``, ``width`` and ``chunk``; ``mode`` "overwrite" replaces the
+    table and "partitions" the partitions that occur, whatever the session's setting."""
+    writer = (df.repartitionByRange("plant_id", "width", "chunk", "tag_id", "timestamp")
+              .sortWithinPartitions("plant_id", "width", "chunk", "tag_id", "timestamp")
+              .write.mode("append" if mode == "append" else "overwrite")
+              .option("maxRecordsPerFile", max_records_per_file))
+    if mode != "append":
+        writer = writer.option("partitionOverwriteMode", "dynamic" if mode == "partitions" else "static")
+    writer.partitionBy("plant_id", "width", "chunk").parquet(path)
+
+
 def write_series(df: DataFrame, path: str, frequency: str | None = None, interval: str | None = None,
                  mode: str = "append", max_records_per_file: int = 5_000_000) -> str:
     """Write ``time_series`` rows in the chunked layout; returns the chunk width used."""
     interval = interval or chunk_width(frequency)
-    out = with_chunk(df, interval)
+    width = parse_interval(interval).micros // 1_000_000
+    out = with_chunk(df, interval).withColumn("width", F.lit(width).cast("bigint"))
     if "plant_id" not in out.columns:
         out = out.withColumn("plant_id", F.lit(1))
-    (out.repartitionByRange("plant_id", "chunk", "tag_id", "timestamp")
-     .sortWithinPartitions("plant_id", "chunk", "tag_id", "timestamp")
-     .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
-     .partitionBy("plant_id", "chunk").parquet(path))
+    _write_layout(out, path, mode, max_records_per_file)
     return interval
 
 
-def read_series(spark: SparkSession, path: str, interval: str, start=None, end=None,
-                tag_ids=None, plant_id=None) -> DataFrame:
+def _seconds(ts) -> int:
+    return int((dt.datetime.fromisoformat(str(ts)) - EPOCH).total_seconds() // 1)
+
+
+def read_series(spark: SparkSession, path: str, start=None, end=None, tag_ids=None, plant_id=None) -> DataFrame:
     """Read the layout with the implied chunk predicate (partition pruning) plus the
-    inclusive timestamp range and tag predicates (row-group pruning).  Text bounds may be
-    ISO-8601 with a ``Z`` / offset suffix (dropped, wall clock kept)."""
-    from ferrule.functions.timebucket import iso_bound
+    inclusive timestamp range and tag predicates (row-group pruning), over chunks of any width.
+    Text bounds may be ISO-8601 with a ``Z`` / offset suffix (dropped, wall clock kept)."""
+    from ferrule.functions.timebucket import iso_bound, ntz
 
     start = iso_bound(start) if isinstance(start, str) else start
     end = iso_bound(end) if isinstance(end, str) else end
@@ -75,11 +91,9 @@ def read_series(spark: SparkSession, path: str, interval: str, start=None, end=N
     if plant_id is not None:
         df = df.filter(F.col("plant_id") == plant_id)
     if start is not None:
-        df = df.filter((F.col("chunk") >= chunk_of(start, interval))
-                       & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")))
+        df = df.filter((F.col("chunk") + F.col("width") > _seconds(start)) & (F.col("timestamp") >= ntz(start)))
     if end is not None:
-        df = df.filter((F.col("chunk") <= chunk_of(end, interval))
-                       & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")))
+        df = df.filter((F.col("chunk") <= _seconds(end)) & (F.col("timestamp") <= ntz(end)))
     if tag_ids is not None:
         df = df.filter(F.col("tag_id").isin(list(tag_ids)))
     return df
@@ -91,37 +105,75 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
 
 
-def drop_expired_chunks(spark: SparkSession, path: str, as_of, keep: str = "3 months",
-                        interval: str = "7 days") -> list:
-    """Retention (R1) on the stored layout: delete whole chunk directories whose end is at
-    or before ``as_of - keep``.  Only directory listings reach the driver."""
-    cutoff = minus_interval(as_of, keep)
-    width_s = parse_interval(interval).micros // 1_000_000
+def _chunk_folders(spark: SparkSession, path: str):
+    """(plant folder, width, chunk start, path, file system, JVM) of every stored chunk; only listings
+    reach the driver."""
     fs, root, jvm = _fs(spark, path)
+
+    def below(parent, prefix):
+        for item in fs.listStatus(parent):
+            name = item.getPath().getName()
+            if item.isDirectory() and name.startswith(prefix):
+                yield name.split("=", 1)[1], item.getPath()
+
+    for plant, plant_path in below(root, "plant_id="):
+        for width, width_path in below(plant_path, "width="):
+            for chunk, chunk_path in below(width_path, "chunk="):
+                yield f"plant_id={plant}", int(width), int(chunk), chunk_path, fs, jvm
+
+
+def drop_expired_chunks(spark: SparkSession, path: str, as_of, keep: str = "3 months") -> list:
+    """Retention (R1) on the stored layout: delete whole chunk directories whose end, by their own
+    stored width, is at or before ``as_of - keep``."""
+    cutoff = minus_interval(as_of, keep)
     dropped = []
-    for plant in fs.listStatus(root):
-        if not plant.isDirectory() or "=" not in plant.getPath().getName():
-            continue
-        for chunk in fs.listStatus(plant.getPath()):
-            name = chunk.getPath().getName()
-            if not name.startswith("chunk="):
-                continue
-            start_s = int(name.split("=", 1)[1])
-            end = EPOCH + dt.timedelta(seconds=start_s + width_s)
-            if end <= cutoff:
-                fs.delete(chunk.getPath(), True)
-                dropped.append((plant.getPath().getName(), start_s))
+    for plant, width, start, folder, fs, _ in _chunk_folders(spark, path):
+        if EPOCH + dt.timedelta(seconds=start + width) <= cutoff:
+            fs.delete(folder, True)
+            dropped.append((plant, start))
     return dropped
 
 
-def compact_chunks(spark: SparkSession, src: str, dst: str, before, interval: str) -> DataFrame:
-    """Compaction (R2): rewrite chunks that start before ``before`` into ``dst`` with the
-    sorted layout; returns the rewritten rows' chunk list."""
-    old = spark.read.parquet(src).filter(F.col("chunk") < chunk_of(before, interval))
-    (old.repartitionByRange("plant_id", "chunk", "tag_id", "timestamp")
-     .sortWithinPartitions("plant_id", "chunk", "tag_id", "timestamp")
-     .write.mode("overwrite").partitionBy("plant_id", "chunk").parquet(dst))
-    return old.select("plant_id", "chunk").distinct()
+def _finish_swaps(spark: SparkSession, path: str) -> None:
+    """Complete or undo chunk swaps that a stopped compaction left: an old copy goes once its
+    chunk is in place, and comes back where it is not."""
+    fs, root, jvm = _fs(spark, path)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "plant_id=*/width=*/_old_chunk=*"))
+    for item in found or []:
+        old = item.getPath()
+        chunk = jvm.org.apache.hadoop.fs.Path(old.getParent(), old.getName()[len("_old_"):])
+        if fs.exists(chunk):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, chunk)
+
+
+def compact_chunks(spark: SparkSession, path: str, before) -> DataFrame:
+    """Compaction (R2) in place: the chunks that end at or before ``before`` are rewritten in the sorted
+    layout beside the table and swapped in, folder by folder; later chunks are not touched.
+    Returns the rewritten chunks.
+
+    A swap renames the chunk aside (a name Spark does not read), renames the new one in and then deletes
+    the old; a rerun after a stop first completes or undoes what was left."""
+    _finish_swaps(spark, path)
+    limit = _seconds(before)
+    old = spark.read.parquet(path).filter(F.col("chunk") + F.col("width") <= limit)
+    done = [(p, w, c) for p, w, c, _, _, _ in _chunk_folders(spark, path) if c + w <= limit]
+    copy = path.rstrip("/") + "/_compacting"
+    _write_layout(old, copy, "overwrite", 5_000_000)
+    fs, root, jvm = _fs(spark, path)
+    new_path = jvm.org.apache.hadoop.fs.Path
+    for plant, width, start, folder, _, _ in _chunk_folders(spark, copy):
+        parent = new_path(root, f"{plant}/width={width}")
+        aside = new_path(parent, f"_old_chunk={start}")
+        target = new_path(parent, f"chunk={start}")
+        if not (fs.rename(target, aside) and fs.rename(folder, target)):
+            raise OSError(f"chunk {start} of {plant} could not be swapped; run the compaction again")
+        fs.delete(aside, True)
+    fs.delete(new_path(copy), True)
+    spark.catalog.refreshByPath(path)
+    rows = [(int(p.split("=", 1)[1]), w, c) for p, w, c in done]
+    return spark.createDataFrame(rows, "plant_id int, width bigint, chunk bigint")
 
 
 def split_csv(df: DataFrame, out: str, rows_per_file: int = SPLIT_ROWS) -> None:
@@ -181,22 +233,21 @@ def import_tables(sources: dict, targets: dict, tables=None) -> dict:
 def merge_into_layout(spark: SparkSession, path: str, batch: DataFrame, interval: str,
                       order: str = "src_row") -> DataFrame:
     """M2 against the stored layout: keep-first inside the batch, drop keys already stored
-    -- reading only the chunks the batch spans -- and append the new rows.
-    Returns the inserted rows (read back from what was written)."""
+    -- reading only the chunks the batch spans, of any width -- and append the new rows in chunks
+    of ``interval``.  Returns the inserted rows (read back from what was written)."""
     from ferrule.operators.merge import keep_first
+    from ferrule.session import cut_lineage
 
+    span = batch.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
     first = keep_first(batch, ["tag_id", "timestamp"], order)
-    span = first.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
     if span is None or span["lo"] is None:
         return first.limit(0)
     try:
-        stored = read_series(spark, path, interval, span["lo"], span["hi"]).select("tag_id", "timestamp")
+        stored = read_series(spark, path, span["lo"], span["hi"]).select("tag_id", "timestamp")
         first = first.join(stored, ["tag_id", "timestamp"], "left_anti")
     except Exception as exc:  # noqa: BLE001 -- first write: nothing stored yet
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-    from ferrule.session import cut_lineage
-
     inserted = cut_lineage(first.drop(order) if order in first.columns else first)
     write_series(inserted, path, interval=interval, mode="append")
     return inserted

@@ -68,6 +68,7 @@ def keep_first_batch_writer(target: str, keys=("tag_id", "timestamp"), order: st
     micro-batch rewrites exactly its own ``batch=<id>`` partitions (dynamic overwrite),
     so replays are idempotent."""
     from ferrule.operators.merge import keep_first
+    from ferrule.functions.timebucket import ntz
     from ferrule.sources.storage import chunk_of, with_chunk
 
     keys = list(keys)
@@ -84,7 +85,7 @@ def keep_first_batch_writer(target: str, keys=("tag_id", "timestamp"), order: st
                       .filter(F.col("chunk").between(chunk_of(span["lo"], chunk_interval),
                                                      chunk_of(span["hi"], chunk_interval)))
                       .filter(F.col("batch") != batch_id)
-                      .filter(F.col(ts).between(F.lit(span["lo"]), F.lit(span["hi"]))))
+                      .filter(F.col(ts).between(ntz(span["lo"]), ntz(span["hi"]))))
             first = first.join(stored.select(*keys), keys, "left_anti")
         except Exception as exc:  # noqa: BLE001 -- empty target folder on the first batch
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):

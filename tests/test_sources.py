@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -46,14 +47,21 @@ def test_layout_pruning_retention_compaction(spark, scratch):
     path = os.path.join(scratch, "ts")
     interval = ST.write_series(_series(spark), path, frequency="minute")
     assert interval == "7 days"
-    got = ST.read_series(spark, path, interval, "2024-01-10 00:00:00", "2024-01-12 23:59:59")
+    got = ST.read_series(spark, path, "2024-01-10 00:00:00", "2024-01-12 23:59:59")
     assert got.count() == 6
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(chunk" in plan
-    compacted = os.path.join(scratch, "compact")
-    chunks = ST.compact_chunks(spark, path, compacted, "2024-02-01 00:00:00", interval)
-    assert chunks.count() > 0 and spark.read.parquet(compacted).count() > 0
-    dropped = ST.drop_expired_chunks(spark, path, "2024-03-15 00:00:00", "1 month", interval)
+    filters = plan.split("PartitionFilters: [", 1)[1].split("], PushedFilters")[0]
+    assert "chunk" in filters and "width" in filters
+    before = sorted((r.tag_id, r.timestamp, r.value) for r in spark.read.parquet(path).collect())
+    # what a stopped compaction leaves: one swap not begun again, one not cleaned up
+    folders = [f for f in sorted(glob.glob(path + "/plant_id=1/width=*/chunk=*"))]
+    os.rename(folders[0], folders[0].replace("chunk=", "_old_chunk="))
+    shutil.copytree(folders[1], folders[1].replace("chunk=", "_old_chunk="))
+    chunks = ST.compact_chunks(spark, path, "2024-02-01 00:00:00")
+    assert 0 < chunks.count() < len(folders)
+    assert sorted((r.tag_id, r.timestamp, r.value) for r in spark.read.parquet(path).collect()) == before
+    assert not glob.glob(path + "/plant_id=1/width=*/_old*") and not os.path.exists(path + "/_compacting")
+    dropped = ST.drop_expired_chunks(spark, path, "2024-03-15 00:00:00", "1 month")
     left = spark.read.parquet(path)
     assert dropped and left.agg(F.min("timestamp")).first()[0] >= dt.datetime(2024, 2, 5)
 
