@@ -12,15 +12,16 @@ before frequent, then by hash":
   ``floor(n/2) - 2r + 2`` frequent ones keeps one pair whole.  (a unmatched here and b there give ``2a + b <=
   floor(n/2)`` broken pairs.)  The prefix that ends first in the order decides, so both sets index the common signature.
 
-The frequent class is found by the first pass itself: all shingles count as rare, and a signature whose group
-holds more than ``frequent`` different sets sets its cell in a bitmap of ``2**CELL_BITS`` bits (so its size is
+The frequent class is found by the first pass itself: all shingles count as rare, and a shingle among the
+first ``COUNTED`` times the prefix of more than ``frequent`` sets sets its cell in a bitmap of ``2**CELL_BITS`` bits (so its size is
 bounded; a rare shingle in a marked cell is merely treated as frequent).  Groups up to that size give their few
 pairs at once; sets whose prefix met a frequent shingle are indexed again with both classes.
 
 Equal sets are one class, known by the set's 64-bit digest, and never compared.  Candidates are verified
-on the texts, exactly on the shingle hashes.  In a group of more than ``frequent`` sets each is first compared with the smallest
-member only (a star, not all pairs); then, among sets still in different components, the remaining pairs of a group
-that the size filter allows.  No link between components is lost, and no large group emits all its pairs.
+on the texts, exactly on the shingle hashes.  In a group of more than ``frequent`` sets each is first compared with one
+pivot only, the member with the largest share of frequent shingles (a star, not all pairs).  Then the sets of such groups
+that are still in different components are joined once more, on prefixes of only those shingles that others of them hold,
+ordered by their exact counts; sets whose own shingles use up the allowance drop out.  No link between components is lost, and no large group emits all its pairs.
 
 Cases: null or empty texts have an empty set and link with nothing; texts shorter than a shingle are one shingle;
 a null doc_id takes part, but names no component unless all ids of the component are null; rows with the same doc_id
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.components import components
@@ -43,6 +44,7 @@ from ferrule.llm.words import mix, sequence_hash, slices, window_hashes, words_o
 from ferrule.session import cut_lineage
 
 CELL_BITS = 24
+COUNTED = 2  # prefixes' worth of shingles that the first pass counts: what takes the place of frequent ones
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -95,58 +97,73 @@ def prefix_signatures(s: np.ndarray, percent: int, frequent: np.ndarray | None)
     return np.concatenate((rare, pairs)), True
 
 
-def _index(source: DataFrame, width: int, percent: int, groups: int, cells: bytes | None) -> DataFrame:
-    """Packed signatures by group: rows (grp, digests, sizes, slots, wide, sigs).  With ``cells`` (bits of the
+def _index(source: DataFrame, width: int, percent: int, groups: int, cells: bytes | None,
+           wanted: bytes | None = None) -> DataFrame:
+    """Packed signatures by group: rows (grp, digests, sizes, slots, wide, sigs, counted), the last the high halves of the
+    shingles that are only counted.  With ``wanted`` (bits of digests) all shingles of those sets.  With ``cells`` (bits of the
     frequent class) only sets whose prefix met a frequent shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = None if cells is None else np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
+        frequent, chosen = (None if x is None else np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (cells, wanted))
         for part in slices(batches, size=8 << 20):
             found: dict[int, tuple] = {}  # equal sets of a slice are indexed once
             for piece in slices(iter([part])):
                 for s in shingle_sets(piece.column("text"), width):
-                    if len(s) and (digest := set_digest(s)) not in found:
+                    if not len(s) or (digest := set_digest(s)) in found:
+                        continue
+                    if chosen is not None:
+                        if chosen[(digest & (1 << 64) - 1) >> 64 - CELL_BITS]:
+                            found[digest] = (len(s), s, _NONE, 0)
+                    else:
                         sig, met = prefix_signatures(s, percent, frequent)
                         if met or frequent is None:
-                            found[digest] = (len(s), sig.copy())
+                            more = s[len(sig):COUNTED * len(sig)].copy() if frequent is None else _NONE
+                            often = 0 if frequent is None else int(frequent[s >> np.uint64(64 - CELL_BITS)].sum())
+                            found[digest] = (len(s), sig.copy(), more, often)
             if not found:
                 continue
             digests = np.array(list(found), np.int64).tobytes()
-            sizes = np.array([n for n, _ in found.values()], np.int32).tobytes()
-            slot = np.repeat(np.arange(len(found)), [len(sig) for _, sig in found.values()])
-            sig = np.concatenate([sig for _, sig in found.values()])
+            sizes = np.array([(n, often) for n, _, _, often in found.values()], np.int32).tobytes()
+            slot = np.repeat(np.arange(len(found)), [len(sig) for _, sig, _, _ in found.values()])
+            sig = np.concatenate([sig for _, sig, _, _ in found.values()])
+            more = (np.concatenate([m for _, _, m, _ in found.values()]) >> np.uint64(32)).astype(np.uint32)
+            more_group = (mix(more) % np.uint64(groups)).astype(np.int32)
+            order = np.argsort(more_group, kind="stable")
+            counted = {g: more[order[a:b]].tobytes() for g, a, b in runs(more_group[order])}
             group = (mix(sig) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
             group, slot, sig = group[order], slot[order], sig[order]
             out = []
             for g, a, b in runs(group):
                 packed, wide = gaps(slot[a:b])
-                out.append((g, digests, sizes, packed, wide, sig[a:b].tobytes()))
+                out.append((g, digests, sizes, packed, wide, sig[a:b].tobytes(), counted.pop(g, b"")))
+            out += [(g, b"", b"", b"", 1, b"", rest) for g, rest in counted.items()]
             for k in range(0, len(out), 32):
                 columns = list(zip(*out[k:k + 32], strict=True))
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int8(), pa.binary())
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int8(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                                 ["grp", "digests", "sizes", "slots", "wide", "sigs"])
+                                                 ["grp", "digests", "sizes", "slots", "wide", "sigs", "counted"])
 
     return source.select("text").mapInArrow(
-        run, "grp int, digests binary, sizes binary, slots binary, wide tinyint, sigs binary")
+        run, "grp int, digests binary, sizes binary, slots binary, wide tinyint, sigs binary, counted binary")
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The signature groups of two different sets or more: (signatures, first member of each and the end,
-    members ordered by group and digest, their sizes)."""
+    members ordered by group and digest, their sizes, their counts of frequent shingles)."""
     digest, size, sig = [], [], []
     for batch in table.to_batches():
         for row in batch.to_pylist():
             slot = from_gaps(row["slots"], row["wide"])
             digest.append(np.frombuffer(row["digests"], np.int64)[slot])
-            size.append(np.frombuffer(row["sizes"], np.int32)[slot])
+            size.append(np.frombuffer(row["sizes"], np.int32).reshape(-1, 2)[slot])
             sig.append(np.frombuffer(row["sigs"], np.uint64))
     sig = np.concatenate(sig)
     ordered = np.sort(sig)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
-        return twice, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return twice, np.zeros(1, np.int64), none, none, none
     node = np.minimum(np.searchsorted(twice, sig), len(twice) - 1)
     several = np.flatnonzero(twice[node] == sig)
     node = node[several]
@@ -159,7 +176,8 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     count = np.diff(np.append(begin, len(node)))
     pick = np.repeat(count > 1, count)
     begin = np.cumsum(count[count > 1]) - count[count > 1]
-    return twice[node[np.cumsum(count) - 1]][count > 1], np.append(begin, pick.sum()), digest[pick], size[pick]
+    return (twice[node[np.cumsum(count) - 1]][count > 1], np.append(begin, pick.sum()), digest[pick], size[pick, 0],
+            size[pick, 1])
 
 
 _CANDIDATES = "kind tinyint, a bigint, b bigint, n bigint, lo bigint, lo_n bigint"
@@ -173,12 +191,15 @@ def _candidates(index: DataFrame, frequent: int, percent: int, first_pass: bool)
     Groups of equal members are taken once in a task, and known by a hash of the members."""
 
     def group(table: pa.Table) -> pa.Table:
-        sig, first, digest, size = _groups(table)
+        sig, first, digest, size, often = _groups(table)
         count = np.diff(first)
         out = [np.zeros((6, 0), np.int64)]
         named = np.add.reduceat(mix(digest.view(np.uint64)), first[:-1]) if len(count) else np.zeros(0, np.uint64)
         if first_pass:
-            cells = np.unique(sig[count > frequent] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            halves = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counted").to_pylist()])
+            halves, times = np.unique(halves, return_counts=True)
+            cells = np.unique(np.concatenate((sig[count > frequent] >> np.uint64(64 - CELL_BITS),
+                                              halves[times > frequent] >> np.uint32(32 - CELL_BITS)))).astype(np.int64)
             out.append(np.stack([np.full(len(cells), _CELL), cells, *[np.zeros(len(cells), np.int64)] * 4]))
         _, once = np.unique(named, return_index=True)
         for k in np.unique(count[once][count[once] <= frequent]).tolist():
@@ -191,9 +212,9 @@ def _candidates(index: DataFrame, frequent: int, percent: int, first_pass: bool)
         if not first_pass:
             for g in once[count[once] > frequent].tolist():
                 x, y = first[g], first[g + 1]
-                n = int(y - x)
+                n, pivot = int(y - x), x + np.argmax(often[x:y] / size[x:y])
                 out.append(np.stack((np.full(n, _MEMBER), np.full(n, named[g].view(np.int64)), digest[x:y], size[x:y],
-                                     np.full(n, digest[x]), np.full(n, size[x]))))
+                                     np.full(n, digest[pivot]), np.full(n, size[pivot]))))
         found = np.concatenate(out, axis=1)
         return pa.table([pa.array(found[0].astype(np.int8)), *[pa.array(found[k]) for k in range(1, 6)]],
                         ["kind", "a", "b", "n", "lo", "lo_n"])
@@ -230,6 +251,56 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _overlap_fits(common: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of ``a`` and ``b`` shingles with at most ``common`` shared ones can link."""
+    return common * (100 + percent) >= (a + b) * percent
+
+
+def _held_shingles(texts_in: DataFrame, ids: DataFrame, total_shingles: int, width: int, percent: int, group_sigs: int,
+                   each: bool) -> DataFrame:
+    """The shingles that two or more of the sets ``ids(id)`` hold: their number per set ``(id, held)``, or with ``each``
+    one row ``(id, shingle, holders)`` for each.  Sets that share a bitmap cell with a wanted one hold shingles too, so
+    the numbers are upper bounds."""
+    groups = int(max(1, -(-total_shingles // group_sigs)))
+
+    def count(table: pa.Table) -> pa.Table:
+        sig, first, digest, _, _ = _groups(table)
+        if each:
+            times = np.diff(first)
+            return pa.table({"id": digest, "shingle": np.repeat(sig, times).view(np.int64), "holders": np.repeat(times, times)})
+        digest, n = np.unique(digest, return_counts=True)
+        return pa.table({"id": digest, "held": n.astype(np.int64)})
+
+    index = _index(texts_in, width, percent, groups, None, bitmap(ids, "id")).groupBy("grp")
+    if each:
+        return index.applyInArrow(count, "id bigint, shingle bigint, holders bigint").join(ids, "id", "left_semi")
+    counts = index.applyInArrow(count, "id bigint, held bigint").groupBy("id").agg(F.sum("held").alias("held"))
+    return counts.join(ids, "id", "left_semi")
+
+
+def _remaining_pairs(texts_in: DataFrame, left: DataFrame, total_shingles: int, width: int, percent: int,
+                     group_sigs: int) -> DataFrame:
+    """Pairs of sets in different components, from ``left(id, n, component, smallest)``, that can still link.
+
+    A prefix join over the shared shingles alone, rarest first by their exact number of holders: a set's shingles that
+    no other set holds use up its allowance for unmatched ones, so few others have to be indexed.  Of a linking pair the
+    first common shingle has, in either set, at most ``held - overlap`` shared shingles before it."""
+    held = _held_shingles(texts_in, left.select("id"), total_shingles, width, percent, group_sigs, True)
+    own = Window.partitionBy("id")
+    overlap = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
+    rows = (held.withColumn("rank", F.row_number().over(own.orderBy("holders", "shingle")) - 1)
+            .withColumn("held", F.count(F.lit(1)).over(own)).join(left, "id")
+            .where(F.col("rank") <= F.col("held") - overlap(F.col("n"), F.col("smallest"))))
+    rows = cut_lineage(rows.select("shingle", "id", "n", "component", (F.col("held") - F.col("rank")).alias("room")))
+    between = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rows = cut_lineage(rows.join(between.select("shingle"), "shingle", "left_semi"))
+    other = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "room")])
+    return (rows.join(other, "shingle").where(
+        (F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & _fits("n", "n_b", percent)
+        & (F.least("room", "room_b") >= overlap(F.col("n"), F.col("n_b"))))
+        .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+
+
 def bitmap(df: DataFrame, column: str) -> bytes:
     """Bits of the cells (top bits) of a bigint column; at most ``2**CELL_BITS`` rows are collected."""
     cells = df.select(F.shiftrightunsigned(column, 64 - CELL_BITS).alias("cell")).distinct().toArrow().column("cell")
@@ -274,14 +345,18 @@ def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent:
     pairs = cut_lineage(pairs.unionByName(second.where(F.col("kind") == _PAIR).select("a", "b")).unionByName(star).distinct())
     links = _linked_pairs(texts_in, pairs, width, percent)
 
-    placed = members.select("key", "id", "n").distinct().join(components(links), "id", "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    left = cut_lineage(placed.join(open_keys.select("key"), "key", "left_semi"))
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = (left.join(other, "key").where((F.col("component") != F.col("component_b")) & (F.col("id") < F.col("b"))
-                                          & _fits("n", "n_b", percent))
-            .select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    # what is still in different components; a set shares at most its shingles that other members hold too
+    held = _held_shingles(texts_in, cut_lineage(members.select("id").distinct()), total_shingles, width, percent, group_sigs, False)
+    placed = cut_lineage(members.select("key", "id", "n").distinct().join(held, "id").join(components(links), "id", "left")
+                         .select("key", "id", "n", "held", F.coalesce("component", "id").alias("component")))
+    least = placed.groupBy("key").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    able = placed.join(least, "key").withColumn("smallest", smallest).where(
+        _overlap_fits(F.col("held"), F.col("n"), F.col("smallest"), percent))
+    open_keys = able.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    left = cut_lineage(able.join(open_keys.select("key"), "key", "left_semi").groupBy("id").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.min("smallest").alias("smallest")))
+    rest = _remaining_pairs(texts_in, left, total_shingles, width, percent, group_sigs).join(pairs, ["a", "b"], "left_anti")
     rest = cut_lineage(rest)
     return links.unionByName(_linked_pairs(texts_in, rest, width, percent))
 
