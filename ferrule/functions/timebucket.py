@@ -133,6 +133,12 @@ TIMESTAMP_FORMATS = (
 )
 
 
+# The layouts of an uploaded sheet -- ISO, then one order of day and month per file.
+ISO_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d")
+MONTH_FIRST_FORMATS = ("M/d/yyyy H:m:s", "M/d/yyyy")
+DAY_FIRST_FORMATS = ("d/M/yyyy H:m:s", "d/M/yyyy")
+
+
 def parse_timestamp_text(text: Column | str, formats=TIMESTAMP_FORMATS) -> Column:
     """First format that parses wins; NULL when none does (no exception)."""
     c = F.trim(_col(text))

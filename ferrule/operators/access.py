@@ -101,9 +101,9 @@ def workspace_access_with_fallback(requests: DataFrame, accessible: DataFrame) -
 
 
 def card_access(requests: DataFrame, cards: DataFrame, workspaces: DataFrame, members: DataFrame,
-                any_permissions: DataFrame) -> DataFrame:
-    """Per request ``(card_id, user_id)``: allowed when the user owns the card, or owns /
-    belongs to the card's workspace (card and workspace active), or holds
+                any_permissions: DataFrame, admins: DataFrame | None = None) -> DataFrame:
+    """Per request ``(card_id, user_id)``: allowed when the user holds the admin role (``admins(user_id)``),
+    owns the card, or owns / belongs to the card's workspace (card and workspace active), or holds
     ``view_any_user_cards``.  ``reason`` is the first rule that grants it."""
     req = requests.select("card_id", "user_id").distinct()
     c = cards.select(F.col("id").alias("card_id"), F.col("user_id").alias("card_owner"), "workspace_id",
@@ -114,7 +114,12 @@ def card_access(requests: DataFrame, cards: DataFrame, workspaces: DataFrame, me
     perm = (any_permissions.filter(F.col("permission") == VIEW_ANY_USER_CARDS)
             .select("user_id").distinct().withColumn("_perm", F.lit(True)))
     r = r.join(perm, "user_id", "left")
-    reason = (F.when(F.col("card_owner") == F.col("user_id"), F.lit("owner"))
+    if admins is not None:
+        r = r.join(admins.select("user_id").distinct().withColumn("_admin", F.lit(True)), "user_id", "left")
+    else:
+        r = r.withColumn("_admin", F.lit(False))
+    reason = (F.when(F.col("_admin"), F.lit("admin"))
+              .when(F.col("card_owner") == F.col("user_id"), F.lit("owner"))
               .when(F.col("_ws") & F.col("card_active"), F.lit("workspace"))
               .when(F.col("_perm"), F.lit("permission")))
     return r.select("card_id", "user_id", reason.isNotNull().alias("allowed"), reason.alias("reason"))

@@ -7,10 +7,10 @@ keep-first merge on ``(tag_id, timestamp)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.timebucket import parse_timestamp_text
+from ferrule.functions.timebucket import DAY_FIRST_FORMATS, ISO_FORMATS, MONTH_FIRST_FORMATS, parse_timestamp_text
 from ferrule.sources.sheet import Sheet, SheetError, na_to_null
 
 # Default description of a tag created by an upload.
@@ -23,17 +23,28 @@ def sheet_rows(sheet: Sheet, check_all_bad: bool = True) -> DataFrame:
     Duplicate header names keep the first non-missing cell (P2); missing-value
     tokens become NULL (P3); timestamps parse leniently and unparseable rows drop (P4).
     """
-    cols = [F.col("_line"), parse_timestamp_text(F.col("ts_text")).alias("timestamp")]
+    cols = [F.col("_line"), parse_timestamp_text(F.col("ts_text"), sheet_formats(sheet.data)).alias("timestamp")]
     for i, (name, positional) in enumerate(sheet.tag_columns.items()):
         cells = [na_to_null(F.col(c)) for c in positional]
         cols.append((F.coalesce(*cells) if len(cells) > 1 else cells[0]).alias(f"t{i}"))
     rows = sheet.data.select(*cols).filter(F.col("timestamp").isNotNull())
     # stops at the first parseable line; only an all-bad sheet is read to the end
-    if check_all_bad and rows.isEmpty():
+    if check_all_bad and rows.isEmpty():  # Fixed value: the message
         raise SheetError(f"All values in {sheet.time_column} could not be converted to datetime.")
     return rows
 
 
+def sheet_formats(data: DataFrame, ts: str = "ts_text") -> tuple:
+    """Timestamp layouts of a sheet: one order of day and month per file.  Month first, unless
+    some value reads only with the day first and none only with the month first (one aggregate job
+    over the timestamp column)."""
+    month = parse_timestamp_text(F.col(ts), MONTH_FIRST_FORMATS).isNotNull()
+    day = parse_timestamp_text(F.col(ts), DAY_FIRST_FORMATS).isNotNull()
+    row = data.agg(F.bool_or(month & ~day).alias("month_only"), F.bool_or(day & ~month).alias("day_only")).first()
+    day_first = bool(row["day_only"]) and not row["month_only"]
+    return ISO_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
+
+
 def melt(rows: DataFrame, tag_names) -> DataFrame:
     """Wide -> long: ``_line, timestamp, tag_name, value`` for every non-missing cell.
 
@@ -46,30 +57,24 @@ def melt(rows: DataFrame, tag_names) -> DataFrame:
 
 
 def ingest_counters(rows: DataFrame, tag_names, mapped_names) -> DataFrame:
-    """One-row quality summary of an upload (P7), computed in one pass before filtering."""
+    """One-row quality summary of an upload (P7), computed in one pass before filtering.
+
+    A row's cells are one array, so the expression stays flat however many tags the sheet has.  Cells
+    of unmapped tags are counted as missing; a text sheet has no other kind of empty cell than the
+    missing-value tokens, so ``none_values`` is zero."""
     mapped = set(mapped_names)
-    n_rows = F.count(F.lit(1))
-    aggs = [n_rows.alias("row_count")]
-    total, missing, zeros, nans = [], [], [], []
-    for i, n in enumerate(tag_names):
-        c = F.col(f"t{i}")
-        if n in mapped:
-            total.append(F.lit(1))
-            nans.append(F.when(c.isNull(), 1).otherwise(0))
-            zeros.append(F.when(c.try_cast("double") == 0, 1).otherwise(0))
-        else:
-            missing.append(F.lit(1))
-
-    def summed(parts, name):
-        expr = sum(parts[1:], parts[0]) if parts else F.lit(0)
-        return F.sum(expr).cast("bigint").alias(name)
-
-    aggs += [summed(total, "total_values"), summed(zeros, "zero_values"),
-             summed(nans, "nan_values"), F.lit(0).cast("bigint").alias("none_values"),
-             summed(missing, "missing_tag_values")]
-    out = rows.agg(*aggs)
+    cells = [F.col(f"t{i}") for i, n in enumerate(tag_names) if n in mapped]
+    array = F.array(*cells) if cells else F.array().cast("array<string>")
+    unmapped = len(list(tag_names)) - len(cells)
+    missing = F.size(F.filter(array, lambda c: c.isNull()))
+    zeros = F.size(F.filter(array, lambda c: c.try_cast("double") == 0))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    out = rows.select(missing.alias("_missing"), zeros.alias("_zeros")).agg(
+        F.count(F.lit(1)).alias("row_count"), total(F.lit(len(cells)), "total_values"), total("_zeros", "zero_values"),
+        total("_missing", "nan_values"), F.lit(0).cast("bigint").alias("none_values"),
+        total(F.lit(unmapped), "missing_tag_values"))
     return (out.withColumn("prepared_records", F.col("total_values") - F.col("nan_values"))
-            .withColumn("expected_records", F.col("row_count") * F.lit(len(tag_names)).cast("bigint")))
+            .withColumn("expected_records", F.col("row_count") * F.lit(len(cells) + unmapped).cast("bigint")))
 
 
 def upsert_tags(existing: DataFrame, upload_meta: DataFrame, frequency: str | None,
@@ -120,20 +125,26 @@ def series_rows(mapped: DataFrame, frequency: str | None, quality: str = "GOOD")
 
 def oldest_active_source(data_sources: DataFrame) -> DataFrame:
     """Per plant, the oldest active data source (W5): ``plant_id, data_source_id``."""
-    w = Window.partitionBy("plant_id").orderBy("created_at", "id")
-    return (data_sources.filter("is_active").withColumn("_rn", F.row_number().over(w))
-            .filter("_rn = 1").select("plant_id", F.col("id").alias("data_source_id")))
+    return (data_sources.filter("is_active").groupBy("plant_id")
+            .agg(F.min(F.struct(F.col("created_at").isNotNull().alias("dated"), "created_at", "id")).alias("_first"))
+            .select("plant_id", F.col("_first.id").alias("data_source_id")))
+
+
+# The source created for file uploads.
+DEFAULT_SOURCE = {"type": "file", "name": "Default File Upload", "description": "Default source for file uploads"}
 
 
 def default_sources(plants: DataFrame, data_sources: DataFrame, created_at) -> DataFrame:
     """Get-or-create the default source for every plant at once (M3): existing oldest
-    active source, else a new ``Default File Upload`` row with id after the current max."""
+    active source, else a new row with id after the current max and ``created_at``."""
+    from ferrule.functions.timebucket import ntz
+    from ferrule.operators.ordinal import with_global_ordinal
+
     have = oldest_active_source(data_sources)
     need = plants.select(F.col("id").alias("plant_id")).join(have, "plant_id", "left_anti")
     base = data_sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")).first()["base"]
-    from ferrule.operators.ordinal import with_global_ordinal
-
     need = with_global_ordinal(need, ["plant_id"], name="_ord", start=int(base) + 1)
-    created = need.select("plant_id", F.col("_ord").cast("int").alias("data_source_id"),
-                          F.lit(True).alias("created"))
-    return have.withColumn("created", F.lit(False)).unionByName(created)
+    stamp = F.lit(None).cast("timestamp_ntz") if created_at is None else ntz(created_at)
+    created = need.select("plant_id", F.col("_ord").cast("int").alias("data_source_id"), F.lit(True).alias("created"),
+                          *[F.lit(v).alias(k) for k, v in DEFAULT_SOURCE.items()], stamp.alias("created_at"))
+    return have.withColumn("created", F.lit(False)).unionByName(created, allowMissingColumns=True)

@@ -222,11 +222,12 @@ def upload_history(series: DataFrame, tags: DataFrame, plant_id=None, limit: int
 
 
 def tag_statistics(series: DataFrame, tags: DataFrame, tag_ids=None, start=None, end=None,
-                   gapfill: bool = False) -> DataFrame:
+                   gapfill: bool = False, keep_empty: bool = False) -> DataFrame:
     """Per tag and day: data points, first/last timestamp, daily count.
 
-    Tags without rows in the range drop out (the range predicate is on the series side,
-    which makes the outer join inner)."""
+    Tags without rows in the range drop out (the range predicate is on the series side, which
+    makes the outer join inner); ``keep_empty`` keeps them with a NULL day.  ``gapfill`` gives every tag
+    that has rows every day of the requested bounds (of its own rows where a bound is not given)."""
     t = tag_filter(tags.select(F.col("id").alias("tag_id"), F.col("name"), F.col("unit_of_measure")),
                    tag_ids)
     s = tag_filter(time_range(series.select("tag_id", "timestamp", "value"), start, end), tag_ids)
@@ -236,13 +237,17 @@ def tag_statistics(series: DataFrame, tags: DataFrame, tag_ids=None, start=None,
                 F.min("timestamp").alias("first_timestamp"),
                 F.max("timestamp").alias("last_timestamp"),
                 F.count("value").alias("daily_count")))
-    if not gapfill:
-        return out
-    bounds = out.groupBy("tag_id").agg(F.min("day").alias("first_bucket"), F.max("day").alias("last_bucket"))
-    spine = gapfill_spine(bounds, "1 day").drop("bucket_block").withColumnRenamed("bucket", "day")
-    names = out.select("tag_id", "name", "unit_of_measure").distinct()
-    filled = spine.join(names, "tag_id").join(out.drop("name", "unit_of_measure"), ["tag_id", "day"], "left")
-    return (filled.withColumn("data_points", F.coalesce("data_points", F.lit(0)))
+    if gapfill:
+        from ferrule.functions.timebucket import bucket_start, ntz
+
+        edge = lambda given, own: ntz(bucket_start("1 day", given)) if given is not None else own
+        bounds = out.groupBy("tag_id").agg(F.min("day").alias("_lo"), F.max("day").alias("_hi")).select(
+            "tag_id", edge(start, F.col("_lo")).alias("first_bucket"), edge(end, F.col("_hi")).alias("last_bucket"))
+        spine = gapfill_spine(bounds, "1 day").drop("bucket_block").withColumnRenamed("bucket", "day")
+        out = spine.join(t, "tag_id").join(out.drop("name", "unit_of_measure"), ["tag_id", "day"], "left")
+    elif keep_empty:
+        out = t.join(out.drop("name", "unit_of_measure"), "tag_id", "left")
+    return (out.withColumn("data_points", F.coalesce("data_points", F.lit(0)))
             .withColumn("daily_count", F.coalesce("daily_count", F.lit(0))))
 
 

@@ -18,7 +18,7 @@ from ferrule.operators import frequency as FQ
 from ferrule.operators import ingest as I
 from ferrule.operators import merge as MG
 from ferrule.session import checkpoint_dir, cut_lineage, ensure_checkpoint_dir
-from ferrule.sources.sheet import read_sheet
+from ferrule.sources.sheet import SheetError, read_sheet
 from ferrule.sources.tables import read_table
 
 
@@ -33,10 +33,16 @@ class IngestResult:
     snapshot: DataFrame
     counters: DataFrame
     unknown: DataFrame
+    held: bool = False
 
 
 def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, stored: DataFrame,
-                 plant_id: int = 1) -> IngestResult:
+                 plant_id: int = 1, on_conflict: str = "proceed") -> IngestResult:
+    """Ingest one sheet.  An upload without a single reading is an error.  When stored rows of its tags
+    in its time span carry another frequency, ``on_conflict="hold"`` inserts nothing and reports the
+    conflicts (``held``); ``"proceed"`` reports them and merges."""
+    if on_conflict not in ("hold", "proceed"):
+        raise ValueError("on_conflict is 'hold' or 'proceed'")
     sheet = read_sheet(spark, path)
     names = list(sheet.tag_columns)
     # parse the text once; every summary and the melt then read the typed rows
@@ -48,11 +54,14 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
     conflicts = FQ.frequency_conflicts(upload_names, span, frequency, stored, existing_tags)
     mapping, tags_after = I.upsert_tags(existing_tags, sheet.metadata(spark), frequency, plant_id)
     long = I.melt(rows, names)
+    if long.isEmpty():  # Fixed value: the message
+        raise SheetError("No valid data to insert.")
     mapped, unknown = I.map_tags(long, mapping)
     batch = I.series_rows(mapped, frequency)
-    inserted, snapshot = MG.merge_append(stored, batch, span=span)
+    held = on_conflict == "hold" and not conflicts.isEmpty()
+    inserted, snapshot = MG.merge_append(stored, batch.limit(0) if held else batch, span=span)
     counters = I.ingest_counters(rows, names, names)
-    return IngestResult(frequency, conflicts, mapping, tags_after, long, inserted, snapshot, counters, unknown)
+    return IngestResult(frequency, conflicts, mapping, tags_after, long, inserted, snapshot, counters, unknown, held)
 
 
 # ---------------------------------------------------------------------------

@@ -544,9 +544,11 @@ have AS (
     SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY created_at, id) AS rn FROM src WHERE is_active)
   WHERE rn = 1),
 need AS (SELECT n_nationkey AS plant_id FROM nation WHERE n_nationkey NOT IN (SELECT plant_id FROM have))
-SELECT plant_id, data_source_id, false AS created FROM have
+SELECT plant_id, data_source_id, false AS created, NULL AS type, NULL AS name, NULL AS description,
+       CAST(NULL AS TIMESTAMP) AS created_at FROM have
 UNION ALL
-SELECT plant_id, CAST((SELECT max(id) FROM src) + row_number() OVER (ORDER BY plant_id) AS INTEGER), true FROM need""",
+SELECT plant_id, CAST((SELECT max(id) FROM src) + row_number() OVER (ORDER BY plant_id) AS INTEGER), true, 'file',
+       'Default File Upload', 'Default source for file uploads', TIMESTAMP '2024-01-01 00:00:00' FROM need""",
     "hierarchy_update": f"""
 WITH {CUSTOMER_NODES}
 SELECT n.label, n.path, n.parent_label, n.display_order,
@@ -674,3 +676,48 @@ SELECT file_name, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || replace
          ELSE '<svg xmlns="http://www.w3.org/2000/svg"><text>page #</text></svg>' END, '#', page) AS clean_svg
 FROM audited WHERE error IS NULL""",
 })
+
+ORACLE.update({
+    "hierarchy_all_nodes": f"WITH {SUPPLIER_CFG} SELECT label, path, parent_label, display_order, is_active FROM cfg",
+    "hierarchy_lookup": f"""
+WITH {CUSTOMER_NODES}
+SELECT 'label' AS lookup, label, path, parent_label FROM nodes WHERE label = 'BUILDING'
+UNION ALL
+SELECT 'path', label, path, parent_label FROM nodes WHERE label = 'BUILDING' AND path = 'AFRICA:KENYA:BUILDING'""",
+    "hierarchy_icons": f"""
+WITH {CUSTOMER_NODES}
+SELECT label, path, coalesce('/icons/' || lower(n_name) || '_' || CAST(n_nationkey AS VARCHAR) || '.svg', lower(label)) AS icon
+FROM nodes LEFT JOIN nation ON lower(n_name) = lower(label)""",
+    "plant_delete_all": f"""
+WITH {SUPPLIER_CFG}
+SELECT CASE WHEN length(path) % 3 > 0 THEN length(path) % 3 END AS plant_id, label, path FROM cfg WHERE length(path) % 3 <> 1""",
+    "update_by_id": """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'part ' || CAST(p_partkey AS VARCHAR) ELSE p_name END AS p_name, p_size FROM part""",
+    "table_columns": """
+SELECT column_name, (SELECT count(*) FROM customer) AS row_count FROM (DESCRIBE customer)""",
+    "import_tables": f"""
+WITH {MERGE_INPUTS},
+first AS (SELECT tag_id, timestamp, arg_min(value, src_row) AS value FROM batch GROUP BY 1, 2)
+SELECT 'time_series' AS table_name, tag_id, timestamp, value FROM target
+UNION ALL
+SELECT 'time_series', f.tag_id, f.timestamp, f.value FROM first f
+WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.tag_id = f.tag_id AND t.timestamp = f.timestamp)""",
+    "records_json_array": "SELECT * FROM customer",
+    "iso_range_output": f"""
+WITH {SERIES_BY_TYPE} SELECT tag_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, value FROM series WHERE {RANGE}""",
+    "tag_statistics_gapfilled": f"""
+WITH {SERIES_BY_TYPE},
+days AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-01-20', INTERVAL '1 day')) AS day),
+found AS (
+  SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS day, count(value) AS n, min(timestamp) AS lo, max(timestamp) AS hi
+  FROM series WHERE timestamp BETWEEN TIMESTAMP '2023-12-25 06:00:00' AND TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1, 2)
+SELECT t.id AS tag_id, t.name, d.day, coalesce(f.n, 0) AS data_points, f.lo AS first_timestamp, f.hi AS last_timestamp
+FROM type_tags t JOIN days d ON t.id IN (SELECT tag_id FROM found) LEFT JOIN found f ON f.tag_id = t.id AND f.day = d.day""",
+    "tag_statistics_keep_empty": f"""
+WITH {SERIES_BY_TYPE},
+found AS (SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS day, count(value) AS n
+          FROM series WHERE {RANGE} AND tag_id % 2 = 1 GROUP BY 1, 2)
+SELECT t.id AS tag_id, t.name, f.day, coalesce(f.n, 0) AS data_points FROM type_tags t LEFT JOIN found f ON f.tag_id = t.id""",
+    "card_access_admin": ORACLE["card_access"].replace(
+        "SELECT card_id, user_id, CASE WHEN card_owner", "SELECT card_id, user_id, CASE WHEN user_id % 10 = 0 THEN 'admin' WHEN card_owner"),
+})

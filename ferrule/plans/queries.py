@@ -663,7 +663,7 @@ def q_default_sources(spark, sf_dir):
     from ferrule.operators.ingest import default_sources
 
     plants = A.access_tables(spark, sf_dir)["plants"]
-    return default_sources(plants, A.supplier_sources(spark, sf_dir), None)
+    return default_sources(plants, A.supplier_sources(spark, sf_dir), "2024-01-01 00:00:00")
 
 
 def q_hierarchy_update(spark, sf_dir):
@@ -923,3 +923,132 @@ def q_permission_checks(spark, sf_dir):
 
 
 QUERIES["permission_checks"] = q_permission_checks
+
+
+# --- lookups, deletes, imports and reports that were only unit-tested --------------------
+
+def q_hierarchy_all_nodes(spark, sf_dir):
+    """H5: every node, inactive included."""
+    from ferrule.operators.hierarchy import all_nodes
+
+    return all_nodes(A.supplier_config(spark, sf_dir)).select("label", "path", "parent_label", "display_order", "is_active")
+
+
+def q_hierarchy_lookup(spark, sf_dir):
+    """H6 / H7: the nodes of one label, and those of a label under one path."""
+    from ferrule.operators.hierarchy import nodes_by_label
+
+    nodes = _customer_nodes(spark, sf_dir)
+    by_label = nodes_by_label(nodes, "BUILDING").withColumn("lookup", F.lit("label"))
+    by_path = nodes_by_label(nodes, "BUILDING", "AFRICA:KENYA:BUILDING").withColumn("lookup", F.lit("path"))
+    return by_label.unionByName(by_path).select("lookup", "label", "path", "parent_label")
+
+
+def q_hierarchy_icons(spark, sf_dir):
+    """Icon names of the nodes resolved to files of an inventory."""
+    from ferrule.operators.hierarchy import resolve_icons
+    from ferrule.sources.tables import read_table
+
+    nodes = _customer_nodes(spark, sf_dir).select("label", "path", F.lower("label").alias("icon"))
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    stem = F.concat(F.lower("n_name"), F.lit("_"), F.col("n_nationkey").cast("string"), F.lit(".svg"))
+    files = nation.select(stem.alias("file_name"), F.concat(F.lit("/icons/"), stem).alias("file_path"))
+    return resolve_icons(nodes, files)
+
+
+def q_source_delete_all(spark, sf_dir):
+    """M7: one plant's rows cleared; other plants' rows and those of none stay."""
+    from ferrule.operators.merge import delete_all
+
+    third = F.length("path") % 3
+    cfg = A.supplier_config(spark, sf_dir).withColumn("plant_id", F.when(third > 0, third))
+    return delete_all(cfg, 1).select("plant_id", "label", "path")
+
+
+def q_update_by_id(spark, sf_dir):
+    """M5: rows updated by id; fields outside the allow list stay."""
+    from ferrule.operators.merge import apply_updates
+    from ferrule.sources.tables import read_table
+
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
+    changes = part.filter(F.col("p_partkey") % 3 == 0).select(
+        "p_partkey", F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("p_name"), F.lit(-1).alias("p_size"))
+    return apply_updates(part, changes, ["p_partkey"], ["p_name"])
+
+
+def q_table_columns(spark, sf_dir):
+    """Column names of a table, by position, with the table's row count beside them."""
+    from ferrule.sources.storage import list_columns
+    from ferrule.sources.tables import read_table, row_count
+
+    nation = read_table(spark, sf_dir, "customer")
+    return list_columns(nation).select("column_name").join(row_count(nation).hint("broadcast"), F.lit(True))
+
+
+def q_import_tables(spark, sf_dir):
+    """Whitelisted import between tables: stored keys win, then the first source row; a table that is
+    not on the list is not copied."""
+    from ferrule.sources.storage import import_tables
+
+    target, batch = _merge_inputs(spark, sf_dir)
+    out = import_tables({"time_series": batch, "alerts": batch}, {"time_series": target.drop("src_row")})
+    (name, (_, snapshot)), = out.items()
+    return snapshot.select(F.lit(name).alias("table_name"), "tag_id", "timestamp", "value")
+
+
+def q_records_json_array(spark, sf_dir):
+    """S6 in its upload form: JSON arrays, of at most 1,000 records a file."""
+    from ferrule.sources import sheet as S
+    from ferrule.sources.tables import read_table
+
+    cust = read_table(spark, sf_dir, "customer")
+    path = _scratch_dir(spark, "records-json-array")
+    record = F.to_json(F.struct(*cust.columns))
+    parts = cust.groupBy((F.floor(F.col("c_custkey") / 1000)).alias("file")).agg(F.concat_ws(",", F.collect_list(record)).alias("body"))
+    (parts.select("file", F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("value"))
+     .write.partitionBy("file").text(path))  # one array per file
+    return S.read_json_records(spark, path + "/file=*", schema=cust.schema, multi_line=True)
+
+
+def q_iso_range_output(spark, sf_dir):
+    """ISO-8601 bounds with zone suffixes; result timestamps rendered as ISO text."""
+    from ferrule.functions.timebucket import iso_bound, iso_format
+
+    rows = M.time_range(A.series_by_type(spark, sf_dir), iso_bound("2024-01-10T00:00:00Z"), iso_bound("2024-01-20T12:00:00+02:00"))
+    return rows.select("tag_id", iso_format("timestamp").alias("timestamp"), "value")
+
+
+def q_tag_statistics_gapfilled(spark, sf_dir):
+    """A8 with every day of the requested bounds."""
+    tags = A.type_tags(spark, sf_dir)
+    out = M.tag_statistics(A.series_by_type(spark, sf_dir, tags), tags, None, "2023-12-25 06:00:00", RANGE_END, gapfill=True)
+    return out.select("tag_id", "name", "day", "data_points", "first_timestamp", "last_timestamp")
+
+
+def q_tag_statistics_keep_empty(spark, sf_dir):
+    """Tags without a row in the range stay, with a NULL day."""
+    tags = A.type_tags(spark, sf_dir)
+    out = M.tag_statistics(A.series_by_type(spark, sf_dir, tags).filter(F.col("tag_id") % 2 == 1), tags, None, RANGE_START,
+                           RANGE_END, keep_empty=True)
+    return out.select("tag_id", "name", "day", "data_points")
+
+
+def q_card_access_admin(spark, sf_dir):
+    """X5 with an admin role: its holders pass first."""
+    from ferrule.operators.access import card_access, effective_permissions
+    from ferrule.session import cut_lineage
+
+    t = A.access_tables(spark, sf_dir)
+    perms = effective_permissions(t["upa"], t["role_permissions"], t["permissions"], per_plant=False)
+    requests = cut_lineage(t["card_requests"])
+    admins = requests.select("user_id").distinct().filter(F.col("user_id") % 10 == 0)
+    return card_access(requests, t["cards"], t["workspaces"], t["members"], perms, admins)
+
+
+QUERIES.update({
+    "hierarchy_all_nodes": q_hierarchy_all_nodes, "hierarchy_lookup": q_hierarchy_lookup, "hierarchy_icons": q_hierarchy_icons,
+    "plant_delete_all": q_source_delete_all, "update_by_id": q_update_by_id, "table_columns": q_table_columns,
+    "import_tables": q_import_tables, "records_json_array": q_records_json_array, "iso_range_output": q_iso_range_output,
+    "tag_statistics_gapfilled": q_tag_statistics_gapfilled, "tag_statistics_keep_empty": q_tag_statistics_keep_empty,
+    "card_access_admin": q_card_access_admin,
+})

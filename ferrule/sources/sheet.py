@@ -86,11 +86,10 @@ def read_sheet(spark: SparkSession, path: str, sep: str = ",") -> Sheet:
             continue
         if n == names[tcol]:
             continue
-        if n not in tag_columns:
-            tag_columns[n] = []
-            desc[n] = _meta_text(head[1][c]) if head[1] is not None else None
-            unit[n] = _meta_text(head[2][c]) if head[2] is not None else None
-        tag_columns[n].append(c)
+        tag_columns.setdefault(n, []).append(c)
+        # of equal names the last column's description and unit stay
+        desc[n] = _meta_text(head[1][c]) if head[1] is not None else None
+        unit[n] = _meta_text(head[2][c]) if head[2] is not None else None
     first_data_line = head[2]["_line"] if head[2] is not None else None
     data = raw if first_data_line is None else raw.filter(F.col("_line") > F.lit(first_data_line))
     data = data.select("_line", F.col(tcol).alias("ts_text"), *[c for cs in tag_columns.values() for c in cs])

@@ -197,3 +197,42 @@ def test_icon_audit_query_matches_brute_force(spark):
             for r in pages.itertuples()}
     got = {r.file_name: r.error for r in q_icon_audit(spark, sf).collect()}
     assert got == want and len(got) == len(pages)
+
+
+def test_wide_sheet_dates_and_conflicts(spark, scratch):
+    """5,000 tags; one day/month order per file; a held upload inserts nothing; an empty one is an error."""
+    from ferrule.plans.ingest import ingest_sheet
+    from ferrule.sources.sheet import SheetError
+
+    n = 5000
+    tags = [f"tag{i}" for i in range(n)]
+    path = os.path.join(scratch, "wide.csv")
+    lines = [["Time"] + tags, [""] * (n + 1), [""] * (n + 1)]
+    lines += [[f"5/{d}/2024"] + ["0" if d == 1 else "1.5"] * (n - 1) + [""] for d in (1, 2, 13)]
+    with open(path, "w") as f:
+        f.write("\n".join(",".join(x) for x in lines) + "\n")
+    known = spark.createDataFrame([], "id int, name string, description string, unit_of_measure string, plant_id int, "
+                                      "is_active boolean, data_source_id int")
+    stored = spark.createDataFrame([], "tag_id int, timestamp timestamp_ntz, value string, frequency string, quality string")
+    out = ingest_sheet(spark, path, known, stored)
+    row = out.counters.first()
+    assert (row.total_values, row.zero_values, row.nan_values, row.missing_tag_values) == (3 * n, n - 1, 3, 0)
+    days = sorted(r.timestamp for r in out.inserted.select("timestamp").distinct().collect())
+    assert days == [dt.datetime(2024, 5, d) for d in (1, 2, 13)]  # month first throughout
+    assert out.inserted.count() == 3 * (n - 1) and not out.held
+    small = os.path.join(scratch, "small.csv")
+    with open(small, "w") as f:
+        f.write("time,a\n,\n,\n13/5/2024,1\n14/5/2024,2\n1/6/2024,3\n")
+    have = spark.createDataFrame([(7, "a", "", "", 1, True, 1)], known.schema)
+    old = spark.createDataFrame([(7, dt.datetime(2024, 5, 14), "9", "hour", "GOOD")], stored.schema)
+    held = ingest_sheet(spark, small, have, old, on_conflict="hold")
+    assert held.held and held.inserted.count() == 0 and held.conflicts.count() == 1
+    went = ingest_sheet(spark, small, have, old)
+    assert sorted(r.timestamp.month for r in went.inserted.collect()) == [5, 6]  # day first: 1 June
+    with open(small, "w") as f:
+        f.write("time,a\n,\n,\n2024-01-01,\n")
+    try:
+        ingest_sheet(spark, small, have, old)
+        raise AssertionError("an upload without readings must be refused")
+    except SheetError:
+        pass

@@ -284,3 +284,70 @@ def test_key_membership_delete_and_iso_output(spark):
     remaining, deleted = MG.delete_keys(stored, keys, ["tag_id", "timestamp"])
     assert [r.tag_id for r in remaining.collect()] == [1] and [r.tag_id for r in deleted.collect()] == [2]
     assert stored.select(iso_format("timestamp")).first()[0] == "2024-01-01T08:05:03"
+
+
+def test_walks_without_a_depth_cap(spark):
+    """A 300-deep chain and a 200-label cycle."""
+    chain = [(f"c{i}", f"p{i}", f"c{i - 1}" if i else None, True) for i in range(300)]
+    ring = [(f"r{i}", f"q{i}", f"r{(i + 1) % 200}", True) for i in range(200)]
+    cfg = _cfg(spark, chain + ring)
+    roots = spark.createDataFrame([("c0",), ("r0",)], "label string")
+    got = {(r.root_label, r.label): r.depth for r in H.descendants(cfg, roots).collect()}
+    assert got[("c0", "c299")] == 299 and got[("r0", "r0")] == 200 and got[("r0", "r199")] == 1
+    assert len(got) == 299 + 200
+    assert {r.label for r in H.circular_records(cfg).collect()} == {f"r{i}" for i in range(200)}
+
+
+def test_keys_and_bounds_in_another_zone(spark):
+    ts = dt.datetime(2024, 1, 1, 12)
+    schema = "tag_id int, timestamp timestamp_ntz, value string, src_row long"
+    old = spark.createDataFrame([(1, ts, "a", 1)], schema)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        inserted, snapshot = MG.merge_append(old, spark.createDataFrame([(1, ts, "b", 1)], schema))
+        assert inserted.count() == 0 and snapshot.count() == 1
+        assert MG.duplicate_flags(old, old).first().is_duplicate
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_averages_keep_every_digit(spark):
+    from ferrule.functions.numeric import exact_avg
+
+    for texts, want in ((["0.00000000001", "0.00000000003"], 2e-11), (["1.25", "2.25", "x"], 1.75),
+                        (["9" * 30, "1"], 5e29), (["x"], None), (["9" * 27 + ".5", "0.5"], 5e26)):
+        got = spark.createDataFrame([(t,) for t in texts], "v string").agg(exact_avg("v")).first()[0]
+        assert got == want if want is None else abs(got - want) <= 1e-12 * want
+
+
+def test_updates_fold_and_set_null(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a", "x", 1), (2, "b", "y", None)], "id int, name string, icon string, plant_id int")
+    rows = [(1, 1, "n1", "i1", ["name", "icon"]), (1, 2, "n2", None, ["name"]), (2, 1, None, None, ["icon"])]
+    ch = spark.createDataFrame(rows, "id int, nr int, name string, icon string, f array<string>")
+    got = {r.id: (r.name, r.icon) for r in MG.apply_updates(df, ch, ["id"], ["name", "icon"], order="nr", given="f").collect()}
+    assert got == {1: ("n2", "i1"), 2: ("b", None)}
+    with pytest.raises(ValueError):
+        MG.apply_updates(df, ch, ["id"], ["name"])
+    assert [r.id for r in MG.delete_all(df, 1).collect()] == [2]
+
+
+def test_cluster_sessions_need_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from ferrule import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s: None)
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return "spark://somewhere:7077"
+
+    class Other:
+        conf = Conf
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Other)
