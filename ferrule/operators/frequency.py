@@ -186,10 +186,11 @@ def frequency_conflicts(upload_names: DataFrame, span, upload_frequency: str, se
               .join(names, "name", "left_semi"))
     # collect_set is bounded by the number of distinct frequency labels (7)
     per_tag = stored.groupBy("name").agg(F.array_sort(F.collect_set("frequency")).alias("freqs"))
-    conflicts = per_tag.filter((F.size("freqs") > 0) & ~F.array_contains("freqs", F.lit(upload_frequency)))
+    new = F.lit(upload_frequency).cast("string")  # NULL for an upload of one timestamp: differs from any
+    conflicts = per_tag.filter((F.size("freqs") > 0) & ~F.coalesce(F.array_contains("freqs", new), F.lit(False)))
     return conflicts.select(
         F.col("name").alias("tag_name"),
         F.array_min("freqs").alias("existing_frequency"),
         F.array_join("freqs", ",").alias("existing_frequencies"),
-        F.lit(upload_frequency).alias("new_frequency"),
+        new.alias("new_frequency"),
     )

@@ -19,7 +19,7 @@ def _write(path, text):
 
 
 SHEET = """Timestamp,Flow,Temp,flow,Empty,New Tag
-,Main flow,Tank temp,,,
+,Main flow,Tank temp,Second flow,,
 ,m3/h,C,,,
 2024-01-01 00:00:00,1.5,20,9,,0
 2024-01-01 01:00:00,,21,7,,x
@@ -33,7 +33,8 @@ def test_sheet_metadata_and_melt(spark, scratch):
     sheet = read_sheet(spark, path)
     assert sheet.time_column == "timestamp"
     assert list(sheet.tag_columns) == ["flow", "temp", "empty", "new tag"]
-    assert sheet.descriptions["flow"] == "Main flow" and sheet.units["temp"] == "C"
+    # of equal names the last column describes the tag
+    assert sheet.descriptions["flow"] == "Second flow" and sheet.units["temp"] == "C"
     assert sheet.descriptions["empty"] is None
     rows = sheet_rows(sheet)
     long = {(r.timestamp.hour, r.tag_name): r.value for r in melt(rows, list(sheet.tag_columns)).collect()}
