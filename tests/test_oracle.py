@@ -27,8 +27,8 @@ def duck():
 @pytest.mark.parametrize("name", OWN)
 def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF_DIR).toPandas()
-    if name not in ORACLE:
-        assert len(got.columns) > 0
+    if name not in ORACLE:  # XML parsing only: held against brute force in test_ingest_icons_streams
+        assert name == "icon_audit", f"{name} has no oracle"
         return
     want = duck.execute(ORACLE[name]).df()
     assert same_result(got, want), f"{name}: {len(got)} rows vs {len(want)} oracle rows"
