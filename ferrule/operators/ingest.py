@@ -18,16 +18,18 @@ DEFAULT_DESCRIPTION = "Sensor data collected at %s intervals"
 
 
 def sheet_rows(sheet: Sheet, check_all_bad: bool = True) -> DataFrame:
-    """Typed sheet rows: ``_line, timestamp, t0..tN`` (one text column per distinct tag name).
+    """Typed sheet rows: ``_line, timestamp, cells`` (one text per distinct tag name, in their order).
 
     Duplicate header names keep the first non-missing cell (P2); missing-value
     tokens become NULL (P3); timestamps parse leniently and unparseable rows drop (P4).
+    The cells are one array, so expressions stay flat however many tags a sheet has.
     """
-    cols = [F.col("_line"), parse_timestamp_text(F.col("ts_text"), sheet_formats(sheet.data)).alias("timestamp")]
-    for i, (name, positional) in enumerate(sheet.tag_columns.items()):
-        cells = [na_to_null(F.col(c)) for c in positional]
-        cols.append((F.coalesce(*cells) if len(cells) > 1 else cells[0]).alias(f"t{i}"))
-    rows = sheet.data.select(*cols).filter(F.col("timestamp").isNotNull())
+    parsed = parse_timestamp_text(F.col("ts_text"), sheet_formats(sheet.data)).alias("timestamp")
+    raw = [F.col(c[0]) if len(c) == 1 else F.coalesce(*[na_to_null(F.col(x)) for x in c])
+           for c in sheet.tag_columns.values()]
+    array = F.array(*raw) if raw else F.array().cast("array<string>")
+    rows = sheet.data.select("_line", parsed, F.transform(array, na_to_null).alias("cells")).filter(
+        F.col("timestamp").isNotNull())
     # stops at the first parseable line; only an all-bad sheet is read to the end
     if check_all_bad and rows.isEmpty():  # Fixed value: the message
         raise SheetError(f"All values in {sheet.time_column} could not be converted to datetime.")
@@ -49,11 +51,10 @@ def melt(rows: DataFrame, tag_names) -> DataFrame:
     """Wide -> long: ``_line, timestamp, tag_name, value`` for every non-missing cell.
 
     Zero readings are kept; the raw text is kept as stored value."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("tag_name"), F.col(f"t{i}").alias("value"))
-                      for i, n in enumerate(tag_names)])
-    long = rows.select("_line", "timestamp", F.explode(pairs).alias("_p"))
-    return (long.select("_line", "timestamp", "_p.tag_name", "_p.value")
-            .filter(F.col("value").isNotNull()))
+    names = F.array(*[F.lit(n) for n in tag_names]) if tag_names else F.array().cast("array<string>")
+    long = rows.select("_line", "timestamp", F.posexplode("cells").alias("_nr", "value"))
+    return (long.filter(F.col("value").isNotNull())
+            .select("_line", "timestamp", F.element_at(names, F.col("_nr") + 1).alias("tag_name"), "value"))
 
 
 def ingest_counters(rows: DataFrame, tag_names, mapped_names) -> DataFrame:
@@ -63,18 +64,21 @@ def ingest_counters(rows: DataFrame, tag_names, mapped_names) -> DataFrame:
     of unmapped tags are counted as missing; a text sheet has no other kind of empty cell than the
     missing-value tokens, so ``none_values`` is zero."""
     mapped = set(mapped_names)
-    cells = [F.col(f"t{i}") for i, n in enumerate(tag_names) if n in mapped]
-    array = F.array(*cells) if cells else F.array().cast("array<string>")
-    unmapped = len(list(tag_names)) - len(cells)
+    known = [n in mapped for n in tag_names]
+    n_mapped, unmapped = sum(known), len(known) - sum(known)
+    array = F.col("cells")
+    if unmapped:
+        mask = F.array(*[F.lit(k) for k in known])
+        array = F.filter(array, lambda c, i: F.element_at(mask, i + 1))
     missing = F.size(F.filter(array, lambda c: c.isNull()))
     zeros = F.size(F.filter(array, lambda c: c.try_cast("double") == 0))
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
     out = rows.select(missing.alias("_missing"), zeros.alias("_zeros")).agg(
-        F.count(F.lit(1)).alias("row_count"), total(F.lit(len(cells)), "total_values"), total("_zeros", "zero_values"),
+        F.count(F.lit(1)).alias("row_count"), total(F.lit(n_mapped), "total_values"), total("_zeros", "zero_values"),
         total("_missing", "nan_values"), F.lit(0).cast("bigint").alias("none_values"),
         total(F.lit(unmapped), "missing_tag_values"))
     return (out.withColumn("prepared_records", F.col("total_values") - F.col("nan_values"))
-            .withColumn("expected_records", F.col("row_count") * F.lit(len(cells) + unmapped).cast("bigint")))
+            .withColumn("expected_records", F.col("row_count") * F.lit(n_mapped + unmapped).cast("bigint")))
 
 
 def upsert_tags(existing: DataFrame, upload_meta: DataFrame, frequency: str | None,
