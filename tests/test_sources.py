@@ -109,5 +109,5 @@ def test_merge_into_layout(spark, scratch):
 def test_read_series_iso_bounds(spark, scratch):
     path = os.path.join(scratch, "ts")
     interval = ST.write_series(_series(spark), path, frequency="minute")
-    got = ST.read_series(spark, path, interval, "2024-01-10T00:00:00Z", "2024-01-12T23:59:59+00:00")
+    got = ST.read_series(spark, path, "2024-01-10T00:00:00Z", "2024-01-12T23:59:59+00:00")
     assert got.count() == 6
