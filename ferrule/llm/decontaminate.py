@@ -3,7 +3,7 @@
 A seed is a fixed mask over consecutive tokens; the positions it leaves out may differ.  All masked
 positions of the benchmark texts are hashed into a table, the same hashes of the corpus are
 joined with it, and around each hit the two texts are compared token by token along the hit's
-diagonal.  Runs of at least ``MIN_RUN`` matches, scored +1 a match and -2 a substitution, are merged over the
+diagonal.  All maximal segments (+1 a match, -2 a substitution) of at least ``MIN_RUN`` matches are merged over the
 diagonals of a (document, item) pair, so inserted or lost words only start another diagonal.  A pair is a leak when
 its matched item tokens reach ``min(needed, ceil(share * item tokens))``.
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.words import id_array, ids_of, mix, slices, words_of
 
-#: Token offsets of the masks (fixed values).
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 2, 5, 6, 8), (0, 3, 4, 7, 9))
+#: Token offsets of the masks (fixed values).  Every segment of positive prefixes and suffixes with five matches holds one.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 2, 5, 6, 8), (0, 3, 4, 7, 9),
+         (0, 1, 2, 4, 5))
 SEED_WEIGHT = 5
 MIN_RUN = 5
 NEEDED = 13
@@ -91,24 +92,30 @@ class SeedTable:
 
 
 def best_runs(match: np.ndarray) -> np.ndarray:
-    """Positions of the matches in the runs of positive score (+1 match, -2 otherwise) that
-    hold at least ``MIN_RUN`` matches."""
-    kept: list[int] = []
-    run: list[int] = []
-    score = best = best_size = 0
-    for at, ok in enumerate(match.tolist()):
-        score += 1 if ok else -2
-        if ok:
-            run.append(at)
-            if score > best:
-                best, best_size = score, len(run)
-        elif score <= 0:
-            if best_size >= MIN_RUN:
-                kept += run[:best_size]
-            run, score, best, best_size = [], 0, 0, 0
-    if best_size >= MIN_RUN:
-        kept += run[:best_size]
-    return np.array(kept, dtype=np.int64)
+    """Positions of the matches in all maximal scoring segments (+1 match, -2 otherwise) that hold at
+    least ``MIN_RUN`` matches."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], match, [False])).astype(np.int8))).reshape(-1, 2)
+    lengths = edge[:, 1] - edge[:, 0]
+    before = np.cumsum(lengths) - lengths
+    left = 3 * before - 2 * edge[:, 0]  # score up to each run of equal tokens
+    kept: list[tuple[int, int]] = []
+    segments: list[tuple[int, int, int, int]] = []
+    least = None
+    for low, high, begin, end in zip(left.tolist(), (left + lengths).tolist(), *edge.T.tolist(), strict=True):
+        if least is None or low <= least:  # nothing before joins what follows
+            kept += [x[2:] for x in segments]
+            segments, least = [], low
+        while True:
+            at = len(segments) - 1
+            while at >= 0 and segments[at][0] >= low:
+                at -= 1
+            if at < 0 or segments[at][1] >= high:
+                break
+            low, begin = segments[at][0], segments[at][2]
+            del segments[at:]
+        segments.append((low, high, begin, end))
+    places = [np.flatnonzero(match[a:b]) + a for a, b in kept + [x[2:] for x in segments]]
+    return np.concatenate([np.zeros(0, np.int64), *(x for x in places if len(x) >= MIN_RUN)])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -110,6 +110,51 @@ def test_leaks_tolerate_substitutions(spark, docs_of):
     assert decontaminate.leaks(docs_of(rows), bench.limit(0)).collect() == []
 
 
+def leaks_by_hand(rows, items):
+    """{(doc_id, item_id): matched} over all diagonals: segments whose every prefix and suffix scores above 0."""
+    out = {}
+    for d, text in rows:
+        for i, item in items:
+            matched = set()
+            for diagonal in range(-len(item), len(text)):
+                ok = [0 <= k + diagonal < len(text) and x == text[k + diagonal] for k, x in enumerate(item)]
+                for a in range(len(ok)):
+                    score = best = 0
+                    for b in range(a, len(ok)):
+                        score += 1 if ok[b] else -2
+                        if score <= 0:
+                            break
+                        if score > best:  # no shorter one scores as much, so every suffix is above 0
+                            best = score
+                            if sum(ok[a:b + 1]) >= decontaminate.MIN_RUN:
+                                matched |= {k for k in range(a, b + 1) if ok[k]}
+            if matched and len(matched) >= min(13, -(-3 * len(item) // 5)):
+                out[d, i] = len(matched)
+    return out
+
+
+def test_clustered_substitutions_equal_brute_force(spark, docs_of):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [(n, [word() for _ in range(n)]) for n in (21, 26, 40)]
+    swap = lambda w, *parts: [word() if any(a <= k < b for a, b in parts) else x for k, x in enumerate(w)]
+    docs = [(1, swap(items[0][1], (9, 13))), (2, swap(items[1][1], (12, 17))),
+            (3, swap(items[2][1], (3, 4), (7, 13), (16, 17), (20, 26), (29, 30), (33, 40)))]
+    for d in range(4, 60):
+        w = list(items[d % 3][1])
+        for _ in range(r.randrange(1, 5)):
+            a = r.randrange(len(w))
+            w = swap(w, (a, a + r.randrange(1, 7)))
+            if r.random() < 0.2:
+                del w[r.randrange(len(w))]
+        docs.append((d, [word() for _ in range(r.randrange(9))] + w))
+    want = leaks_by_hand(docs, items)
+    assert {(1, 21), (2, 26), (3, 40)} <= set(want) and len(want) < len(docs)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    got = decontaminate.leaks(docs_of([(d, " ".join(w)) for d, w in docs]), bench).collect()
+    assert {(x.doc_id, x.item_id): x.matched for x in got} == want
+
+
 def test_every_planted_passage_is_found(spark):
     docs = queries.documents(spark, SF_MID).collect()
     items = spark.read.parquet(f"{SF_MID}/benchmark.parquet").collect()
