@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ferrule.llm.words import ids_of, mix, slices
+from ferrule.llm.words import slices
 
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -30,17 +30,13 @@ def unpack_batch(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each document id."""
-    return (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-
-
-def packed_by_bucket(source: DataFrame, buckets: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``source`` as rows ``(bucket int, payload binary)``: Arrow streams of the rows of a bucket."""
+def packed_by_bucket(source: DataFrame, key_of: Callable[[pa.RecordBatch], np.ndarray], text: str = "text") -> DataFrame:
+    """``source`` as rows ``(bucket int, payload binary)``: Arrow streams of the rows of a bucket, which ``key_of``
+    gives for every row of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text, 8 << 20):
-            bucket = bucket_of(ids_of(part.column(id_column)), buckets)
+            bucket = key_of(part)
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             bounds = np.append(first, len(order))

@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from ferrule.llm import jaccard_join, repeats
 from ferrule.llm.components import components
 from tests.llm import brute
@@ -33,6 +35,30 @@ def test_repeats_equal_brute_force(docs_of, group_size):
         assert all(s.end - s.begin >= 3 for s in r.spans)
 
 
+def test_buckets_follow_bytes_and_rows(docs_of):
+    blobs = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "ab%05d" % k * 40) for k in range(600)]
+    copies = [(None, "equal text of a null id")] * 400 + [(None, None)] * 200
+    for rows in (blobs, blobs + copies):
+        source = docs_of(rows).select("doc_id", "text", F.col("doc_id").alias("row"))
+        counts, deal = repeats.plan(source, 13, 12_000)
+        assert counts.sum() == 0
+        held = {}
+        for r in repeats.packed_by_bucket(source, deal.keys).collect():
+            table = repeats.unpack_batch(r.payload)
+            held[r.bucket] = held.get(r.bucket, 0) + sum(len(t or "") + repeats.ROW_BYTES for t in table.column("text").to_pylist())
+        assert sum(held.values()) == sum(len(t or "") + repeats.ROW_BYTES for _, t in rows)
+        assert max(held.values()) < 4 * 12_000
+
+
+def test_repeats_of_split_ids_equal_brute_force(docs_of):
+    rows = random_docs(5, 150, "abcdef", 60)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else d, t) for k, (d, t) in enumerate(rows)]
+    rows += [(None, rows[0][1])] * 100 + [(7, rows[4][1])] * 100
+    got = repeats.remove_repeats(docs_of(rows), window=3, group_size=500, bucket_words=300).collect()
+    assert sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == sorted(
+        brute.without_repeats(rows, 3), key=str)
+
+
 def test_repeats_odd_rows(docs_of, odd_rows):
     got = repeats.remove_repeats(docs_of(odd_rows)).collect()
     key = lambda x: (str(x[0]), x[1], x[2], x[3])
