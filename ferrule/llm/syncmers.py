@@ -2,11 +2,11 @@
 
 A k-mer of bytes is a *closed syncmer* when the smallest hash among its inner s-mers is that of its first or its last
 s-mer.  The choice depends on the k-mer alone, not on its surroundings, so a passage keeps its anchors wherever it stands.
-A fingerprint lists the ``ANCHORS`` smallest distinct anchor hashes of a text with their first places (bottom-m sketch);
-texts with no anchor have their own hash as the only one, and the empty text an empty fingerprint.
+A fingerprint lists the hashes of all anchors of a text with their places, in the order of the text; texts with no anchor
+have their own hash as the only one, and the empty text an empty fingerprint.
 
-Two fingerprints are compared by the anchors they share among the smallest of both, counted only as far as they stand in
-the same order in both texts (longest increasing chain), over the number of anchors looked at: 1 for equal texts.
+Two fingerprints are compared by the anchors that stand in the same order in both (longest common subsequence, repeated
+anchors included), over the anchors of either (the larger count of each): 1 for equal texts.
 
 The fingerprint string has 14 hexadecimal digits per anchor: 8 of the hash, 6 of the place in units of 16 bytes.
 
@@ -18,7 +18,7 @@ columns are carried in ``row``; long texts are whole.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +31,11 @@ from ferrule.llm.exchange import pack_batch, runs, unpack_batch
 from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import ids_of, mix, slices, text_bytes
 
-K, S, ANCHORS = 20, 8, 64
+K, S = 20, 8
 _INNER = K - S + 1
 BUCKET_BYTES = 12 << 20
+PAIR_COST = 3000  # cells of the bit-parallel table in the time of one pair of equal anchors
+MASK_BYTES = 64 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,20 +66,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Fingerprint of every text: (ascending 32-bit anchor hashes, their places)."""
+    """Fingerprint of every text: (32-bit anchor hashes, their places), in the order of the text."""
     data, offsets = text_bytes(column)
     text, place, h = anchors(data, offsets)
-    h = h >> np.uint64(32)
-    order = np.lexsort((place, h, text))
-    text, place, h = text[order], place[order], h[order]
-    new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])) if len(text) else np.zeros(0, bool)
-    text, place, h = text[new], np.minimum(place[new] >> 4, 0xFFFFFF), h[new]
+    h, place = h >> np.uint64(32), np.minimum(place >> 4, 0xFFFFFF)
     bounds = np.searchsorted(text, np.arange(len(offsets)))
     out = []
     for k in range(len(offsets) - 1):
         a, b = int(bounds[k]), int(bounds[k + 1])
         if a < b:
-            out.append((h[a:min(b, a + ANCHORS)], place[a:min(b, a + ANCHORS)]))
+            out.append((h[a:b], place[a:b]))
         elif offsets[k] < offsets[k + 1]:
             digest = hashlib.blake2b(data[offsets[k]:offsets[k + 1]].tobytes(), digest_size=4).digest()
             out.append((np.frombuffer(digest, ">u4").astype(np.uint64), np.zeros(1, np.int64)))
@@ -87,22 +85,63 @@ def sketches(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def as_text(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    return "".join("%08x%06x" % pair for pair in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True))
+    packed = (sketch[0] << np.uint64(24) | sketch[1].astype(np.uint64)).astype(">u8")
+    return packed.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes().hex()
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two arrays."""
+    head = _alike(a, b)
+    a, b = a[head:], b[head:]
+    tail = _alike(a[::-1], b[::-1])
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    a = a[np.isin(a, b)]
+    b = b[np.isin(b, a)]
+    if not len(a):
+        return head + tail
+    names, code = np.unique(b, return_inverse=True)
+    first = np.append(0, np.cumsum(np.bincount(code)))
+    which = np.searchsorted(names, a)
+    pairs = int((first[which + 1] - first[which]).sum())
+    if pairs * PAIR_COST <= len(a) * len(b) or pairs <= len(a) + len(b):  # Hunt-Szymanski
+        places = np.lexsort((-np.arange(len(b)), code)).tolist()
+        chain: list[int] = []
+        for low, high in zip(first[which].tolist(), first[which + 1].tolist(), strict=True):
+            for q in places[low:high]:  # descending
+                if not chain or q > chain[-1]:
+                    chain.append(q)
+                else:
+                    chain[bisect_left(chain, q)] = q
+        return head + tail + len(chain)
+    full = (1 << len(b)) - 1
+    masks: dict[int, int] = {}
+    row = full
+    for x in which.tolist():  # one bit of the row per place of b
+        mask = masks.get(x)
+        if mask is None:
+            mask = int.from_bytes(np.packbits(code == x, bitorder="little").tobytes(), "little")
+            if len(masks) * len(b) < 8 * MASK_BYTES:
+                masks[x] = mask
+        met = row & mask
+        row = (row + met | row - met) & full
+    return head + tail + len(b) - row.bit_count()
 
 
 def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
-    """Share of common anchors in the same order among the smallest anchors of both."""
+    """Share of the anchors in the same order among the anchors of both."""
     if not len(one[0]) or not len(two[0]):
         return float(len(one[0]) == len(two[0]))
-    looked = np.union1d(one[0], two[0])[:ANCHORS]
-    other = dict(zip(two[0].tolist(), two[1].tolist(), strict=True))
-    top = int(looked[-1])
-    shared = sorted((p, other[h]) for h, p in zip(one[0].tolist(), one[1].tolist(), strict=True) if h <= top and h in other)
-    chain: list[int] = []
-    for _, q in shared:
-        at = bisect_right(chain, q)
-        chain[at:at + 1] = [q]
-    return len(chain) / len(looked)
+    (names, times), (others, other_times) = (np.unique(x[0], return_counts=True) for x in (one, two))
+    at = np.minimum(np.searchsorted(others, names), len(others) - 1)
+    common = int(np.minimum(times, other_times[at])[others[at] == names].sum())
+    return in_order(one[0], two[0]) / (len(one[0]) + len(two[0]) - common) if common else 0.0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: Column | None = None) -> DataFrame:

@@ -52,6 +52,35 @@ def test_likeness():
     assert syncmers.as_text(empty) == "" and len(syncmers.as_text(tiny)) == 14
 
 
+def test_long_texts_keep_every_anchor():
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = text(4000)
+    a, b = text(30_000) + passage + text(30_000), text(10_000) + passage + text(50_000)
+    one, two = syncmers.sketches(pa.array([a, b]))
+    places = sorted(closed_syncmer_places(a[:9000].encode()))
+    assert one[1][:len(places)].tolist() == [p >> 4 for p in places] and len(one[0]) > 8000
+    assert syncmers.as_text(one) == "".join("%08x%06x" % x for x in zip(one[0].tolist(), one[1].tolist(), strict=True))
+    assert 0.02 < syncmers.likeness(one, two) < 0.05
+    same, = syncmers.sketches(pa.array(["again and again " * 500]))
+    assert len(same[0]) > 500 and syncmers.likeness(same, same) == 1
+
+
+@pytest.mark.parametrize("cost", [0, 1 << 60])
+def test_in_order_equals_the_table(monkeypatch, cost):
+    monkeypatch.setattr(syncmers, "PAIR_COST", cost)
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([r.randrange(k) for _ in range(r.randrange(1, 40))] for k in [r.choice((2, 5, 30))] * 2)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(old[k] + 1 if x == y else max(row[-1], old[k + 1]))
+        assert syncmers.in_order(np.array(a, np.uint64), np.array(b, np.uint64)) == row[-1]
+
+
 def by_hand(rows):
     key = lambda r: (0 if r[0] is None else 1, -(r[0] or 0), r[1] or "")
     ordered = sorted(rows, key=key)
