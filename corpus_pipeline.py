@@ -4,10 +4,10 @@ Every stage takes what its predecessor kept, written as Parquet and read again.
 columns of their input; the last returns one row of token ids per document.
 
 1. ``language_id``: documents without a language (null or no letter) or with an unsure one go.
-2. ``jaccard_join``: of each group of near copies the document of smallest id stays.
+2. ``jaccard_join``: of each group of near copies one row stays, that of smallest id (null last).
 3. ``substring_dedup``: words under windows of 13 words that also start in a smaller document go; a document that loses
    words has the rest joined by one space, one that loses all its words goes, and any other is unchanged.
-4. ``decontamination``: documents that leak a benchmark item go.
+4. ``decontamination``: rows whose text leaks a benchmark item go, whatever their id.
 5. ``byte_bpe``: ids of the text, checked by decoding them.
 """
 

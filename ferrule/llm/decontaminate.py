@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.rows import whole_row
 from ferrule.llm.words import id_array, ids_of, mix, slices, words_of
 
 #: Token offsets of the masks (fixed values).  Every segment of positive prefixes and suffixes with five matches holds one.
@@ -123,20 +124,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
           block_tokens: int = 1_000_000) -> DataFrame:
     """One row per leaking (doc_id, item_id): ``matched`` item tokens, ``item_tokens`` and ``overlap`` (their ratio)."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = None
+    for ids, texts in _blocks(benchmark, item_id, item_text, block_tokens):
+        hits = source.mapInArrow(_scan(ids, texts, needed, share),
+                                 "doc_id bigint, item_id bigint, matched bigint, item_tokens bigint")
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens")
+    ).withColumn("overlap", F.col("matched") / F.col("item_tokens"))
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_tokens: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the benchmark, block by block."""
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")
                              ).where(F.length("text") > 0)
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_tokens))
-    found = None
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = mine.orderBy("item_id", "text").collect()  # bounded by block_tokens
-        hits = source.mapInArrow(_scan([r["item_id"] for r in rows], [r["text"] for r in rows], needed, share),
-                                 "doc_id bigint, item_id bigint, matched bigint, item_tokens bigint")
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens")
-    ).withColumn("overlap", F.col("matched") / F.col("item_tokens"))
+        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+
+
+def _leaking(table: SeedTable, column: pa.Array, needed: int, share: float) -> list[tuple[int, int, int, int]]:
+    """(text, item, matched, item tokens) of the leaks of a slice."""
+    words = words_of(column, fold=True)
+    matched: dict[tuple[int, int], set] = {}
+    for doc, item, diagonal in table.hits(words).tolist():
+        text = words.hash[words.first[doc]:words.first[doc + 1]]
+        tokens = table.tokens[table.first[item]:table.first[item + 1]]
+        low, high = max(0, -diagonal), min(len(tokens), len(text) - diagonal)
+        places = best_runs(tokens[low:high] == text[low + diagonal:high + diagonal])
+        matched.setdefault((doc, item), set()).update((places + low).tolist())
+    sized = ((doc, item, len(places), int(table.first[item + 1] - table.first[item])) for (doc, item), places in matched.items())
+    return [x for x in sized if x[2] and x[2] >= min(needed, int(np.ceil(share * x[3])))]
 
 
 def _scan(item_ids: list, texts: list[str], needed: int, share: float):
@@ -144,19 +165,8 @@ def _scan(item_ids: list, texts: list[str], needed: int, share: float):
         table = SeedTable(item_ids, texts)
         for part in slices(batches):
             ids = ids_of(part.column("doc_id"))
-            words = words_of(part.column("text"), fold=True)
-            matched: dict[tuple[int, int], set] = {}
-            for doc, item, diagonal in table.hits(words).tolist():
-                text = words.hash[words.first[doc]:words.first[doc + 1]]
-                tokens = table.tokens[table.first[item]:table.first[item + 1]]
-                low, high = max(0, -diagonal), min(len(tokens), len(text) - diagonal)
-                places = best_runs(tokens[low:high] == text[low + diagonal:high + diagonal])
-                matched.setdefault((doc, item), set()).update((places + low).tolist())
-            out = []
-            for (doc, item), places in matched.items():
-                n = int(table.first[item + 1] - table.first[item])
-                if places and len(places) >= min(needed, int(np.ceil(share * n))):
-                    out.append((ids[doc], table.ids[item], len(places), n))
+            out = [(ids[doc], table.ids[item], matched, n)
+                   for doc, item, matched, n in _leaking(table, part.column("text"), needed, share)]
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [id_array(np.array(columns[0], np.int64)), *(pa.array(list(c), pa.int64()) for c in columns[1:])],
@@ -165,7 +175,21 @@ def _scan(item_ids: list, texts: list[str], needed: int, share: float):
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that leak no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leaking")).distinct()
-    return docs.join(bad, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__leaking")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", needed: int = NEEDED, share: float = SHARE,
+                  block_tokens: int = 1_000_000) -> DataFrame:
+    """The rows whose text leaks no benchmark item, with all their columns; ids play no part."""
+    kept = docs.select(whole_row(docs).alias("row"), F.col(text).cast("string").alias("text"))
+    for ids, texts in _blocks(benchmark, item_id, item_text, block_tokens):
+        kept = kept.mapInArrow(_clean(ids, texts, needed, share), kept.schema)
+    return kept.select("row.*")
+
+
+def _clean(item_ids: list, texts: list[str], needed: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = SeedTable(item_ids, texts)
+        for part in slices(batches):
+            bad = {x[0] for x in _leaking(table, part.column("text"), needed, share)}
+            yield part if not bad else part.take(pa.array([k for k in range(part.num_rows) if k not in bad], pa.int64()))
+
+    return run

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.components import components
 from ferrule.llm.exchange import from_gaps, gaps, runs
+from ferrule.llm.rows import whole_row, with_fields
 from ferrule.llm.words import mix, sequence_hash, slices, window_hashes, words_of
 from ferrule.session import cut_lineage
 
@@ -361,10 +362,9 @@ def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent:
     return links.unionByName(_linked_pairs(texts_in, rest, width, percent))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text",
-                       frequent: int = 8, group_sigs: int = 1_000_000) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id of its component)
-    and ``digest`` (of its set).  ``percent`` is at least 50."""
+def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, frequent: int,
+             group_sigs: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n, digest)`` of every row, and ``(digest, least, component)`` of every set that is not empty."""
     if percent < 50:
         raise ValueError("the extended prefixes hold for thresholds of a half or more")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -381,7 +381,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, doc_i
     classes = (rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
                .join(labels.withColumnRenamed("id", "digest"), "digest", "left")
                .select("digest", "least", F.coalesce("component", "digest").alias("component")))
-    classes = cut_lineage(classes)
+    return rows, cut_lineage(classes)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text",
+                       frequent: int = 8, group_sigs: int = 1_000_000) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id of its component)
+    and ``digest`` (of its set).  ``percent`` is at least 50."""
+    rows, classes = _classes(docs, width, percent, doc_id, text, frequent, group_sigs)
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "component").select("digest", "component_id")
     return (rows.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest")
@@ -389,8 +396,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, doc_i
                                                     F.col("doc_id").alias("component_id"), "digest")))
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of one document of each group: those whose id is its component's.  A null doc_id is kept."""
-    keep = jaccard_components(docs, doc_id=doc_id, **options).where(
-        F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(keep, F.col(f"`{doc_id}`").cast("bigint") == F.col("__dropped"), "left_anti")
+def one_per_group(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text",
+                  frequent: int = 8, group_sigs: int = 1_000_000) -> DataFrame:
+    """Exactly one row of each group: of smallest id (null last), then of smallest set digest, then of smallest text.
+    A row without shingles is a group of its own."""
+    rows, classes = _classes(docs, width, percent, doc_id, text, frequent, group_sigs)
+    held = (rows.where("n > 0").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+            .join(classes.select("digest", "component"), "digest"))
+    best = held.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                                                        F.col("digest").alias("set"))).alias("best"))
+    chosen = (F.col("digest") == F.col("best.set")) & F.col("doc_id").eqNullSafe(F.col("best.id"))
+    marked = cut_lineage(held.join(best, "component").select(
+        F.col("digest").alias("set"), F.col("doc_id").alias("id"), "times", chosen.alias("chosen")))
+    tagged = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"),
+                         F.col(text).cast("string").alias("text"))
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            digest = [set_digest(s) for s in shingle_sets(part.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digest, pa.int64())],
+                                             ["row", "doc_id", "digest"])
+
+    tagged = tagged.mapInArrow(tag, with_fields([tagged.schema["row"]], "doc_id bigint, digest bigint"))
+    same = (F.col("digest") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    kept = tagged.join(marked.where("NOT chosen OR times > 1"), same, "left_anti").select("row.*")
+    again = marked.where("chosen AND times > 1")  # several rows of the chosen id and set: one of them
+    if not again.limit(1).count():
+        return kept
+    one = tagged.join(again, same, "left_semi").groupBy("digest").agg(F.min_by("row", F.col("row").getField(text)).alias("row"))
+    return kept.union(one.select("row.*"))

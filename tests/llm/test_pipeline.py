@@ -57,3 +57,19 @@ def test_stages_take_odd_rows(spark, docs_of, odd_rows):
             assert kept.columns == docs.columns
         docs = spark.createDataFrame(kept.collect(), kept.schema)
     assert docs.count() > 0
+
+
+def test_stages_decide_by_row(spark, docs_of):
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    clean = ["the quick brown fox jumps over the lazy dog today", "a wholly different line of words about rivers and hills",
+             "some third text that tells of boats in a harbour", "four small birds sat upon a very old garden wall"]
+    rows = [(None, item), (None, clean[0]), (7, item), (7, clean[1]), (8, clean[2])]
+    kept = corpus_pipeline.drop_leaks(spark, docs_of(rows), SF_SMALL)
+    assert sorted((r.text, r.doc_id) for r in kept.collect()) == sorted([(clean[0], None), (clean[1], 7), (clean[2], 8)])
+
+    rows = [(1, clean[0]), (5, clean[0]), (5, clean[1]), (6, clean[2]), (6, clean[2]), (6, clean[2]),
+            (None, clean[2]), (None, clean[3]), (None, clean[3]), (9, ""), (None, None)]
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(rows), SF_SMALL)
+    want = [(1, clean[0]), (5, clean[1]), (6, clean[2]), (None, clean[3]), (9, ""), (None, None)]
+    assert kept.columns == docs_of(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
