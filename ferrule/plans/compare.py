@@ -9,7 +9,7 @@ import pandas as pd
 
 
 def _norm(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
     if isinstance(v, float):
         return repr(round(v, 6))
