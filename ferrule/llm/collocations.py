@@ -33,7 +33,7 @@ from ferrule.llm.exchange import pack_batch, unpack_batch
 from ferrule.llm.words import mix, text_bytes
 from ferrule.session import cut_lineage
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 6 << 20
 BITMAP_BITS = 1 << 26  # 8 MB; clashes cost work, never rows
 LONGEST = 4
 
@@ -83,7 +83,7 @@ def _tokens(data: np.ndarray, begin: np.ndarray, end: int) -> tuple[pa.Array, np
     is_word = ~gap
     start = np.flatnonzero(is_word & (edge[:-1] | np.append(True, gap[:-1])))
     stop = np.flatnonzero(is_word & (edge[1:] | np.append(gap[1:], True))) + 1
-    pieces = np.cumsum(_STOP[part], dtype=np.int64)[start]
+    pieces = np.searchsorted(np.flatnonzero(_STOP[part]), start)
     segment = np.searchsorted(begin - low, start, "right") - 1
     opens = np.ones(len(start), dtype=bool)
     opens[1:] = (pieces[1:] != pieces[:-1]) | (segment[1:] != segment[:-1])
