@@ -1,18 +1,22 @@
 """Phrase collocations by SON partitioning: mine shards at lowered support, unite, count exactly.
 
-1. *Shards.*  Every task cuts its texts into shards of one language and about ``SHARD_BYTES`` of text,
-   words as codes of the shard's own dictionary, and writes them as rows of one table.  A very
+1. *Chunks.*  Every task cuts its texts into chunks of one language and about ``CHUNK_BYTES`` of text,
+   words as codes of the chunk's own dictionary, and writes them as rows of one table.  A very
    long text is cut behind a piece separator, so no phrase is lost and memory does not grow with it.
+   The chunks are dealt to a fixed number of *shards*, which many tasks mine together.
 2. *Local mining.*  A shard with ``n_i`` of a language's ``n`` words is mined completely at the support
-   ``t_i = ceil(support * n_i / n)``, level by level.  A phrase below ``t_i`` in every shard
-   has fewer than ``support`` occurrences, so the union of the locally frequent phrases lacks none.
+   ``t_i = ceil(support * n_i / n)``.  A phrase below ``t_i`` in every shard has fewer than ``support``
+   occurrences, so the union of the locally frequent phrases lacks none.
 3. *Union.*  A shard that does not report a phrase holds at most ``t_i - 1`` of it.  A phrase whose reported
    counts and these bounds together stay below the support is dropped; what is left are the candidates.
-4. *Counting.*  Another pass counts all candidates over all shards, by their text.
+4. *Counting.*  Another pass counts all candidates over all chunks, by their text.
+
+With shards of one task's size the local support would fall to 1 as the corpus grows; with a fixed number of shards, each
+counted by a keyed aggregate, it is the same at every size.
 
 The union is kept as a bitmap of fixed size over phrase hashes: a hash or bitmap clash can only add
-a candidate, which the exact count then drops.  Mining of pairs uses the words, that of longer phrases
-the pairs of the level before (every part of a frequent phrase is frequent).
+a candidate, which the exact count then drops.  Mining goes level by level: every part of a frequent phrase is
+frequent, so only phrases are looked at whose shorter parts are candidates.
 
 Cases: a null text counts as empty, a null language as ``und``; an empty table gives an empty result;
 repeated rows count as often as they occur; other columns are ignored, whatever their names.
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +38,8 @@ from ferrule.llm.exchange import pack_batch, unpack_batch
 from ferrule.llm.words import mix, text_bytes
 from ferrule.session import cut_lineage
 
-SHARD_BYTES = 6 << 20
+CHUNK_BYTES = 6 << 20
+SHARDS = 8
 BITMAP_BITS = 1 << 26  # 8 MB; clashes cost work, never rows
 LONGEST = 4
 
@@ -45,7 +51,7 @@ _GAP = _STOP.copy()
 _GAP[[0x20, 0x09]] = True
 
 
-# --- shards -----------------------------------------------------------------------
+# --- chunks -----------------------------------------------------------------------
 
 def _segments(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and text index of segments: whole texts, those over ``size`` bytes cut behind a piece separator."""
@@ -93,13 +99,14 @@ def _tokens(data: np.ndarray, begin: np.ndarray, end: int) -> tuple[pa.Array, np
     return words, segment, opens
 
 
-def shards(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` as rows ``(lang, n_words, words, places)``: a shard's distinct words, and
+def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` as rows ``(lang, shard, n_words, words, places)``: a chunk's distinct words, and
     their codes in order with marks where a piece begins."""
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                          F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -119,18 +126,18 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
                     mine = of_lang == k
                     used, code = np.unique(codes[mine], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([names[k]], pa.string()), pa.array([len(code)], pa.int64()),
+                        pa.array([names[k]], pa.string()), pa.array([dealt % SHARDS], pa.int32()), pa.array([len(code)], pa.int64()),
                         pa.array([pack_batch(pa.record_batch([known.take(pa.array(used))], ["word"]))], pa.binary()),
                         pa.array([pack_batch(pa.record_batch(
                             [pa.array(code.astype(np.int32)), pa.array(opens[mine])], ["code", "opens"]))], pa.binary())],
-                        ["lang", "n_words", "words", "places"])
-                at = to
+                        ["lang", "shard", "n_words", "words", "places"])
+                at, dealt = to, dealt + 1
 
-    return source.mapInArrow(run, "lang string, n_words bigint, words binary, places binary")
+    return source.mapInArrow(run, "lang string, shard int, n_words bigint, words binary, places binary")
 
 
-class Shard:
-    """One shard row: distinct words with their hashes, the code of every place, and where pieces open."""
+class Chunk:
+    """One chunk row: distinct words with their hashes, the code of every place, and where pieces open."""
 
     def __init__(self, row: dict):
         self.lang = row["lang"]
@@ -157,12 +164,12 @@ def word_counts(cut: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            shard = Shard(row)
-            count = np.bincount(shard.code, minlength=len(shard.words))
-            for at in range(0, len(shard.words), 1 << 16):
-                part = shard.words.slice(at, 1 << 16)
+            chunk = Chunk(row)
+            count = np.bincount(chunk.code, minlength=len(chunk.words))
+            for at in range(0, len(chunk.words), 1 << 16):
+                part = chunk.words.slice(at, 1 << 16)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shard.lang] * len(part), pa.string()), part.cast(pa.binary()).cast(pa.string()),
+                    pa.array([chunk.lang] * len(part), pa.string()), part.cast(pa.binary()).cast(pa.string()),
                     pa.array(count[at:at + (1 << 16)], pa.int64())], ["lang", "word", "f"])
 
     return (cut.select("lang", "words", "places").mapInArrow(run, "lang string, word string, f bigint")
@@ -189,11 +196,11 @@ def _marked(bitmap_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap_bytes[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-# --- levels of one shard ----------------------------------------------------------------
+# --- levels of one chunk ----------------------------------------------------------------
 
 class Level:
-    """The distinct phrases of one length in a shard.  ``first`` holds a place of each, ``count`` its
-    occurrences, ``hash`` its hash; ``at`` the phrase that begins at each place of the shard, or -1."""
+    """The distinct phrases of one length in a chunk.  ``first`` holds a place of each, ``count`` its
+    occurrences, ``hash`` its hash; ``at`` the phrase that begins at each place of the chunk, or -1."""
 
     def __init__(self, at: np.ndarray, first: np.ndarray, count: np.ndarray, hashes: np.ndarray):
         self.at, self.first, self.count, self.hash = at, first, count, hashes
@@ -205,18 +212,18 @@ class Level:
         return Level(number[self.at], self.first[chosen], self.count[chosen], self.hash[chosen])
 
 
-def first_level(shard: Shard) -> Level:
-    count = np.bincount(shard.code, minlength=len(shard.words))
-    first = np.zeros(len(shard.words), dtype=np.int64)
-    first[shard.code[::-1]] = np.arange(len(shard.code) - 1, -1, -1)
-    return Level(shard.code, first, count, shard.hashes())
+def first_level(chunk: Chunk) -> Level:
+    count = np.bincount(chunk.code, minlength=len(chunk.words))
+    first = np.zeros(len(chunk.words), dtype=np.int64)
+    first[chunk.code[::-1]] = np.arange(len(chunk.code) - 1, -1, -1)
+    return Level(chunk.code, first, count, chunk.hashes())
 
 
-def next_level(shard: Shard, words: Level, level: Level, length: int) -> Level:
+def next_level(chunk: Chunk, words: Level, level: Level, length: int) -> Level:
     """Phrases of ``length`` words whose first and last ``length - 1`` words are in ``level``."""
-    n = len(shard.code)
+    n = len(chunk.code)
     place = np.flatnonzero(level.at[:max(0, n - length + 1)] >= 0)
-    place = place[(level.at[place + 1] >= 0) & ~shard.opens[place + length - 1]]
+    place = place[(level.at[place + 1] >= 0) & ~chunk.opens[place + length - 1]]
     last = words.at[place + length - 1]
     pair = level.at[place] * (len(words.first) + 1) + last
     _, index, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
@@ -231,48 +238,47 @@ def next_level(shard: Shard, words: Level, level: Level, length: int) -> Level:
 # --- mining and counting -------------------------------------------------------------------
 
 def with_support(cut: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """Shards with their local support ``t`` and what a phrase's excess over it must reach (``need``);
-    and ``(lang, n, need)`` per language."""
-    share = F.ceil((F.lit(support) * F.col("n_words").cast("decimal(38,0)")) / F.col("n")).cast("int")
-    totals = cut.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    slack = cut.select("lang", "n_words").join(totals, "lang").groupBy("lang").agg(
-        F.max("n").alias("n"), (F.lit(support) - F.sum(F.greatest(share, F.lit(1)) - 1)).cast("int").alias("need"))
-    langs = cut_lineage(slack)  # a table of known size: joined by broadcast only where it is small
-    return cut.join(langs, "lang").withColumn("t", F.greatest(share, F.lit(1))).drop("n"), langs
-
-
-def mine(cut: DataFrame, frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """Hashes of the candidates: of pairs, or, given the bitmap of the candidate pairs, of longer phrases.
-
-    Every shard reports each locally frequent phrase with its excess over ``t - 1``."""
-    spark = cut.sparkSession
-    held = spark.sparkContext.broadcast((frequent_words, pairs))
+    """Chunks with ``what``, which packs their shard, its local support ``t`` and what a phrase's excess over the local
+    supports must reach (``need``); and ``(lang, n, need)`` per language."""
+    shards = cut_lineage(cut.groupBy("lang", "shard").agg(F.sum("n_words").alias("n_i")))
+    totals = shards.groupBy("lang").agg(F.sum("n_i").alias("n"))
+    share = F.ceil((F.lit(support) * F.col("n_i").cast("decimal(38,0)")) / F.col("n")).cast("bigint")
+    local = shards.join(totals, "lang").select("lang", "shard", "n", F.greatest(share, F.lit(1)).alias("t"))
+    langs = cut_lineage(local.groupBy("lang").agg(F.max("n").alias("n"), (F.lit(support) - F.sum(F.col("t") - 1)).alias("need")))
+    packed = F.shiftleft("t", 36) + F.shiftleft("need", 8) + F.col("shard")
+    # tables of known size: joined by broadcast only where they are small
+    what = cut_lineage(local.join(langs.select("lang", "need"), "lang").select("lang", "shard", packed.alias("what")))
+    return cut.join(what, ["lang", "shard"]), langs
+
+
+def mine(cut: DataFrame, frequent_words: np.ndarray, known: dict[int, np.ndarray]) -> DataFrame:
+    """Hashes of the candidates one word longer than those of ``known`` (bitmaps by length; none yet: pairs).
+
+    A chunk gives each of its phrases once, with its count; the counts are summed per shard, and what is frequent in a shard goes
+    into the union with its excess over ``t - 1``.  One shuffle by the hash serves both sums."""
+    held = cut.sparkSession.sparkContext.broadcast((frequent_words, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, known_pairs = held.value
+        known_words, shorter = held.value
         for row in _rows(batches):
-            shard, t = Shard(row), row["t"]
-            words = first_level(shard)
-            words = words.keep((words.count >= t) & _marked(known_words, words.hash))
-            level = next_level(shard, words, words, 2)
-            lengths = [2]
-            if known_pairs is not None:
-                level = level.keep((level.count >= t) & _marked(known_pairs, level.hash))
-                lengths = range(3, LONGEST + 1)
-            for length in lengths:
-                if length > 2:
-                    level = next_level(shard, words, level, length)
-                level = level.keep(level.count >= t)
-                for at in range(0, len(level.hash), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    n = len(level.hash[part])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(level.hash[part].view(np.int64)), pa.array((level.count[part] - (t - 1)).astype(np.int64)),
-                        pa.array(np.full(n, row["need"], dtype=np.int32))], ["hash", "excess", "need"])
-
-    return (cut.select("lang", "words", "places", "t", "need")
-            .mapInArrow(run, "hash bigint, excess bigint, need int")
-            .groupBy("hash").agg(F.sum("excess").alias("excess"), F.max("need").alias("need"))
+            chunk = Chunk(row)
+            words = first_level(chunk)
+            words = level = words.keep(_marked(known_words, words.hash))
+            for length in range(2, len(shorter) + 3):
+                level = next_level(chunk, words, level, length)
+                if length in shorter:
+                    level = level.keep(_marked(shorter[length], level.hash))
+            for at in range(0, len(level.hash), 1 << 16):
+                hashes, count = level.hash[at:at + (1 << 16)], level.count[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), row["what"], dtype=np.int64)),
+                    pa.array(count.astype(np.int64))], ["hash", "what", "count"])
+
+    counted = (cut.select("lang", "words", "places", "what").mapInArrow(run, "hash bigint, what bigint, count bigint")
+               .repartition("hash").groupBy("hash", "what").agg(F.sum("count").alias("count")))
+    t, need = F.shiftright("what", 36), F.shiftright("what", 8).bitwiseAND(F.lit((1 << 28) - 1))
+    return (counted.where(F.col("count") >= t).groupBy("hash")
+            .agg(F.sum(F.col("count") - t + 1).alias("excess"), F.max(need).alias("need"))
             .where(F.col("excess") >= F.col("need")).select("hash"))
 
 
@@ -283,19 +289,19 @@ def count_phrases(cut: DataFrame, frequent_words: np.ndarray, candidates: dict[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known = held.value
         for row in _rows(batches):
-            shard = Shard(row)
-            words = first_level(shard)
+            chunk = Chunk(row)
+            words = first_level(chunk)
             words = words.keep(_marked(known_words, words.hash))
-            level, texts = words, shard.words
+            level, texts = words, chunk.words
             for length in range(2, LONGEST + 1):
-                level = next_level(shard, words, level, length)
+                level = next_level(chunk, words, level, length)
                 level = level.keep(_marked(known[length], level.hash))
                 for at in range(0, len(level.hash), 1 << 16):
                     first = level.first[at:at + (1 << 16)]
-                    parts = [texts.take(pa.array(shard.code[first + k])) for k in range(length)]
+                    parts = [texts.take(pa.array(chunk.code[first + k])) for k in range(length)]
                     joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([shard.lang] * len(first), pa.string()), joined.cast(pa.binary()).cast(pa.string()),
+                        pa.array([chunk.lang] * len(first), pa.string()), joined.cast(pa.binary()).cast(pa.string()),
                         pa.array(level.count[at:at + (1 << 16)], pa.int64())], ["lang", "phrase", "f"])
 
     return (cut.select("lang", "words", "places").mapInArrow(run, "lang string, phrase string, f bigint")
@@ -303,16 +309,17 @@ def count_phrases(cut: DataFrame, frequent_words: np.ndarray, candidates: dict[i
 
 
 def frequent_phrases(docs: DataFrame, support: int = 30, lang: str = "lang", text: str = "text",
-                     size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+                     size: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Every phrase of 1 to 4 words with ``support`` occurrences, ``(lang, phrase, f)``, and the
     word total ``(lang, n)`` of every language."""
-    cut = cut_lineage(shards(docs, lang, text, size))
+    cut = cut_lineage(chunks(docs, lang, text, size))
     words = cut_lineage(word_counts(cut).where(F.col("f") >= support))
     marked_words = bitmap(words.select(F.xxhash64("lang", "word").alias("hash")))
     supported, langs = with_support(cut, support)
-    pairs = bitmap(mine(supported, marked_words))
-    longer = bitmap(mine(supported, marked_words, pairs))
-    phrases = count_phrases(cut, marked_words, {2: pairs, 3: longer, 4: longer}, support)
+    candidates: dict[int, np.ndarray] = {}
+    for length in range(2, LONGEST + 1):
+        candidates[length] = bitmap(mine(supported, marked_words, candidates))
+    phrases = count_phrases(cut, marked_words, candidates, support)
     return cut_lineage(words.withColumnRenamed("word", "phrase").union(phrases)), langs.select("lang", "n")
 
 
@@ -323,7 +330,7 @@ def _join(words, begin, length):
 
 
 def collocations(docs: DataFrame, support: int = 30, top: int = 2000, lang: str = "lang", text: str = "text",
-                 size: int = SHARD_BYTES) -> DataFrame:
+                 size: int = CHUNK_BYTES) -> DataFrame:
     """The ``top`` collocations of every language: ``lang, rank, phrase, a, l, r, n, score, k``.
 
     A phrase of 2 to 4 words with ``a >= support`` occurrences is scored at its weakest cut ``k``,

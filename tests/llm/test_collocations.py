@@ -49,7 +49,7 @@ def run(spark, rows, **options):
     return sorted(tuple(r) for r in out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("size", [200, 20_000, C.SHARD_BYTES])
+@pytest.mark.parametrize("size", [200, 20_000, C.CHUNK_BYTES])
 @pytest.mark.parametrize("support, top", [(5, 10_000), (30, 7)])
 def test_against_brute_force(spark, size, support, top):
     rows = corpus(1, 60, 120)
@@ -63,22 +63,23 @@ def test_long_texts_are_cut_behind_separators(spark):
 
 
 def test_local_support_is_proportional(spark):
-    """A language in one shard is mined at the whole support, one in many shards at less; bounds stay tight."""
-    cut = spark.createDataFrame([("one", 100), *[("many", 10)] * 10], "lang string, n_words bigint")
+    """A language in one shard is mined at the whole support, one in several shards at less; bounds stay tight."""
+    cut = spark.createDataFrame([("one", 3, 100), *[("many", k % 5, 5) for k in range(20)]], "lang string, shard int, n_words bigint")
     supported, langs = C.with_support(cut, 30)
-    assert {(r["lang"], r["t"]) for r in supported.collect()} == {("one", 30), ("many", 3)}
-    assert {(r["lang"], r["n"], r["need"]) for r in langs.collect()} == {("one", 100, 1), ("many", 100, 10)}
+    assert {(r["lang"], r["what"] >> 36, r["what"] & 255) for r in supported.collect()} == {("one", 30, 3), *[("many", 6, k) for k in range(5)]}
+    assert {(r["lang"], r["n"], r["need"]) for r in langs.collect()} == {("one", 100, 1), ("many", 100, 5)}
+    assert {(r["what"] >> 8) & ((1 << 28) - 1) for r in supported.where("lang = 'many'").collect()} == {5}
 
 
 def test_hash_of_words_is_that_of_spark(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(1, "alpha été 日本", "de", "", 0, 0)], SCHEMA)
-    shard = C.Shard({k: v for k, v in C.shards(df).first().asDict().items()})
-    words = [w.decode() for w in shard.words.to_pylist()]
+    chunk = C.Chunk({k: v for k, v in C.chunks(df).first().asDict().items()})
+    words = [w.decode() for w in chunk.words.to_pylist()]
     table = spark.createDataFrame([("de", w) for w in words], "lang string, word string")
     got = {r["word"]: r["h"] % (1 << 64) for r in table.select("word", F.xxhash64("lang", "word").alias("h")).collect()}
-    assert got == dict(zip(words, shard.hashes().tolist(), strict=True))
+    assert got == dict(zip(words, chunk.hashes().tolist(), strict=True))
 
 
 def test_empty_table(spark):
