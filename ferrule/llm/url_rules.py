@@ -45,7 +45,7 @@ class Rule:
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """A host with its subdomains, below a path prefix."""
     bounded = host + (path if not path or not path[-1].isalnum() else re.sub("[A-Za-z0-9]+$", "", path))
-    return Rule(host + path, verdict, r"^(?:[^/]*\.)?" + _quote(host + path), tuple(sorted(set(re.findall(_TOKEN, bounded.lower())))))
+    return Rule(host + path, verdict, r"^(?:[^/?#]*\.)?" + _quote(host + path), tuple(sorted(set(re.findall(_TOKEN, bounded.lower())))))
 
 
 def pattern_rule(pattern: str, verdict: str) -> Rule:

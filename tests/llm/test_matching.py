@@ -221,6 +221,15 @@ def test_url_rules_inline_and_joined(spark):
     assert url_rules.judge(pages.limit(0), url_rules.default_rules()).collect() == []
 
 
+def test_host_rules_do_not_reach_into_query_or_fragment(spark):
+    rows = [(1, "https://foo.net?next=example.com/en/x"), (2, "http://foo.org#a.net/es/"), (3, "http://shop.fr?u=b.example.com/en/1"),
+            (4, "http://a.net/es/?u=example.com/en/1")]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    for inline in (1000, 0):
+        got = {r.row.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, url_rules.default_rules(), inline_rules=inline).collect()}
+        assert got == {1: (None, "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: ("net/es/", "block")}
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     rules = [url_rules.host_rule("www.rare.com", "/", "block"), url_rules.pattern_rule("*.*", "block"),
              url_rules.pattern_rule("/shop/*item", "allow"), url_rules.host_rule("com", "/sh", "allow")]
