@@ -1,11 +1,13 @@
 """Sampling-frequency detection (consecutive gaps, median ladder) and conflicts.
 
 Scale notes
-* Gaps are computed in two levels so no window ever holds a whole series:
+* Gaps per key are computed in two levels so no window ever holds a whole series:
   ``lag`` inside (key, time block) partitions, plus one boundary gap per
   block from a per-block min/max aggregate whose size is bounded by the time
   span, not by the row count.  A hot tag with a third of all rows is spread
   over all its blocks.
+* The whole-file form and the exact medians work on range partitions (``order_stats``): no window is
+  keyed by time alone or by nothing, and no buffer of gaps is kept per key.
 * The frequency label only depends on where the median gap falls relative to
   the ladder thresholds.  For each threshold ``t`` we aggregate
   ``count(gap < t)``, ``max(gap | gap < t)`` and ``min(gap | gap >= t)``; that
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.timebucket import time_bucket, ntz
+from ferrule.operators import order_stats
 
 # The frequency ladder, median gap in seconds below each bound.
 FREQUENCY_LADDER = (
@@ -90,13 +93,14 @@ def _median_below(n: Column, below: Column, lo: Column, hi: Column, t: float) ->
             .otherwise((lo + hi) / 2 < F.lit(float(t))))
 
 
-def frequency_label_aggs(gap: str = "gap"):
-    """Aggregate expressions deciding the ladder label from a gap column."""
+def frequency_label_aggs(gap: str = "gap", weight: str | None = None):
+    """Aggregate expressions deciding the ladder label from a gap column, counted ``weight`` times."""
     g = F.col(gap)
-    aggs = [F.count(g).alias("_n")]
+    times = lambda met: F.coalesce(F.sum(F.when(met, F.col(weight) if weight else F.lit(1))), F.lit(0))
+    aggs = [times(g.isNotNull()).alias("_n")]
     for i, (t, _) in enumerate(FREQUENCY_LADDER):
         aggs += [
-            F.count_if(g < t).alias(f"_c{i}"),
+            times(g < t).alias(f"_c{i}"),
             F.max(F.when(g < t, g)).alias(f"_lo{i}"),
             F.min(F.when(g >= t, g)).alias(f"_hi{i}"),
         ]
@@ -128,26 +132,30 @@ def frequency_by_key(df: DataFrame, keys, ts: str = "timestamp", block: str = "1
     return out.select(*keys, F.coalesce("gap_count", F.lit(0)).cast("bigint").alias("gap_count"), "frequency")
 
 
-def frequency_of_frame(df: DataFrame, ts: str = "timestamp", block: str = "1 hour",
-                       with_span: bool = False) -> DataFrame:
+def frequency_of_frame(df: DataFrame, ts: str = "timestamp", with_span: bool = False) -> DataFrame:
     """Frequency of a whole file (one ordering of all rows): one row ``gap_count, frequency``
-    (plus ``lo, hi`` -- the time span, read off the same per-block summary -- when asked)."""
-    gaps, edges = _gaps_and_edges(df, [], ts, block)
-    agg = gaps.agg(*frequency_label_aggs())
+    (plus ``lo, hi`` -- the time span, read off the edges of the ranges -- when asked)."""
+    gaps, edges = order_stats.consecutive_gaps(df, [], ts)
+    agg = gaps.withColumn("gap", F.col("gap_us") / F.lit(1_000_000.0)).agg(*frequency_label_aggs(weight="weight"))
     out = agg.select(F.col("_n").cast("bigint").alias("gap_count"),
                      frequency_label_from_aggs().alias("frequency"))
     if not with_span:
         return out
-    span = edges.agg(F.min("_first").alias("lo"), F.max("_last").alias("hi"))
+    span = edges.agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
     return out.withColumn("_k", F.lit(1)).join(span.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def median_gap_by_key(df: DataFrame, keys, ts: str = "timestamp", block: str = "1 hour") -> DataFrame:
-    """Exact (interpolated) median gap per key, for reporting.  Its buffer grows with the
-    number of *distinct* gap values of a key; the label itself never needs it."""
-    keys = list(keys)
-    gaps = consecutive_gaps(df, keys, ts, block)
-    return gaps.groupBy(*keys).agg(F.median("gap").alias("median_gap"))
+def gap_quantiles_by_key(df: DataFrame, keys, probabilities: dict[str, float], ts: str = "timestamp") -> DataFrame:
+    """Exact interpolated quantiles of the gaps (seconds) per key: ``keys..., gap_count`` and a column
+    per entry of ``probabilities``.  A key with a single row has no gap and no row."""
+    gaps, _ = order_stats.consecutive_gaps(df, keys, ts)
+    out = order_stats.weighted_quantiles(gaps, keys, "gap_us", "weight", probabilities)
+    return out.select(*keys, F.col("n").alias("gap_count"), *[(F.col(p) / 1e6).alias(p) for p in probabilities])
+
+
+def median_gap_by_key(df: DataFrame, keys, ts: str = "timestamp") -> DataFrame:
+    """Exact (interpolated) median gap in seconds per key, for reporting."""
+    return gap_quantiles_by_key(df, keys, {"median_gap": 0.5}, ts).drop("gap_count")
 
 
 def chunk_interval(frequency: Column) -> Column:

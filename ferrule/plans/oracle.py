@@ -159,6 +159,12 @@ SELECT gap_count, {LADDER} AS frequency FROM m""",
 WITH {SERIES_BY_TYPE},
 g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series)
 SELECT tag_id, round(median(gap), 6) AS median_gap FROM g WHERE gap IS NOT NULL GROUP BY tag_id""",
+    "gap_quantiles_by_user": f"""
+WITH {SERIES_BY_USER},
+g AS (SELECT tag_id, {GAP.format(key='tag_id')} AS gap FROM series)
+SELECT tag_id, count(*) AS gap_count, round(quantile_cont(gap, 0.1), 6) AS p10, round(quantile_cont(gap, 0.5), 6) AS p50,
+       round(quantile_cont(gap, 0.9), 6) AS p90
+FROM g WHERE gap IS NOT NULL GROUP BY tag_id""",
 })
 
 # --- wide-sheet ingest ------------------------------------------------------------

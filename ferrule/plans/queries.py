@@ -139,6 +139,13 @@ def q_median_gap_by_type(spark, sf_dir):
     return rounded(median_gap_by_key(A.series_by_type(spark, sf_dir), ["tag_id"]))
 
 
+def q_gap_quantiles_by_user(spark, sf_dir):
+    """Exact 10 %, 50 % and 90 % quantiles of the consecutive gaps per user tag."""
+    from ferrule.operators.frequency import gap_quantiles_by_key
+
+    return rounded(gap_quantiles_by_key(A.series_by_user(spark, sf_dir), ["tag_id"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
+
+
 QUERIES.update({
     "metrics_range": q_metrics_range,
     "metrics_weekly": q_metrics_weekly,
@@ -156,6 +163,7 @@ QUERIES.update({
     "frequency_by_type": q_frequency_by_type,
     "frequency_of_file": q_frequency_of_file,
     "median_gap_by_type": q_median_gap_by_type,
+    "gap_quantiles_by_user": q_gap_quantiles_by_user,
 })
 
 
