@@ -255,14 +255,19 @@ def refresh_daily_rollup(series: DataFrame, path: str, as_of, start_offset: str
                          end_offset: str = "1 hour", numeric_mode: str = "strict") -> tuple:
     """Materialised daily rollup (A6): recompute the whole days in
     ``[as_of - start_offset, as_of - end_offset]`` and replace exactly those day partitions
-    (dynamic partition overwrite); older days stay as written, and a day that is not over at the
-    end offset is left to a later refresh.  Returns the refreshed window bounds."""
+    (dynamic partition overwrite); a day of the window that has no rows any more is removed, older days
+    stay as written, and a day that is not over at the end offset is left to a later refresh.
+    Returns the refreshed window bounds.  ``rollup.refresh_touched`` recomputes only what changed."""
     from ferrule.functions.timebucket import bucket_start, ntz
+    from ferrule.session import cut_lineage
+    from ferrule.sources.storage import drop_days
 
     lo, hi = refresh_window(as_of, start_offset, end_offset)
     first_day, end_day = bucket_start("1 day", lo), bucket_start("1 day", hi)
     window = series.filter((F.col("timestamp") >= ntz(first_day)) & (F.col("timestamp") < ntz(end_day)))
-    out = daily_rollup(window, numeric_mode).withColumn("day", F.date_format("bucket", "yyyy-MM-dd"))
+    out = cut_lineage(daily_rollup(window, numeric_mode).withColumn("day", F.date_format("bucket", "yyyy-MM-dd")))
+    filled = {r["day"] for r in out.select("day").distinct().collect()}  # at most the days of the window
     (out.repartitionByRange("day", "tag_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+    drop_days(series.sparkSession, path, first_day.date().isoformat(), end_day.date().isoformat(), keep=filled)
     return lo, hi

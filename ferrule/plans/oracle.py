@@ -591,6 +591,45 @@ WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00'
   AND timestamp < time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1 hour')
 GROUP BY 1, 2"""
 
+_CASCADE = {"time_bucket_second": "1 second", "time_bucket_minute": "1 minute", "time_bucket_hour": "1 hour", "time_bucket_day": "1 day",
+            "time_bucket_week": "7 days", "time_bucket_month": "1 month", "time_bucket_year": "1 year"}
+
+
+def _level(table: str) -> str:
+    return f"""
+SELECT '{table}' AS rollup, tag_id, time_bucket(INTERVAL '{_CASCADE[table]}', timestamp) AS bucket, round({AVG}, 6) AS avg_value,
+       round(min({NUM}), 6) AS min_value, round(max({NUM}), 6) AS max_value,
+       (min({{'t': timestamp, 'v': {NUM}}}) FILTER (WHERE {NUM} IS NOT NULL)).v AS first_raw,
+       (max({{'t': timestamp, 'v': {NUM}}}) FILTER (WHERE {NUM} IS NOT NULL)).v AS last_raw, count(*) AS sample_count
+FROM series GROUP BY 1, 2, 3"""
+
+
+_ROLLUP_COLUMNS = """tag_id, bucket, avg_value, min_value, max_value, round(first_raw, 6) AS first_value,
+       round(last_raw, 6) AS last_value, sample_count"""
+
+ORACLE["rollup_cascade"] = f"""
+WITH {SERIES_BY_TYPE},
+levels AS ({" UNION ALL ".join(_level(t) for t in _CASCADE if t != "time_bucket_second")})
+SELECT rollup, {_ROLLUP_COLUMNS} FROM levels"""
+
+ORACLE["rollup_of_frequency"] = f"""
+WITH {SERIES_BY_TYPE},
+levels AS ({" UNION ALL ".join(_level(t) for t in _CASCADE)}),
+file AS ({ORACLE["frequency_of_file"]})
+SELECT frequency, {_ROLLUP_COLUMNS} FROM levels, file
+WHERE rollup = CASE frequency WHEN 'sub_second' THEN 'time_bucket_second' WHEN 'second' THEN 'time_bucket_minute'
+  WHEN 'minute' THEN 'time_bucket_hour' WHEN 'hour' THEN 'time_bucket_day' WHEN 'day' THEN 'time_bucket_week'
+  WHEN 'week' THEN 'time_bucket_month' ELSE 'time_bucket_day' END"""
+
+ORACLE["rollup_follows_changes"] = f"""
+WITH {SERIES_BY_USER},
+kept AS (
+  SELECT tag_id, timestamp, value FROM series
+  WHERE tag_id % 5 = 0 OR NOT ((tag_id % 3 = 0 AND day(timestamp) BETWEEN 5 AND 8) OR day(timestamp) = 10
+                     OR (day(timestamp) = 25 AND tag_id % 2 = 0)))
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value, count(*) AS sample_count
+FROM kept WHERE timestamp < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1, 2"""
+
 ORACLE["hierarchy_upload"] = f"""
 WITH {CUSTOMER_NODES}, {SUPPLIER_CFG}
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE len(p) > 0) AS valid_paths,

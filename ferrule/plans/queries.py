@@ -776,6 +776,58 @@ def q_daily_rollup_refresh(spark, sf_dir):
 QUERIES["daily_rollup_refresh"] = q_daily_rollup_refresh
 
 
+def q_rollup_cascade(spark, sf_dir):
+    """Minute, hour, day, week, month and year tables, each merged from a finer one; the series is read once."""
+    from ferrule.operators import rollup
+
+    tables = [t for t in rollup.TABLE_BUCKETS if t != "time_bucket_second"]
+    path = _scratch_dir(spark, "cascade")
+    rollup.build_cascade(A.series_by_type(spark, sf_dir), path, tables)
+    out = None
+    for table in tables:
+        one = rollup.read_rollup(spark, path, table).select(F.lit(table).alias("rollup"), "*")
+        out = one if out is None else out.union(one)
+    return rounded(out)
+
+
+def q_rollup_of_frequency(spark, sf_dir):
+    """The rollup that serves the detected frequency of the whole event series, from the cascade."""
+    from ferrule.operators import rollup
+    from ferrule.operators.frequency import frequency_of_frame
+    from ferrule.sources.tables import read_table
+
+    path = _scratch_dir(spark, "cascade")
+    rollup.build_cascade(A.series_by_type(spark, sf_dir), path)
+    label = frequency_of_frame(read_table(spark, sf_dir, "events", ["ts"]), "ts").first()["frequency"]
+    return rounded(rollup.rollup_for(spark, path, label).withColumn("frequency", F.lit(label).cast("string")))
+
+
+def q_rollup_follows_changes(spark, sf_dir):
+    """A daily rollup refreshed from the ledger of touched days after a first load, deletes and late rows.
+
+    The second refresh has a later window: it also takes the days the first one had to leave in the ledger."""
+    from ferrule.operators.rollup import read_daily, record_touched, refresh_touched
+    from ferrule.sources.storage import delete_from_layout, merge_into_layout, read_series, write_series
+
+    path, rollup = _scratch_dir(spark, "layout"), _scratch_dir(spark, "rollup")
+    series = A.series_by_user(spark, sf_dir).select("tag_id", "timestamp", "value")
+    late = F.col("tag_id") % 5 == 0
+    write_series(series.filter(~late), path, interval="1 day", mode="overwrite")
+    stored = lambda: read_series(spark, path).select("tag_id", "timestamp", "value")
+    record_touched(stored(), rollup)
+    refresh_touched(stored(), rollup, REFRESH_AS_OF)
+    day = F.dayofmonth("timestamp")
+    gone = stored().filter(((F.col("tag_id") % 3 == 0) & day.between(5, 8)) | (day == 10) | ((day == 25) & (F.col("tag_id") % 2 == 0)))
+    delete_from_layout(spark, path, gone, rollup)
+    merge_into_layout(spark, path, series.filter(late).withColumn("src_row", F.monotonically_increasing_id()), "7 days", rollup=rollup)
+    refresh_touched(stored(), rollup, "2024-01-31 12:00:00")
+    return rounded(read_daily(spark, rollup).select("tag_id", "bucket", "avg_value", "sample_count"))
+
+
+QUERIES.update({"rollup_cascade": q_rollup_cascade, "rollup_of_frequency": q_rollup_of_frequency,
+                "rollup_follows_changes": q_rollup_follows_changes})
+
+
 def q_merge_append_zone(spark, sf_dir):
     """M2 in a session whose zone is not UTC: the same wall-clock keys collide."""
     from ferrule.session import cut_lineage

@@ -122,11 +122,58 @@ def _chunk_folders(spark: SparkSession, path: str):
                 yield f"plant_id={plant}", int(width), int(chunk), chunk_path, fs, jvm
 
 
-def drop_expired_chunks(spark: SparkSession, path: str, as_of, keep: str = "3 months") -> list:
+def drop_days(spark: SparkSession, path: str, first: str, end: str, keep=()) -> None:
+    """Delete the ``day=`` folders of a daily table in ``[first, end)`` that are not in ``keep``."""
+    fs, root, jvm = _fs(spark, path)
+    for item in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "day=*")) or []:
+        day = item.getPath().getName()[len("day="):]
+        if first <= day < end and day not in keep:
+            fs.delete(item.getPath(), True)
+    spark.catalog.refreshByPath(path)
+
+
+def delete_from_layout(spark: SparkSession, path: str, keys: DataFrame, rollup: str | None = None) -> DataFrame:
+    """Delete the rows of ``keys(tag_id, timestamp)`` from the stored layout and return them.
+
+    Only the chunks that hold such rows are rewritten; a chunk that loses all its rows is removed.  With ``rollup`` the
+    touched days are entered into that rollup's ledger before the delete, so a stop in between costs a refresh for nothing and
+    never a stale day."""
+    from ferrule.operators.rollup import record_touched
+    from ferrule.session import cut_lineage
+
+    wanted = cut_lineage(keys.select("tag_id", "timestamp").distinct())
+    span = wanted.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    if span["lo"] is None:
+        return read_series(spark, path).limit(0)
+    place = ["plant_id", "width", "chunk"]
+    hit = cut_lineage(read_series(spark, path, span["lo"], span["hi"]).join(wanted, ["tag_id", "timestamp"], "left_semi"))
+    chunks = hit.select(*place).distinct().collect()  # folders, as many as the listing has
+    if rollup:
+        record_touched(hit, rollup)
+    if chunks:
+        in_chunks = F.struct(*place).isin([F.struct(F.lit(c["plant_id"]), F.lit(c["width"]), F.lit(c["chunk"])) for c in chunks])
+        left = cut_lineage(spark.read.parquet(path).where(in_chunks).join(wanted, ["tag_id", "timestamp"], "left_anti"))
+        _write_layout(left, path, "partitions", 5_000_000)
+        full = {tuple(r) for r in left.select(*place).distinct().collect()}
+        fs, root, jvm = _fs(spark, path)
+        for c in chunks:
+            if tuple(c) not in full:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"plant_id={c['plant_id']}/width={c['width']}/chunk={c['chunk']}"), True)
+        spark.catalog.refreshByPath(path)
+    return hit
+
+
+def drop_expired_chunks(spark: SparkSession, path: str, as_of, keep: str = "3 months", rollup: str | None = None) -> list:
     """Retention (R1) on the stored layout: delete whole chunk directories whose end, by their own
-    stored width, is at or before ``as_of - keep``."""
+    stored width, is at or before ``as_of - keep``.  With ``rollup`` their days are entered into that
+    rollup's ledger first."""
     cutoff = minus_interval(as_of, keep)
     dropped = []
+    if rollup:
+        from ferrule.operators.rollup import record_touched
+
+        limit = int((cutoff - EPOCH).total_seconds() // 1)
+        record_touched(spark.read.parquet(path).where(F.col("chunk") + F.col("width") <= limit), rollup)
     for plant, width, start, folder, fs, _ in _chunk_folders(spark, path):
         if EPOCH + dt.timedelta(seconds=start + width) <= cutoff:
             fs.delete(folder, True)
@@ -231,10 +278,11 @@ def import_tables(sources: dict, targets: dict, tables=None) -> dict:
 
 
 def merge_into_layout(spark: SparkSession, path: str, batch: DataFrame, interval: str,
-                      order: str = "src_row") -> DataFrame:
+                      order: str = "src_row", rollup: str | None = None) -> DataFrame:
     """M2 against the stored layout: keep-first inside the batch, drop keys already stored
     -- reading only the chunks the batch spans, of any width -- and append the new rows in chunks
-    of ``interval``.  Returns the inserted rows (read back from what was written)."""
+    of ``interval``.  Returns the inserted rows (read back from what was written).  With ``rollup`` their days are
+    entered into that rollup's ledger."""
     from ferrule.operators.merge import keep_first
     from ferrule.session import cut_lineage
 
@@ -249,5 +297,9 @@ def merge_into_layout(spark: SparkSession, path: str, batch: DataFrame, interval
         if "PATH_NOT_FOUND" not in str(exc):
             raise
     inserted = cut_lineage(first.drop(order) if order in first.columns else first)
+    if rollup:
+        from ferrule.operators.rollup import record_touched
+
+        record_touched(inserted, rollup)
     write_series(inserted, path, interval=interval, mode="append")
     return inserted
