@@ -495,6 +495,11 @@ SELECT tag_id, frequency, {_CHUNK_CASE} AS chunk_interval, {_ROLLUP_CASE} AS rol
     "table_row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in DRIVER_TABLES),
     "daily_rollup_stream": f"""
+WITH {SERIES_BY_TYPE}
+SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value,
+       count(*) AS sample_count
+FROM series GROUP BY 1, 2""",
+    "daily_rollup_closed": f"""
 WITH {SERIES_BY_TYPE},
 wm AS (SELECT max(timestamp) - INTERVAL '1 hour' AS w FROM series)
 SELECT tag_id, time_bucket(INTERVAL '1 day', timestamp) AS bucket, round({AVG}, 6) AS avg_value,

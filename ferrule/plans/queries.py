@@ -526,12 +526,9 @@ def _stream_glob(sf_dir, name):
     return os.path.join(sf_dir, name + ".parquet*")
 
 
-def q_daily_rollup_stream(spark, sf_dir):
-    """ST1: streaming daily rollup, 1-hour watermark, availableNow; closed windows only."""
-    from ferrule.sources.tables import read_table
-    from ferrule.streaming import run_daily_rollup
-
+def _rollup_stream(spark, sf_dir, run):
     from ferrule.session import cut_lineage
+    from ferrule.sources.tables import read_table
 
     # the static side of a stream-static join is materialised once (stable ids per batch)
     tags = cut_lineage(A.type_tags(spark, sf_dir).select(F.col("id").alias("tag_id"),
@@ -542,16 +539,31 @@ def q_daily_rollup_stream(spark, sf_dir):
         return raw.join(tags, "event_type").select(
             "tag_id", F.col("ts").alias("timestamp"), A.reading_text(F.col("value"), F.col("props")).alias("value"))
 
-    out = run_daily_rollup(spark, _stream_glob(sf_dir, "events"), schema, to_series)
-    return rounded(out)
+    return rounded(run(spark, _stream_glob(sf_dir, "events"), schema, to_series))
+
+
+def q_daily_rollup_stream(spark, sf_dir):
+    """ST1: streaming daily rollup, 1-hour watermark, availableNow; open days are published and replaced as they grow."""
+    from ferrule.streaming import run_live_rollup
+
+    return _rollup_stream(spark, sf_dir, run_live_rollup)
+
+
+def q_daily_rollup_closed(spark, sf_dir):
+    """ST1: the days that the 1-hour watermark has closed (append mode)."""
+    from ferrule.streaming import run_daily_rollup
+
+    return _rollup_stream(spark, sf_dir, run_daily_rollup)
 
 
 def q_keep_first_stream(spark, sf_dir):
-    """ST2: micro-batch ingest with exact keep-first on (tag_id, timestamp)."""
+    """ST2: exact keep-first on (tag_id, timestamp) over three uploads, each a micro-batch, stored in two chunk widths."""
     from ferrule.sources.tables import read_table
     from ferrule.streaming import run_keep_first_ingest
 
-    schema = read_table(spark, sf_dir, "events").schema
+    events = read_table(spark, sf_dir, "events")
+    src, target, checkpoint = (_scratch_dir(spark, k) for k in ("uploads", "ingest", "ingest-ckpt"))
+    last = events.agg(F.max("event_id")).first()[0] or 0
 
     def to_rows(raw):
         return raw.select(F.col("user_id").cast("int").alias("tag_id"),
@@ -559,8 +571,11 @@ def q_keep_first_stream(spark, sf_dir):
                           A.reading_text(F.col("value"), F.col("props")).alias("value"),
                           F.col("event_id").alias("src_row"))
 
-    return run_keep_first_ingest(spark, _stream_glob(sf_dir, "events"), schema, to_rows).select(
-        "tag_id", "timestamp", "value", "src_row")
+    for k, width in enumerate(("1 day", "7 days", "1 day")):
+        upload = events.filter(F.floor(F.col("event_id") * 3 / F.lit(last + 1)) == k)
+        upload.write.mode("append").parquet(src)
+        out = run_keep_first_ingest(spark, src, events.schema, to_rows, target, checkpoint, chunk_interval=width)
+    return out.select("tag_id", "timestamp", "value", "src_row")
 
 
 QUERIES.update({
@@ -571,6 +586,7 @@ QUERIES.update({
     "chunk_policy": q_chunk_policy,
     "table_row_counts": q_table_row_counts,
     "daily_rollup_stream": q_daily_rollup_stream,
+    "daily_rollup_closed": q_daily_rollup_closed,
     "keep_first_stream": q_keep_first_stream,
 })
 
