@@ -17,6 +17,8 @@ elsewhere.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,14 @@ def consecutive_gaps(df: DataFrame, keys, ts: str = "timestamp") -> tuple[DataFr
     near = (ranged.withColumn("_prev", F.lag("_ts").over(inside)).where(F.col("_prev").isNotNull())
             .select(*keys, micros(F.col("_prev"), F.col("_ts")).alias("gap_us"), F.lit(1).cast("bigint").alias("weight")))
     equal = ranged.where("_m > 1").select(*keys, F.lit(0).cast("bigint").alias("gap_us"), (F.col("_m") - 1).alias("weight"))
-    edges = cut_lineage(ranged.groupBy(RANGE, *keys).agg(F.min("_ts").alias("first"), F.max("_ts").alias("last")))
+    edges = ranged.groupBy(RANGE, *keys).agg(F.min("_ts").alias("first"), F.max("_ts").alias("last"))
+    if not keys:  # a row per range: the borders are read off on the driver
+        rows = sorted(tuple(r) for r in edges.collect())
+        steps = [((b[1] - a[2]) // dt.timedelta(microseconds=1), 1) for a, b in zip(rows, rows[1:], strict=False)]
+        spark = df.sparkSession
+        across = spark.createDataFrame(steps, "gap_us bigint, weight bigint")
+        return near.union(equal).union(across), spark.createDataFrame(rows, f"{RANGE} int, first timestamp_ntz, last timestamp_ntz")
+    edges = cut_lineage(edges)
     before = edges.join(F.broadcast(_range_before(edges)), RANGE)  # as many rows as partitions
     across = (before.alias("b").join(edges.alias("a"), (F.col(f"a.{RANGE}") == F.col("b._before")) & _same("a", "b", keys))
               .select(*[F.col(f"b.{k}") for k in keys], micros(F.col("a.last"), F.col("b.first")).alias("gap_us"),

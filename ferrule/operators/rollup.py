@@ -192,11 +192,17 @@ def _settle(spark: SparkSession, path: str, seen: DataFrame, due: Column) -> Non
         fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"entry={row['entry']}"), True)
 
 
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
-    """The stored daily rollup, with its ``day``; empty where nothing is stored yet."""
+def stored_days(spark: SparkSession, path: str) -> set[dt.date]:
+    """Days that have a folder in a stored daily rollup."""
     from ferrule.sources.storage import _fs
 
     fs, root, jvm = _fs(spark, path)
-    if not fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "day=*")):
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "day=*")) or []
+    return {dt.date.fromisoformat(item.getPath().getName()[len("day="):]) for item in found}
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """The stored daily rollup, with its ``day``; empty where nothing is stored yet."""
+    if not stored_days(spark, path):
         return spark.createDataFrame([], ROLLUP_FIELDS)
     return spark.read.schema(ROLLUP_FIELDS).parquet(path)

@@ -64,7 +64,7 @@ def rollup_upsert(path: str):
 
     The table is laid out by day; only the days of the batch are read and rewritten.  A replayed batch writes the
     same rows again."""
-    from ferrule.operators.rollup import read_daily
+    from ferrule.operators.rollup import read_daily, stored_days
     from ferrule.session import cut_lineage
 
     names = ["tag_id", "bucket", "avg_value", "sample_count", "day"]
@@ -75,10 +75,12 @@ def rollup_upsert(path: str):
         days = [r["day"] for r in rows.select("day").distinct().collect()]  # days a micro-batch changed
         if not days:
             return
-        stored = read_daily(spark, path).where(F.col("day").isin(days)).alias("s")
-        same = F.col("s.tag_id").eqNullSafe(F.col("r.tag_id")) & (F.col("s.bucket") == F.col("r.bucket"))
-        kept = stored.join(rows.alias("r"), same, "left_anti").select(*names)
-        out = cut_lineage(kept.union(rows))  # the days are overwritten: read them to the end first
+        out, old = rows, set(days) & stored_days(spark, path)
+        if old:
+            stored = read_daily(spark, path).where(F.col("day").isin(sorted(old))).alias("s")
+            same = F.col("s.tag_id").eqNullSafe(F.col("r.tag_id")) & (F.col("s.bucket") == F.col("r.bucket"))
+            kept = stored.join(rows.alias("r"), same, "left_anti").select(*names)
+            out = cut_lineage(kept.union(rows))  # the days are overwritten: read them to the end first
         (out.repartitionByRange("day", "tag_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day").parquet(path))
 
