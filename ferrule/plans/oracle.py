@@ -596,6 +596,18 @@ WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00'
   AND timestamp < time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1 hour')
 GROUP BY 1, 2"""
 
+ORACLE["summary_upload_history"] = ORACLE["upload_history"]
+
+ORACLE["summary_counts"] = f"""
+WITH {SERIES_BY_USER}
+SELECT tag_id, count(*) AS rows, min(timestamp) AS first, max(timestamp) AS last FROM series GROUP BY 1"""
+
+ORACLE["summary_conflicts"] = f"""
+WITH {TYPE_FREQ}
+SELECT t.name AS tag_name, list_min(list(f.frequency)) AS existing_frequency,
+       array_to_string(list_sort(list(DISTINCT f.frequency)), ',') AS existing_frequencies, 'hour' AS new_frequency
+FROM freq f JOIN type_tags t ON t.id = f.tag_id GROUP BY t.name HAVING NOT list_contains(list(f.frequency), 'hour')"""
+
 _CASCADE = {"time_bucket_second": "1 second", "time_bucket_minute": "1 minute", "time_bucket_hour": "1 hour", "time_bucket_day": "1 day",
             "time_bucket_week": "7 days", "time_bucket_month": "1 month", "time_bucket_year": "1 year"}
 

@@ -482,6 +482,45 @@ def q_layout_mixed_widths(spark, sf_dir):
 RETENTION_AS_OF = "1998-12-01 00:00:00"
 
 
+def _summarised_layout(spark, sf_dir, series):
+    """The series in two uploads of different chunk widths, the second of which repeats a part of the first."""
+    from ferrule.sources.storage import merge_into_layout, write_series
+
+    path = _scratch_dir(spark, "layout")
+    series = series.select("tag_id", "timestamp", "value", "frequency")
+    odd = F.col("tag_id") % 2 == 1
+    write_series(series.filter(odd), path, interval="7 days", mode="overwrite", with_summary=True)
+    rest = series.filter(~odd | (F.col("tag_id") % 3 == 0))
+    merge_into_layout(spark, path, rest.withColumn("src_row", F.monotonically_increasing_id()), "1 day")
+    return path
+
+
+def q_summary_upload_history(spark, sf_dir):
+    """A7 from the chunk summaries of a layout of two uploads; no series file is read."""
+    from ferrule.sources.summary import history_of_layout
+
+    path = _summarised_layout(spark, sf_dir, A.with_frequency(A.series_by_user(spark, sf_dir)))
+    return history_of_layout(spark, path, A.user_tags(spark, sf_dir), plant_id=1, limit=20)
+
+
+def q_summary_counts(spark, sf_dir):
+    """S9/A14 from the chunk summaries: rows and span per tag."""
+    from ferrule.sources.summary import layout_counts
+
+    path = _summarised_layout(spark, sf_dir, A.with_frequency(A.series_by_user(spark, sf_dir)))
+    return layout_counts(spark, path).drop("chunks")
+
+
+def q_summary_conflicts(spark, sf_dir):
+    """A10 from the chunk summaries: the stored frequencies of every event type against an hourly upload of its whole span."""
+    from ferrule.sources.summary import conflicts_of_layout, layout_counts
+
+    tags = A.type_tags(spark, sf_dir)
+    path = _summarised_layout(spark, sf_dir, A.with_frequency(A.series_by_type(spark, sf_dir, tags)))
+    span = layout_counts(spark, path).agg(F.min("first"), F.max("last")).first()
+    return conflicts_of_layout(spark, path, tags.select("name"), tuple(span), "hour", tags)
+
+
 def q_retention_kept(spark, sf_dir):
     """Whole 30-day chunks older than as_of - 3 months are dropped; kept rows per tag."""
     from ferrule.operators.merge import retention
@@ -581,6 +620,9 @@ def q_keep_first_stream(spark, sf_dir):
 QUERIES.update({
     "layout_range_read": q_layout_range_read,
     "layout_mixed_widths": q_layout_mixed_widths,
+    "summary_upload_history": q_summary_upload_history,
+    "summary_counts": q_summary_counts,
+    "summary_conflicts": q_summary_conflicts,
     "retention_kept": q_retention_kept,
     "retention_dropped": q_retention_dropped,
     "chunk_policy": q_chunk_policy,

@@ -64,14 +64,31 @@ def _write_layout(df: DataFrame, path: str, mode: str, max_records_per_file: int
 
 
 def write_series(df: DataFrame, path: str, frequency: str | None = None, interval: str | None = None,
-                 mode: str = "append", max_records_per_file: int = 5_000_000) -> str:
-    """Write ``time_series`` rows in the chunked layout; returns the chunk width used."""
+                 mode: str = "append", max_records_per_file: int = 5_000_000, with_summary: bool = False) -> str:
+    """Write ``time_series`` rows in the chunked layout; returns the chunk width used.
+
+    A layout that has a summary (``summary.py``) keeps it; ``with_summary`` makes one with the first write."""
+    from ferrule.session import cut_lineage
+    from ferrule.sources import summary
+
+    spark = df.sparkSession
+    keep = with_summary or (mode == "append" and summary.has_summary(spark, path))
     interval = interval or chunk_width(frequency)
     width = parse_interval(interval).micros // 1_000_000
     out = with_chunk(df, interval).withColumn("width", F.lit(width).cast("bigint"))
     if "plant_id" not in out.columns:
         out = out.withColumn("plant_id", F.lit(1))
+    if not keep:
+        _write_layout(out, path, mode, max_records_per_file)
+        return interval
+    out = cut_lineage(out)  # read twice: by the layout and by its summary
+    if mode == "append" and _fs(spark, path)[0].exists(_fs(spark, path)[1]) and not summary.has_summary(spark, path):
+        summary.make_summary(spark, path)
+    mark = summary.open_mark(spark, path) if mode == "append" else None
     _write_layout(out, path, mode, max_records_per_file)
+    summary.write_states(summary.states(out), path)
+    if mark:
+        summary.close_mark(spark, path, mark)
     return interval
 
 
@@ -140,6 +157,7 @@ def delete_from_layout(spark: SparkSession, path: str, keys: DataFrame, rollup:
     never a stale day."""
     from ferrule.operators.rollup import record_touched
     from ferrule.session import cut_lineage
+    from ferrule.sources import summary
 
     wanted = cut_lineage(keys.select("tag_id", "timestamp").distinct())
     span = wanted.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
@@ -150,16 +168,24 @@ def delete_from_layout(spark: SparkSession, path: str, keys: DataFrame, rollup:
     chunks = hit.select(*place).distinct().collect()  # folders, as many as the listing has
     if rollup:
         record_touched(hit, rollup)
+    keep = summary.has_summary(spark, path)
+    mark = summary.open_mark(spark, path) if keep and chunks else None
     if chunks:
         in_chunks = F.struct(*place).isin([F.struct(F.lit(c["plant_id"]), F.lit(c["width"]), F.lit(c["chunk"])) for c in chunks])
         left = cut_lineage(spark.read.parquet(path).where(in_chunks).join(wanted, ["tag_id", "timestamp"], "left_anti"))
         _write_layout(left, path, "partitions", 5_000_000)
+        if keep:
+            summary.write_states(summary.states(left), path, replace_chunks=True)
         full = {tuple(r) for r in left.select(*place).distinct().collect()}
         fs, root, jvm = _fs(spark, path)
         for c in chunks:
             if tuple(c) not in full:
+                if keep:
+                    summary.drop_chunk(spark, path, f"plant_id={c['plant_id']}", c["width"], c["chunk"])
                 fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"plant_id={c['plant_id']}/width={c['width']}/chunk={c['chunk']}"), True)
         spark.catalog.refreshByPath(path)
+    if mark:
+        summary.close_mark(spark, path, mark)
     return hit
 
 
@@ -174,53 +200,64 @@ def drop_expired_chunks(spark: SparkSession, path: str, as_of, keep: str = "3 mo
 
         limit = int((cutoff - EPOCH).total_seconds() // 1)
         record_touched(spark.read.parquet(path).where(F.col("chunk") + F.col("width") <= limit), rollup)
+    from ferrule.sources import summary
+
     for plant, width, start, folder, fs, _ in _chunk_folders(spark, path):
         if EPOCH + dt.timedelta(seconds=start + width) <= cutoff:
             fs.delete(folder, True)
+            summary.drop_chunk(spark, path, plant, width, start)
             dropped.append((plant, start))
     return dropped
 
 
-def _finish_swaps(spark: SparkSession, path: str) -> None:
-    """Complete or undo chunk swaps that a stopped compaction left: an old copy goes once its
-    chunk is in place, and comes back where it is not."""
+_MOVES = "moves array<struct<source: string, target: string>>, old array<string>"
+
+
+def _finish_compaction(spark: SparkSession, path: str) -> None:
+    """Carry out a compaction whose plan is written, or clear away one that stopped before its plan was.
+
+    New files come in before the old ones go, and every step can be repeated."""
+    plan, copy = (path.rstrip("/") + name for name in ("/_compaction", "/_compacting"))
     fs, root, jvm = _fs(spark, path)
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "plant_id=*/width=*/_old_chunk=*"))
-    for item in found or []:
-        old = item.getPath()
-        chunk = jvm.org.apache.hadoop.fs.Path(old.getParent(), old.getName()[len("_old_"):])
-        if fs.exists(chunk):
-            fs.delete(old, True)
-        else:
-            fs.rename(old, chunk)
+    at = jvm.org.apache.hadoop.fs.Path
+    if fs.exists(at(plan + "/_SUCCESS")):
+        steps = spark.read.schema(_MOVES).json(plan).first()
+        for move in steps["moves"] if steps else []:
+            if fs.exists(at(move["source"])) and not fs.rename(at(move["source"]), at(move["target"])):
+                raise OSError(f"{move['source']} could not be moved; run the compaction again")
+        for name in steps["old"] if steps else []:
+            fs.delete(at(name), False)
+    fs.delete(at(copy), True)
+    fs.delete(at(plan), True)
 
 
 def compact_chunks(spark: SparkSession, path: str, before) -> DataFrame:
     """Compaction (R2) in place: the chunks that end at or before ``before`` are rewritten in the sorted
-    layout beside the table and swapped in, folder by folder; later chunks are not touched.
-    Returns the rewritten chunks.
+    layout; later chunks are not touched.  Returns the rewritten chunks.
 
-    A swap renames the chunk aside (a name Spark does not read), renames the new one in and then deletes
-    the old; a rerun after a stop first completes or undoes what was left."""
-    _finish_swaps(spark, path)
+    Only the files that are there at the start are rewritten and later deleted, so what is appended meanwhile stays.  The
+    rewritten files lie beside the table until a plan of all moves is written; from then on a rerun after a stop carries
+    the plan out, before it the rerun starts anew.  While files are exchanged a reader may see rows twice, never too few."""
+    _finish_compaction(spark, path)
     limit = _seconds(before)
-    old = spark.read.parquet(path).filter(F.col("chunk") + F.col("width") <= limit)
-    done = [(p, w, c) for p, w, c, _, _, _ in _chunk_folders(spark, path) if c + w <= limit]
-    copy = path.rstrip("/") + "/_compacting"
-    _write_layout(old, copy, "overwrite", 5_000_000)
-    fs, root, jvm = _fs(spark, path)
-    new_path = jvm.org.apache.hadoop.fs.Path
-    for plant, width, start, folder, _, _ in _chunk_folders(spark, copy):
-        parent = new_path(root, f"{plant}/width={width}")
-        aside = new_path(parent, f"_old_chunk={start}")
-        target = new_path(parent, f"chunk={start}")
-        if not (fs.rename(target, aside) and fs.rename(folder, target)):
-            raise OSError(f"chunk {start} of {plant} could not be swapped; run the compaction again")
-        fs.delete(aside, True)
-    fs.delete(new_path(copy), True)
+    done, files = [], []
+    for plant, width, start, folder, fs, _ in _chunk_folders(spark, path):
+        if start + width <= limit:
+            done.append((int(plant.split("=", 1)[1]), width, start))
+            files += [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName()[0] not in "_."]
+    if files:
+        copy = path.rstrip("/") + "/_compacting"
+        _write_layout(spark.read.option("basePath", path).parquet(*files), copy, "overwrite", 5_000_000)
+        moves = []
+        for plant, width, start, folder, fs, jvm in _chunk_folders(spark, copy):
+            target = f"{path.rstrip('/')}/{plant}/width={width}/chunk={start}"
+            moves += [(f.getPath().toString(), f"{target}/{f.getPath().getName()}") for f in fs.listStatus(folder)
+                      if f.getPath().getName()[0] not in "_."]
+        plan = spark.createDataFrame([(moves, files)], _MOVES)
+        plan.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "/_compaction")
+        _finish_compaction(spark, path)
     spark.catalog.refreshByPath(path)
-    rows = [(int(p.split("=", 1)[1]), w, c) for p, w, c in done]
-    return spark.createDataFrame(rows, "plant_id int, width bigint, chunk bigint")
+    return spark.createDataFrame(done, "plant_id int, width bigint, chunk bigint")
 
 
 def split_csv(df: DataFrame, out: str, rows_per_file: int = SPLIT_ROWS) -> None:
