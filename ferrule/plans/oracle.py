@@ -598,6 +598,9 @@ GROUP BY 1, 2"""
 
 ORACLE["summary_upload_history"] = ORACLE["upload_history"]
 
+ORACLE["latest_of_layout"] = f"""
+WITH {SERIES_BY_USER} SELECT tag_id, timestamp, value FROM series WHERE {RANGE} ORDER BY timestamp DESC, tag_id LIMIT 100"""
+
 ORACLE["summary_counts"] = f"""
 WITH {SERIES_BY_USER}
 SELECT tag_id, count(*) AS rows, min(timestamp) AS first, max(timestamp) AS last FROM series GROUP BY 1"""

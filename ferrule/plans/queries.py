@@ -521,6 +521,14 @@ def q_summary_conflicts(spark, sf_dir):
     return conflicts_of_layout(spark, path, tags.select("name"), tuple(span), "hour", tags)
 
 
+def q_latest_of_layout(spark, sf_dir):
+    """F1 on a layout of two uploads: newest first in a time range, reading the newest chunks alone."""
+    from ferrule.sources.summary import latest_of_layout
+
+    path = _summarised_layout(spark, sf_dir, A.with_frequency(A.series_by_user(spark, sf_dir)))
+    return latest_of_layout(spark, path, RANGE_START, RANGE_END, 100).select("tag_id", "timestamp", "value")
+
+
 def q_retention_kept(spark, sf_dir):
     """Whole 30-day chunks older than as_of - 3 months are dropped; kept rows per tag."""
     from ferrule.operators.merge import retention
@@ -622,6 +630,7 @@ QUERIES.update({
     "layout_mixed_widths": q_layout_mixed_widths,
     "summary_upload_history": q_summary_upload_history,
     "summary_counts": q_summary_counts,
+    "latest_of_layout": q_latest_of_layout,
     "summary_conflicts": q_summary_conflicts,
     "retention_kept": q_retention_kept,
     "retention_dropped": q_retention_dropped,

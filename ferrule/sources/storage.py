@@ -231,6 +231,20 @@ def _finish_compaction(spark: SparkSession, path: str) -> None:
     fs.delete(at(plan), True)
 
 
+def _finish_swaps(spark: SparkSession, path: str) -> None:
+    """Complete or undo chunk swaps of tables compacted folder by folder (an older form): an old copy goes once its
+    chunk is in place, and comes back where it is not."""
+    fs, root, jvm = _fs(spark, path)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "plant_id=*/width=*/_old_chunk=*"))
+    for item in found or []:
+        old = item.getPath()
+        chunk = jvm.org.apache.hadoop.fs.Path(old.getParent(), old.getName()[len("_old_"):])
+        if fs.exists(chunk):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, chunk)
+
+
 def compact_chunks(spark: SparkSession, path: str, before) -> DataFrame:
     """Compaction (R2) in place: the chunks that end at or before ``before`` are rewritten in the sorted
     layout; later chunks are not touched.  Returns the rewritten chunks.
@@ -238,6 +252,7 @@ def compact_chunks(spark: SparkSession, path: str, before) -> DataFrame:
     Only the files that are there at the start are rewritten and later deleted, so what is appended meanwhile stays.  The
     rewritten files lie beside the table until a plan of all moves is written; from then on a rerun after a stop carries
     the plan out, before it the rerun starts anew.  While files are exchanged a reader may see rows twice, never too few."""
+    _finish_swaps(spark, path)
     _finish_compaction(spark, path)
     limit = _seconds(before)
     done, files = [], []

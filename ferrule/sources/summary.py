@@ -158,3 +158,34 @@ def conflicts_of_layout(spark: SparkSession, path: str, upload_names: DataFrame,
     found = _frequencies_in(spark, path, lo, hi) if lo is not None else read_summary(spark, path).select("tag_id", "frequency").limit(0)
     return frequency_conflicts(upload_names, span, upload_frequency, found.withColumn("timestamp", ntz(lo) if lo is not None else F.lit(None)), tags)
 
+
+
+def newest_bound(spark: SparkSession, path: str, start=None, end=None, limit: int = 100, tag_ids=None):
+    """A time at or after which ``limit`` rows of the range certainly lie, or ``start``.
+
+    Chunks whose rows all lie in the range are counted from the newest on, by their summary; a chunk that reaches over an
+    end of the range counts for nothing."""
+    rows = read_summary(spark, path)
+    if tag_ids is not None:
+        rows = rows.filter(F.col("tag_id").isin(list(tag_ids)))
+    chunks = rows.groupBy(*PLACE).agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"))
+    if start is not None:
+        chunks = chunks.filter(F.col("first") >= ntz(start))
+    if end is not None:
+        chunks = chunks.filter(F.col("last") <= ntz(end))
+    held, since = 0, None
+    for c in chunks.filter(F.col("first").isNotNull()).orderBy(F.col("first").desc()).toLocalIterator():  # folders
+        held, since = held + c["rows"], c["first"]
+        if held >= limit:
+            return since
+    return start
+
+
+def latest_of_layout(spark: SparkSession, path: str, start=None, end=None, limit: int = 100, tag_ids=None) -> DataFrame:
+    """F1 on the stored layout: newest first, top ``limit``.  Only the chunks that reach ``newest_bound`` are read; rows
+    before it cannot be among the newest."""
+    from ferrule.operators.metrics import latest_readings
+    from ferrule.sources.storage import read_series
+
+    since = newest_bound(spark, path, start, end, limit, tag_ids)
+    return latest_readings(read_series(spark, path, since, end, tag_ids), limit=limit)

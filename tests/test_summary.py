@@ -79,6 +79,30 @@ def test_no_series_file_is_read(spark, scratch):
     assert Y.conflicts_of_layout(spark, lay, names, (BASE, BASE + dt.timedelta(days=60)), "day", tags(spark)).count() == 1
 
 
+@pytest.mark.parametrize("start, end, tag_ids", [(None, None, None), (BASE + dt.timedelta(days=5), BASE + dt.timedelta(days=33, hours=5), None),
+                                                 (None, BASE + dt.timedelta(days=20), [2]), (BASE + dt.timedelta(days=90), None, None)])
+def test_newest_rows_come_from_the_newest_chunks(spark, scratch, start, end, tag_ids):
+    lay = scratch + "/l"
+    S.write_series(frame(spark, rows(10)), lay, interval="1 day", mode="overwrite", with_summary=True)
+    S.write_series(frame(spark, rows(11, 20)), lay, interval="7 days")
+    whole = S.read_series(spark, lay, start, end, tag_ids)
+    for limit in (1, 25, 1000):
+        got = Y.latest_of_layout(spark, lay, start, end, limit, tag_ids)
+        want = M.latest_readings(whole, limit=limit)
+        assert [r["timestamp"] for r in got.collect()] == [r["timestamp"] for r in want.collect()]
+    if start is None:  # all older chunks may be gone
+        since = Y.newest_bound(spark, lay, None, end, 25, tag_ids)
+        want = [r["timestamp"] for r in Y.latest_of_layout(spark, lay, None, end, 25, tag_ids).collect()]
+        import glob
+
+        gone = [f for f in glob.glob(lay + "/plant_id=1/width=*/chunk=*")
+                if int(f.rsplit("=", 1)[1]) + int(f.split("width=")[1].split("/")[0]) <= S._seconds(since)]
+        for f in gone:
+            shutil.move(f, scratch + "/" + f.rsplit("/", 1)[1] + f.split("width=")[1].split("/")[0])
+        assert len(gone) > 5
+        assert [r["timestamp"] for r in Y.latest_of_layout(spark, lay, None, end, 25, tag_ids).collect()] == want
+
+
 def test_a_write_that_stopped_is_found(spark, scratch, monkeypatch):
     lay = scratch + "/l"
     S.write_series(frame(spark, rows(5)), lay, interval="7 days", mode="overwrite", with_summary=True)
