@@ -47,6 +47,39 @@ def sheet_formats(data: DataFrame, ts: str = "ts_text") -> tuple:
     return ISO_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
 
 
+def folder_rows(sheets) -> DataFrame:
+    """Typed lines of a folder of sheets: ``file, _line, timestamp, names, cells``; the order of day and month
+    is one per file (``sheet_formats``), NULL where a text does not parse."""
+    month = parse_timestamp_text(F.col("ts_text"), MONTH_FIRST_FORMATS)
+    day = parse_timestamp_text(F.col("ts_text"), DAY_FIRST_FORMATS)
+    order = sheets.data.groupBy("file").agg(
+        F.bool_or(month.isNotNull() & day.isNull()).alias("_month_only"), F.bool_or(day.isNotNull() & month.isNull()).alias("_day_only"))
+    iso = parse_timestamp_text(F.col("ts_text"), ISO_FORMATS)
+    turned = F.when(F.col("_day_only") & ~F.col("_month_only"), day).otherwise(month)
+    return sheets.data.join(order, "file").select("file", "_line", F.coalesce(iso, turned).alias("timestamp"), "names", "cells")
+
+
+def folder_counters(rows: DataFrame, cells: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The counters of ``ingest_counters`` per file: ``rows`` are its typed lines, ``cells`` one row per line and tag."""
+    known = mapping.select(F.col("name").alias("tag_name"), F.lit(True).alias("_known"))
+    value, is_known = F.col("value"), F.coalesce("_known", F.lit(False))
+    count = lambda met, name: F.count_if(met).cast("bigint").alias(name)
+    out = cells.join(known, "tag_name", "left").groupBy("file").agg(
+        count(is_known, "total_values"), count(is_known & (F.coalesce(value.try_cast("double"), F.lit(1.0)) == 0), "zero_values"),
+        count(is_known & value.isNull(), "nan_values"), count(~is_known, "missing_tag_values"),
+        count(is_known & value.isNotNull(), "prepared_records"), F.count(F.lit(1)).alias("expected_records"))
+    lines = rows.groupBy("file").agg(F.count(F.lit(1)).alias("row_count"))
+    return lines.join(out, "file", "left").select(
+        "file", "row_count", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
+                               ("total_values", "zero_values", "nan_values", "missing_tag_values", "prepared_records", "expected_records")])
+
+
+def known_tags(existing: DataFrame, upload_names: DataFrame) -> DataFrame:
+    """Mapping ``name, id, is_new`` of the uploaded names that have a stored tag; none is made."""
+    return (existing.select("name", "id").join(upload_names.select("name").distinct(), "name", "left_semi")
+            .withColumn("is_new", F.lit(False)))
+
+
 def melt(rows: DataFrame, tag_names) -> DataFrame:
     """Wide -> long: ``_line, timestamp, tag_name, value`` for every non-missing cell.
 

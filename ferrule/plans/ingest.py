@@ -18,7 +18,7 @@ from ferrule.operators import frequency as FQ
 from ferrule.operators import ingest as I
 from ferrule.operators import merge as MG
 from ferrule.session import checkpoint_dir, cut_lineage, ensure_checkpoint_dir
-from ferrule.sources.sheet import SheetError, read_sheet
+from ferrule.sources.sheet import SheetError, read_sheet, read_sheets
 from ferrule.sources.tables import read_table
 
 
@@ -37,10 +37,11 @@ class IngestResult:
 
 
 def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, stored: DataFrame,
-                 plant_id: int = 1, on_conflict: str = "proceed") -> IngestResult:
+                 plant_id: int = 1, on_conflict: str = "proceed", create_tags: bool = True) -> IngestResult:
     """Ingest one sheet.  An upload without a single reading is an error.  When stored rows of its tags
     in its time span carry another frequency, ``on_conflict="hold"`` inserts nothing and reports the
-    conflicts (``held``); ``"proceed"`` reports them and merges."""
+    conflicts (``held``); ``"proceed"`` reports them and merges.  Without ``create_tags`` a column whose name has no
+    stored tag stays unmapped: its cells are counted and not inserted."""
     if on_conflict not in ("hold", "proceed"):
         raise ValueError("on_conflict is 'hold' or 'proceed'")
     sheet = read_sheet(spark, path)
@@ -52,7 +53,8 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
     span = (summary["lo"], summary["hi"]) if summary else (None, None)
     upload_names = spark.createDataFrame([(n,) for n in names], "name string")
     conflicts = FQ.frequency_conflicts(upload_names, span, frequency, stored, existing_tags)
-    mapping, tags_after = I.upsert_tags(existing_tags, sheet.metadata(spark), frequency, plant_id)
+    mapping, tags_after = I.upsert_tags(existing_tags, sheet.metadata(spark), frequency, plant_id) if create_tags else (
+        I.known_tags(existing_tags, upload_names), existing_tags)
     long = I.melt(rows, names)
     if long.isEmpty():  # Fixed value: the message
         raise SheetError("No valid data to insert.")
@@ -60,10 +62,57 @@ def ingest_sheet(spark: SparkSession, path: str, existing_tags: DataFrame, store
     batch = I.series_rows(mapped, frequency)
     held = on_conflict == "hold" and not conflicts.isEmpty()
     inserted, snapshot = MG.merge_append(stored, batch.limit(0) if held else batch, span=span)
-    counters = I.ingest_counters(rows, names, names)
+    mapped_names = names if create_tags else [r["name"] for r in mapping.select("name").collect()]  # of one sheet's columns
+    counters = I.ingest_counters(rows, names, mapped_names)
     return IngestResult(frequency, conflicts, mapping, tags_after, long, inserted, snapshot, counters, unknown, held)
 
 
+@dataclass
+class FolderResult:
+    """``files``: ``file, frequency, lo, hi``; ``rejected``: ``file, reason``; ``counters``: a row per file."""
+
+    files: DataFrame
+    rejected: DataFrame
+    mapping: DataFrame
+    tags: DataFrame
+    melted: DataFrame
+    inserted: DataFrame
+    snapshot: DataFrame
+    counters: DataFrame
+
+
+def ingest_sheets(spark: SparkSession, path: str, existing_tags: DataFrame, stored: DataFrame, plant_id: int = 1,
+                  create_tags: bool = True) -> FolderResult:
+    """Ingest a folder of sheets in one flow: frequency, order of day and month, and counters are those of each file.
+
+    Of a reading that several files hold, the one of the first file (by name) and line is stored; a tag that several files
+    describe is made from the first of them.  Files without a time column or without a parseable timestamp are reported
+    as rejected, the others are ingested."""
+    sheets = read_sheets(spark, path)
+    parsed = cut_lineage(I.folder_rows(sheets))
+    rows = parsed.where(F.col("timestamp").isNotNull())
+    bad = (sheets.heads.select("file").join(rows.select("file").distinct(), "file", "left_anti")
+           .select("file", F.lit("No value of the time column could be converted to datetime.").alias("reason")))
+    spans = rows.groupBy("file").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    files = cut_lineage(FQ.frequency_by_key(rows.select("file", "timestamp"), ["file"]).select("file", "frequency").join(spans, "file"))
+    tag = sheets.heads.join(files, "file").select("file", "frequency", F.explode("tags").alias("t"))
+    described = F.coalesce("t.description", F.when(F.col("frequency").isNotNull(), F.format_string(I.DEFAULT_DESCRIPTION, "frequency")))
+    meta = cut_lineage(tag.groupBy(F.col("t.name").alias("name")).agg(
+        F.min_by(F.struct(described.alias("description"), F.col("t.unit").alias("unit")), "file").alias("m")).select("name", "m.*"))
+    mapping, tags_after = I.upsert_tags(existing_tags, meta, None, plant_id) if create_tags else (
+        I.known_tags(existing_tags, meta), existing_tags)
+    mapping = cut_lineage(mapping)
+    cells = rows.select("file", "_line", "timestamp", F.explode(F.arrays_zip("names", "cells")).alias("c")).select(
+        "file", "_line", "timestamp", F.col("c.names").alias("tag_name"), F.col("c.cells").alias("value"))
+    long = cells.where(F.col("value").isNotNull())
+    mapped, _ = I.map_tags(long, mapping)
+    batch = mapped.join(files.select("file", "frequency"), "file").select(
+        "tag_id", "timestamp", "value", "frequency", F.lit("GOOD").alias("quality"), F.struct("file", "_line").alias("src_row"))
+    inserted, snapshot = MG.merge_append(stored, batch)
+    counters = I.folder_counters(rows, cells, mapping)
+    return FolderResult(files, sheets.rejected.union(bad), mapping, tags_after, long, inserted, snapshot, counters)
+
+
 # ---------------------------------------------------------------------------
 # A wide sheet derived from the driver's ``events`` table
 # ---------------------------------------------------------------------------
@@ -110,3 +159,35 @@ def events_sheet(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -
     (meta.unionByName(data).repartition(1).sortWithinPartitions("_k").drop("_k")
      .write.option("header", False).option("emptyValue", "").csv(path))
     return path
+
+
+# Users on a sheet, and the time layouts that sheets are written in, by turn.
+SHEET_USERS = 10
+SHEET_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s")
+
+
+def user_sheets(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
+    """Write ``events`` as a folder of sheets, one per ten users: a column per user and a line per event.
+
+    Descriptions hold a quoted line break and commas; time texts are ISO, day first or month first by sheet."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "value", "event_id"])
+    block, place = F.floor(F.col("user_id") / SHEET_USERS).cast("int"), (F.col("user_id") % SHEET_USERS).cast("int")
+    layout = F.lit(None).cast("string")
+    for k, pattern in enumerate(SHEET_LAYOUTS):
+        layout = F.when(block % len(SHEET_LAYOUTS) == k, F.date_format("ts", pattern)).otherwise(layout)
+    lines = ev.select(block.alias("block"), F.col("event_id").alias("k"), F.concat(
+        layout, F.repeat(F.lit(","), place + 1), F.col("value").cast("string"), F.repeat(F.lit(","), SHEET_USERS - 1 - place)).alias("value"))
+    users = F.transform(F.sequence(F.lit(0), F.lit(SHEET_USERS - 1)), lambda i: F.col("block") * SHEET_USERS + i)
+    head = lambda cell: F.concat_ws(",", F.transform(users, cell))
+    line = lambda k, text: F.struct(F.lit(k).cast("bigint").alias("k"), text.alias("value"))
+    described = F.concat(F.lit('"Readings,\nof ""user"" '), F.lit("%s"), F.lit('"'))
+    top = lines.select("block").distinct().withColumn("l", F.explode(F.array(
+        line(-3, F.concat(F.lit("Timestamp,"), head(lambda u: F.concat(F.lit("User_"), u.cast("string"))))),
+        line(-2, F.concat(F.lit(","), head(lambda u: F.when(u % 3 == 0, F.lit("")).otherwise(F.replace(described, F.lit("%s"), u.cast("string")))))),
+        line(-1, F.concat(F.lit(","), head(lambda u: F.when(u % 2 == 0, F.lit("units")).otherwise(F.lit("NaN"))))))))
+    top = top.select("block", "l.k", "l.value")
+    base = out_dir or os.path.join(ensure_checkpoint_dir(spark) or checkpoint_dir(spark), "sheets")
+    path = os.path.join(base, f"user-sheets-{uuid.uuid4().hex[:12]}")
+    (lines.unionByName(top).repartition("block").sortWithinPartitions("block", "k").drop("k")
+     .write.partitionBy("block").text(path))
+    return path

@@ -596,6 +596,43 @@ WHERE timestamp >= time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00'
   AND timestamp < time_bucket(INTERVAL '1 day', TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '1 hour')
 GROUP BY 1, 2"""
 
+# The folder of user sheets: ten users a sheet, readings at whole seconds; users divisible by four have no stored tag.
+USER_SHEETS = f"""cells AS (
+  SELECT CAST(user_id // 10 AS INTEGER) AS sheet, user_id, 'user_' || user_id AS tag_name, date_trunc('second', ts) AS timestamp,
+         CAST(value AS VARCHAR) AS value, event_id FROM events),
+sheets AS (SELECT sheet, count(*) AS lines, count(*) FILTER (WHERE user_id % 4 <> 0) AS known_cells,
+                  count(*) FILTER (WHERE user_id % 4 <> 0 AND CAST(value AS DOUBLE) = 0) AS zeros FROM cells GROUP BY sheet),
+gaps AS (SELECT sheet, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY sheet ORDER BY timestamp)) AS us FROM cells),
+labels AS (SELECT sheet, {LADDER} AS frequency FROM (SELECT sheet, median(us / 1e6) AS m FROM gaps GROUP BY sheet)),
+members AS (SELECT sheet, sheet * 10 + i AS user_id FROM sheets, range(10) AS r(i)),
+stored_tags AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 <> 0)"""
+
+ORACLE["sheet_folder_melt"] = f"WITH {USER_SHEETS} SELECT sheet, tag_name, timestamp, value FROM cells"
+
+ORACLE["sheet_folder_inserted"] = f"""
+WITH {USER_SHEETS},
+firsts AS (SELECT sheet, user_id, tag_name, timestamp, arg_min(value, event_id) AS value FROM cells GROUP BY ALL)
+SELECT tag_name, timestamp, value, frequency, 'GOOD' AS quality FROM firsts JOIN labels USING (sheet)
+WHERE user_id % 4 = 0 OR NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.user_id = firsts.user_id AND day(e.ts) <= 3 AND date_trunc('second', e.ts) = firsts.timestamp)"""
+
+ORACLE["sheet_folder_counters"] = f"""
+WITH {USER_SHEETS},
+known AS (SELECT sheet, count(*) FILTER (WHERE user_id IN (SELECT user_id FROM stored_tags)) AS names FROM members GROUP BY sheet)
+SELECT sheet, lines AS row_count, lines * names AS total_values, zeros AS zero_values, lines * names - known_cells AS nan_values,
+       lines * (10 - names) AS missing_tag_values, known_cells AS prepared_records, lines * 10 AS expected_records
+FROM sheets JOIN known USING (sheet)"""
+
+ORACLE["sheet_folder_tags"] = f"""
+WITH {USER_SHEETS}
+SELECT 'user_' || user_id AS name, 'kept' AS description, CAST(NULL AS VARCHAR) AS unit_of_measure FROM stored_tags
+UNION ALL
+SELECT 'user_' || user_id,
+       CASE WHEN user_id % 3 = 0 THEN 'Sensor data collected at ' || frequency || ' intervals'
+            ELSE 'Readings,' || chr(10) || 'of "user" ' || user_id END,
+       CASE WHEN user_id % 2 = 0 THEN 'units' END
+FROM members JOIN labels USING (sheet) WHERE user_id NOT IN (SELECT user_id FROM stored_tags)"""
+
 ORACLE["summary_upload_history"] = ORACLE["upload_history"]
 
 ORACLE["latest_of_layout"] = f"""

@@ -843,6 +843,53 @@ def q_daily_rollup_refresh(spark, sf_dir):
 QUERIES["daily_rollup_refresh"] = q_daily_rollup_refresh
 
 
+def _sheet_number(file):
+    return F.regexp_extract(file, "block=([0-9]+)", 1).cast("int")
+
+
+def _ingest_folder(spark, sf_dir, create_tags=True):
+    """The user sheets against stored tags of three users in four and the stored readings of the days before."""
+    from ferrule.plans.ingest import ingest_sheets, user_sheets
+
+    users = A.user_tags(spark, sf_dir).select(F.col("id"), F.concat(F.lit("user_"), F.col("id").cast("string")).alias("name"))
+    tags = users.filter(F.col("id") % 4 != 0).select(
+        "id", "name", F.lit("kept").alias("description"), F.lit(None).cast("string").alias("unit_of_measure"), F.lit(1).alias("plant_id"),
+        F.lit(True).alias("is_active"), F.lit(1).alias("data_source_id"))
+    stored = (A.series_by_user(spark, sf_dir).filter((F.dayofmonth("timestamp") <= 3) & (F.col("tag_id") % 4 != 0))
+              .select("tag_id", F.date_trunc("second", "timestamp").cast("timestamp_ntz").alias("timestamp"), "value",
+                      F.lit("hour").alias("frequency"), "quality"))
+    return ingest_sheets(spark, user_sheets(spark, sf_dir), tags, stored, create_tags=create_tags)
+
+
+def q_sheet_folder_melt(spark, sf_dir):
+    """S1-S3/P1-P4 over a folder: every cell of every sheet, whatever its header and its order of day and month."""
+    out = _ingest_folder(spark, sf_dir).melted
+    return out.select(_sheet_number("file").alias("sheet"), "tag_name", "timestamp", "value")
+
+
+def q_sheet_folder_inserted(spark, sf_dir):
+    """J4/M2/W3 over a folder: readings appended ignoring (tag, timestamp) conflicts, with each file's frequency."""
+    r = _ingest_folder(spark, sf_dir)
+    names = r.mapping.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
+    return r.inserted.join(names, "tag_id").select("tag_name", "timestamp", "value", "frequency", "quality")
+
+
+def q_sheet_folder_counters(spark, sf_dir):
+    """P7/U1 over a folder that may not make tags: cells of unmapped tags are counted."""
+    out = _ingest_folder(spark, sf_dir, create_tags=False).counters
+    return out.withColumn("sheet", _sheet_number("file")).drop("file")
+
+
+def q_sheet_folder_tags(spark, sf_dir):
+    """M1/P6/S2 over a folder: tags made with their descriptions (line breaks kept) and units, known ones left alone."""
+    r = _ingest_folder(spark, sf_dir)
+    return r.tags.select("name", "description", "unit_of_measure")
+
+
+QUERIES.update({"sheet_folder_melt": q_sheet_folder_melt, "sheet_folder_inserted": q_sheet_folder_inserted,
+                "sheet_folder_counters": q_sheet_folder_counters, "sheet_folder_tags": q_sheet_folder_tags})
+
+
 def q_rollup_cascade(spark, sf_dir):
     """Minute, hour, day, week, month and year tables, each merged from a finer one; the series is read once."""
     from ferrule.operators import rollup

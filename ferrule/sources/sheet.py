@@ -9,7 +9,10 @@ the scan: it grows with the file offset (splits of one file are planned in
 offset order), is stable when a task is retried, and needs no extra job.
 Only the three metadata lines reach the driver -- their size is bounded by
 the number of columns, never by the number of readings.  One sheet is one
-file (a folder of sheets is ingested file by file).
+file; ``read_sheets`` reads a folder of them, each with its own header, in one job.
+
+Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks.  Whether any does is found out
+first (a line with an odd number of quotes): only then a file is read by one task, otherwise in splits.
 """
 
 from __future__ import annotations
@@ -59,9 +62,22 @@ def _meta_text(v):
     return v if str(v).strip() and str(v).strip() not in NA_TOKENS else None
 
 
+def _text_shape(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
+    """Most cells on a line, and whether quoted cells span lines (one aggregate over the text)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    cells = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1
+    row = spark.read.text(path).agg(F.max(cells), F.bool_or(quotes % 2 == 1)).first()
+    return row[0] or 0, bool(row[1])
+
+
+def _cells_reader(spark: SparkSession, sep: str, spans_lines: bool):
+    return (spark.read.option("header", False).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("multiLine", spans_lines).option("mode", "PERMISSIVE"))
+
+
 def read_sheet(spark: SparkSession, path: str, sep: str = ",") -> Sheet:
-    raw = (spark.read.option("header", False).option("inferSchema", False).option("sep", sep)
-           .option("mode", "PERMISSIVE").csv(path))
+    _, spans_lines = _text_shape(spark, path, sep)
+    raw = _cells_reader(spark, sep, spans_lines).option("inferSchema", False).csv(path)
     raw = raw.withColumn("_line", F.monotonically_increasing_id())
     # splits of one file are planned in offset order and a limit scans partition 0
     # first, so this reads only the first split, not the whole file
@@ -96,6 +112,55 @@ def read_sheet(spark: SparkSession, path: str, sep: str = ",") -> Sheet:
     return Sheet(data, names[tcol], tag_columns, desc, unit)
 
 
+@dataclass
+class Sheets:
+    """The sheets of a folder.  ``heads``: ``file, time_column, time_at, tags`` (``name, places, description, unit``
+    per distinct tag name, places being cell numbers) and ``first_line``; ``data``: ``file, _line, ts_text, names, cells`` of the data lines, a cell per
+    name; ``rejected``: ``file, reason`` of files without a time column."""
+
+    heads: DataFrame
+    data: DataFrame
+    rejected: DataFrame
+
+
+def read_sheets(spark: SparkSession, path: str, sep: str = ",") -> Sheets:
+    """Read many sheets at once, by the rules of ``read_sheet``.
+
+    A file's header is one row joined to its lines by file name (by broadcast only where the headers
+    of all files are small); nothing is collected."""
+    from ferrule.session import cut_lineage
+
+    width, spans_lines = _text_shape(spark, path, sep)
+    columns = [f"c{i}" for i in range(max(width, 1))]
+    raw = (_cells_reader(spark, sep, spans_lines).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.array(*columns).alias("cells"),
+                   F.monotonically_increasing_id().alias("_line")))
+    first = raw.groupBy("file").agg(F.min("_line").alias("first_line"))
+    top = raw.join(first, "file").where(F.col("_line") - F.col("first_line") < 3)
+    line = lambda nr: F.max_by("cells", F.when(F.col("_line") - F.col("first_line") == nr, F.lit(1)))
+    heads = top.groupBy("file", "first_line").agg(line(0).alias("header"), line(1).alias("described"), line(2).alias("measured"))
+    missing = ", ".join("'" + t.replace("'", "\\'") + "'" for t in NA_TOKENS)
+    text = lambda row: (f"CASE WHEN trim(get({row}, last)) IN ({missing}) THEN NULL ELSE get({row}, last) END")
+    heads = (heads.withColumn("names", F.expr("transform(header, h -> lower(trim(h)))"))
+             .withColumn("time_at", F.expr("cast(array_position(transform(names, n -> coalesce(contains(n, 'time'), false)), true) - 1 AS int)"))
+             .withColumn("time_column", F.expr("get(names, time_at)"))
+             .withColumn("at", F.expr(f"""filter(sequence(0, size(names) - 1), i -> get(names, i) IS NOT NULL
+                 AND get(names, i) NOT IN ({missing}) AND get(names, i) <> time_column)"""))
+             .withColumn("tags", F.expr(f"""transform(transform(array_distinct(transform(at, i -> get(names, i))),
+                 n -> struct(n AS name, filter(at, i -> get(names, i) = n) AS places)), t -> struct(t.name AS name, t.places AS places,
+                 transform(slice(t.places, -1, 1), last -> {text('described')})[0] AS description,
+                 transform(slice(t.places, -1, 1), last -> {text('measured')})[0] AS unit))""")))
+    heads = cut_lineage(heads.select("file", "first_line", "time_column", "time_at", "tags"))
+    # Fixed value: the reason text
+    rejected = heads.where("time_at < 0").select("file", F.lit("No timestamp column found in the data.").alias("reason"))
+    heads = heads.where("time_at >= 0")
+    filled = lambda t: F.filter(F.transform(t["places"], lambda p: na_to_null(F.get("cells", p))), lambda c: c.isNotNull())
+    data = (raw.join(heads, "file").where(F.col("_line") >= F.col("first_line") + 3)
+            .select("file", "_line", F.get("cells", F.col("time_at")).alias("ts_text"), F.col("tags.name").alias("names"),
+                    F.transform("tags", lambda t: F.get(filled(t), F.lit(0))).alias("cells")))
+    return Sheets(heads, data, rejected)
+
+
 def read_csv_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Plain CSV with a header line."""
     reader = spark.read.option("header", True)
