@@ -823,3 +823,5 @@ SELECT t.id AS tag_id, t.name, f.day, coalesce(f.n, 0) AS data_points FROM type_
     "card_access_admin": ORACLE["card_access"].replace(
         "SELECT card_id, user_id, CASE WHEN card_owner", "SELECT card_id, user_id, CASE WHEN user_id % 10 = 0 THEN 'admin' WHEN card_owner"),
 })
+
+ORACLE["import_changed"] = ORACLE["import_tables"]

@@ -1170,6 +1170,20 @@ def q_import_tables(spark, sf_dir):
     return snapshot.select(F.lit(name).alias("table_name"), "tag_id", "timestamp", "value")
 
 
+def q_import_changed(spark, sf_dir):
+    """S8 repeated: a first import, then one of the grown source that copies only the key ranges that differ."""
+    from ferrule.sources.imports import import_changed
+
+    path = _scratch_dir(spark, "import")
+    target, batch = (x.select("tag_id", "timestamp", "value", "src_row") for x in _merge_inputs(spark, sf_dir))
+    import_changed(target, path, ["tag_id", "timestamp"], "src_row", ranges=32)
+    import_changed(target.union(batch), path, ["tag_id", "timestamp"], "src_row", ranges=32)
+    return spark.read.parquet(path).select(F.lit("time_series").alias("table_name"), "tag_id", "timestamp", "value")
+
+
+QUERIES["import_changed"] = q_import_changed
+
+
 def q_records_json_array(spark, sf_dir):
     """S6 in its upload form: JSON arrays, of at most 1,000 records a file."""
     from ferrule.sources import sheet as S
