@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import default_icon, display_name, strip_ws
 from ferrule.operators.ordinal import with_global_ordinal
-from ferrule.session import cut_lineage
+from ferrule.session import cut_lineage, cut_lineage_counting
 
 def path_parts(path) -> Column:
     """Cleaned components: split on ``:``, trim each, drop blanks."""
@@ -134,16 +134,17 @@ def descendants(cfg: DataFrame, roots: DataFrame) -> DataFrame:
     act = cfg.filter("is_active").select("label", "path", "parent_label")
     edges = act.filter(F.col("parent_label").isNotNull())
     root = roots.select("label").distinct()
-    up = cut_lineage(edges.select("label", F.col("parent_label").alias("above")).distinct())
+    links = F.count(F.lit(1))
+    up, seen = cut_lineage_counting(edges.select("label", F.col("parent_label").alias("above")).distinct(), links=links)
     found = cut_lineage(root.select("label", F.col("label").alias("root_label"), F.lit(0).alias("depth")))
     labels = up.select("label").distinct().count() + 1
     step = 1
-    while step <= labels and not up.isEmpty():
+    while step <= labels and seen["links"]:
         further = up.join(found.withColumnRenamed("label", "above"), "above").select(
             "label", "root_label", (F.col("depth") + step).alias("depth"))
         found = cut_lineage(found.unionByName(further).groupBy("label", "root_label").agg(F.min("depth").alias("depth")))
-        up = cut_lineage(up.join(up.select(F.col("label").alias("above"), F.col("above").alias("top")), "above")
-                         .select("label", F.col("top").alias("above")).distinct())
+        up, seen = cut_lineage_counting(up.join(up.select(F.col("label").alias("above"), F.col("above").alias("top")), "above")
+                                        .select("label", F.col("top").alias("above")).distinct(), links=links)
         step *= 2
     return (edges.join(found.withColumnRenamed("label", "parent_label"), "parent_label")
             .groupBy("root_label", "label", "path").agg((F.min("depth") + 1).cast("int").alias("depth")))
@@ -191,20 +192,19 @@ def _jumps(cfg: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     depth d has a parent at d - 1), so a round in which no walk ends is the last."""
     nxt = _next_map(cfg)
     # a parent label with no active record ends the walk
-    jump = cut_lineage(nxt.join(nxt.select(F.col("label").alias("nxt"), F.lit(True).alias("_known")), "nxt", "left")
+    walking = F.count_if(F.col("j").isNotNull())
+    jump, seen = cut_lineage_counting(nxt.join(nxt.select(F.col("label").alias("nxt"), F.lit(True).alias("_known")), "nxt", "left")
                        .select("label", F.when(F.col("_known"), F.col("nxt")).alias("j"))
-                       .withColumn("steps", F.when(F.col("j").isNotNull(), 1).otherwise(0).cast("bigint")))
-    tables = [jump]
-    alive = jump.filter("j IS NOT NULL").count()
+                       .withColumn("steps", F.when(F.col("j").isNotNull(), 1).otherwise(0).cast("bigint")), alive=walking)
+    tables, alive = [jump], seen["alive"]
     while alive:
         ahead = jump.select(F.col("label").alias("j"), F.col("j").alias("jj"), F.col("steps").alias("more"))
-        jump = cut_lineage(jump.join(ahead, "j", "left").select(
-            "label", F.col("jj").alias("j"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        jump, seen = cut_lineage_counting(jump.join(ahead, "j", "left").select(
+            "label", F.col("jj").alias("j"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), alive=walking)
         tables.append(jump)
-        now = jump.filter("j IS NOT NULL").count()
-        if now == alive:
+        if seen["alive"] == alive:
             break
-        alive = now
+        alive = seen["alive"]
     return tables, jump
 
 
@@ -228,11 +228,11 @@ def circular_records(cfg: DataFrame) -> DataFrame:
     # of its label.  The label, if met, lies ``steps(parent) - steps(label)`` above the parent: go there bit by bit.
     firsts = act.groupBy("label").agg(F.min("path").alias("_first_path"))
     own = ends.filter(~F.col("_endless")).select("label", F.col("steps").alias("_to"))
-    walking = cut_lineage(starts.filter(~F.coalesce("_endless", F.lit(True)) & (F.col("parent_label") != F.col("label")))
+    walking, seen = cut_lineage_counting(starts.filter(~F.coalesce("_endless", F.lit(True)) & (F.col("parent_label") != F.col("label")))
                           .join(firsts, "label").filter(F.col("path") != F.col("_first_path")).join(own, "label")
                           .withColumn("_far", F.col("_from") - F.col("_to")).filter("_far > 0")
-                          .select("label", "path", "parent_label", "_far", F.col("parent_label").alias("cur")))
-    if walking.isEmpty():
+                          .select("label", "path", "parent_label", "_far", F.col("parent_label").alias("cur")), rows=F.count(F.lit(1)))
+    if not seen["rows"]:
         return flagged
     for k, table in enumerate(tables):
         hop = table.select(F.col("label").alias("cur"), F.col("j").alias("_hop"))

@@ -115,3 +115,13 @@ def cut_lineage(df):
     path = scratch_path(spark, "tables")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+
+
+def cut_lineage_counting(df, **metrics):
+    """``cut_lineage`` that also returns the values of aggregate expressions over the written rows, taken
+    while they are written: an iterative algorithm then needs one job a round."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[column.alias(name) for name, column in metrics.items()]))
+    return out, seen.get
