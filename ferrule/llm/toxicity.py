@@ -4,6 +4,7 @@ Features of a text (``FEATURES``): densities of a fixed insult lexicon and of a
 second-person words, capitals, punctuation and obfuscated spellings.  The labelled sample (about
 ``sample_rows`` rows by a hash of the id) is split in three: one part finds the learned lexicon (words whose smoothed log-odds
 of the label are highest), one trains the trees, one fits the calibration, so no part judges what it was fitted on.
+With so few labels that a part would lack rows or a label, all three steps use all of them.
 Features of all texts come from one narrow pass over whole texts; Spark's tree and isotonic models score the rows.
 
 Cases: a null or empty text has zero features and gets the score the trees give those; labels other than 0 and 1 and null labels or
@@ -185,17 +186,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: st
     chosen = marks.where(spread < share * (1 << 20))  # about sample_rows rows, hence the broadcast
     labelled = cut_lineage(source.where("learn").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn(
         "part", F.pmod(F.xxhash64("doc_id", F.lit("toxicity part")), F.lit(5))))
-    base = {r["label"]: r["n"] for r in labelled.where("part >= 2").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(base) < 2:
-        constant = float(base.get(1, 0) > 0)
-        return source.select("row", F.lit(constant).alias("score"))
-    learned, weights = learned_lexicon(labelled.where("part < 2"))
-    table = cut_lineage(with_features(labelled.where("part >= 2").select("part", "label", "text"), learned, weights).repartition(4))
+    groups = {(r["part"], r["label"]) for r in labelled.select("part", "label").distinct().collect()}
+    seen = {label for _, label in groups}
+    if len(seen) < 2:
+        return source.select("row", F.lit(float(1 in seen)).alias("score"))
+    if {label for part, label in groups if part in (2, 3)} == {0, 1} and any(part == 4 for part, _ in groups):
+        lexicon, fitting, calibrating = "part < 2", "part < 4", "part = 4"
+        rows = labelled.where("part >= 2")
+    else:
+        lexicon = fitting = calibrating = "true"  # too few labels for parts of their own
+        rows = labelled
+    learned, weights = learned_lexicon(labelled.where(lexicon))
+    table = cut_lineage(with_features(rows.select("part", "label", "text"), learned, weights).repartition(4))
     vectors = table.withColumn("vector", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
     boosted = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=11, maxMemoryInMB=128)
     boosted = boosted.setRawPredictionCol("raw").setProbabilityCol("chance").setPredictionCol("guess")
-    model = boosted.fit(vectors.where("part < 4"))
-    judged = model.transform(vectors.where("part = 4")).withColumn("chance", vector_to_array("chance")[1])
+    model = boosted.fit(vectors.where(fitting))
+    judged = model.transform(vectors.where(calibrating)).withColumn("chance", vector_to_array("chance")[1])
     steps = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="score").fit(judged.select("chance", "label"))
 
     found = model.transform(with_features(source.select("row", "text"), learned, weights).withColumn(

@@ -196,3 +196,12 @@ def test_toxicity_without_examples(spark, docs_of, odd_rows):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in toxicity.score_toxicity(docs_of(odd_rows), empty, F.lit(True)).collect()} == {0.0}
     assert toxicity.score_toxicity(docs_of([]), empty, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("n", [2, 5, 11, 20])
+def test_toxicity_of_few_labels(spark, docs_of, n):
+    """Two to twenty labelled rows give scores for every text."""
+    docs = [(k, ("you stupid idiot " if k % 2 else "a calm and friendly note ") * 3) for k in range(n)] + [(100, None), (101, "you idiot")]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(n)], "doc_id bigint, toxic int")
+    got = {r.row.doc_id: r.score for r in toxicity.score_toxicity(docs_of(docs), marks, F.lit(True)).collect()}
+    assert len(got) == n + 2 and all(0 <= s <= 1 for s in got.values())
