@@ -12,7 +12,7 @@
 4. *Counting.*  Another pass counts all candidates over all chunks, by their text.
 
 With shards of one task's size the local support would fall to 1 as the corpus grows; with a fixed number of shards, each
-counted by a keyed aggregate, it is the same at every size.
+counted in groups of hash ranges, it is the same at every size.
 
 The union is kept as a bitmap of fixed size over phrase hashes: a hash or bitmap clash can only add
 a candidate, which the exact count then drops.  Mining goes level by level: every part of a frequent phrase is
@@ -42,6 +42,8 @@ CHUNK_BYTES = 6 << 20
 SHARDS = 8
 BITMAP_BITS = 1 << 26  # 8 MB; clashes cost work, never rows
 LONGEST = 4
+HASH_BITS = 48          # of a phrase's hash in the union; more than the bitmap looks at
+WAITING = 2_000_000     # phrases a task holds before it deals them
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,7 +108,7 @@ def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
                          F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId() % SHARDS
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -126,12 +128,12 @@ def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
                     mine = of_lang == k
                     used, code = np.unique(codes[mine], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([names[k]], pa.string()), pa.array([dealt % SHARDS], pa.int32()), pa.array([len(code)], pa.int64()),
+                        pa.array([names[k]], pa.string()), pa.array([shard], pa.int32()), pa.array([len(code)], pa.int64()),
                         pa.array([pack_batch(pa.record_batch([known.take(pa.array(used))], ["word"]))], pa.binary()),
                         pa.array([pack_batch(pa.record_batch(
                             [pa.array(code.astype(np.int32)), pa.array(opens[mine])], ["code", "opens"]))], pa.binary())],
                         ["lang", "shard", "n_words", "words", "places"])
-                at, dealt = to, dealt + 1
+                at = to
 
     return source.mapInArrow(run, "lang string, shard int, n_words bigint, words binary, places binary")
 
@@ -251,15 +253,73 @@ def with_support(cut: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
     return cut.join(what, ["lang", "shard"]), langs
 
 
+def _shrink(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the sums of their counts."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed bytes of integers, all first bytes first, then all second bytes, and so on."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view("<u8")
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray, what: int, ranges: int) -> pa.RecordBatch:
+    """Distinct hashes as one row per range of hashes: their differences and counts."""
+    part = (hashes * np.uint64(ranges)) >> np.uint64(HASH_BITS)
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    end = np.append(begin[1:], len(part))
+    rows = list(zip(begin.tolist(), end.tolist(), strict=True))
+    return pa.RecordBatch.from_arrays([
+        pa.array(part[begin].astype(np.int32)), pa.array(np.full(len(rows), what, dtype=np.int64)), pa.array(end - begin),
+        pa.array([_planes(np.diff(hashes[x:y], prepend=np.uint64(0))) for x, y in rows], pa.binary()),
+        pa.array([_planes(counts[x:y]) for x, y in rows], pa.binary())], ["part", "what", "n", "hashes", "counts"])
+
+
+def _locally_frequent(rows: pa.Table) -> pa.Table:
+    """The union over shards within one range: hashes whose reported counts and bounds reach the support."""
+    hashes, counts, whats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in rows.to_batches(max_chunksize=64):
+        for what, n, h, c in zip(*[row.column(k).to_pylist() for k in ("what", "n", "hashes", "counts")], strict=True):
+            hashes.append(np.cumsum(_from_planes(h, n)))
+            counts.append(_from_planes(c, n).astype(np.int64))
+            whats.append(np.full(n, what, dtype=np.int64))
+    hashes, counts, whats = np.concatenate(hashes), np.concatenate(counts), np.concatenate(whats)
+    order = np.lexsort((whats, hashes))
+    hashes, counts, whats = hashes[order], counts[order], whats[order]
+    if len(hashes):
+        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (whats[1:] != whats[:-1])))
+        hashes, whats, counts = hashes[first], whats[first], np.add.reduceat(counts, first)
+        t, need = whats >> 36, (whats >> 8) & ((1 << 28) - 1)
+        local = counts >= t
+        hashes, need, excess = hashes[local], need[local], (counts - t + 1)[local]
+    if len(hashes):
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        hashes = hashes[first][np.add.reduceat(excess, first) >= need[first]]
+    return pa.table([pa.array(hashes.astype(np.int64))], ["hash"])
+
+
 def mine(cut: DataFrame, frequent_words: np.ndarray, known: dict[int, np.ndarray]) -> DataFrame:
     """Hashes of the candidates one word longer than those of ``known`` (bitmaps by length; none yet: pairs).
 
-    A chunk gives each of its phrases once, with its count; the counts are summed per shard, and what is frequent in a shard goes
-    into the union with its excess over ``t - 1``.  One shuffle by the hash serves both sums."""
+    A task sums the counts of its chunks per shard and deals them, packed by ranges of the hash (four to a shuffle partition), so
+    a packed row never holds less than one phrase.  The sums of a shard that are frequent in it go into the union with their
+    excess over ``t - 1``."""
     held = cut.sparkSession.sparkContext.broadcast((frequent_words, known))
+    ranges = min(4 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    low = np.uint64((1 << HASH_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, shorter = held.value
+        waiting: dict[int, list] = {}
+        size = 0
         for row in _rows(batches):
             chunk = Chunk(row)
             words = first_level(chunk)
@@ -268,18 +328,23 @@ def mine(cut: DataFrame, frequent_words: np.ndarray, known: dict[int, np.ndarray
                 level = next_level(chunk, words, level, length)
                 if length in shorter:
                     level = level.keep(_marked(shorter[length], level.hash))
-            for at in range(0, len(level.hash), 1 << 16):
-                hashes, count = level.hash[at:at + (1 << 16)], level.count[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), row["what"], dtype=np.int64)),
-                    pa.array(count.astype(np.int64))], ["hash", "what", "count"])
-
-    counted = (cut.select("lang", "words", "places", "what").mapInArrow(run, "hash bigint, what bigint, count bigint")
-               .repartition("hash").groupBy("hash", "what").agg(F.sum("count").alias("count")))
-    t, need = F.shiftright("what", 36), F.shiftright("what", 8).bitwiseAND(F.lit((1 << 28) - 1))
-    return (counted.where(F.col("count") >= t).groupBy("hash")
-            .agg(F.sum(F.col("count") - t + 1).alias("excess"), F.max(need).alias("need"))
-            .where(F.col("excess") >= F.col("need")).select("hash"))
+            waiting.setdefault(row["what"], []).append((level.hash & low, level.count))
+            size += len(level.hash)
+            if size > WAITING:
+                yield from _flush(waiting, ranges)
+                waiting, size = {}, 0
+        yield from _flush(waiting, ranges)
+
+    packed = cut.select("lang", "words", "places", "what").mapInArrow(
+        run, "part int, what bigint, n bigint, hashes binary, counts binary")
+    return packed.groupBy("part").applyInArrow(_locally_frequent, "hash bigint")
+
+
+def _flush(waiting: dict[int, list], ranges: int) -> Iterator[pa.RecordBatch]:
+    for what, parts in waiting.items():
+        hashes, counts = _shrink(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
+        if len(hashes):
+            yield _packed(hashes, counts, what, ranges)
 
 
 def count_phrases(cut: DataFrame, frequent_words: np.ndarray, candidates: dict[int, np.ndarray], support: int) -> DataFrame:
