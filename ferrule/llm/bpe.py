@@ -206,11 +206,27 @@ def merge_many(texts: list[bytes], ranks: Ranks) -> list[bytes]:
     return out
 
 
+def _same_runs(x: np.ndarray, x_begin: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_begin: np.ndarray,
+               y_size: np.ndarray) -> bool:
+    """Whether the runs of ``x`` and ``y`` are equal one by one."""
+    if not np.array_equal(x_size, y_size):
+        return False
+    total = int(x_size.sum())
+    kind = np.int32 if max(len(x), len(y), total) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    before = np.cumsum(x_size) - x_size
+    whole = total == len(x) and np.array_equal(before, x_begin)
+    mine = x if whole else x[at + np.repeat((x_begin - before).astype(kind), x_size)]
+    at += np.repeat((y_begin - before).astype(kind), x_size)
+    return np.array_equal(mine, y[at])
+
+
 class PieceCache:
     """Encodes texts match by match, keeping the ids of the matches met lately.
 
-    The cache is a sorted array of match hashes with their ids end to end; it holds at most
-    ``entries`` matches besides those of the slice at hand."""
+    The cache is a sorted array of match hashes with their bytes and ids end to end; it holds at most
+    ``entries`` matches besides those of the slice at hand.  A hash only finds a match: its bytes are
+    compared before its ids are used, and a slice whose hashes collide is encoded without them."""
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[bytes]], list[bytes]], entries: int = CACHE_ENTRIES):
         import public_tokenizers
@@ -219,15 +235,41 @@ class PieceCache:
         self.standard = pattern == public_tokenizers.PATTERN
         self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
+        self.raw, self.raw_begin, self.raw_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
         coded = self.encode_pieces(pieces)
         size = np.array([len(x) // 4 for x in coded], dtype=np.int64)
         begin = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(coded), "<u4")))
-        h, begin, size = (np.concatenate(x) for x in ((self.hash, h), (self.begin, begin), (self.size, size)))
+        raw_size = np.array([len(x) for x in pieces], dtype=np.int64)
+        raw_begin = len(self.raw) + np.cumsum(raw_size) - raw_size
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(pieces), np.uint8)))
+        h = np.concatenate((self.hash, h))
         order = np.argsort(h, kind="stable")
-        self.hash, self.begin, self.size = h[order], begin[order], size[order]
+        self.hash = h[order]
+        self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+        self.raw_begin = np.concatenate((self.raw_begin, raw_begin))[order]
+        self.raw_size = np.concatenate((self.raw_size, raw_size))[order]
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forget all entries but those at ``at``."""
+        def rest(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+            spans = [flat[b:b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)]
+            return np.concatenate(spans) if spans else flat[:0].copy()
+
+        self.ids, self.raw = rest(self.ids, self.begin, self.size), rest(self.raw, self.raw_begin, self.raw_size)
+        self.hash, self.size, self.raw_size = self.hash[at], self.size[at], self.raw_size[at]
+        self.begin, self.raw_begin = np.cumsum(self.size) - self.size, np.cumsum(self.raw_size) - self.raw_size
+
+    def _without_hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` by the bytes of the matches alone."""
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        some = list(dict.fromkeys(pieces))
+        ids = dict(zip(some, self.encode_pieces(some), strict=True))
+        total = np.cumsum([0] + [len(ids[p]) // 4 for p in pieces])
+        return np.frombuffer(b"".join(ids[p] for p in pieces), "<u4"), total[first]
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
@@ -255,14 +297,15 @@ class PieceCache:
         first = np.searchsorted(start, offsets)
         end = np.append(start[1:], len(data))
         h, first_at, index = distinct(piece_hashes(data, start))
+        if not _same_runs(data, start, end - start, data, start[first_at][index], (end - start)[first_at][index]):
+            return self._without_hashes(data, start, end, first)
         if len(self.hash) > self.entries:
             at, known = self._find(h)  # only what this slice needs is kept
-            at = np.sort(at[known])
-            spans = [self.ids[b:b + n] for b, n in zip(self.begin[at].tolist(), self.size[at].tolist(), strict=True)]
-            self.hash, self.size = self.hash[at], self.size[at]
-            self.begin = np.cumsum(self.size) - self.size
-            self.ids = np.concatenate(spans) if spans else np.zeros(0, "<u4")
-        _, known = self._find(h)
+            self._keep(np.sort(at[known]))
+        at, known = self._find(h)
+        at, found = at[known], first_at[known]
+        if not _same_runs(data, start[found], end[found] - start[found], self.raw, self.raw_begin[at], self.raw_size[at]):
+            return self._without_hashes(data, start, end, first)
         if not known.all():
             new = first_at[~known]
             raw = data.tobytes()

@@ -11,9 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ferrule.llm.words import mix, powers, text_bytes
+from ferrule.llm.words import mix, run_sums
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _LETTER, _DIGIT, _SPACE, _OTHER, _STRANGE = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _STRANGE, dtype=np.uint8)
 _CLASS[32:127] = _OTHER
@@ -71,9 +70,7 @@ def piece_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """64-bit hashes of the matches."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = powers(_BASE, len(data))
-    h = np.add.reduceat(_VALUE[data] * up, start)
-    h *= down[start]
+    h = run_sums(_VALUE[data], start)
     h += np.diff(np.append(start, len(data))).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
     return mix(h)
 

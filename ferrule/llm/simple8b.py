@@ -16,7 +16,8 @@ A file row (Parquet is the container) holds a run of whole documents in ascendin
 ``part`` and ``chunk`` (their order gives the order of documents), ``begin`` (ids of the part before the row), ``doc_id`` and
 ``n_tokens`` arrays, ``words``, ``block_words`` and ``escapes``.
 
-Cases: a null or empty text has the end id alone; a null doc_id sorts before all others; equal
+Cases: a null or empty text has the end id alone; added tokens of the vocabulary that stand in a text become their ids, as
+the library does by default; a null doc_id sorts before all others; equal
 doc_ids are ordered by text (null first), so repeated rows give a defined order; an empty table gives an
 empty file; other columns are ignored, whatever their names; a very long text fills as many blocks
 as it needs.
@@ -30,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +157,7 @@ class LibraryEncoder:
     The library's byte-level model encodes every match on its own, so the ids of a text are the ids
     of its matches in order; only matches not met lately are sent to the library.  Words with a
     space before them go many to a call: each starts at its space, which its first id shows.
+    A text that holds the content of an added token (such as an end mark) goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -162,12 +165,29 @@ class LibraryEncoder:
 
         import public_tokenizers
 
+        self.whole = Tokenizer.from_file(path)
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values() if token.content]
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # a match of the pattern is never an added token of its text
         vocabulary = self.library.get_vocab()
         self.opens_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens_word[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.encode = PieceCache(public_tokenizers.PATTERN, self._encode_pieces).encode
+        self.cache = PieceCache(public_tokenizers.PATTERN, self._encode_pieces)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the first id of each text (and the end)."""
+        marked = np.zeros(len(column), dtype=bool)
+        for content in self.added:
+            marked |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.cache.encode(column)
+        ids, first = self.cache.encode(pc.if_else(pa.array(marked), pa.scalar("", column.type), column))
+        parts = [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        at = np.flatnonzero(marked)
+        found = self.whole.encode_batch_fast(column.take(pa.array(at)).to_pylist(), add_special_tokens=False)
+        for k, x in zip(at.tolist(), found, strict=True):
+            parts[k] = np.array(x.ids, dtype="<u4")
+        return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         missing = [p.decode() for p in pieces]

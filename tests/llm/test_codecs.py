@@ -41,6 +41,34 @@ def test_long_matches_use_one_tree():
         assert ids_of(CODEC, [text]) == [LIBRARY.encode_ordinary(text)]
 
 
+def thue_morse(a, b):
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(1024))
+
+
+def test_matches_whose_power_sums_collide():
+    texts = [thue_morse("a", "b"), thue_morse("b", "a"), "x " + thue_morse("b", "a") + " " + thue_morse("a", "b")]
+    want = [LIBRARY.encode_ordinary(t) for t in texts]
+    assert want[0] != want[1]
+    for encoder in (CODEC, TOKENIZERS):
+        assert ids_of(encoder, texts) == want
+        assert [ids_of(encoder, [t])[0] for t in texts] == want
+
+
+def test_cache_trusts_bytes_not_hashes(monkeypatch):
+    monkeypatch.setattr(bpe, "piece_hashes", lambda data, start: np.diff(np.append(start, len(data))).astype(np.uint64) % np.uint64(3))
+    weak = bpe.PieceCache(P.PATTERN, lambda some: bpe.merge_many(some, CODEC.ranks))
+    for texts in (["one two"], ["six ten", "", "one two three"], ["日本 語 x", "two two"]):
+        assert ids_of(weak, texts) == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_added_tokens_as_the_library_takes_them():
+    texts = ["a <|endoftext|> b", None, "", "plain text", "<|endoftext|><|endoftext|>", "<|endof text|> é"]
+    library = TOKENIZERS.whole
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(want[0]) == 4
+    assert ids_of(TOKENIZERS, texts) == want
+
+
 def test_cache_turnover_changes_nothing():
     small = bpe.PieceCache(P.PATTERN, lambda some: bpe.merge_many(some, CODEC.ranks), entries=3)
     texts = [f"the {k} words of {k * k} and the rest" for k in range(40)]
@@ -76,6 +104,7 @@ def test_simple8b_packs_tightly():
 
 
 def test_id_files(spark, docs_of, odd_rows, scratch):
+    odd_rows = [*odd_rows, (12, "a <|endoftext|> b")]
     simple8b.write_ids(docs_of(odd_rows), scratch + "/ids", P.path("byte_bpe_50k.json"))
     got = simple8b.read_ids(spark, scratch + "/ids").collect()
     got = sorted(got, key=lambda r: r.start)
@@ -83,7 +112,7 @@ def test_id_files(spark, docs_of, odd_rows, scratch):
     assert [r.doc_id for r in got] == [d for d, _ in order]
     start = 0
     for r, (_, text) in zip(got, order, strict=True):
-        want = LIBRARY.encode_ordinary(text or "") + [0]
+        want = TOKENIZERS.whole.encode(text or "", add_special_tokens=False).ids + [0]
         raw = np.array(want, "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (start, len(want), zlib.crc32(raw), raw)
         start += len(want)
