@@ -279,27 +279,62 @@ def _held_shingles(texts_in: DataFrame, ids: DataFrame, total_shingles: int, wid
     return counts.join(ids, "id", "left_semi")
 
 
-def _remaining_pairs(texts_in: DataFrame, left: DataFrame, total_shingles: int, width: int, percent: int,
-                     group_sigs: int) -> DataFrame:
-    """Pairs of sets in different components, from ``left(id, n, component, smallest)``, that can still link.
+def _remaining_links(texts_in: DataFrame, texts: DataFrame, left: DataFrame, tested: DataFrame, total_shingles: int,
+                     width: int, percent: int, group_sigs: int) -> list[DataFrame]:
+    """Links between sets in different components, from ``left(id, n, component, smallest)`` and the pairs
+    ``tested(a, b)`` before (``a < b``).
 
     A prefix join over the shared shingles alone, rarest first by their exact number of holders: a set's shingles that
     no other set holds use up its allowance for unmatched ones, so few others have to be indexed.  Of a linking pair the
-    first common shingle has, in either set, at most ``held - overlap`` shared shingles before it."""
+    first common shingle has, in either set, at most ``held - overlap`` shared shingles before it.
+
+    Rounds come first: per shingle one pivot (the set with the largest share of shared shingles), and each set is compared
+    with the one pivot of another component that it meets most often.  Linked components merge, and shingles held
+    inside one component fall out.  When a round links few of its pairs, the holders that are still in different components
+    are compared with each other."""
     held = _held_shingles(texts_in, left.select("id"), total_shingles, width, percent, group_sigs, True)
     own = Window.partitionBy("id")
     overlap = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
     rows = (held.withColumn("rank", F.row_number().over(own.orderBy("holders", "shingle")) - 1)
             .withColumn("held", F.count(F.lit(1)).over(own)).join(left, "id")
             .where(F.col("rank") <= F.col("held") - overlap(F.col("n"), F.col("smallest"))))
-    rows = cut_lineage(rows.select("shingle", "id", "n", "component", (F.col("held") - F.col("rank")).alias("room")))
+    rows = cut_lineage(rows.select("shingle", "id", "n", "component", (F.col("held") - F.col("rank")).alias("room"),
+                                   (F.col("held") / F.col("n")).alias("share")))
+    pair = (F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+    found = []
+    while True:
+        between = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        rows = cut_lineage(rows.join(between.select("shingle"), "shingle", "left_semi"))
+        pivot = rows.groupBy("shingle").agg(F.max(F.struct("share", "id", "n", "component")).alias("top"))
+        met = (rows.join(pivot, "shingle").withColumns({"id_b": F.col("top.id"), "n_b": F.col("top.n")})
+               .where((F.col("component") != F.col("top.component")) & _fits("n", "n_b", percent))
+               .groupBy("id", *pair).agg(F.count(F.lit(1)).alias("times"), F.max("top.share").alias("share"))
+               .join(tested, ["a", "b"], "left_anti"))
+        best = met.groupBy("id").agg(F.max(F.struct("times", "share", "a", "b")).alias("best"))
+        pairs = cut_lineage(best.select("best.a", "best.b").distinct())
+        tried = pairs.count()
+        if not tried:
+            break
+        links = cut_lineage(_verify(pairs, texts, width, percent))
+        found.append(links)
+        tested = tested.unionByName(pairs)
+        made = links.count()
+        if made:
+            place = rows.select("id", "component").distinct()
+            merged = components(links.join(place.toDF("a", "x"), "a").join(place.toDF("b", "y"), "b")
+                                .select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("component", "merged")
+            rows = cut_lineage(rows.join(merged, "component", "left")
+                               .withColumn("component", F.coalesce("merged", "component")).drop("merged"))
+        if made * 8 < tried:
+            break
     between = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = cut_lineage(rows.join(between.select("shingle"), "shingle", "left_semi"))
+    rows = rows.join(between.select("shingle"), "shingle", "left_semi")
     other = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "room")])
-    return (rows.join(other, "shingle").where(
+    pairs = (rows.join(other, "shingle").where(
         (F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & _fits("n", "n_b", percent)
-        & (F.least("room", "room_b") >= overlap(F.col("n"), F.col("n_b"))))
-        .select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+        & (F.least("room", "room_b") >= overlap(F.col("n"), F.col("n_b")))).select(*pair).distinct())
+    pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+    return [*found, cut_lineage(_verify(pairs, texts, width, percent))]
 
 
 def bitmap(df: DataFrame, column: str) -> bytes:
@@ -326,12 +361,6 @@ def _texts_of(texts_in: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             .groupBy("id").agg(F.min("text").alias("text")))
 
 
-def _linked_pairs(texts_in: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, from their texts."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return cut_lineage(_verify(pairs, cut_lineage(_texts_of(texts_in, ids, width)), width, percent))
-
-
 def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent: int, frequent: int,
                   group_sigs: int) -> DataFrame:
     """Links ``(a, b)`` between digests of different sets that keep every component whole, from
@@ -342,9 +371,12 @@ def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent:
     cells = first.where(F.col("kind") == _CELL).select(F.shiftleft("a", 64 - CELL_BITS).alias("sig"))
     second = cut_lineage(_candidates(_index(texts_in, width, percent, groups, bitmap(cells, "sig")), frequent, percent, False))
     members = second.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "lo", "lo_n")
-    star = members.where((F.col("lo") != F.col("id")) & _fits("lo_n", "n", percent)).select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    star = members.where((F.col("lo") != F.col("id")) & _fits("lo_n", "n", percent)).select(
+        F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b"))
     pairs = cut_lineage(pairs.unionByName(second.where(F.col("kind") == _PAIR).select("a", "b")).unionByName(star).distinct())
-    links = _linked_pairs(texts_in, pairs, width, percent)
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct())
+    texts = cut_lineage(_texts_of(texts_in, ids, width))
+    links = cut_lineage(_verify(pairs, texts, width, percent))
 
     # what is still in different components; a set shares at most its shingles that other members hold too
     held = _held_shingles(texts_in, cut_lineage(members.select("id").distinct()), total_shingles, width, percent, group_sigs, False)
@@ -357,9 +389,9 @@ def jaccard_links(texts_in: DataFrame, total_shingles: int, width: int, percent:
     open_keys = able.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     left = cut_lineage(able.join(open_keys.select("key"), "key", "left_semi").groupBy("id").agg(
         F.first("n").alias("n"), F.first("component").alias("component"), F.min("smallest").alias("smallest")))
-    rest = _remaining_pairs(texts_in, left, total_shingles, width, percent, group_sigs).join(pairs, ["a", "b"], "left_anti")
-    rest = cut_lineage(rest)
-    return links.unionByName(_linked_pairs(texts_in, rest, width, percent))
+    for more in _remaining_links(texts_in, texts, left, pairs, total_shingles, width, percent, group_sigs):
+        links = links.unionByName(more)
+    return links
 
 
 def _classes(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, frequent: int,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import jaccard_join, repeats
 from ferrule.llm.components import components
+from ferrule.llm.words import words_of
 from tests.llm import brute
 
 
@@ -134,3 +135,34 @@ def test_components_chain_and_cycle(spark):
     assert all(got[i] == 1 for i in range(1, 61))
     assert {got[i] for i in (200, 201, 202)} == {200} and got[300] == got[-5] == -5
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_words_whose_power_sums_collide_are_told_apart(docs_of):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    found = words_of(pa.array([one, other, one + other, other + one, "x" * 70_000 + one, "x" * 70_000 + other]))
+    assert len(set(found.hash.tolist())) == 6
+    same = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {same}"), (2, f"{other} {same}"), (3, f"{one} {same}")]
+    got = {r.doc_id: r for r in jaccard_join.jaccard_components(docs_of(rows), percent=90).collect()}
+    assert [got[d].component_id for d in (1, 2, 3)] == [1, 2, 1]
+    removed = {r.row.doc_id: r.n_removed for r in repeats.remove_repeats(docs_of(rows)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 13}
+
+
+@pytest.mark.parametrize("size", [100, 400])
+def test_pairs_to_verify_grow_with_the_cluster(docs_of, monkeypatch, size):
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(d, " ".join(w if r.random() > 0.02 else f"u{r.randrange(10**6)}" for w in base)) for d in range(size)]
+    counts = []
+    verify = jaccard_join._verify
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verify", counted)
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert sum(counts) <= 4 * size
+    assert got == {d: c for d, (_, c) in brute.jaccard_components(rows).items()}
