@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.components import components
 from ferrule.llm.exchange import from_gaps, gaps, runs
 from ferrule.llm.rows import whole_row, with_fields
-from ferrule.llm.words import mix, sequence_hash, slices, window_hashes, words_of
+from ferrule.llm.words import cut, freeing, mix, sequence_hash, slices, window_hashes, words_of
 from ferrule.session import cut_lineage
 
 CELL_BITS = 24
@@ -108,7 +108,7 @@ def _index(source: DataFrame, width: int, percent: int, groups: int, cells: byte
         frequent, chosen = (None if x is None else np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (cells, wanted))
         for part in slices(batches, size=8 << 20):
             found: dict[int, tuple] = {}  # equal sets of a slice are indexed once
-            for piece in slices(iter([part])):
+            for piece in cut(part):
                 for s in shingle_sets(piece.column("text"), width):
                     if not len(s) or (digest := set_digest(s)) in found:
                         continue
@@ -220,7 +220,7 @@ def _candidates(index: DataFrame, frequent: int, percent: int, first_pass: bool)
         return pa.table([pa.array(found[0].astype(np.int8)), *[pa.array(found[k]) for k in range(1, 6)]],
                         ["kind", "a", "b", "n", "lo", "lo_n"])
 
-    return index.groupBy("grp").applyInArrow(group, _CANDIDATES)
+    return index.groupBy("grp").applyInArrow(freeing(group), _CANDIDATES)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -274,8 +274,8 @@ def _held_shingles(texts_in: DataFrame, ids: DataFrame, total_shingles: int, wid
 
     index = _index(texts_in, width, percent, groups, None, bitmap(ids, "id")).groupBy("grp")
     if each:
-        return index.applyInArrow(count, "id bigint, shingle bigint, holders bigint").join(ids, "id", "left_semi")
-    counts = index.applyInArrow(count, "id bigint, held bigint").groupBy("id").agg(F.sum("held").alias("held"))
+        return index.applyInArrow(freeing(count), "id bigint, shingle bigint, holders bigint").join(ids, "id", "left_semi")
+    counts = index.applyInArrow(freeing(count), "id bigint, held bigint").groupBy("id").agg(F.sum("held").alias("held"))
     return counts.join(ids, "id", "left_semi")
 
 

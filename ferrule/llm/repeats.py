@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.exchange import expand, from_gaps, gaps, packed_by_bucket, runs, squeeze, totals, unpack_batch
 from ferrule.llm.rows import whole_row, with_fields
-from ferrule.llm.words import ids_of, mix, slices, text_bytes, window_hashes, words_of
+from ferrule.llm.words import cut, ids_of, mix, slices, text_bytes, window_hashes, words_of
 
 WORD_BITS = 6
 CELLS = 1 << (2 * WORD_BITS)
@@ -166,7 +166,7 @@ def repeated_windows(docs: DataFrame, window: int, group_size: int, counts: np.n
             owner = pairs // chunks  # a slot is an id and a chunk of its texts, in the order of ids
             doc, path, cell = [], [], []
             base = 0
-            for piece in slices(iter([part])):  # kernels work on smaller arrays
+            for piece in cut(part):  # kernels work on smaller arrays
                 words, h, at, c = _suffixes(piece.column("text"), window)
                 doc.append(slot_of[base + words.doc[at]])
                 path.append(h)

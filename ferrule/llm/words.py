@@ -8,13 +8,15 @@ bounds the memory of a task by the longest text, not by the number of rows in a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+HASH_BYTES = 1 << 20  # words are hashed in blocks of about so many bytes: eight bytes of work space for each
 _WORD_BASE = 0xD1342543DE82EF95 | 1
 _MASK = (1 << 64) - 1
 
@@ -135,7 +137,14 @@ def words_of(column: pa.Array, lower: bool = False, fold: bool = False) -> Words
     end = np.flatnonzero(~sep & (after | edge[1:])) + 1
     first = np.searchsorted(start, offsets)
     if len(start):
-        h = run_sums((_BYTE_VALUE_FOLDED if fold else _BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data], start)
+        table = _BYTE_VALUE_FOLDED if fold else _BYTE_VALUE_LOWER if lower else _BYTE_VALUE
+        h = np.empty(len(start), dtype=np.uint64)
+        at = 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(start, start[at] + HASH_BYTES)))
+            upto = int(start[to]) if to < len(start) else n
+            h[at:to] = run_sums(table[data[start[at]:upto]], start[at:to] - start[at])
+            at = to
         if not fold:
             h += (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         h = mix(h)
@@ -169,19 +178,44 @@ def sequence_hash(word_hashes: np.ndarray) -> int:
     return int(mix(h)[0])
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system.  Python workers outlive their tasks, and several wait beside
+    those at work; what they keep of their last task counts as memory of the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def freeing(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``function`` of one group, after which freed memory goes back to the system."""
+    def run(table: pa.Table) -> pa.Table:
+        out = function(table)
+        give_back()
+        return out
+
+    return run
+
+
+def cut(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a record batch so that a slice holds at most ``size`` bytes of text, or one row."""
+    if batch.num_rows == 0:
+        return
+    _, offsets = text_bytes(batch.column(text))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
+        to = min(max(to, at + 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
            size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds at most ``size`` bytes of text, or one row."""
+    """The slices (see ``cut``) of the batches of a task; at their end freed memory goes back to the system."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        _, offsets = text_bytes(batch.column(text))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+        yield from cut(batch, text, size)
+    give_back()
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
