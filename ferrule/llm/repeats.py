@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import chain, compress
 from zlib import crc32
 
 import numpy as np
@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.llm.exchange import expand, from_gaps, gaps, packed_by_bucket, runs, squeeze, totals, unpack_batch
 from ferrule.llm.rows import whole_row, with_fields
-from ferrule.llm.words import cut, ids_of, mix, slices, text_bytes, window_hashes, words_of
+from ferrule.llm.words import cut, freeing, give_back, ids_of, mix, slices, text_bytes, window_hashes, words_of
 
 WORD_BITS = 6
 CELLS = 1 << (2 * WORD_BITS)
@@ -168,15 +168,18 @@ def repeated_windows(docs: DataFrame, window: int, group_size: int, counts: np.n
             base = 0
             for piece in cut(part):  # kernels work on smaller arrays
                 words, h, at, c = _suffixes(piece.column("text"), window)
-                doc.append(slot_of[base + words.doc[at]])
+                doc.append(slot_of[base + words.doc[at]].astype(np.int32))
                 path.append(h)
-                cell.append(c)
+                cell.append(c.astype(np.int32))
                 base += piece.num_rows
+            del words, h, at, c
+            give_back()  # the kernels' work space, before arrays of the whole slice
             doc, path, cell = np.concatenate(doc), np.concatenate(path), np.concatenate(cell)
             if not len(path):
                 continue
             ordered = np.sort(path)
             twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+            del ordered
             compete = np.ones(len(path), dtype=bool)
             known = np.zeros(len(path), dtype=bool)
             if len(twice):
@@ -190,6 +193,7 @@ def repeated_windows(docs: DataFrame, window: int, group_size: int, counts: np.n
                 least = owner[slot] == owner[lowest]
                 compete[several] = least & ~again
                 known[several] = ~least & ~again
+                del place, several, node, slot, head, lowest, again, least
             group = first_group[cell]
             split = bits[cell]
             deep = split > 0
@@ -256,7 +260,7 @@ def repeated_windows(docs: DataFrame, window: int, group_size: int, counts: np.n
 
     routed = docs.select("doc_id", "text").mapInArrow(
         route, "grp int, kind tinyint, ids binary, chunks binary, slots binary, width tinyint, paths binary")
-    return routed.groupBy("grp").applyInArrow(subtrees, "bucket int, docs binary, paths binary")
+    return routed.groupBy("grp").applyInArrow(freeing(subtrees), "bucket int, docs binary, paths binary")
 
 
 def _by_group(doc: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -280,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     found = repeated_windows(source.select("doc_id", "text"), window, group_size, counts, deal)
     row_type = to_arrow_type(source.schema["row"].dataType)
 
-    def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def removed_words(left: pa.Table, right: pa.Table) -> pa.Table:
         marks = [np.zeros(0, np.uint64)]
         marked_docs = [np.zeros(0, np.int64)]
         for blob, paths in zip(right.column("docs").to_pylist(), right.column("paths").to_pylist(), strict=True):
@@ -291,7 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
         marked_docs = np.unique(np.concatenate(marked_docs))
         out: dict[str, list] = {"row": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
         for blob in left.column("payload").to_pylist():
-            for part in slices(iter(unpack_batch(blob).to_batches())):
+            for part in chain.from_iterable(map(cut, unpack_batch(blob).to_batches())):
                 ids = ids_of(part.column("doc_id"))
                 hit = np.isin(ids, marked_docs)
                 out["row"].append(part.column("row"))
@@ -323,7 +327,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
                          "kept_text": pa.array(out["kept_text"], pa.string()),
                          "spans": pa.array(out["spans"], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))})
 
+    def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = removed_words(left, right)
+        give_back()
+        return out
+
     left = packed_by_bucket(source, deal.keys).groupBy("bucket")
     return left.cogroup(found.groupBy("bucket")).applyInArrow(
-        cut, with_fields([source.schema["row"]], "n_words bigint, n_removed bigint, kept_text string, "
+        remove, with_fields([source.schema["row"]], "n_words bigint, n_removed bigint, kept_text string, "
                                                  "spans array<struct<begin: bigint, end: bigint>>"))
