@@ -7,8 +7,11 @@ Classes are ``CLASSES`` hash classes, so the model's size does not grow with the
 
 * **Baum-Welch.**  Expected counts are computed slice by slice and summed over partitions by Spark (one row per
   state and class).  ``rounds`` passes over all training texts follow a start from a bounded sample
-  (``sample_docs`` by a hash of the id), which only breaks the symmetry of the states.  For the expected counts a text is
-  cut into chains of ``CHAIN`` tokens; scores use whole texts.
+  (the ``sample_docs`` texts of smallest hash of id and text), which only breaks the symmetry of the states.  For the
+  expected counts a text is cut into chains of ``CHAIN`` tokens; scores use whole texts.  State counts of a token are rounded
+  to multiples of ``GRAIN`` before they are added, so their sums are exact in doubles (up to 2**33); the few transition sums
+  are rounded to multiples of ``MOVE_GRAIN`` after.  The model is the same however the rows are dealt to tasks, unless a value
+  lies within the last bits of a rounding edge.
 * **Scores.**  The forward recursion, rescaled at each token, runs over all texts of a chunk at once and is exact.
 * **Counts.**  The corpus is written once as chunks of packed rows.  Each chunk sends its distinct tokens with
   their training counts to groups by hash and gets back the corpus totals: a join of distinct tokens per chunk,
@@ -38,6 +41,8 @@ from ferrule.session import cut_lineage
 STATES = 8
 CLASSES = 8192
 CHAIN = 1024
+GRAIN = 2.0 ** -20
+MOVE_GRAIN = 2.0 ** -10
 END = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -132,17 +137,16 @@ def expected(classes: np.ndarray, first: np.ndarray, model: Model) -> tuple[np.n
             move += (forward[at - 1].T @ ahead) * model.move
             beta[:n] = ahead @ model.move.T
         else:
-            start += here.sum(axis=0)
-        posterior[at] = here
+            start += (np.rint(here / GRAIN) * GRAIN).sum(axis=0)
+        posterior[at] = np.rint(here / GRAIN) * GRAIN
     emit = np.stack([np.bincount(classes, weights=posterior[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
     return start, move, emit
 
 
 def train(training: DataFrame, rounds: int = 2, sample_docs: int = 400, sample_rounds: int = 15) -> Model:
     """Baum-Welch over ``training(doc_id, text)``."""
-    total = training.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    sample = training.where(F.pmod(F.xxhash64("doc_id", F.lit("hmm sample")), F.lit(1 << 20))
-                            < min(1.0, sample_docs / max(1, total)) * (1 << 20)).select("text").limit(4 * sample_docs)
+    sample = (training.select(F.xxhash64("doc_id", "text", F.lit("hmm sample")).alias("h"), "text")
+              .orderBy("h", "text").limit(sample_docs))
     tokens, first = token_hashes(sample.toArrow().column("text").combine_chunks().cast(pa.string()))
     classes = class_of(tokens)
     model = Model.initial(np.bincount(classes, minlength=CLASSES).astype(float))
@@ -167,7 +171,8 @@ def train(training: DataFrame, rounds: int = 2, sample_docs: int = 400, sample_r
         for batch in summed.toArrow().to_batches():  # at most as many rows as the model has cells
             flat[batch.column(0).to_numpy()] += batch.column(1).to_numpy()
         shared.unpersist()
-        model = Model.from_counts(flat[:STATES], flat[STATES:STATES + STATES * STATES].reshape(STATES, STATES),
+        move = np.rint(flat[STATES:STATES + STATES * STATES] / MOVE_GRAIN) * MOVE_GRAIN
+        model = Model.from_counts(flat[:STATES], move.reshape(STATES, STATES),
                                   flat[STATES + STATES * STATES:].reshape(CLASSES, STATES))
     return model
 

@@ -84,6 +84,14 @@ def test_lm_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def test_lm_model_does_not_depend_on_partitions(docs_of):
+    r = np.random.default_rng(5)
+    docs = docs_of([(d, " ".join(f"w{x}" for x in r.integers(0, 60, r.integers(1, 90)) + 40 * (d % 2))) for d in range(120)])
+    learn = F.col("doc_id") % 5 != 0
+    one, two = ({x.row.doc_id: x.score for x in hmm.score_texts(docs.repartition(n, "text"), learn).collect()} for n in (1, 7))
+    assert one.keys() == two.keys() and all(math.isclose(one[d], two[d], rel_tol=1e-12) for d in one)
+
+
 def test_lm_odd_rows(docs_of, odd_rows):
     learn = F.coalesce(F.col("doc_id") != 4, F.lit(True))
     got = hmm.score_texts(docs_of(odd_rows), learn, rounds=1).collect()
