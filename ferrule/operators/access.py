@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.session import cut_lineage
+
 # Permission names.
 VIEW_ANY_USER_CARDS = "view_any_user_cards"
 PERMISSION_NAMES = (
@@ -30,11 +32,17 @@ PERMISSION_NAMES = (
 def effective_permissions(upa: DataFrame, role_permissions: DataFrame, permissions: DataFrame,
                           per_plant: bool = True) -> DataFrame:
     """Distinct ``(user_id, plant_id, permission)`` over active access rows
-    (or ``(user_id, permission)`` for the any-plant form)."""
+    (or ``(user_id, permission)`` for the any-plant form).
+
+    Few roles and names match very many access rows, so a shuffle by role or by permission would put most rows into a
+    few tasks.  The names of each role are therefore joined first and written: of measured size, they are broadcast
+    unless they are large, which takes many roles."""
+    names = cut_lineage(role_permissions.select("role_id", "permission_id")
+                        .join(permissions.select(F.col("id").alias("permission_id"), F.col("name").alias("permission")),
+                              "permission_id")
+                        .select("role_id", "permission").distinct())
     grants = (upa.filter("is_active").select("user_id", "plant_id", F.col("global_role_id").alias("role_id"))
-              .join(role_permissions.select("role_id", "permission_id"), "role_id")
-              .join(permissions.select(F.col("id").alias("permission_id"), F.col("name").alias("permission")),
-                    "permission_id"))
+              .join(names, "role_id"))
     keys = ["user_id", "plant_id", "permission"] if per_plant else ["user_id", "permission"]
     return grants.select(*keys).distinct()
 
