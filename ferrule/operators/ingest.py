@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.timebucket import DAY_FIRST_FORMATS, ISO_FORMATS, MONTH_FIRST_FORMATS, parse_timestamp_text
+from ferrule.session import cut_lineage
 from ferrule.sources.sheet import Sheet, SheetError, na_to_null
 
 # Default description of a tag created by an upload.
@@ -52,8 +53,8 @@ def folder_rows(sheets) -> DataFrame:
     is one per file (``sheet_formats``), NULL where a text does not parse."""
     month = parse_timestamp_text(F.col("ts_text"), MONTH_FIRST_FORMATS)
     day = parse_timestamp_text(F.col("ts_text"), DAY_FIRST_FORMATS)
-    order = sheets.data.groupBy("file").agg(
-        F.bool_or(month.isNotNull() & day.isNull()).alias("_month_only"), F.bool_or(day.isNotNull() & month.isNull()).alias("_day_only"))
+    order = cut_lineage(sheets.data.groupBy("file").agg(  # a row per file, of measured size: lines are not shuffled
+        F.bool_or(month.isNotNull() & day.isNull()).alias("_month_only"), F.bool_or(day.isNotNull() & month.isNull()).alias("_day_only")))
     iso = parse_timestamp_text(F.col("ts_text"), ISO_FORMATS)
     turned = F.when(F.col("_day_only") & ~F.col("_month_only"), day).otherwise(month)
     return sheets.data.join(order, "file").select("file", "_line", F.coalesce(iso, turned).alias("timestamp"), "names", "cells")

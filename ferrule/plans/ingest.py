@@ -164,6 +164,8 @@ def events_sheet(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -
 # Users on a sheet, and the time layouts that sheets are written in, by turn.
 SHEET_USERS = 10
 SHEET_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s")
+# Fixed value: folders that the sheets are dealt over; Spark lists a folder in one task, with all below it.
+SHELVES = 100
 
 
 def user_sheets(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
@@ -188,6 +190,7 @@ def user_sheets(spark: SparkSession, sf_dir: str, out_dir: str | None = None) ->
     top = top.select("block", "l.k", "l.value")
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark) or checkpoint_dir(spark), "sheets")
     path = os.path.join(base, f"user-sheets-{uuid.uuid4().hex[:12]}")
-    (lines.unionByName(top).repartition("block").sortWithinPartitions("block", "k").drop("k")
-     .write.partitionBy("block").text(path))
+    (lines.unionByName(top).withColumn("shelf", F.pmod("block", F.lit(SHELVES)))
+     .repartition("block").sortWithinPartitions("shelf", "block", "k").drop("k")
+     .write.partitionBy("shelf", "block").text(path))
     return path

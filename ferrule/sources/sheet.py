@@ -127,15 +127,16 @@ def read_sheets(spark: SparkSession, path: str, sep: str = ",") -> Sheets:
     """Read many sheets at once, by the rules of ``read_sheet``.
 
     A file's header is one row joined to its lines by file name (by broadcast only where the headers
-    of all files are small); nothing is collected."""
+    of all files are small); nothing is collected.  The lines are parsed once and written, as opening many
+    files and parsing them costs more than any later step."""
     from ferrule.session import cut_lineage
 
     width, spans_lines = _text_shape(spark, path, sep)
     columns = [f"c{i}" for i in range(max(width, 1))]
-    raw = (_cells_reader(spark, sep, spans_lines).schema(", ".join(f"{c} string" for c in columns)).csv(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.array(*columns).alias("cells"),
-                   F.monotonically_increasing_id().alias("_line")))
-    first = raw.groupBy("file").agg(F.min("_line").alias("first_line"))
+    raw = cut_lineage(_cells_reader(spark, sep, spans_lines).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+                      .select(F.col("_metadata.file_path").alias("file"), F.array(*columns).alias("cells"),
+                              F.monotonically_increasing_id().alias("_line")))
+    first = cut_lineage(raw.groupBy("file").agg(F.min("_line").alias("first_line")))  # of measured size: lines are not shuffled
     top = raw.join(first, "file").where(F.col("_line") - F.col("first_line") < 3)
     line = lambda nr: F.max_by("cells", F.when(F.col("_line") - F.col("first_line") == nr, F.lit(1)))
     heads = top.groupBy("file", "first_line").agg(line(0).alias("header"), line(1).alias("described"), line(2).alias("measured"))

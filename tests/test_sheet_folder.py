@@ -91,3 +91,25 @@ def test_splittable_reading_without_line_breaks(spark, scratch):
     folder = write(scratch + "/s", {"a.csv": 'time,p\n,"a, ""b"""\n,\n2024-01-01,1\n'})
     assert SH._text_shape(spark, folder, ",") == (3, False)
     assert SH._text_shape(spark, write(scratch + "/t", FILES), ",")[1] is True
+
+
+def test_lines_of_a_folder_are_parsed_once_and_not_shuffled(spark, scratch):
+    sheets = SH.read_sheets(spark, write(scratch + "/s", FILES))
+    rows = I.folder_rows(sheets)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "Exchange hashpartitioning" not in plan
+    assert sorted((x.timestamp.day, x.timestamp.month) for x in names(rows).where("file = 'b.csv'").collect()) == [(2, 1), (13, 1)]
+
+
+def test_sheets_lie_on_a_bounded_number_of_shelves(spark, scratch):
+    from ferrule.plans import ingest as PI
+
+    rows = [(dt.datetime(2024, 1, 2, 8, 0, k % 60), u, float(k), k) for k, u in enumerate([*range(0, 4000, 10), 5, 5, 12, None])]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, value double, event_id bigint").write.parquet(scratch + "/events.parquet")
+    path = PI.user_sheets(spark, scratch, scratch + "/out")
+    shelves = [d for d in os.listdir(path) if d.startswith("shelf=")]
+    assert len(shelves) == PI.SHELVES + 1  # and the users without an id
+    blocks = [d for s in shelves for d in os.listdir(os.path.join(path, s)) if d.startswith("block=")]
+    assert len(blocks) == len(set(blocks)) == 401
+    lines = [r.value for r in spark.read.text(path + "/shelf=0/block=0").collect()]
+    assert lines[0].startswith("Timestamp,User_0,User_1,") and lines[-1].split(",")[6] == "401.0" and lines[-2].split(",")[6] == "400.0"
