@@ -182,6 +182,10 @@ def _ws_id(nation: Column, priority: Column) -> Column:
     return (nation * 10 + F.substring(priority, 1, 1).cast("int")).cast("int")
 
 
+# Fixed value: line items that one task of the access join holds, about.
+ROWS_PER_TASK = 500_000
+
+
 def access_tables(spark: SparkSession, sf_dir: str) -> dict:
     from ferrule.operators.access import PERMISSION_NAMES
     from ferrule.operators.ordinal import with_global_ordinal
@@ -207,10 +211,14 @@ def access_tables(spark: SparkSession, sf_dir: str) -> dict:
                         .select("role_id", "permission_id"))
     cust_role = cust.join(roles.select(F.col("name").alias("c_mktsegment"), F.col("id").alias("global_role_id")),
                           "c_mktsegment").select("c_custkey", "c_nationkey", "global_role_id")
-    upa = (orders.join(li, orders.o_orderkey == li.l_orderkey).join(supp, li.l_suppkey == supp.s_suppkey)
+    # so many tasks that each joins a bounded number of lines, however many lines there are
+    tasks = max(spark.sparkContext.defaultParallelism, -(-li.count() // ROWS_PER_TASK))
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus").repartition(tasks, "o_orderkey")
+    ln = li.select("l_orderkey", "l_suppkey").repartition(tasks, "l_orderkey")
+    upa = (o.join(ln, o.o_orderkey == ln.l_orderkey).join(supp, ln.l_suppkey == supp.s_suppkey)
            .groupBy(F.col("o_custkey").alias("user_id"), F.col("s_nationkey").alias("plant_id"))
-           .agg(F.bool_or(F.col("o_orderstatus") == "O").alias("is_active"))
-           .join(cust_role.select(F.col("c_custkey").alias("user_id"), "global_role_id"), "user_id"))
+           .agg(F.bool_or(F.col("o_orderstatus") == "O").alias("is_active")).repartition(tasks, "user_id")
+           .join(cust_role.select(F.col("c_custkey").alias("user_id"), "global_role_id").repartition(tasks, "user_id"), "user_id"))
     oc = orders.join(cust_role, orders.o_custkey == cust_role.c_custkey)
     workspaces = (oc.groupBy("c_nationkey", "o_orderpriority").agg(F.min("o_custkey").alias("owner_id"))
                   .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
